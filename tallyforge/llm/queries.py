@@ -25,9 +25,9 @@ def shipped(query: Callable) -> Callable:
 
 
 def queries() -> dict[str, Callable]:
-    from . import packing, tokens
+    from . import packing, secrets, simhash, tokens
 
-    own = {"op5_token_counts": tokens.op5, "op7_best_fit_packing": packing.op7}
+    own = {"op3_simhash_near_dedup": simhash.op3, "op5_token_counts": tokens.op5, "op7_best_fit_packing": packing.op7, "op10_secret_scan": secrets.op10}
     return {name: shipped(query) for name, query in own.items()}
 
 
