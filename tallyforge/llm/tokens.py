@@ -49,8 +49,8 @@ class Splitter:
         pre = spec["pre_tokenizer"]
         split = [x["pattern"]["Regex"] for x in pre.get("pretokenizers", [pre]) if x["type"] == "Split"]
         self.find = regex.compile(white(split[0] if split else BYTE_LEVEL)).findall
-        special = [x["content"] for x in spec["added_tokens"]]
-        self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.strings = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
+        self.special = regex.compile("|".join(map(regex.escape, self.strings))) if self.strings else None
 
     def segments(self, text: str) -> tuple[list[str], list[str]]:
         """The stretches between special strings, and those strings."""
