@@ -14,7 +14,6 @@ Columns of the result's names are replaced. Without any labelled text every resu
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_right
 
 import numpy as np
@@ -27,6 +26,8 @@ from .common import by_step, held_out, read
 UND = "und"
 SAMPLE = 4000
 BUCKETS = 1 << 16
+#: A multiplier that spreads a group's letters over 64 bits, of which the uppermost 16 are its bucket.
+MIX, SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(48)
 GROUPS = (1, 2, 3, 4)
 SWITCH = 3.0
 #: Words whose scores one worker remembers.
@@ -51,10 +52,16 @@ def script(word: str) -> int:
     return NAMES.index(SCRIPTS[bisect_right(STARTS, ord(word[0])) - 1][1])
 
 
-def buckets(word: str) -> list[int]:
-    """The hashed letter groups of a word, with marks for its borders."""
-    w = f"<{word}>"
-    return [zlib.crc32(w[i : i + n].encode("utf-8", "replace")) % BUCKETS for n in GROUPS for i in range(len(w) - n + 1)]
+def letter_groups(words: list[str]):
+    """For each group length the hashed letter groups of all words, borders marked, and the word that each is of, in order."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    code = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), sizes)
+    mixed = np.zeros(len(code), np.uint64)
+    for n in GROUPS:
+        mixed = (mixed[: len(code) - n + 1] if n == 1 else mixed[:-1]) * MIX + code[n - 1 :] + np.uint64(n)
+        within = word[: len(mixed)] == word[n - 1 :]
+        yield ((mixed[within] * MIX) >> SHIFT).astype(np.int64), word[: len(mixed)][within]
 
 
 def learn(labelled: DataFrame, text: str, lang: str, sample: int = SAMPLE):
@@ -77,9 +84,11 @@ def learn(labelled: DataFrame, text: str, lang: str, sample: int = SAMPLE):
                 k = number[x]
                 for w in WORDS.findall(t.lower()):
                     words[k, w] = words.get((k, w), 0) + 1
-            for (k, w), n in words.items():
-                np.add.at(total[k], buckets(w), n)
-                total[k, BUCKETS + script(w)] += n
+            label, some = np.array([k for k, _ in words], np.int64), [w for _, w in words]
+            many = np.array([*words.values()], np.int64)
+            for bucket, of in letter_groups(some):
+                total += np.bincount(label[of] * total.shape[1] + bucket, many[of], total.size).astype(np.int64).reshape(total.shape)
+            np.add.at(total, (label, BUCKETS + np.array([script(w) for w in some], np.int64)), many)
         k, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[k, b])], names=["k", "b", "n"])
 
@@ -137,10 +146,15 @@ def identify(docs: DataFrame, model, text: str = "text", switch: float = SWITCH,
 
         def word_scores(words: set[str]) -> np.ndarray:
             words = [w for w in words if w not in memory]
-            hashed = [buckets(w) for w in words]
-            sizes = np.array([len(x) for x in hashed])
-            flat = np.array([b for x in hashed for b in x], np.int64)
-            made = np.add.reduceat(table[flat], np.append(0, np.cumsum(sizes)[:-1]), axis=0) / sizes[:, None].astype(np.float32) if words else known[0][:0]
+            made = np.zeros((len(words), len(langs)), np.float32)
+            sizes = np.zeros((len(words), 1), np.float32)
+            for bucket, of in letter_groups(words) if words else ():
+                # every word has a group of one to three letters, as its borders count; longer groups are not in all
+                starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+                if len(starts):
+                    made[of[starts]] += np.add.reduceat(table[bucket], starts, axis=0)
+                    sizes[of[starts], 0] += np.diff(np.append(starts, len(of)))
+            made /= np.maximum(sizes, 1)
             allowed = met[[script(w) for w in words]] if words else np.zeros((0, len(langs)), bool)
             made = np.where(allowed | ~allowed.any(axis=1, keepdims=True), made, np.float32(-30))
             for i, w in enumerate(words):
