@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import by_step, held_out, read
 
-SAMPLE = 3000
+SAMPLE = 2000
 BUCKETS = 1 << 18
 BEGINNINGS = (4, 5, 6)
 #: Standard deviations by which a bucket must be more frequent in toxic documents than expected to be a feature.
@@ -58,18 +58,18 @@ def fit(samples: list[tuple[int, list[np.ndarray]]], rounds: int = 120, rate: fl
     if not samples or len({y for y, _ in samples}) < 2:
         weights[0] = 0.0 if samples and samples[0][0] else -20.0
         return weights
-    sets = [np.unique(s) for _, doc in samples for s in doc]
-    sizes = np.array([len(s) for s in sets])
-    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    doc_of = np.repeat(np.arange(len(samples)), [len(d) for _, d in samples])
     y = np.array([y for y, _ in samples], float)
     # only buckets that toxic documents hold more often than chance would have it can carry weight
-    held = np.unique(doc_of[of] * BUCKETS + flat)
-    bad, all_ = np.bincount(held[y[held // BUCKETS] > 0] % BUCKETS, minlength=BUCKETS), np.bincount(held % BUCKETS, minlength=BUCKETS)
+    bad, all_ = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for toxic, doc in samples:
+        held = np.unique(np.concatenate(doc))
+        all_[held] += 1
+        bad[held] += toxic
     expected = all_ * y.mean()
     usable = (bad - expected) / np.sqrt(expected + 0.5) > SURPRISE
-    keep = usable[flat]
-    flat, of = flat[keep], of[keep]
+    sets = [s[usable[s]] for _, doc in samples for s in doc]
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    doc_of = np.repeat(np.arange(len(samples)), [len(d) for _, d in samples])
     share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
     memory = np.full(BUCKETS, 1e-8)
     for _ in range(rounds):
@@ -102,12 +102,12 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             y, bags = [], []
             for label_, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 y.append(label_)
-                parts = [np.array([b for w in s for b in features(w)], "<i4") for s in sentences(t or "")]
+                parts = [np.unique(np.array([b for w in s for b in features(w)], "<i4")) for s in sentences(t or "")]
                 bags.append([p.tobytes() for p in parts])
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(bags, pa.list_(pa.binary()))], names=["y", "bags"])
 
     rows = picked.mapInArrow(extract, "y int, bags array<binary>").collect()
-    rows = sorted((r.y, [bytes(b) for b in r.bags]) for r in rows)
+    rows = sorted(((r.y, [bytes(b) for b in r.bags]) for r in rows), key=lambda r: (r[0], len(r[1]), r[1][:1]))
     return fit([(y, [np.frombuffer(b, "<i4") for b in bags]) for y, bags in rows if bags])
 
 
