@@ -180,7 +180,8 @@ def nearest(df: DataFrame, id_: str = "vec_id", vector: str = "embedding", every
             keys = scheme.keys(scheme.cells(unit)[0])
             row = np.repeat(np.arange(len(unit)), keys.shape[1])
             asked = np.flatnonzero(batch.column(3).to_numpy(zero_copy_only=False))
-            visits = scheme.visits(unit[asked]).reshape(len(asked), -1)
+            visits = scheme.visits(unit[asked])
+            visits = visits.reshape(len(asked), visits.shape[1] * visits.shape[2])
             row = np.append(row, np.repeat(asked, visits.shape[1]))
             bucket = np.append(keys.ravel(), visits.ravel())
             asks = np.arange(len(row)) >= keys.size
@@ -188,7 +189,7 @@ def nearest(df: DataFrame, id_: str = "vec_id", vector: str = "embedding", every
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(asks), *taken.columns[:3]], names=["bucket", "asks", "key", "raw", "ids"])
 
     index = found.mapInArrow(placed, "bucket long, asks boolean, key string, raw binary, ids array<long>")
-    top = merged(searched(index, dim, k, number), k)
+    top = cut(merged(searched(index, dim, k, number), k))
     # too few found: all rows, in blocks
     want = min(k, total - 1)
     lacking = found.where("asked").join(top.where(F.size("best") >= want).select("key"), "key", "left_anti").where(F.size("ids") <= want)
