@@ -1,0 +1 @@
+"""Registered queries over the driver's tables, with the SQL that must agree."""
