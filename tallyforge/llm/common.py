@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
+__all__ = ["STEP_CHARS", "by_step", "cut", "held_out", "read", "shared_folder", "ship", "steps", "written"]
+
 #: Characters of text that one numpy step holds at a time.
 STEP_CHARS = 6_000_000
 
@@ -39,6 +46,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: smaller than a checkpoint, and of known size to the planner. The tables go when
+    the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(removed, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended, and its scratch folder with it
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def steps(lengths: list[int], most: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows that hold about ``most`` characters together."""
     start, total = 0, 0
@@ -64,17 +87,3 @@ def by_step(texts: str, work: Callable[[list[str], pa.RecordBatch], dict[str, li
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in made.values()], names=list(made))
 
     return run
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark context, so that workers can import it wherever they start."""
-    import shutil
-    from pathlib import Path
-
-    sc = spark.sparkContext
-    if getattr(sc, "_tallyforge_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='package-')}/{package.name}", "zip", package.parent, package.name)
-    sc.addPyFile(made)
-    sc._tallyforge_shipped = True

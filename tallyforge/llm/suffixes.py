@@ -15,6 +15,7 @@ with equal ids are versions of one document, whose passages are taken together.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_step, cut, read
+from .common import by_step, cut, read, written
 
 LEAST = 50
 GROUP = 16
@@ -115,30 +116,45 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def shared_groups(retained: DataFrame) -> DataFrame:
-    """``grp``: the suffix beginnings that stand in several documents, found among sorted neighbours."""
+    """``grp, id``: the retained suffixes whose beginning another document has too, found among sorted neighbours."""
     ordered = retained.repartitionByRange("grp", "id").sortWithinPartitions("grp", "id")
 
     def neighbours(batches):
-        last = one = None
+        # a run of equal beginnings is decided where it ends; the first and last of a partition may go on in others
+        run, first = None, None
+
+        def out(grp, id_, edge):
+            return pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(id_, pa.int64()), pa.array(edge, pa.bool_())], names=["grp", "id", "edge"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             grp, id_ = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if last is None:
-                one = (grp[0], id_[0])
+            first = grp[0] if first is None else first
+            if run is not None:
+                grp, id_ = np.append(run[0], grp), np.append(run[1], id_)
+            head = np.append(True, grp[1:] != grp[:-1])
+            several = np.logical_or.reduceat(np.append(False, (id_[1:] != id_[:-1]) & ~head[1:]), np.flatnonzero(head))[np.cumsum(head) - 1]
+            edge = (grp == first) | (grp == grp[-1])
+            yield out(grp[several & ~edge], id_[several & ~edge], np.zeros(int((several & ~edge).sum()), bool))
+            open_ = np.flatnonzero(edge)
+            begun = open_[(grp[open_] == first) & (grp[open_] != grp[-1])]
+            yield out(grp[begun], id_[begun], np.ones(len(begun), bool))
+            last = np.flatnonzero(grp == grp[-1])
+            if grp[-1] == first:
+                # still the first run: all is an edge, nothing need be kept
+                yield out(grp[last], id_[last], np.ones(len(last), bool))
+                run = None
             else:
-                grp, id_ = np.append(last[0], grp), np.append(last[1], id_)
-            at = np.flatnonzero((grp[1:] == grp[:-1]) & (id_[1:] != id_[:-1]))
-            at = at[np.append(True, grp[at][1:] != grp[at][:-1])[: len(at)]]
-            yield pa.RecordBatch.from_arrays([pa.array(grp[at]), pa.array(id_[at]), pa.array(id_[at + 1])], names=["grp", "low", "high"])
-            last = (grp[-1], id_[-1])
-        if last is not None:
-            # neighbours may lie across a border between partitions
-            edge = np.array([one, last])
-            yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1]), pa.array(edge[:, 1])], names=["grp", "low", "high"])
+                # one row of each document stands for the run, in the next batch
+                run = (grp[last], id_[last])
+        if run is not None:
+            yield out(*run, np.ones(len(run[0]), bool))
 
-    met = ordered.mapInArrow(neighbours, "grp long, low long, high long")
-    return met.groupBy("grp").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("grp")
+    met = cut(ordered.mapInArrow(neighbours, "grp long, id long, edge boolean"))
+    edges = met.where("edge").select("grp", "id")
+    shared = edges.groupBy("grp").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("grp")
+    return met.where("not edge").select("grp", "id").unionByName(edges.join(shared, "grp"))
 
 
 def windows(docs: DataFrame) -> DataFrame:
@@ -198,27 +214,26 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.col("id").isNotNull())
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # equal texts: the smallest id stands for them
-    hashed = cut(docs.select("id", F.sha2("text", 256).alias("same")))
-    classes = hashed.groupBy("same").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
-    copies = cut(hashed.join(classes, "same").select("id", "least").distinct())
-    retained = cut(anchors(docs))
-    shared = shared_groups(retained)
-    of_doc = retained.join(shared, "grp").groupBy("id").agg(F.collect_set("grp").alias("grps"))
+    hashed = cut(docs.mapInArrow(by_step("text", extents), "id long, same string, start int, end int, n_words int"))
+    classes = hashed.groupBy("same").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("same", "least")
+    copies = cut(hashed.join(classes, "same").drop("same").distinct())
+    retained = written(anchors(docs))
+    of_doc = shared_groups(retained).groupBy("id").agg(F.collect_set("grp").alias("grps"))
     extra = copies.where("id <> least").select("id")
-    around = cut(windows(docs.join(of_doc.join(extra, "id", "left_anti"), "id")))
-    ends = around.groupBy("win").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("win", "low")
-    found = joined(around.join(ends, "win").select("id", "word", "start", "end", F.col("low").alias("first_id")), parts)
-    # copies are repeated in full, if they are long enough
-    full = docs.join(copies, "id").select("id", "text", "least").mapInArrow(by_step("text", extent), "id long, start int, end int, n_words int, first_id long").distinct()
-    rest = found.join(copies.select("id"), "id", "left_anti")
-    return rest.unionByName(full).withColumnRenamed("id", doc_id)
-
-
-def extent(texts, part):
-    """The stretch from first to last word of each text that has LEAST words."""
-    found = [(k, spans[0][0], spans[-1][1], len(spans)) for k, t in enumerate(texts) if len(spans := [m.span() for m in WORD.finditer(t)]) >= LEAST]
-    row = pa.array([f[0] for f in found], pa.int64())
-    return {"id": part.column(0).take(row)} | {c: pa.array([f[i] for f in found], pa.int32()) for i, c in enumerate(("start", "end", "n_words"), 1)} | {"first_id": part.column(2).take(row)}
+    around = written(windows(docs.join(of_doc.join(extra, "id", "left_anti"), "id")))
+    ends = around.groupBy("win").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("win", F.col("low").alias("first_id"))
+    # copies are repeated in full, if they are long enough; the windows of those that stand for them have done their work
+    rest = around.join(copies.select("id").distinct(), "id", "left_anti").join(ends, "win").select("id", "word", "start", "end", "first_id")
+    full = copies.where(F.col("n_words") >= LEAST).select("id", "start", "end", "n_words", F.col("least").alias("first_id"))
+    return joined(rest, parts).unionByName(full).withColumnRenamed("id", doc_id)
+
+
+def extents(texts, part):
+    """A digest of each text, where its words begin and end, and their number."""
+    same = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
+    start = [len(t) - len(t.lstrip()) for t in texts]
+    place = {"start": start, "end": [max(a, len(t.rstrip())) for a, t in zip(start, texts, strict=True)], "n_words": [len(t.split()) for t in texts]}
+    return {"id": part.column(0), "same": pa.array(same, pa.string())} | {c: pa.array(v, pa.int32()) for c, v in place.items()}
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
