@@ -109,6 +109,8 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float) -> np.ndarra
     most = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(most), "left")  # texts with more than t words
     n, k = scores.shape
+    if not n:
+        return np.zeros(0, np.int16)
     best = np.zeros((len(order), k), np.float32)
     stay, back = np.zeros((n, k), bool), np.zeros(n, np.int16)
     for t in range(most):
