@@ -35,7 +35,7 @@ UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]
 UNICODE_ONE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}")
 BASE64_PART = re.compile(r"[A-Za-z0-9]{12,}={0,2}")
-#: Bytes that one compressed layer may inflate to; a larger one is left closed, as it is a bomb and no text.
+#: Bytes that the nested compressed layers of one run may inflate to together; more are left closed, as they are a bomb and no text.
 INFLATED = 64 << 20
 
 
@@ -125,22 +125,26 @@ def unicode_chars(run: str) -> list[tuple[str, int]] | None:
     return None if high else chars
 
 
-def inflated(raw: bytes) -> bytes | None:
-    """The content of a zlib or gzip stream, None for any other bytes."""
+def inflated(raw: bytes, most: int = INFLATED) -> bytes | None:
+    """The content of a zlib or gzip stream, None for any other bytes and for content over ``most``."""
     if raw[:2] != b"\x1f\x8b" and not (raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] << 8 | raw[1]) % 31 == 0):
         return None
     try:
         engine = zlib.decompressobj(47)
-        out = engine.decompress(raw, INFLATED)
-        return None if engine.unconsumed_tail else out
+        out = engine.decompress(raw, most + 1)
+        return None if len(out) > most else out
     except zlib.error:
         return None
 
 
 def as_text(raw: bytes) -> str | None:
     """UTF-8 text without control characters, or None."""
-    while (content := inflated(raw)) is not None:
-        raw = content
+    left, seen = INFLATED, {raw}
+    while left and (content := inflated(raw, left)) is not None:
+        if content in seen:  # a stream that holds itself
+            return None
+        raw, left = content, left - len(content)
+        seen.add(raw)
     try:
         text = raw.decode()
     except UnicodeDecodeError:
