@@ -5,7 +5,8 @@ for a language is the mean log-probability of its hashed letter groups. Viterbi
 gives labelled spans, so mixed texts are told apart; the label that covers most letters is the text's language.
 
 The letter groups' counts are learned on Spark from a bounded sample of labelled texts; at most ``sample`` texts of each
-language are expected in it, chosen by a hash of text and id.
+language are expected in it, chosen by a hash of the text, and copies of a text in one language count once, so that no group of
+copies can swell it.
 
 Null texts, and texts without a letter, have language ``und``, score 0 and no spans. Labels that are null are not learned from.
 Columns of the result's names are replaced. Without any labelled text every result is ``und``.
@@ -73,7 +74,8 @@ def learn(labelled: DataFrame, text: str, lang: str, sample: int = SAMPLE):
         return [], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(NAMES), 0), bool)
     rate = F.coalesce(*[F.when(F.col(lang) == r.lang_, F.lit(r.rate)) for r in rates])
     chance = F.shiftrightunsigned(F.xxhash64(text), 11) / F.lit(float(1 << 53))
-    chosen = known.where(chance < rate).select(F.col(text).alias("text_"), F.col(lang).alias("lang_"))
+    chosen = known.where(chance < rate).select(F.col(text).alias("text_"), F.col(lang).alias("lang_"), F.xxhash64(text).alias("same_"))
+    chosen = chosen.dropDuplicates(["same_", "lang_"]).select("text_", "lang_")
 
     def count(batches):
         number = {x: i for i, x in enumerate(langs)}
