@@ -5,7 +5,7 @@ A sentence's probability is logistic in its hashed words and word beginnings; a
 scores show where a document offends.
 
 Training takes a bounded sample of labelled documents: at most ``sample`` of each label are expected, chosen by a hash of the
-id. Their hashed features, four bytes each, are what the driver fits the weights from; all weights together are of a fixed size.
+id, with one text for each id. Their hashed features, four bytes each, are what the driver fits the weights from; all weights together are of a fixed size.
 
 Null and empty texts have no sentence and score the prior of such texts, 0. Repeated rows score alike. Labels without a document, null
 labels and further labels of one id are left out (of several, the largest counts). Columns of the result's names are replaced.
@@ -95,7 +95,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     rate = F.coalesce(*[F.when(F.col("y") == y, F.lit(r)) for y, r in rates.items()])
     chosen = known.where(F.shiftrightunsigned(F.xxhash64("id_"), 11) / F.lit(float(1 << 53)) < rate)
     # the sample's size is bounded, whatever the tables' sizes
-    picked = docs.select(F.col(doc_id).alias("id_"), F.col(text).alias("text_")).join(F.broadcast(chosen), "id_").select("y", "text_")
+    picked = docs.select(F.col(doc_id).alias("id_"), F.col(text).alias("text_")).join(F.broadcast(chosen), "id_")
+    picked = picked.groupBy("id_").agg(F.max("y").alias("y"), F.min_by("text_", F.xxhash64("text_")).alias("text_")).select("y", "text_")
 
     def extract(batches):
         for batch in batches:
