@@ -1,8 +1,9 @@
 """SimHash near-duplicates through sharded BK-trees.
 
-A text's fingerprint takes, bit by bit, the majority of the XXH64 hashes of its word shingles. Fingerprints within ``radius``
-bits agree wholly in one of ``radius + 1`` blocks, so the distinct fingerprints that share a block's value make a shard, and
-every pair in reach meets in a shard. A shard is indexed as a BK-tree: each child hangs on its parent by the integer Hamming
+A text's fingerprint takes, bit by bit, the majority of the XXH64 hashes of its word shingles. Cut into k blocks, fingerprints
+within ``radius`` bits agree wholly in some ``k - radius`` of them, so the distinct fingerprints that share the values of such a
+choice of blocks make a shard, and every pair in reach meets in a shard. k is ``radius + 1`` for as long as shards are small and
+grows with the number of fingerprints: more choices, but of more bits each, so that shards stay small at any size. A shard is indexed as a BK-tree: each child hangs on its parent by the integer Hamming
 distance between them, and a search at distance d from a node follows only the edges from d - radius to d + radius. A shard
 with many fingerprints is sent to several tasks, which share its searches. Each task returns only the links that its trees'
 components need, at most one less than their members; Spark joins these up.
@@ -16,6 +17,7 @@ the result's names are replaced. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ from .components import components
 RADIUS = 3
 #: Members from which a shard's searches are shared by several tasks, and searches that one task then has of it.
 SHARED = 1024
+#: Blocks over ``radius`` that fingerprints are cut into at most; 3 over a radius of 3 are 20 choices of 32 bits.
+MOST_OVER = 3
 #: (search, node) pairs that one numpy step holds.
 FRONTIER = 1_000_000
 #: The words of a text, once its A-Z are lower case.
@@ -142,10 +146,23 @@ def shard_links(rows: tuple[np.ndarray, np.ndarray, np.ndarray], radius: int) ->
     return fps[tied], fps[union.up[tied]]
 
 
-def link_table(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+def choices(over: int, radius: int) -> list[int]:
+    """Masks of every ``over`` blocks out of ``over + radius``, the blocks of 64 bits as even as can be."""
+    cuts = [64 * k // (over + radius) for k in range(over + radius + 1)]
+    blocks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
+    return [sum(some) for some in combinations(blocks, over)]
+
+
+def blocks_over(fingerprints: int, radius: int) -> int:
+    """The fewest blocks over ``radius`` for which a shard is expected to need one task."""
+    return next((k for k in range(1, MOST_OVER) if fingerprints >> (64 * k // (k + radius)) < SHARED), MOST_OVER)
+
+
+def link_table(distinct: DataFrame, radius: int = RADIUS, over: int | None = None) -> DataFrame:
     """``a, b``: links between the distinct fingerprints ``fp`` of one column, enough for their components."""
-    cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
-    blocks = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(F.shiftleft("fp", 64 - b), 64 - b + a).alias("value")) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))])
+    masks = choices(over or blocks_over(distinct.count(), radius), radius)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    blocks = F.array(*[F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("value")) for k, m in enumerate(signed)])
     members = distinct.select("fp", F.explode(blocks).alias("at")).select("fp", F.col("at.block").alias("block"), F.col("at.value").alias("value"))
     sizes = members.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     # every task of a shared shard has the whole tree and the searches whose salt is its own

@@ -159,6 +159,18 @@ def test_nested_layers_map_back_to_their_span(outer, inner):
     assert {*base} <= {*spans}
 
 
+def test_a_stream_that_holds_itself_ends(monkeypatch):
+    monkeypatch.setattr(secrets, "inflated", lambda raw, most: b"round" if raw == b"and" else b"and" if raw == b"round" else None)
+    assert secrets.as_text(b"round") is None and secrets.as_text(b"plain") == "plain"
+
+
+def test_bombs_stay_closed(monkeypatch):
+    monkeypatch.setattr(secrets, "INFLATED", 1000)
+    assert secrets.as_text(zlib.compress(b"a" * 1000)) == "a" * 1000
+    assert secrets.as_text(zlib.compress(b"a" * 1001)) is None
+    assert secrets.as_text(zlib.compress(zlib.compress(b"b" * 990))) is None
+
+
 def test_decoding_ends_and_redaction_covers(spark):
     assert secrets.scan("%25" * 200 + "41")[1] == []
     texts = [(1, "see password=abcdefghij now"), (2, None), (3, "")]
@@ -215,11 +227,18 @@ def test_trees_find_every_pair_in_dense_shards(monkeypatch):
     assert found == {(int(i), int(j)) for i, j in zip(*np.nonzero(near), strict=True)}
 
 
-def test_shared_shards_lose_no_link(spark, monkeypatch):
+def test_more_blocks_for_more_fingerprints():
+    assert [simhash.blocks_over(10**n, 3) for n in (0, 6, 7, 9, 12)] == [1, 1, 1, 2, 3]
+    assert [len(simhash.choices(k, 3)) for k in (1, 2, 3)] == [4, 10, 20]
+    assert all(min(m.bit_count() for m in simhash.choices(k, 3)) >= 64 * k // (k + 3) - k for k in (1, 2, 3))
+
+
+@pytest.mark.parametrize("over", [1, 2, 3])
+def test_shared_shards_lose_no_link(spark, monkeypatch, over):
     monkeypatch.setattr(simhash, "SHARED", 8)
     rng = np.random.default_rng(2)
     fps = np.unique(np.uint64(77) ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (200, 3), dtype=np.uint64), axis=1)).astype(np.int64)
-    links = simhash.link_table(spark.createDataFrame([(int(f),) for f in fps], "fp long")).collect()
+    links = simhash.link_table(spark.createDataFrame([(int(f),) for f in fps], "fp long"), over=over).collect()
     union = {int(f): int(f) for f in fps}
 
     def root(x):
@@ -272,6 +291,8 @@ def test_language_spans_of_mixed_text(spark, table, empty):
     odd = {r["doc_id"]: r for r in rows(language.identify(table, model))}
     assert len(odd) and all(odd[i]["lang_pred"] == "und" and odd[i]["score"] == 0 for i in (400, 401, 402, 407))
     assert odd[406]["lang_pred"] in ("en", "fr")
+    swollen = language.learn(df.unionByName(df.where("doc_id = 0").crossJoin(spark.range(50)).select(df.columns)), "text", "lang")
+    assert all((a == b).all() if isinstance(a, np.ndarray) else a == b for a, b in zip(model, swollen, strict=True))
     none = language.learn(df.where("false"), "text", "lang")
     assert {r["lang_pred"] for r in rows(language.identify(table, none))} == {"und"}
     assert rows(language.identify(empty, model)) == []
