@@ -7,9 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline", reason="the driver may have taken it out")
-
-from tallyforge.llm.simhash import fingerprint  # noqa: E402
+import corpus_pipeline
+from tallyforge.llm.simhash import fingerprint
 
 WORDS = "amber basil cedar delta ember fable grove harbor island jungle kernel lemon meadow nectar olive pepper quartz river saffron tulip".split()
 
