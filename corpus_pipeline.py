@@ -3,7 +3,8 @@
 Stages take (spark, docs, sf_dir) and return a DataFrame: documents with their columns, and at last the pieces of packed sequences.
 
 toxicity      documents whose noisy-or score reaches the threshold go; learned from ``labels``
-near_copies   of each group of near-copies the document with the smallest id stays; repeated rows count as copies
+near_copies   of each group of near-copies (five-word shingles, Jaccard similarity 0.8 or more) the document with the smallest id
+              stays; repeated rows count as copies
 secrets       spans that hold a secret, encoded ones too, are replaced by a mark; n_chars follows
 mixture       an over-represented source gives up documents until the target weights are met, in one epoch
 packing       documents become pieces of sequences of 2048 tokens
@@ -19,7 +20,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import mixing, packing, secrets, simhash, toxicity
+from tallyforge.llm import copies, mixing, packing, secrets, toxicity
 from tallyforge.llm.common import cut, read, shared_folder, ship
 from tallyforge.llm.queries import tokenizer
 
@@ -46,12 +47,13 @@ def reject_toxic(spark, docs, sf_dir):
 
 @stage
 def one_of_near_copies(spark, docs, sf_dir):
-    groups = cut(simhash.near_duplicates(docs.select("doc_id", "text")))
-    spare = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(spare, "doc_id", "left_anti").select(docs.columns)
-    if groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return kept
-    return kept.withColumn("same_", F.xxhash64("text")).dropDuplicates(["doc_id", "same_"]).drop("same_")
+    names = [f"{c}_" if c in ("key", "copy_id", "copy_key") else c for c in docs.columns]
+    stay = cut(copies.near_copies(docs.select("doc_id", "text")))
+    kept = copies.same_rows(docs.toDF(*names).withColumn("key", copies.key()), stay)
+    # a row may stand several times
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return kept.select(*names).toDF(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "key"]).select(*names).toDF(*docs.columns)
 
 
 @stage

@@ -62,3 +62,48 @@ def test_run_and_empty_tables(spark, corpus, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_of_edited_texts(spark):
+    """Words replaced up to a similarity of 0.8: the links of all pairs by brute force; rows of one id with other texts stay."""
+    rng = random.Random(7)
+    word = lambda: rng.choice(WORDS) + rng.choice(WORDS)
+    rows = []
+    for i in range(60):
+        words = [word() for _ in range(100 if i % 2 else 300)]
+        rows.append((i, " ".join(words)))
+        for k in range(i % 5 + 1 if i % 2 else i % 8 + 1):
+            words[rng.randrange(len(words))] = word()
+        rows.append((1000 + i, " ".join(words)))
+    # a chain, and a group whose members differ from each other at the same place
+    frame = [word() for _ in range(120)]
+    rows += [(2000 + i, " ".join([*frame[:60], f"own{i}", *frame[60:]])) for i in range(40)]
+    chain = [word() for _ in range(100)]
+    for i in range(8):
+        chain[i * 12 + 2] = f"link{i}"
+        rows.append((3000 + i, " ".join(chain)))
+    rows += [(5, "a text of its own that shares its id with another row"), (4000, "a  Text of its own"), (4001, "A text of its own"), (None, "no id"), (None, "no id")]
+
+    def shingles(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    sets, up = [shingles(t) for _, t in rows], list(range(len(rows)))
+    find = lambda k: k if up[k] == k else find(up[k])
+    n = 0
+    for i in range(len(rows)):
+        for k in range(i):
+            if 5 * len(sets[i] & sets[k]) >= 4 * len(sets[i] | sets[k]):
+                n += 1
+                up[find(i)] = find(k)
+    met, want = set(), []
+    for k in order:
+        if find(k) not in met:
+            met.add(find(k))
+            want.append((rows[k][0] or -1, rows[k][1].lower().split()))
+    assert n > 800
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("kept")).repartition(5)
+    got = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, "").collect()
+    assert {r.key for r in got} == {"kept"}
+    assert sorted((r.doc_id or -1, r.text.lower().split()) for r in got) == sorted(want)
