@@ -4,8 +4,8 @@ A sentence's probability is logistic in its hashed words and word beginnings; a
 1 - prod(1 - p). Only document labels are known, so the noisy-or's likelihood is what training maximises; afterwards the sentence
 scores show where a document offends.
 
-Training takes a bounded sample of labelled documents: at most ``sample`` of each label are expected, chosen by a hash of the
-id, with one text for each id. Their hashed features, four bytes each, are what the driver fits the weights from; all weights together are of a fixed size.
+Training takes a bounded sample of labelled texts: copies of a text under one label are one, and at most ``sample`` of these of each label are
+expected, chosen by a hash of the text. Their hashed features, four bytes each, are what the driver fits the weights from; all weights together are of a fixed size.
 
 Null and empty texts have no sentence and score the prior of such texts, 0. Repeated rows score alike. Labels without a document, null
 labels and further labels of one id are left out (of several, the largest counts). Columns of the result's names are replaced.
@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_step, held_out, read
+from .common import by_step, cut, held_out, read
 
 SAMPLE = 2000
 BUCKETS = 1 << 18
 BEGINNINGS = (4, 5, 6)
-#: Standard deviations by which a bucket must be more frequent in toxic documents than expected to be a feature.
-SURPRISE = 5.0
+#: Buckets, of all that a sample holds, that may at most be expected to become features by chance.
+BY_CHANCE = 0.05
 THRESHOLD = 0.7
 REMEMBERED = 300_000
 #: Words, and the marks that end a sentence.
@@ -51,6 +51,16 @@ def sentences(text: str) -> list[list[str]]:
     return [s for s in out if s]
 
 
+def telling(bad: np.ndarray, all_: np.ndarray, share: float) -> np.ndarray:
+    """Whether a bucket in ``all_`` documents stands in more toxic ones (``bad``) than chance would have it. Chernoff's bound of that chance
+    holds for samples of any size."""
+    n = np.maximum(all_, 1)
+    part = bad / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gap = np.where(bad > 0, part * np.log(part / share), 0.0) + np.where(bad < all_, (1 - part) * np.log((1 - part) / (1 - share)), 0.0)
+    return (part > share) & (all_ * gap > np.log(max(np.count_nonzero(all_), 1) / BY_CHANCE))
+
+
 def fit(samples: list[tuple[int, list[np.ndarray]]], rounds: int = 120, rate: float = 0.3, decay: float = 2e-5) -> np.ndarray:
     """Weights that maximise the noisy-or likelihood, by AdaGrad over the whole sample."""
     weights = np.zeros(BUCKETS)
@@ -65,8 +75,7 @@ def fit(samples: list[tuple[int, list[np.ndarray]]], rounds: int = 120, rate: fl
         held = np.unique(np.concatenate(doc))
         all_[held] += 1
         bad[held] += toxic
-    expected = all_ * y.mean()
-    usable = (bad - expected) / np.sqrt(expected + 0.5) > SURPRISE
+    usable = telling(bad, all_, y.mean())
     sets = [s[usable[s]] for _, doc in samples for s in doc]
     flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     doc_of = np.repeat(np.arange(len(samples)), [len(d) for _, d in samples])
@@ -89,14 +98,17 @@ def fit(samples: list[tuple[int, list[np.ndarray]]], rounds: int = 120, rate: fl
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> np.ndarray:
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id_")).agg(F.max(label).cast("int").alias("y"))
-    rates = {r.y: min(1.0, sample / r.n) for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    named = docs.select(F.col(doc_id).alias("id_"), F.xxhash64(text).alias("hash_"))
+    # a text under a label is one, however many rows and ids hold it
+    texts = cut(named.join(known, "id_").groupBy("hash_", "y").agg(F.min("id_").alias("id_")))
+    rates = {r.y: min(1.0, sample / r.n) for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not rates:
         return fit([])
     rate = F.coalesce(*[F.when(F.col("y") == y, F.lit(r)) for y, r in rates.items()])
-    chosen = known.where(F.shiftrightunsigned(F.xxhash64("id_"), 11) / F.lit(float(1 << 53)) < rate)
+    chosen = texts.where(F.shiftrightunsigned(F.xxhash64("hash_"), 11) / F.lit(float(1 << 53)) < rate)
     # the sample's size is bounded, whatever the tables' sizes
-    picked = docs.select(F.col(doc_id).alias("id_"), F.col(text).alias("text_")).join(F.broadcast(chosen), "id_")
-    picked = picked.groupBy("id_").agg(F.max("y").alias("y"), F.min_by("text_", F.xxhash64("text_")).alias("text_")).select("y", "text_")
+    held = docs.select(F.col(doc_id).alias("id_"), F.xxhash64(text).alias("hash_"), F.col(text).alias("text_"))
+    picked = held.join(F.broadcast(chosen), ["id_", "hash_"]).groupBy("hash_", "y").agg(F.min("text_").alias("text_")).select("y", "text_")
 
     def extract(batches):
         for batch in batches:

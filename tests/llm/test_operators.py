@@ -488,3 +488,20 @@ def test_few_vectors_are_searched_exactly(spark):
     assert sorted(got) == [(0, 1, 50), (0, 2, 1), (0, 3, 2), (50, 1, 0), (50, 2, 1), (50, 3, 2)]
     assert rows(neighbours.nearest(df.where("false"))) == []
     assert rows(neighbours.nearest(df.where("vec_id = 0"))) == []
+
+
+def test_toxic_words_are_learned_beside_many_copies(spark):
+    """A third of all rows are copies of one toxic text; the other toxic texts are few, and so is the sample."""
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice("amber basil cedar delta ember fable grove harbor island jungle".split()) for _ in range(12))
+    rows = [(i, "copied words all over", 1) for i in range(1000)]
+    rows += [(1000 + i, f"{text()}. {text()} vileword" if i % 33 == 0 else f"{text()}. {text()}", int(i % 33 == 0)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    weights = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"), sample=60)
+    found = toxicity.scored(spark.createDataFrame([(1, "amber vileword basil"), (2, "amber basil cedar")], "doc_id long, text string"), weights).collect()
+    assert {r.doc_id: r.predicted for r in found} == {1: 1, 2: 0}
+
+
+def test_toxic_features_of_small_samples():
+    """A word of 25 toxic documents and no clean one is a feature; one of as many of both is not."""
+    assert toxicity.telling(np.array([25, 25]), np.array([25, 50]), 0.5).tolist() == [True, False]
