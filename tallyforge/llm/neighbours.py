@@ -191,8 +191,9 @@ def nearest(df: DataFrame, id_: str = "vec_id", vector: str = "embedding", every
     index = found.mapInArrow(placed, "bucket long, asks boolean, key string, raw binary, ids array<long>")
     top = cut(merged(searched(index, dim, k, number), k))
     # too few found: all rows, in blocks
-    want = min(k, total - 1)
-    lacking = found.where("asked").join(top.where(F.size("best") >= want).select("key"), "key", "left_anti").where(F.size("ids") <= want)
+    # a query's own id is among the best, so that k others need one more; ids are kept up to as many
+    want = min(k + 1, found.agg(F.sum(F.size("ids"))).first()[0] or 0)
+    lacking = found.where("asked").join(top.where(F.size("best") >= want).select("key"), "key", "left_anti")
     lacking = cut(lacking.select("key", "raw", "ids"))
     if total > 1 and not lacking.isEmpty():
         parts = math.ceil(total / BLOCK)

@@ -505,3 +505,18 @@ def test_toxic_words_are_learned_beside_many_copies(spark):
 def test_toxic_features_of_small_samples():
     """A word of 25 toxic documents and no clean one is a feature; one of as many of both is not."""
     assert toxicity.telling(np.array([25, 25]), np.array([25, 50]), 0.5).tolist() == [True, False]
+
+
+def test_neighbours_of_isolated_queries(spark):
+    """A query whose buckets hold four others only, and a table of two distinct vectors: five neighbours each."""
+    two = [(i, [1.0, 0.0, 0.0]) for i in range(1, 11)] + [(50, [0.0, 1.0, 0.0])]
+    got = neighbours.nearest(spark.createDataFrame(two, "vec_id long, embedding array<double>")).collect()
+    assert [(r.query_id, r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(50, i) for i in range(1, 6)]
+    rng = np.random.default_rng(5)
+    main = np.eye(16)[0] + 0.25 * rng.standard_normal((400, 16))
+    few = -np.eye(16)[0] + 0.01 * rng.standard_normal((5, 16))
+    table = {1000 + 2 * i + 1: v for i, v in enumerate(main)} | {50: few[0]} | {i: few[i] for i in range(1, 5)}
+    got = neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in table.items()], "vec_id long, embedding array<double>")).collect()
+    cosine = {i: float(v @ few[0] / np.linalg.norm(v) / np.linalg.norm(few[0])) for i, v in table.items() if i != 50}
+    ids = [r.vec_id for r in sorted(got, key=lambda r: r["rank"])]
+    assert len(ids) == 5 and ids[:4] == sorted(cosine, key=lambda i: -cosine[i])[:4]
