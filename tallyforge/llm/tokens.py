@@ -1,6 +1,7 @@
 """Token counts by rank-synchronous merging of ragged numpy arrays.
 
-A text is normalised and split into pre-tokens as the vocabulary file says. Pre-tokens not met before are laid out as one
+A text is normalised and split into pre-tokens as the vocabulary file says: by patterns where all its characters have been in Unicode
+for long, else by the library's own normaliser and pre-tokeniser, as versions of Unicode differ in newer letters. Pre-tokens not met before are laid out as one
 ragged array of symbols; each round finds every sequence's lowest-ranked adjacent pair and merges all its occurrences at once,
 until no sequence has a known pair. What survives is the number of tokens.
 
@@ -10,6 +11,7 @@ Null and empty texts have 0 tokens; repeated rows are counted each; other column
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 
 import numpy as np
@@ -26,6 +28,9 @@ MERGED = 50_000
 #: Fixed value: how byte-level vocabularies split a text when the file names no pattern.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Texts of letters and marks that every version of Unicode knows alike and that no normal form changes.
+SETTLED = regex.compile("[\x00-\u024f\u2010-\u2027\u2030-\u205e]*")
+
 
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte: itself where printable, else the next free code point from 256."""
@@ -42,7 +47,8 @@ def white(pattern: str) -> str:
 class Splitter:
     """Texts to pre-tokens, as a vocabulary file describes it."""
 
-    def __init__(self, spec: dict):
+    def __init__(self, spec: dict, library=None):
+        self.library = library
         steps = spec["normalizer"] or {"type": "Sequence", "normalizers": []}
         kinds = [x["type"] for x in steps.get("normalizers", [steps])]
         self.nfc, self.lower = "NFC" in kinds, "Lowercase" in kinds
@@ -64,7 +70,10 @@ class Splitter:
         return text.replace("Σ", "σ").lower() if self.lower else text
 
     def pieces(self, text: str) -> list[str]:
-        return self.find(self.normal(text))
+        if self.library is None or text.isascii() or SETTLED.fullmatch(text):
+            return self.find(self.normal(text))
+        normal = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+        return [normal[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
 
 class RankMerger:
@@ -134,8 +143,11 @@ def count_tokens(docs: DataFrame, vocab_path: str, text: str = "text", limit: in
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_bytes long, n_tokens long, over_limit boolean"])
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
         spec = load(vocab_path)
-        splitter, merger, memory = Splitter(spec), RankMerger(spec), {}
+        splitter, merger, memory = Splitter(spec, Tokenizer.from_file(vocab_path)), RankMerger(spec), {}
 
         def work(texts, part):
             n_bytes = [len(t.encode()) for t in texts]
