@@ -11,15 +11,17 @@ from .common import cut
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` for every node of ``links``, the component being its smallest node.
 
-    Each round sends every node to its smallest neighbour (or itself) and keeps what links remain between those; all
-    rounds' steps are then followed from the first to the last. Rounds grow with the logarithm of a component's diameter.
-    Each round is an aggregation with map-side partial results and two joins whose hot keys Spark can split.
+    Each round sends every node to its smallest neighbour (or itself), follows these steps to their ends by doubling, and keeps what
+    links remain between the ends; all rounds' steps are then followed from the first to the last. An end is smaller than all its
+    neighbours, so that each round leaves half of a component's nodes at most: rounds grow with the logarithm of its size, and
+    the doublings of a round with the logarithm of its longest walk.
+    Each is an aggregation with map-side partial results or a join whose hot keys Spark can split.
     """
     edges = cut(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
     chosen: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")))
+        to = ends(cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))))
         chosen.append(to)
         left = edges.join(to.withColumnRenamed("node", "a"), "a").select(F.col("to").alias("x"), "b")
         moved = left.join(to.withColumnRenamed("node", "b"), "b").select("x", F.col("to").alias("y"))
@@ -31,3 +33,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         step = to.select(F.col("node").alias("component"), "to")
         found = found.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     return found
+
+
+def ends(to: DataFrame) -> DataFrame:
+    """Where the steps ``node, to`` lead at last; each ``to`` is a node as well, and ends lead to themselves."""
+    while True:
+        after = to.select(F.col("node").alias("to"), F.col("to").alias("then"))
+        jumped = to.join(after, "to").select("node", F.col("then").alias("to"), (F.col("then") != F.col("to")).alias("moved"))
+        if jumped.where("moved").isEmpty():
+            return to
+        to = cut(jumped.drop("moved"))

@@ -3,10 +3,11 @@
 A text's fingerprint takes, bit by bit, the majority of the XXH64 hashes of its word shingles. Cut into k blocks, fingerprints
 within ``radius`` bits agree wholly in some ``k - radius`` of them, so the distinct fingerprints that share the values of such a
 choice of blocks make a shard, and every pair in reach meets in a shard. k is ``radius + 1`` for as long as shards are small and
-grows with the number of fingerprints: more choices, but of more bits each, so that shards stay small at any size. A shard is indexed as a BK-tree: each child hangs on its parent by the integer Hamming
-distance between them, and a search at distance d from a node follows only the edges from d - radius to d + radius. A shard
-with many fingerprints is sent to several tasks, which share its searches. Each task returns only the links that its trees'
-components need, at most one less than their members; Spark joins these up.
+grows with the number of fingerprints: more choices, but of more bits each. A shard that is crowded all the same is cut by the same rule
+over the bits that its members need not share yet, and so on; as each cut leaves fewer free bits, every shard ends small, and no link is lost.
+A shard is indexed as a BK-tree: each child hangs on its parent by the integer Hamming
+distance between them, and a search at distance d from a node follows only the edges from d - radius to d + radius. Each task returns
+only the links that its trees' components need, at most one less than their members; Spark joins these up.
 
 The trees travel with the shuffle that brings a shard together, not as one broadcast of all trees: those grow with the corpus.
 
@@ -29,8 +30,8 @@ from .common import by_step, cut, read
 from .components import components
 
 RADIUS = 3
-#: Members from which a shard's searches are shared by several tasks, and searches that one task then has of it.
-SHARED = 1024
+#: Members over which a shard is cut into finer ones.
+CROWDED = 1024
 #: Blocks over ``radius`` that fingerprints are cut into at most; 3 over a radius of 3 are 20 choices of 32 bits.
 MOST_OVER = 3
 #: (search, node) pairs that one numpy step holds.
@@ -133,13 +134,11 @@ class Union:
                     self.up = self.up[self.up]
 
 
-def shard_links(rows: tuple[np.ndarray, np.ndarray, np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join up the members of whole shards: (shard, fp, whether this task searches for it)."""
-    shard, fps, asked = rows
+def shard_links(shard: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join up the members ``fps`` of whole shards."""
     forest, union = Forest(shard, fps), Union(len(fps))
-    asked = np.flatnonzero(asked)
-    for i in range(0, len(asked), FRONTIER):
-        for q, node in forest.search(asked[i : i + FRONTIER], radius):
+    for i in range(0, len(fps), FRONTIER):
+        for q, node in forest.search(np.arange(i, min(i + FRONTIER, len(fps))), radius):
             other = q != node
             union.add(q[other], node[other])
     tied = np.flatnonzero(union.up != np.arange(len(fps)))
@@ -154,30 +153,61 @@ def choices(over: int, radius: int) -> list[int]:
 
 
 def blocks_over(fingerprints: int, radius: int) -> int:
-    """The fewest blocks over ``radius`` for which a shard is expected to need one task."""
-    return next((k for k in range(1, MOST_OVER) if fingerprints >> (64 * k // (k + radius)) < SHARED), MOST_OVER)
+    """The fewest blocks over ``radius`` for which a shard is expected to be no crowd."""
+    return next((k for k in range(1, MOST_OVER) if fingerprints >> (64 * k // (k + radius)) < CROWDED), MOST_OVER)
+
+
+def finer(mask: int, radius: int) -> list[int]:
+    """Masks that add a part of the free bits to ``mask`` each: of those that agree in ``mask`` and within ``radius``, any two agree in one."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    cuts = [len(free) * k // (radius + 1) for k in range(radius + 2)]
+    return [mask | sum(1 << b for b in free[x:y]) for x, y in zip(cuts, cuts[1:])]
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def recut(members: DataFrame, radius: int) -> DataFrame:
+    """``fp, mask, value`` of crowded shards' members, in finer shards."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp, mask = (batch.column(k).to_numpy() for k in range(2))
+            kinds, which = np.unique(mask, return_inverse=True)
+            new = np.array([[signed(m) for m in finer(int(k) % (1 << 64), radius)] for k in kinds.tolist()], np.int64)[which]
+            fp = np.repeat(fp, radius + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(new.ravel()), pa.array(fp & new.ravel())], names=["fp", "mask", "value"])
+
+    return members.select("fp", "mask").mapInArrow(run, "fp long, mask long, value long")
 
 
 def link_table(distinct: DataFrame, radius: int = RADIUS, over: int | None = None) -> DataFrame:
     """``a, b``: links between the distinct fingerprints ``fp`` of one column, enough for their components."""
     masks = choices(over or blocks_over(distinct.count(), radius), radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    blocks = F.array(*[F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("value")) for k, m in enumerate(signed)])
-    members = distinct.select("fp", F.explode(blocks).alias("at")).select("fp", F.col("at.block").alias("block"), F.col("at.value").alias("value"))
-    sizes = members.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    # every task of a shared shard has the whole tree and the searches whose salt is its own
-    tasks = F.ceil(F.col("n") / SHARED).cast("int")
-    dealt = members.join(sizes, ["block", "value"]).withColumn("task", F.explode(F.sequence(F.lit(0), tasks - 1)))
-    dealt = dealt.select(F.xxhash64("block", "value", "task").alias("shard"), "fp", (F.pmod(F.xxhash64("fp"), tasks) == F.col("task")).alias("asked"))
+    blocks = F.array(*[F.struct(F.lit(signed(m)).cast("long").alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("value")) for m in masks])
+    members = distinct.select("fp", F.explode(blocks).alias("at")).select("fp", "at.mask", "at.value")
+    dealt = None
+    while True:
+        sizes = cut(members.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1"))
+        # what is left when all bits are shared is one fingerprint
+        crowd = F.col("n") > CROWDED
+        small = members.join(sizes.where(~crowd).drop("n"), ["mask", "value"])
+        dealt = small if dealt is None else dealt.unionByName(small)
+        if sizes.where(crowd).isEmpty():
+            break
+        members = cut(recut(members.join(sizes.where(crowd).drop("n"), ["mask", "value"]), radius))
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "shard").sortWithinPartitions("shard", "fp")
+    dealt = dealt.select(F.xxhash64("mask", "value").alias("shard"), "fp").repartition(parts, "shard").sortWithinPartitions("shard", "fp")
 
     def run(batches):
         def flush(kept):
             if not kept:
                 return
-            shard, fps, asked = (np.concatenate(x) for x in zip(*kept, strict=True))
-            a, b = shard_links((shard, fps.view(np.uint64), asked), radius)
+            shard, fps = (np.concatenate(x) for x in zip(*kept, strict=True))
+            a, b = shard_links(shard, fps.view(np.uint64), radius)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
