@@ -7,8 +7,10 @@ merged and reranked by the exact cosine.
 
 Equal vectors are one class, which keeps its smallest ids only; a bucket with many classes is cut into blocks that the
 queries visit in turn; so neither a vector nor a bucket that holds a third of all rows lands in one task. The number of
-projections and probes is fitted on a bounded sample of rows: the cheapest setting that finds the sample's true neighbours with at
-least ``recall``. All rows are indexed. A query that finds too few neighbours searches all rows, in blocks.
+projections, tables and probes is fitted on a bounded sample of rows: the cheapest setting for a table of this many rows that finds the
+sample's true neighbours, which lie farther than those among all rows, with at least ``recall``. The more rows, the more
+projections and tables pay, so that a query's part of them shrinks. All rows are indexed. A query that finds too few neighbours searches all
+rows, in blocks.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Rows of equal id count
 once each. Empty tables give empty results.
@@ -17,6 +19,7 @@ once each. Empty tables give empty results.
 from __future__ import annotations
 
 import math
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -28,25 +31,31 @@ from .common import cut, read
 NEAREST = 5
 SAMPLE = 3000
 RECALL = 0.975
-TABLES = 4
 #: Classes of one block of a bucket.
 BLOCK = 8192
-#: Settings to choose from: projections a table, and the width of their steps for unit vectors.
-HASHES = (1, 2, 3, 4, 5, 6)
+#: Settings to choose from: tables, projections a table, the width of their steps for unit vectors, and probes a table.
+TABLES = (4, 8, 16)
+HASHES = (1, 2, 3, 4, 5, 6, 8, 10, 12)
 WIDTHS = (0.6, 1.0, 1.6, 2.4)
-PROBES = (1, 2, 4, 8, 16, 32, 64, 96)
+PROBES = (1, 2, 4, 8, 16, 32, 64, 128)
+#: Projections in which a probe may leave the query's own step.
+MOVED = 3
+#: What it costs to move a row to a bucket, in products of two vectors.
+MOVE = 40
 #: Room for rounding when candidates are cut before their exact cosine is taken.
 MARGIN = 1e-9
 
 
 class Scheme:
-    def __init__(self, dim: int, hashes: int, width: float, probes: int, tables: int = TABLES, seed: int = 42):
+    def __init__(self, dim: int, hashes: int, width: float, probes: int, tables: int = TABLES[0], seed: int = 42):
         rng = np.random.default_rng(seed)
         self.hashes, self.width, self.probes, self.tables = hashes, width, probes, tables
-        self.lines = rng.standard_normal((dim, tables * hashes))
-        self.shifts = rng.uniform(0, width, tables * hashes)
-        steps = np.array(np.meshgrid(*[[-1, 0, 1]] * hashes, indexing="ij"), np.int64).reshape(hashes, -1).T
-        self.steps = steps[np.argsort(np.abs(steps).sum(axis=1), kind="stable")]
+        # tables draw in turn, so that the first tables of a larger scheme are those of a smaller one
+        drawn = [(rng.standard_normal((dim, hashes)), rng.uniform(0, width, hashes)) for _ in range(tables)]
+        self.lines = np.concatenate([lines for lines, _ in drawn], axis=1)
+        self.shifts = np.concatenate([shifts for _, shifts in drawn])
+        moves = [dict(zip(at, way, strict=True)) for n in range(min(MOVED, hashes) + 1) for at in combinations(range(hashes), n) for way in product((-1, 1), repeat=n)]
+        self.steps = np.array([[move.get(k, 0) for k in range(hashes)] for move in moves], np.int64).reshape(-1, hashes)
 
     def cells(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Step numbers, by row, table and projection, and places within the steps, from 0 to 1."""
@@ -65,20 +74,20 @@ class Scheme:
     def visits(self, unit: np.ndarray) -> np.ndarray:
         """The buckets that each row visits, by row, table and turn."""
         cell, place = self.cells(unit)
-        score = np.zeros((*cell.shape[:2], len(self.steps)))
-        for k in range(self.hashes):
-            step = self.steps[:, k]
-            cost = np.stack([place[:, :, k] ** 2, np.zeros(place.shape[:2]), (1 - place[:, :, k]) ** 2], axis=-1)
-            score += cost[:, :, step + 1]
-        turn = np.argsort(score, axis=2, kind="stable")[:, :, : self.probes]
+        # the squared distance to the border below or above, for those projections that a probe moves
+        below, above = (self.steps == -1).astype(float), (self.steps == 1).astype(float)
+        score = place**2 @ below.T + (1 - place) ** 2 @ above.T
+        few = min(self.probes, len(self.steps))
+        turn = np.argpartition(score, few - 1, axis=2)[:, :, :few]
+        turn = np.take_along_axis(turn, np.argsort(np.take_along_axis(score, turn, axis=2), axis=2, kind="stable"), axis=2)
         seen = [self.keys(cell + self.steps[turn[:, :, i]]) for i in range(turn.shape[2])]
         return np.stack(seen, axis=2)
 
 
-def fit(sample: np.ndarray, recall: float = RECALL, seed: int = 42) -> Scheme:
-    """The setting that finds the sample's own nearest at ``recall`` and holds the fewest pairs to the exact test."""
+def fit(sample: np.ndarray, rows: int, every: int, recall: float = RECALL, seed: int = 42) -> Scheme:
+    """The setting that finds the sample's own nearest at ``recall`` and costs least for ``rows`` rows, one in ``every`` of which asks."""
     dim = sample.shape[1] if sample.size else 1
-    asked = sample[: max(1, min(300, len(sample) // 2))]
+    asked = sample[: max(1, min(100, len(sample) // 2))]
     if len(sample) < 2 * NEAREST:
         return Scheme(dim, 1, 2.4, 3)
     near = asked @ sample.T
@@ -88,26 +97,33 @@ def fit(sample: np.ndarray, recall: float = RECALL, seed: int = 42) -> Scheme:
     best = None
     for hashes in HASHES:
         for width in WIDTHS:
-            scheme = Scheme(dim, hashes, width, max(PROBES), seed=seed)
-            keys, visits = scheme.keys(scheme.cells(sample)[0]), scheme.visits(asked)
-            for probes in PROBES:
-                if probes > 3**hashes:
-                    break
-                found = np.zeros((len(asked), len(sample)), bool)
-                pairs = 0
-                for t in range(TABLES):
-                    hit = (visits[:, t, :probes, None] == keys[None, None, :, t]).any(axis=1) if len(sample) <= 800 else np.array([np.isin(keys[:, t], v) for v in visits[:, t, :probes]])
-                    pairs += hit.sum()
-                    found |= hit
-                got = np.take_along_axis(found, true, axis=1).mean()
-                # a pair costs a product, a visit costs moving the query
-                cost = pairs / len(asked) / len(sample) + 0.002 * probes
-                if got >= recall:
-                    if best is None or cost < best[0]:
-                        best = (cost, hashes, width, probes)
+            # the turn in which a query first meets each row
+            met = np.full((len(asked), len(sample)), PROBES[-1] + 1)
+            done = 0
+            for tables in TABLES:
+                # more tables cost more than they can save
+                if best and MOVE * tables * every > best[0]:
                     break
-    _, hashes, width, probes = best or (0, 1, WIDTHS[-1], 3)
-    return Scheme(dim, hashes, width, probes, seed=seed)
+                scheme = Scheme(dim, hashes, width, PROBES[-1], tables, seed)
+                keys, visits = scheme.keys(scheme.cells(sample)[0]), scheme.visits(asked)
+                for t in range(done, tables):
+                    bucket, of = np.unique(keys[:, t], return_inverse=True)
+                    at = np.minimum(np.searchsorted(bucket, visits[:, t]), len(bucket) - 1)
+                    q, turn = np.nonzero(bucket[at] == visits[:, t])
+                    first = np.full((len(asked), len(bucket)), PROBES[-1] + 1)
+                    np.minimum.at(first, (q, at[q, turn]), turn)
+                    met = np.minimum(met, first[:, of])
+                done = tables
+                for probes in PROBES:
+                    got = (np.take_along_axis(met, true, axis=1) < probes).mean()
+                    if got >= recall:
+                        # a product for each row met; a move for each row of the index and each probe
+                        cost = rows * (met < probes).mean() + MOVE * tables * (min(probes, len(scheme.steps)) + every)
+                        if best is None or cost < best[0]:
+                            best = (cost, hashes, width, probes, tables)
+                        break
+    _, hashes, width, probes, tables = best or (0, 1, WIDTHS[-1], 3, TABLES[0])
+    return Scheme(dim, hashes, width, probes, tables, seed)
 
 
 def usable(df: DataFrame, id_: str, vector: str) -> DataFrame:
@@ -167,7 +183,7 @@ def nearest(df: DataFrame, id_: str = "vec_id", vector: str = "embedding", every
     total = found.count()
     rate = F.shiftrightunsigned(F.xxhash64("key"), 11) / F.lit(float(1 << 53))
     sample = found.where(rate < min(1.0, SAMPLE / max(total, 1))).select("key", "raw").limit(2 * SAMPLE).collect()
-    scheme = fit(unit_rows(np.array([np.frombuffer(bytes(r.raw), "<f8") for r in sorted(sample, key=lambda r: r.key)])) if sample else np.zeros((0, dim)), recall)
+    scheme = fit(unit_rows(np.array([np.frombuffer(bytes(r.raw), "<f8") for r in sorted(sample, key=lambda r: r.key)])) if sample else np.zeros((0, dim)), total, every, recall)
     blocks = found.sparkSession.sparkContext.broadcast(scheme)  # a few projections
     number = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
