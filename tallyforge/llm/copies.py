@@ -1,12 +1,16 @@
-"""Near-copies by the Jaccard similarity of word shingles, each link checked exactly.
+"""SimHash near-duplicates at a Jaccard similarity of word shingles, each link checked exactly.
 
 Two texts are near-copies if the sets of their shingles of ``WIDTH`` words have a Jaccard similarity of 0.8 or more. At that
-similarity a SimHash of 64 bits differs in some ten bits, too many to search for, so candidates are found by MinHash: texts that share
-one of ``BANDS`` buckets of ``ROWS`` minima each, which a pair at just 0.8 does with probability 1 - (1 - 0.8 ** 2) ** 8 = 0.9997.
+similarity SimHash fingerprints of 64 bits differ in some ten bits, too many for shards that agree in whole blocks of bits. So
+shards are MinHash buckets: texts share one of ``BANDS`` buckets of ``ROWS`` minima each, which a pair at just 0.8
+does with probability 1 - (1 - 0.8 ** 2) ** 8 = 0.9997. In a shard the fingerprints make a BK-tree, whose root is the text nearest to
+the majority of all; searches follow the edges within ``RADIUS`` bits, which a pair at 0.8 exceeds with probability 0.0002, and what
+they find is held to the exact similarity of the sets.
 
-Texts of equal sets are one class. Of a bucket's classes a few are held against all the others; what these links join up needs no
-further check, and buckets that still hold several components go on with ever more, until none is left or each pair of
-theirs was checked. So a large group of near-copies costs in proportion to its size, and no bucket is cut.
+Texts of equal sets are one class. The root asks first and joins up most of a group of near-copies; then those ask that are
+not joined to it, lightly edited ones first, and pairs already joined are not checked. Shards of many texts or shingles
+are dealt to several tasks: each joins up its own block, the roots of all blocks ask in all others, and then
+those that are still apart from the shard's largest group. So no shard is cut short, and none is held in one task.
 
 Null texts count as empty; texts without words are one class. A text of fewer words than a shingle is one shingle.
 """
@@ -21,12 +25,16 @@ from pyspark.sql import functions as F
 
 from .common import by_step, cut, written
 from .components import components
-from .simhash import LOWER, WORDS
+from .simhash import BITS, LOWER, WORDS, Forest, Union
 
 WIDTH = 5
 BANDS, ROWS = 8, 2
-#: Members of a bucket that are held against all others in the first round, and the factor from one round to the next.
-FIRST, FACTOR = 8, 32
+#: Bits within which fingerprints are searched for.
+RADIUS = 20
+#: Members and shingles of a shard that one task holds.
+MEMBERS, SHINGLES = 8192, 4_000_000
+#: Members that search a tree at once.
+ASKED = 64
 
 
 def key():
@@ -48,6 +56,14 @@ def shingles(text: str, width: int = WIDTH, seed: int = 42) -> np.ndarray:
     return np.unique(np.array([h(line[a:b], seed) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64))
 
 
+def majority(found: np.ndarray) -> int:
+    """The fingerprint of a set: each bit as most of its hashes have it."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(found), 1 << 16):
+        ones += np.unpackbits(found[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int((np.uint64(1) << BITS[2 * ones > len(found)]).sum(dtype=np.uint64))
+
+
 def name(found: np.ndarray) -> str:
     return xxhash.xxh3_128_hexdigest(found.astype("<u8").tobytes())
 
@@ -70,7 +86,7 @@ class MinHash:
 
 
 def classed(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, class, size, buckets`` of each row: its text's hash, its class, the size of its set and where it may meet others."""
+    """``doc_id, key, class, size, fp, buckets`` of each row: its text's hash, its class, the size and fingerprint of its set and its shards."""
 
     def run(batches):
         hashes = MinHash()
@@ -79,29 +95,118 @@ def classed(docs: DataFrame) -> DataFrame:
             sets = [shingles(t) for t in texts]
             out = {c: part.column(part.schema.get_field_index(c)) for c in ("doc_id", "key")}
             out |= {"class": [name(s) for s in sets], "size": pa.array([len(s) for s in sets], pa.int32())}
+            out["fp"] = np.array([majority(s) for s in sets], np.uint64).astype(np.int64)
             return out | {"buckets": pa.array([hashes.buckets(s) for s in sets], pa.list_(pa.int64()))}
 
         yield from by_step("text", work)(batches)
 
     type_ = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", key().alias("key"), "text").mapInArrow(run, f"doc_id {type_}, key string, class string, size int, buckets array<long>")
+    return docs.select("doc_id", key().alias("key"), "text").mapInArrow(run, f"doc_id {type_}, key string, class string, size int, fp long, buckets array<long>")
 
 
 def sets_of(texts: DataFrame) -> DataFrame:
-    """``class, found``: the sets of these texts."""
+    """``class, found``: the sets of these texts, as bytes."""
 
     def work(texts, part):
         sets = [shingles(t) for t in texts]
-        return {"class": [name(s) for s in sets], "found": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))}
-
-    return texts.select("text").mapInArrow(by_step("text", work), "class string, found array<long>").dropDuplicates(["class"])
+        return {"class": [name(s) for s in sets], "found": pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())}
+
+    return texts.select("text").mapInArrow(by_step("text", work), "class string, found binary").dropDuplicates(["class"])
+
+
+class Shard:
+    """Some members of a shard, by their fingerprints and sets; ``comp`` tells which are joined already."""
+
+    def __init__(self, fps: np.ndarray, sets: list[np.ndarray], comp: list[str]):
+        bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").mean(axis=0)
+        self.far = np.bitwise_count(fps ^ (np.uint64(1) << BITS[bits > 0.5]).sum(dtype=np.uint64))
+        self.root = int(self.far.argmin())
+        # the tree's root is the first
+        self.order = np.append(self.root, np.delete(np.arange(len(fps)), self.root))
+        self.tree = Forest(np.zeros(len(fps), np.int64), fps[self.order])
+        self.sets, self.sizes, self.union = sets, np.array([*map(len, sets)], np.int64), Union(len(fps))
+        _, first, of = np.unique(np.array(comp), return_index=True, return_inverse=True)
+        self.union.add(np.arange(len(fps)), first[of])
+
+    def links(self, asked: np.ndarray, may: np.ndarray):
+        """Pairs of one of ``asked`` and one of those that ``may`` be found, near-copies and not joined before."""
+        place = np.empty(len(self.order), np.int64)
+        place[self.order] = np.arange(len(self.order))
+        for i in range(0, len(asked), ASKED):
+            met = [(self.order[q], self.order[node]) for q, node in self.tree.search(place[asked[i : i + ASKED]], RADIUS)]
+            q, node = (np.concatenate(x) for x in zip(*met, strict=True))
+            by = np.argsort(q, kind="stable")
+            q, node = q[by], node[by]
+            for x in asked[i : i + ASKED].tolist():
+                others = node[np.searchsorted(q, x) : np.searchsorted(q, x, "right")]
+                sizes, own = self.sizes[others], self.sizes[x]
+                apart = self.union.up[others] != self.union.up[x]
+                others = others[may[others] & apart & (5 * np.minimum(sizes, own) >= 4 * np.maximum(sizes, own))]
+                if len(others):
+                    near = others[self.alike(x, others)]
+                    # one link to each of the groups that are joined
+                    near = near[np.unique(self.union.up[near], return_index=True)[1]]
+                    self.union.add(np.full(len(near), x), near)
+                    yield from ((x, int(y)) for y in near)
+
+    def alike(self, x: int, others: np.ndarray) -> np.ndarray:
+        own, flat = self.sets[x], np.concatenate([self.sets[k] for k in others])
+        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        sizes = self.sizes[others]
+        common = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+        return 5 * common >= 4 * (sizes + len(own) - common)
+
+    def joined(self, foreign: np.ndarray):
+        """Links that join up the members, or those that connect ``foreign`` members to the others."""
+        if foreign.any():
+            yield from self.links(np.flatnonzero(foreign), ~foreign)
+            return
+        all_ = np.ones(len(self.sets), bool)
+        yield from self.links(np.array([self.root]), all_)
+        # lightly edited ones first: who is joined to the root by then need not ask
+        order = np.argsort(self.far, kind="stable")
+        for i in range(0, len(order), ASKED):
+            some = order[i : i + ASKED]
+            yield from self.links(some[self.union.up[some] != self.union.up[self.root]], all_)
+
+
+def linked(dealt: DataFrame) -> DataFrame:
+    """``a, b`` of links between classes, and of each place its root as ``a`` and the place's shard as ``bucket``.
+
+    ``dealt`` has place, foreign, class, comp, fp, bucket and found."""
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select("place", "foreign", "class", "comp", "fp", "bucket", "found").repartition(parts, "place").sortWithinPartitions("place", "foreign", "class")
+
+    def flush(held):
+        foreign = np.concatenate([h[1].to_numpy(zero_copy_only=False) for h in held])
+        names, comp = ([x for h in held for x in h[k].to_pylist()] for k in (2, 3))
+        fps = np.concatenate([h[4].to_numpy() for h in held]).view(np.uint64)
+        sets = [np.frombuffer(x, "<u8") for h in held for x in h[6].to_pylist()]
+        shard = Shard(fps, sets, comp)
+        found = [*shard.joined(foreign)]
+        root = [] if foreign.any() else [names[shard.root]]
+        a = [names[x] for x, _ in found] + root
+        b = [names[y] for _, y in found] + [None] * len(root)
+        bucket = [None] * len(found) + [held[0][5][0].as_py()] * len(root)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(bucket, pa.int64())], names=["a", "b", "bucket"])
 
-
-def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of classes whose sets have a similarity of 0.8 or more."""
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(5 * common >= 4 * (F.size("x") + F.size("y") - common)).select("a", "b")
+    def run(batches):
+        held: list = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = batch.column(0).to_numpy()
+            border = np.append(0, np.append(np.flatnonzero(np.diff(place)) + 1, len(place)))
+            for a, b in zip(border[:-1], border[1:], strict=True):
+                part = batch.slice(int(a), int(b - a)).columns
+                if held and held[-1][0][-1].as_py() != part[0][0].as_py():
+                    yield flush(held)
+                    held = []
+                held.append(part)
+        if held:
+            yield flush(held)
+
+    return dealt.mapInArrow(run, "a string, b string, bucket long")
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -114,30 +219,40 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, key``: for each group of near-copies the smallest id and, of its texts there, the smallest ``key()``."""
     marked = cut(classed(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
-    classes = cut(marked.groupBy("class").agg(first, F.min("size").alias("size"), F.min("buckets").alias("buckets")))
-    placed = classes.select("class", "size", F.explode("buckets").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = cut(placed.join(shared, "bucket").withColumn("comp", F.col("class")))
+    classes = cut(marked.groupBy("class").agg(first, F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("buckets").alias("buckets")))
+    placed = classes.select("class", "size", "fp", F.explode("buckets").alias("bucket"))
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
+    blocks = F.ceil(F.greatest(F.col("n") / MEMBERS, F.col("total") / SHINGLES)).cast("int")
+    members = placed.join(sizes.select("bucket", blocks.alias("blocks")), "bucket")
+    members = cut(members.select("class", "fp", "bucket", "blocks", F.pmod(F.xxhash64("class"), "blocks").cast("int").alias("block")))
     needed = classes.join(members.select("class").distinct(), "class", "left_semi").select("least.doc_id", "least.key")
     sets = written(sets_of(same_rows(docs.select("doc_id", "text", key().alias("key")), needed)))
-    links, comps, most = None, None, FIRST
-    place = F.shiftrightunsigned(F.xxhash64("class"), 11) / F.lit(float(1 << 53))
-    while True:
-        mixed = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "n")
-        live = cut(members.join(mixed, "bucket").withColumn("asks", place < F.lit(float(most)) / F.col("n")).drop("n"))
-        if live.isEmpty():
-            break
-        asks = live.where("asks").select("bucket", *[F.col(c).alias(f"{c}_") for c in ("class", "size", "comp")])
-        pairs = live.join(asks, "bucket").where("comp <> comp_ AND (NOT asks OR class < class_) AND 5 * least(size, size_) >= 4 * greatest(size, size_)")
-        new = alike(pairs.select(F.least("class", "class_").alias("a"), F.greatest("class", "class_").alias("b")).distinct(), sets)
-        links = cut(new if links is None else links.unionByName(new))
-        # the plan ends here, so that the driver holds no more of them from round to round
-        comps = cut(components(links).select(F.col("node").alias("class"), F.col("component").alias("joined")))
-        # those that asked were held against all others
-        members = live.where("NOT asks").select("bucket", "class", "size").join(comps, "class", "left")
-        members = cut(members.select("bucket", "class", "size", F.coalesce("joined", "class").alias("comp")))
-        most *= FACTOR
-    named = classes.select("class", "least").withColumn("comp", F.col("class"))
-    if comps is not None:
-        named = classes.select("class", "least").join(comps, "class", "left").select("class", "least", F.coalesce("joined", "class").alias("comp"))
-    return named.groupBy("comp").agg(F.min("least").alias("least")).select("least.doc_id", "least.key")
+    place, no = F.xxhash64("bucket", "block").alias("place"), F.lit(False).alias("foreign")
+    found = cut(linked(members.select("*", place, no, F.col("class").alias("comp")).join(sets, "class")))
+    links = found.where("b IS NOT NULL").select("a", "b")
+    comps = named(links)
+    crowded = members.where("blocks > 1")
+    if not crowded.isEmpty():
+        roots = found.where("b IS NULL").select(F.col("a").alias("class"), "bucket")
+        for asks in ("roots", "apart"):
+            of = cut(crowded.join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class")))
+            if asks == "roots":
+                asking = of.join(roots, ["class", "bucket"])
+            else:
+                # all but the shard's largest group
+                largest = of.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"))
+                asking = of.join(largest, "bucket").where("comp <> largest").drop("largest")
+            own = F.col("block")
+            asking = asking.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(F.col("to") != own).withColumn("block", F.col("to")).drop("to")
+            dealt = of.select("*", place, no).unionByName(asking.select("*", place, F.lit(True).alias("foreign")))
+            # blocks that nobody asks have nothing to do
+            dealt = dealt.join(asking.select(place).distinct(), "place", "left_semi")
+            links = cut(links.unionByName(linked(dealt.join(sets, "class")).where("b IS NOT NULL").select("a", "b")))
+            comps = named(links)
+    joined = classes.select("class", "least").join(comps, "class", "left").select("class", "least", F.coalesce("comp", "class").alias("comp"))
+    return joined.groupBy("comp").agg(F.min("least").alias("least")).select("least.doc_id", "least.key")
+
+
+def named(links: DataFrame) -> DataFrame:
+    """``class, comp`` of those that links join; its plan ends here, so that the driver holds no more of them."""
+    return cut(components(links).select(F.col("node").alias("class"), F.col("component").alias("comp")))
