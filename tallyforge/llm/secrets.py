@@ -1,10 +1,13 @@
 r"""Secret scans through a recursive decoding worklist.
 
 Every layer of a text is scanned with the same three patterns. A layer yields new layers: the layer with its URL escapes
-undone, with its Unicode escapes undone, and each base64 run decoded, inflated first where its bytes are compressed. New
+undone, with its Unicode escapes undone, each base64 run decoded (lines of a wrapped run together; of a run with signs of the
+alphabet the parts between them, too), and compressed bytes inflated, where they stand in base64, in URL escapes or as characters. Bytes
+that are no text are kept as a mark, and what is around them is scanned. New
 layers join the worklist until none is left; a layer whose content was seen at the same place is not taken up again, so that no
 cycle can go round. Spans found in a layer are mapped back to the text: through escapes character by character, through base64
-and compression to the whole run that holds them.
+and compression to the whole run that holds them. Decoded content is scanned in windows of ``WINDOW`` bytes that overlap by ``OVERLAP``, so that
+streams of any size are scanned whole in bounded memory; encoded layers inside them may be as long as a window.
 
 Null and empty texts have no spans. Columns of the result's names are replaced, others are left alone.
 """
@@ -13,10 +16,13 @@ from __future__ import annotations
 
 import base64
 import binascii
+import contextlib
 import hashlib
 import re
+import urllib.parse
 import zlib
 from bisect import bisect_right
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,9 +40,17 @@ URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 UNICODE_ONE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}")
-BASE64_PART = re.compile(r"[A-Za-z0-9]{12,}={0,2}")
-#: Bytes that the nested compressed layers of one run may inflate to together; more are left closed, as they are a bomb and no text.
-INFLATED = 64 << 20
+BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{2,})+={0,2}")
+#: What may stand between two encoded texts: the signs of one alphabet, of the other, or of both.
+BASE64_PARTS = [re.compile(rf"[A-Za-z0-9{signs}]{{12,}}={{0,2}}") for signs in ("+/", "_-", "")]
+#: Compressed bytes in URL escapes, and as characters.
+URL_PACKED = re.compile(r"(?:%1[fF]%8[bB]|(?:x|%78)(?:%9[cC]|%[dD][aA]|%01|%5[eE]|\^))[^\s\"'<>&]{6,}")
+RAW_PACKED = re.compile("(?:\x1f\x8b|x[\x01^\x9c\xda])[\x00-\xff]{6,}")
+#: What a layer must hold to be worth a scan: the beginning of a secret, or of a further layer.
+TELLING = re.compile(rb"(?i:passw|secret|token|api)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f]{2}|[A-Za-z0-9+/_-]{12}|\x1f\x8b|x[\x01^\x9c\xda]")
+WINDOW, OVERLAP = 4 << 20, 64 << 10
+#: Stands for bytes and code points that are no text.
+LOST = "\ufffd"
 
 
 def matches(text: str) -> list[tuple[str, int, int]]:
@@ -101,10 +115,15 @@ def unescaped(layer: Layer, runs: re.Pattern, decode) -> Layer | None:
 
 
 def url_chars(run: str) -> list[tuple[str, int]] | None:
-    try:
-        return [(c, 3 * len(c.encode())) for c in bytes.fromhex(run.replace("%", "")).decode()]
-    except UnicodeDecodeError:
-        return None
+    raw, chars = bytes.fromhex(run.replace("%", "")), []
+    while raw:
+        try:
+            good, bad = raw.decode(), 0
+        except UnicodeDecodeError as e:
+            good, bad = raw[: e.start].decode(), e.end - e.start
+        chars += [(c, 3 * len(c.encode())) for c in good] + [(LOST, 3)] * bad
+        raw = raw[len(good.encode()) + bad :]
+    return chars if any(c != LOST for c, _ in chars) else None
 
 
 def unicode_chars(run: str) -> list[tuple[str, int]] | None:
@@ -114,50 +133,73 @@ def unicode_chars(run: str) -> list[tuple[str, int]] | None:
         code = int(m[1] or m[2] or m[3], 16)
         width = len(m[0])
         if high and 0xDC00 <= code < 0xE000:
-            chars.append((chr(0x10000 + ((high - 0xD800) << 10) + code - 0xDC00), 6 + width))
+            chars[-1] = (chr(0x10000 + ((high - 0xD800) << 10) + code - 0xDC00), chars[-1][1] + width)
             high = 0
-        elif high or code > 0x10FFFF or 0xDC00 <= code < 0xE000:
-            return None
-        elif 0xD800 <= code < 0xDC00:
-            high = code
-        else:
-            chars.append((chr(code), width))
-    return None if high else chars
-
-
-def inflated(raw: bytes, most: int = INFLATED) -> bytes | None:
-    """The content of a zlib or gzip stream, None for any other bytes and for content over ``most``."""
-    if raw[:2] != b"\x1f\x8b" and not (raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        return None
-    try:
-        engine = zlib.decompressobj(47)
-        out = engine.decompress(raw, most + 1)
-        return None if len(out) > most else out
-    except zlib.error:
-        return None
-
-
-def as_text(raw: bytes) -> str | None:
-    """UTF-8 text without control characters, or None."""
-    left, seen = INFLATED, {raw}
-    while left and (content := inflated(raw, left)) is not None:
-        if content in seen:  # a stream that holds itself
-            return None
-        raw, left = content, left - len(content)
-        seen.add(raw)
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c >= " " or c in "\t\n\r" for c in text) else None
-
-
-def base64_text(run: str) -> str | None:
-    bare = run.rstrip("=").replace("-", "+").replace("_", "/")
+            continue
+        high = code if 0xD800 <= code < 0xDC00 else 0
+        # a surrogate without its other half, or a number beyond all characters
+        chars.append((LOST if 0xD800 <= code < 0xE000 or code > 0x10FFFF else chr(code), width))
+    return chars if any(c != LOST for c, _ in chars) else None
+
+
+def packed(raw: bytes) -> bool:
+    """Whether the bytes begin as a gzip or zlib stream does."""
+    return raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] << 8 | raw[1]) % 31 == 0
+
+
+def inflated(chunks):
+    """The content of gzip or zlib streams, one after the other, in bounded chunks; it ends where a stream is broken."""
+    engine = zlib.decompressobj(47)
+    for data in chunks:
+        while data:
+            try:
+                out = engine.decompress(data, WINDOW)
+            except zlib.error:
+                return
+            if out:
+                yield out
+            data = engine.unconsumed_tail
+            if engine.eof:
+                data = engine.unused_data
+                if not packed(data):
+                    return
+                engine = zlib.decompressobj(47)
+    with contextlib.suppress(zlib.error):
+        if rest := engine.flush():
+            yield rest
+
+
+def content(raw: bytes):
+    """Chunks of the bytes, inflated as often as they are compressed; a stream that holds itself is opened once."""
+    first, rest, met = raw, iter(()), set()
+    while packed(first) and (mark := hashlib.sha256(first).digest()) not in met:
+        met.add(mark)
+        rest = inflated(chain([first], rest))
+        if (first := next(rest, None)) is None:
+            return
+    yield first
+    yield from rest
+
+
+def windows(raw: bytes):
+    """The content of ``raw`` as text, in overlapping windows; those without anything telling are left out."""
+    held = b""
+    for chunk in content(raw):
+        held += chunk
+        if len(held) >= WINDOW:
+            if TELLING.search(held):
+                yield held.decode("utf-8", "replace")
+            held = held[-OVERLAP:]
+    if TELLING.search(held):
+        yield held.decode("utf-8", "replace")
+
+
+def base64_bytes(run: str) -> bytes | None:
+    bare = "".join(run.split()).rstrip("=").replace("-", "+").replace("_", "/")
     if len(bare) % 4 == 1:
         return None
     try:
-        return as_text(base64.b64decode(bare + "=" * (-len(bare) % 4)))
+        return base64.b64decode(bare + "=" * (-len(bare) % 4))
     except binascii.Error:
         return None
 
@@ -165,31 +207,43 @@ def base64_text(run: str) -> str | None:
 def below(layer: Layer):
     """The layers that one step of decoding finds in ``layer``."""
     text = layer.text
-    if "%" in text and (made := unescaped(layer, URL_RUN, url_chars)):
-        yield made
+    runs: dict[tuple[int, int], bytes | None] = {}
+    if "%" in text:
+        if made := unescaped(layer, URL_RUN, url_chars):
+            yield made
+        runs |= {m.span(): urllib.parse.unquote_to_bytes(m[0]) for m in URL_PACKED.finditer(text)}
     if "\\" in text and (made := unescaped(layer, UNICODE_RUN, unicode_chars)):
         yield made
+    if not text.isascii() or "\x01" in text or "x^" in text:
+        runs |= {m.span(): m[0].encode("latin-1") for m in RAW_PACKED.finditer(text)}
     for m in BASE64_RUN.finditer(text):
-        # the alphabet's signs also stand between words: where the whole run is no text, its plain parts may be
-        for a, b in [m.span(), *(p.span() for p in BASE64_PART.finditer(text, *m.span()) if p.span() != m.span())]:
-            if (found := base64_text(text[a:b])) is not None:
-                yield Layer(found, layer, inside=(a, b))
-                break
+        # the alphabet's signs also stand between words: the parts of a run may be encoded each
+        spans = {m.span()}
+        if not m[0].rstrip("=").isalnum():
+            spans.update(p.span() for part in BASE64_PARTS for p in part.finditer(text, *m.span()))
+        runs |= {(a, b): base64_bytes(text[a:b]) for a, b in sorted(spans)}
+    if "\n" in text:
+        runs |= {m.span(): base64_bytes(m[0]) for m in BASE64_LINES.finditer(text)}
+    for (a, b), raw in runs.items():
+        for found in windows(raw) if raw else ():
+            yield Layer(found, layer, inside=(a, b))
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans, by start and then kind."""
     base = matches(text)
     spans = set(base)
-    work, seen = [Layer(text)], set()
+    work, seen = [below(Layer(text))], set()
     while work:
-        for layer in below(work.pop()):
-            place = layer.root(0, len(layer.text))
-            mark = (place, hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest())
-            if mark not in seen:
-                seen.add(mark)
-                spans.update((kind, *layer.root(a, b)) for kind, a, b in matches(layer.text))
-                work.append(layer)
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        place = layer.root(0, len(layer.text))
+        mark = (place, hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest())
+        if mark not in seen:
+            seen.add(mark)
+            spans.update((kind, *layer.root(a, b)) for kind, a, b in matches(layer.text))
+            work.append(below(layer))
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     return sorted(base, key=order), sorted(spans, key=order)
 
