@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_step, cut, written
-from .components import components
-from .simhash import BITS, LOWER, WORDS, Forest, Union
+from .shards import Shard, joined_classes, sharded
+from .simhash import BITS, LOWER, WORDS, Forest
 
 WIDTH = 5
 BANDS, ROWS = 8, 2
@@ -33,8 +33,6 @@ BANDS, ROWS = 8, 2
 RADIUS = 20
 #: Members and shingles of a shard that one task holds.
 MEMBERS, SHINGLES = 8192, 4_000_000
-#: Members that search a tree at once.
-ASKED = 64
 
 
 def key():
@@ -114,40 +112,23 @@ def sets_of(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(by_step("text", work), "class string, found binary").dropDuplicates(["class"])
 
 
-class Shard:
-    """Some members of a shard, by their fingerprints and sets; ``comp`` tells which are joined already."""
+class Sets(Shard):
+    """Members by the fingerprints and sets of their texts; candidates come from a BK-tree whose root is the shard's."""
 
-    def __init__(self, fps: np.ndarray, sets: list[np.ndarray], comp: list[str]):
+    def __init__(self, fps: np.ndarray, found: list[bytes], comp: list[str]):
         bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").mean(axis=0)
-        self.far = np.bitwise_count(fps ^ (np.uint64(1) << BITS[bits > 0.5]).sum(dtype=np.uint64))
-        self.root = int(self.far.argmin())
-        # the tree's root is the first
+        super().__init__(np.bitwise_count(fps ^ (np.uint64(1) << BITS[bits > 0.5]).sum(dtype=np.uint64)), comp)
         self.order = np.append(self.root, np.delete(np.arange(len(fps)), self.root))
+        self.place = np.argsort(self.order)
         self.tree = Forest(np.zeros(len(fps), np.int64), fps[self.order])
-        self.sets, self.sizes, self.union = sets, np.array([*map(len, sets)], np.int64), Union(len(fps))
-        _, first, of = np.unique(np.array(comp), return_index=True, return_inverse=True)
-        self.union.add(np.arange(len(fps)), first[of])
-
-    def links(self, asked: np.ndarray, may: np.ndarray):
-        """Pairs of one of ``asked`` and one of those that ``may`` be found, near-copies and not joined before."""
-        place = np.empty(len(self.order), np.int64)
-        place[self.order] = np.arange(len(self.order))
-        for i in range(0, len(asked), ASKED):
-            met = [(self.order[q], self.order[node]) for q, node in self.tree.search(place[asked[i : i + ASKED]], RADIUS)]
-            q, node = (np.concatenate(x) for x in zip(*met, strict=True))
-            by = np.argsort(q, kind="stable")
-            q, node = q[by], node[by]
-            for x in asked[i : i + ASKED].tolist():
-                others = node[np.searchsorted(q, x) : np.searchsorted(q, x, "right")]
-                sizes, own = self.sizes[others], self.sizes[x]
-                apart = self.union.up[others] != self.union.up[x]
-                others = others[may[others] & apart & (5 * np.minimum(sizes, own) >= 4 * np.maximum(sizes, own))]
-                if len(others):
-                    near = others[self.alike(x, others)]
-                    # one link to each of the groups that are joined
-                    near = near[np.unique(self.union.up[near], return_index=True)[1]]
-                    self.union.add(np.full(len(near), x), near)
-                    yield from ((x, int(y)) for y in near)
+        self.sets = [np.frombuffer(x, "<u8") for x in found]
+        self.sizes = np.array([*map(len, self.sets)], np.int64)
+
+    def candidates(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        met = [(self.order[q], self.order[node]) for q, node in self.tree.search(self.place[asked], RADIUS)]
+        q, node = (np.concatenate(x) for x in zip(*met, strict=True))
+        sized = 5 * np.minimum(self.sizes[q], self.sizes[node]) >= 4 * np.maximum(self.sizes[q], self.sizes[node])
+        return q[sized], node[sized]
 
     def alike(self, x: int, others: np.ndarray) -> np.ndarray:
         own, flat = self.sets[x], np.concatenate([self.sets[k] for k in others])
@@ -156,58 +137,6 @@ class Shard:
         common = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
         return 5 * common >= 4 * (sizes + len(own) - common)
 
-    def joined(self, foreign: np.ndarray):
-        """Links that join up the members, or those that connect ``foreign`` members to the others."""
-        if foreign.any():
-            yield from self.links(np.flatnonzero(foreign), ~foreign)
-            return
-        all_ = np.ones(len(self.sets), bool)
-        yield from self.links(np.array([self.root]), all_)
-        # lightly edited ones first: who is joined to the root by then need not ask
-        order = np.argsort(self.far, kind="stable")
-        for i in range(0, len(order), ASKED):
-            some = order[i : i + ASKED]
-            yield from self.links(some[self.union.up[some] != self.union.up[self.root]], all_)
-
-
-def linked(dealt: DataFrame) -> DataFrame:
-    """``a, b`` of links between classes, and of each place its root as ``a`` and the place's shard as ``bucket``.
-
-    ``dealt`` has place, foreign, class, comp, fp, bucket and found."""
-    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select("place", "foreign", "class", "comp", "fp", "bucket", "found").repartition(parts, "place").sortWithinPartitions("place", "foreign", "class")
-
-    def flush(held):
-        foreign = np.concatenate([h[1].to_numpy(zero_copy_only=False) for h in held])
-        names, comp = ([x for h in held for x in h[k].to_pylist()] for k in (2, 3))
-        fps = np.concatenate([h[4].to_numpy() for h in held]).view(np.uint64)
-        sets = [np.frombuffer(x, "<u8") for h in held for x in h[6].to_pylist()]
-        shard = Shard(fps, sets, comp)
-        found = [*shard.joined(foreign)]
-        root = [] if foreign.any() else [names[shard.root]]
-        a = [names[x] for x, _ in found] + root
-        b = [names[y] for _, y in found] + [None] * len(root)
-        bucket = [None] * len(found) + [held[0][5][0].as_py()] * len(root)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(bucket, pa.int64())], names=["a", "b", "bucket"])
-
-    def run(batches):
-        held: list = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            place = batch.column(0).to_numpy()
-            border = np.append(0, np.append(np.flatnonzero(np.diff(place)) + 1, len(place)))
-            for a, b in zip(border[:-1], border[1:], strict=True):
-                part = batch.slice(int(a), int(b - a)).columns
-                if held and held[-1][0][-1].as_py() != part[0][0].as_py():
-                    yield flush(held)
-                    held = []
-                held.append(part)
-        if held:
-            yield flush(held)
-
-    return dealt.mapInArrow(run, "a string, b string, bucket long")
-
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of ``a`` whose ``doc_id, key`` are among those of ``b``."""
@@ -221,38 +150,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
     classes = cut(marked.groupBy("class").agg(first, F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("buckets").alias("buckets")))
     placed = classes.select("class", "size", "fp", F.explode("buckets").alias("bucket"))
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
-    blocks = F.ceil(F.greatest(F.col("n") / MEMBERS, F.col("total") / SHINGLES)).cast("int")
-    members = placed.join(sizes.select("bucket", blocks.alias("blocks")), "bucket")
-    members = cut(members.select("class", "fp", "bucket", "blocks", F.pmod(F.xxhash64("class"), "blocks").cast("int").alias("block")))
+    members = sharded(placed, MEMBERS, SHINGLES)
     needed = classes.join(members.select("class").distinct(), "class", "left_semi").select("least.doc_id", "least.key")
     sets = written(sets_of(same_rows(docs.select("doc_id", "text", key().alias("key")), needed)))
-    place, no = F.xxhash64("bucket", "block").alias("place"), F.lit(False).alias("foreign")
-    found = cut(linked(members.select("*", place, no, F.col("class").alias("comp")).join(sets, "class")))
-    links = found.where("b IS NOT NULL").select("a", "b")
-    comps = named(links)
-    crowded = members.where("blocks > 1")
-    if not crowded.isEmpty():
-        roots = found.where("b IS NULL").select(F.col("a").alias("class"), "bucket")
-        for asks in ("roots", "apart"):
-            of = cut(crowded.join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class")))
-            if asks == "roots":
-                asking = of.join(roots, ["class", "bucket"])
-            else:
-                # all but the shard's largest group
-                largest = of.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"))
-                asking = of.join(largest, "bucket").where("comp <> largest").drop("largest")
-            own = F.col("block")
-            asking = asking.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(F.col("to") != own).withColumn("block", F.col("to")).drop("to")
-            dealt = of.select("*", place, no).unionByName(asking.select("*", place, F.lit(True).alias("foreign")))
-            # blocks that nobody asks have nothing to do
-            dealt = dealt.join(asking.select(place).distinct(), "place", "left_semi")
-            links = cut(links.unionByName(linked(dealt.join(sets, "class")).where("b IS NOT NULL").select("a", "b")))
-            comps = named(links)
+    comps = joined_classes(members, sets, Sets)
     joined = classes.select("class", "least").join(comps, "class", "left").select("class", "least", F.coalesce("comp", "class").alias("comp"))
     return joined.groupBy("comp").agg(F.min("least").alias("least")).select("least.doc_id", "least.key")
-
-
-def named(links: DataFrame) -> DataFrame:
-    """``class, comp`` of those that links join; its plan ends here, so that the driver holds no more of them."""
-    return cut(components(links).select(F.col("node").alias("class"), F.col("component").alias("comp")))
