@@ -4,26 +4,30 @@ A walk goes over a text's characters: at each time it stands on one character, e
 chosen by time and character, says whether it moves on. Two texts with few edits between them emit strings of few differing places,
 so Hamming distance stands in for edit distance. A fingerprint keeps the emitted characters at fixed random times, equally
 many from each doubling of time: the times are the same for texts of all lengths, and ``likeness`` weighs each doubling by its
-length. Near-duplicates are found by banding bit-sampled fingerprint places and verified by likeness, then by edit distance.
+length. Near-duplicates are found by banding bit-sampled fingerprint places and verified by likeness or by edit distance: all classes of
+a band, not only neighbours. A text also stands in the bands of the doubling before its last, where those of just shorter texts are.
 
 The walk needs one table look-up a character, as the time that a character holds the walk depends on the character and the time
 of arrival alone. Texts of a step are walked side by side; the last long ones one by one.
 
 Null texts count as empty; an empty text's fingerprint is the empty string, and two empty fingerprints have likeness 1. Ids that are null come
-last, equal ids are ordered by their text. Columns of the result's names are replaced. An empty table gives an empty result.
+last, equal ids stand in an order by their compressed text, the same in each run. Columns of the result's names are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_CHARS, by_step, cut, read
-from .components import components
+from .common import STEP_CHARS, by_step, read, written
+from .shards import Shard, joined_classes, sharded
 
 #: Kinds of character, by a hash of the code point; each has random bits of its own.
 KINDS = 16
@@ -36,6 +40,8 @@ ALONE = 48
 #: Likeness from which two documents of a shared band are near.
 NEAR = 0.8
 BANDS, ROWS = 12, 6
+#: Members and characters of a band that one task holds.
+MEMBERS, CHARS = 8192, 16_000_000
 HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
@@ -104,7 +110,7 @@ def likeness(a: str, b: str) -> float:
     m = min(len(a), len(b))
     same = np.zeros(n)
     same[:m] = np.frombuffer(a[:m].encode(), np.uint8) == np.frombuffer(b[:m].encode(), np.uint8)
-    weight = np.exp2(np.maximum(np.arange(n) // PLACES - 1, 0))
+    weight = weights(n)
     return float((same * weight).sum() / weight.sum())
 
 
@@ -181,46 +187,85 @@ def within(a: str, b: str, most: int) -> bool:
     return False
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near: float = NEAR, edits: int | None = None) -> DataFrame:
-    """``doc_id, component_id``: documents linked by a shared band of sampled places and a likeness of ``near`` or, with
-    ``edits``, at most so many edits. Documents of equal fingerprint (or text) are one class; of a band's classes each is held against the
-    next of the band in the order of their fingerprints, so that a band's work grows with its size only."""
-    marked = cut(fingerprints(docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("text"))))
-    key = F.sha2("text", 256) if edits is not None else F.sha2("fingerprint", 256)
-    classes = cut(marked.withColumn("class", key).groupBy("class").agg(F.min(doc_id).alias("least"), F.min("fingerprint").alias("fingerprint"), F.min("text" if edits is not None else F.lit("")).alias("text")))
+def weights(n: int) -> np.ndarray:
+    """The length of the doubling that each of the first ``n`` places stands for."""
+    return np.exp2(np.maximum(np.arange(n) // PLACES - 1, 0))
+
+
+class Prints(Shard):
+    """Members by their fingerprints (and texts, where edits count); all of a band are candidates of each other."""
+
+    def __init__(self, near: float, edits: int | None, fps: np.ndarray, found: list[bytes], comp: list[str]):
+        parts = [x.split(b"\0", 1) for x in found]
+        self.near, self.edits, self.texts = near, edits, [p[1].decode("utf-8", "surrogatepass") for p in parts]
+        self.lengths = np.array([len(p[0]) for p in parts], np.int64)
+        self.places = np.zeros((len(parts), max(1, int(self.lengths.max()))), np.uint8)
+        for row, (p, _) in zip(self.places, parts, strict=True):
+            row[: len(p)] = np.frombuffer(p, np.uint8)
+        self.weight = weights(self.places.shape[1])
+        self.upto = np.append(0, np.cumsum(self.weight))
+        most = np.stack([(self.places == c).sum(axis=0) for c in HEX]).argmax(axis=0)
+        super().__init__(-((self.places == HEX[most]) @ self.weight), comp)
+
+    def candidates(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(asked, len(self.lengths)), np.tile(np.arange(len(self.lengths)), len(asked))
+
+    def alike(self, x: int, others: np.ndarray) -> np.ndarray:
+        if self.edits is not None:
+            return np.array([within(self.texts[x], self.texts[k], self.edits) for k in others], bool)
+        same = (self.places[others] == self.places[x]) & (self.places[x] > 0)
+        return same @ self.weight >= self.near * self.upto[np.maximum(self.lengths[others], self.lengths[x])]
+
+
+def banded(classes: DataFrame) -> DataFrame:
+    """``class, size, fp, bucket``: each class in the bands of its last doubling and of the one before."""
     rng = np.random.default_rng(44)
     chosen = [sorted(rng.choice(PLACES * 3, ROWS, replace=False).tolist()) for _ in range(BANDS)]
-    # places of the text's last doublings, where most of it is
-    last = F.floor((F.length("fingerprint") - 1) / PLACES)
-    band = F.array(*[F.concat_ws("", F.lit(f"{i}:"), last.cast("string"), *[F.substring("fingerprint", F.greatest(F.lit(0), last - 2) * PLACES + F.lit(p + 1), F.lit(1)) for p in places]) for i, places in enumerate(chosen)])
-    banded = classes.select("class", "fingerprint", F.explode(band).alias("band"))
-    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = banded.join(sizes.select("band"), "band").select("band", "fingerprint", "class")
-    dealt = dealt.repartitionByRange("band", "fingerprint", "class").sortWithinPartitions("band", "fingerprint", "class")
-
-    def neighbours(batches):
-        before = None
+
+    def run(batches):
         for batch in batches:
-            a, b = [], []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if before and before[0] == row[0] and (edits is not None or likeness(before[1], row[1]) >= near):
-                    a.append(before[2])
-                    b.append(row[2])
-                before = row
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
-
-    links = dealt.mapInArrow(neighbours, "a string, b string").distinct()
-    if edits is not None:
-        check = F.udf(lambda x, y: within(x, y, edits), "boolean")
-        links = links.join(classes.select(F.col("class").alias("a"), F.col("text").alias("x")), "a").join(classes.select(F.col("class").alias("b"), F.col("text").alias("y")), "b").where(check("x", "y")).select("a", "b")
-    comp = components(links).withColumnRenamed("node", "class")
-    named = classes.select("class", "least").join(comp, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    ids = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("class", "component_id")
-    return marked.withColumn("class", key).join(ids, "class").select(doc_id, "component_id")
+            keys = []
+            for print_ in batch.column(1).to_pylist():
+                last, own = (len(print_) - 1) // PLACES, []
+                for level in {last, last - 1} - {-1, -2}:
+                    begin = max(0, level - 2) * PLACES
+                    for i, places in enumerate(chosen):
+                        sampled = "".join([print_[begin + p : begin + p + 1] or "." for p in places])
+                        own.append(xxhash.xxh64_intdigest(f"{i}:{level}:{sampled}") - (1 << 63))
+                keys.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["class", "buckets"])
+
+    bands = classes.select("class", "fingerprint").mapInArrow(run, "class string, buckets array<long>")
+    return bands.select("class", F.lit(0).alias("size"), F.lit(0).cast("long").alias("fp"), F.explode("buckets").alias("bucket"))
+
+
+def print_key(text: bool):
+    return F.sha2("text" if text else "fingerprint", 256)
+
+
+def components_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near: float = NEAR, edits: int | None = None) -> DataFrame:
+    """``class, component_id``: of each class of equal fingerprints (with ``edits``, of equal texts) the smallest id that links reach."""
+    marked = fingerprints(docs.select(F.col(doc_id).alias("id_"), F.coalesce(F.col(text), F.lit("")).alias("text")))
+    one = F.min("text") if edits is not None else F.lit("")
+    classes = written(marked.groupBy(print_key(edits is not None).alias("class")).agg(F.min("id_").alias("least"), F.min("fingerprint").alias("fingerprint"), one.alias("text")))
+    members = sharded(banded(classes), MEMBERS, CHARS)
+    needed = classes.join(members.select("class").distinct(), "class", "left_semi")
+    found = F.concat(F.col("fingerprint").cast("binary"), F.unhex(F.lit("00")), F.col("text").cast("binary"))
+    comps = joined_classes(members, needed.select("class", found.alias("found")), partial(Prints, near, edits))
+    named = classes.select("class", "least").join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    ids = named.groupBy("comp").agg(F.min("least").alias("component_id"))
+    return named.join(ids, "comp").select("class", "component_id")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near: float = NEAR, edits: int | None = None) -> DataFrame:
+    """``doc_id, component_id``: the smallest id that links reach, which go between documents of a shared band with a likeness of ``near`` or,
+    with ``edits``, at most so many edits. Documents of equal fingerprint (or text) are one class."""
+    marked = fingerprints(docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("text")))
+    return marked.withColumn("class", print_key(edits is not None)).join(components_of(docs, text, doc_id, near, edits), "class").select(doc_id, "component_id")
 
 
 def with_next(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", part_rows: int = 2000, most_parts: int = 20_000) -> DataFrame:
-    """``part, guest, id, text``: the rows dealt into parts that follow the descending order of ids, sorted within; the row after a
+    """``part, guest, id, text``, the text compressed: the rows dealt into parts that follow the descending order of ids, sorted within; the row after a
     part's last is a guest, the first row of the next part (after the last part: of the first). Parts border at ids of even
     ranks, of which there are ``most_parts`` at most."""
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -231,6 +276,7 @@ def with_next(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", part_
     heads = np.array(sorted({*(borders or []), high}, reverse=True) if high is not None else [0], np.int64)
 
     def deal(batches):
+        squeeze = zstandard.ZstdCompressor(3)
         for batch in batches:
             ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
             part = np.searchsorted(-heads.astype(float), -ids.astype(float), "right") - 1
@@ -238,10 +284,12 @@ def with_next(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", part_
             head = np.flatnonzero((heads[part] == ids) | (high is None))
             row = np.append(np.arange(len(ids)), head)
             to = np.append(part, (part[head] - 1) % len(heads))
-            whole = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.arange(len(row)) >= len(ids)), *whole.columns], names=["part", "guest", "id", "text"])
+            # half of what the shuffle's own compression makes of a text
+            packed = [squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
+            texts = pa.array(packed, pa.binary()).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.arange(len(row)) >= len(ids)), batch.column(0).take(pa.array(row)), texts], names=["part", "guest", "id", "text"])
 
-    dealt = docs.mapInArrow(deal, "part int, guest boolean, id long, text string")
+    dealt = docs.mapInArrow(deal, "part int, guest boolean, id long, text binary")
     number = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(number, "part").sortWithinPartitions("part", "guest", F.col("id").desc_nulls_last(), "text")
 
@@ -268,10 +316,11 @@ def edited_likeness(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[doc_id, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
         rows: list[tuple] = []
-        total = 0
+        total, unsqueeze = 0, zstandard.ZstdDecompressor()
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.append(row)
+            for *row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.append((*row, unsqueeze.decompress(text).decode("utf-8", "surrogatepass")))
+                row = rows[-1]
                 total += len(row[3])
                 if total > STEP_CHARS:
                     yield from flush(rows)
@@ -282,4 +331,6 @@ def edited_likeness(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    return edited_likeness(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = edited_likeness(docs).withColumn("class", print_key(False))
+    return found.join(components_of(docs), "class", "left").drop("class")
