@@ -10,7 +10,8 @@ join or an aggregation with partial results: no group of equal suffixes is held
 
 Words are runs of characters between white space, compared in lower case by 64-bit hashes. Documents of wholly equal text count as repeated in
 full if they have 50 words; one of them stands for all when windows are compared. Null and short texts have no passages. Rows
-with equal ids are versions of one document, whose passages are taken together. Columns other than id and text are not read.
+with equal ids are versions of one document, whose passages are taken together. Rows without an id, or whose id is no whole number, are left out:
+their passages could not be named. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import by_step, cut, read, written
 
 LEAST = 50
 GROUP = 16
+#: At most so many windows are frequent, and broadcast: those that make up a greater part than one in as many of all rows.
+FREQUENT = 2000
 WORD = re.compile(r"\S+")
 #: Odd multipliers of the rolling hash and of the order of groups.
 ROLL, ORDER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -120,36 +123,29 @@ def shared_groups(retained: DataFrame) -> DataFrame:
     ordered = retained.repartitionByRange("grp", "id").sortWithinPartitions("grp", "id")
 
     def neighbours(batches):
-        # a run of equal beginnings is decided where it ends; the first and last of a partition may go on in others
-        run, first = None, None
+        # a run of equal beginnings is decided with its second document; the first and last of a partition may go on in others
+        first, now, ids = None, None, np.zeros(0, np.int64)
 
         def out(grp, id_, edge):
-            return pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(id_, pa.int64()), pa.array(edge, pa.bool_())], names=["grp", "id", "edge"])
+            return pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(id_, pa.int64()), pa.array(np.full(len(grp), edge))], names=["grp", "id", "edge"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             grp, id_ = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             first = grp[0] if first is None else first
-            if run is not None:
-                grp, id_ = np.append(run[0], grp), np.append(run[1], id_)
+            # what stands for the run so far: its one document's row, or two that are decided already
+            stand = np.append(np.ones(len(ids), bool), np.zeros(len(grp), bool))
+            done = stand & (len(ids) > 1)
+            grp, id_ = np.append(np.full(len(ids), now if now is not None else 0), grp), np.append(ids, id_)
             head = np.append(True, grp[1:] != grp[:-1])
-            several = np.logical_or.reduceat(np.append(False, (id_[1:] != id_[:-1]) & ~head[1:]), np.flatnonzero(head))[np.cumsum(head) - 1]
-            edge = (grp == first) | (grp == grp[-1])
-            yield out(grp[several & ~edge], id_[several & ~edge], np.zeros(int((several & ~edge).sum()), bool))
-            open_ = np.flatnonzero(edge)
-            begun = open_[(grp[open_] == first) & (grp[open_] != grp[-1])]
-            yield out(grp[begun], id_[begun], np.ones(len(begun), bool))
-            last = np.flatnonzero(grp == grp[-1])
-            if grp[-1] == first:
-                # still the first run: all is an edge, nothing need be kept
-                yield out(grp[last], id_[last], np.ones(len(last), bool))
-                run = None
-            else:
-                # one row of each document stands for the run, in the next batch
-                run = (grp[last], id_[last])
-        if run is not None:
-            yield out(*run, np.ones(len(run[0]), bool))
+            run = np.cumsum(head) - 1
+            several = np.logical_or.reduceat(np.append(False, (id_[1:] != id_[:-1]) & ~head[1:]), np.flatnonzero(head))[run]
+            yield out(grp[several & ~done & (grp != first)], id_[several & ~done & (grp != first)], False)
+            yield out(grp[(grp == first) & ~stand], id_[(grp == first) & ~stand], True)
+            now = grp[-1]
+            ids = np.unique(id_[run == run[-1]])[:2] if now != first else np.zeros(0, np.int64)
+        yield out(np.full(len(ids), now if now is not None else 0), ids, True)
 
     met = cut(ordered.mapInArrow(neighbours, "grp long, id long, edge boolean"))
     edges = met.where("edge").select("grp", "id")
@@ -221,9 +217,14 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     of_doc = shared_groups(retained).groupBy("id").agg(F.collect_set("grp").alias("grps"))
     extra = copies.where("id <> least").select("id")
     around = written(windows(docs.join(of_doc.join(extra, "id", "left_anti"), "id")))
-    ends = around.groupBy("win").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("win", F.col("low").alias("first_id"))
+    ends = cut(around.groupBy("win").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low <> high").select("win", F.col("low").alias("first_id"), "n"))
     # copies are repeated in full, if they are long enough; the windows of those that stand for them have done their work
-    rest = around.join(copies.select("id").distinct(), "id", "left_anti").join(ends, "win").select("id", "word", "start", "end", "first_id")
+    open_ = around.join(copies.select("id").distinct(), "id", "left_anti")
+    # windows that make up a part of all rows can be few, whatever the corpus: they meet their rows where these are
+    many = F.col("n") > (ends.agg(F.sum("n")).first()[0] or 0) / FREQUENT
+    frequent = ends.where(many).drop("n")
+    rest = open_.join(F.broadcast(frequent), "win").unionByName(open_.join(F.broadcast(frequent.select("win")), "win", "left_anti").join(ends.where(~many).drop("n"), "win"))
+    rest = rest.select("id", "word", "start", "end", "first_id")
     full = copies.where(F.col("n_words") >= LEAST).select("id", "start", "end", "n_words", F.col("least").alias("first_id"))
     return joined(rest, parts).unionByName(full).withColumnRenamed("id", doc_id)
 
