@@ -7,7 +7,7 @@ one more, in an order seeded for each epoch; the prefix ends with the last docum
 
 All is DataFrame operations. The prefix of a leaf is found digit by digit of the order's hash, from sums over 256 values a leaf, so
 that no leaf's documents are ever sorted in one place; only those that share the first ``LEVELS`` digits with the end of the
-prefix, one in 16 million, are ordered.
+prefix, one in 16 million, are ordered. The hash is of id and text, so that rows of one id, or of none, spread as well.
 
 Weights that are missing are 1; nulls in domain, lang or source are a value of their own, ``(none)``. Null and empty texts count one
 token. Repeated rows count each. A total over what all epochs hold is cut down to that. Empty tables give empty results.
@@ -71,6 +71,8 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], total: int | float,
     base = docs.select(
         F.col(doc_id), node(F.col("domain") if domain is None else domain).alias("domain"), node(F.col("lang")).alias("lang"), node(F.col("source")).alias("source"),
         (estimated_tokens(text) if tokens is None else tokens.cast("long")).alias("n_tokens"),
+        # tells rows of equal or null ids apart
+        (F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))) if text in docs.columns else F.lit("")).alias("same"),
     )
     base = cut(base)
     leaves = base.groupBy(*TREE).agg(F.sum("n_tokens").alias("supply"))
@@ -88,8 +90,8 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], total: int | float,
 
 
 def order_key(seed: int, epoch: Column, doc_id: str) -> Column:
-    """48 bits of a seeded hash, as a number."""
-    text = F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    """48 bits of a seeded hash of id and text, as a number."""
+    text = F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "same")
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
 
 
@@ -146,7 +148,7 @@ def oracle() -> str:
     case = lambda level: "CASE " + " ".join(f"WHEN {level} = '{v}' THEN {w}" for v, w in WEIGHTS.get(level, {}).items()) + " ELSE 1 END" if WEIGHTS.get(level) else "1"
     drop = "EXCLUDE (before_, ahead_, full_, given_, open_)"
     return f"""WITH base AS (SELECT doc_id, CASE WHEN substr(md5(coalesce(source, '')), 1, 1) IN ('0','1','2','3','4','5','6','7') THEN 'web' ELSE 'books' END AS domain,
-  coalesce(lang, '{NONE}') AS lang, coalesce(source, '{NONE}') AS source, greatest(1, CAST(ceil(coalesce(strlen(text), 0) / 4.0) AS BIGINT)) AS n_tokens FROM documents),
+  coalesce(lang, '{NONE}') AS lang, coalesce(source, '{NONE}') AS source, md5(coalesce(text, '')) AS same, greatest(1, CAST(ceil(coalesce(strlen(text), 0) / 4.0) AS BIGINT)) AS n_tokens FROM documents),
 leaf AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS supply, sum(n_tokens)::HUGEINT * {EPOCHS} AS cap, {case("lang")} AS w_lang, {case("domain")} AS w_domain, {case("source")} AS w_source FROM base GROUP BY ALL),
 lang_n AS (SELECT domain, lang, sum(cap)::HUGEINT AS lang_cap, max(w_lang) AS w_lang, max(w_domain) AS w_domain FROM leaf GROUP BY ALL),
 dom_n AS (SELECT domain, sum(lang_cap)::HUGEINT AS domain_cap, max(w_domain) AS w_domain, (SELECT least(CAST(floor(sum(supply)::DOUBLE * {TOTAL}) AS HUGEINT), sum(cap)::HUGEINT) FROM leaf) AS total FROM lang_n GROUP BY domain),
@@ -156,7 +158,7 @@ lang_m AS (SELECT l.*, d.share AS domain_budget FROM lang_n l JOIN dom d USING (
 leaf_m AS (SELECT f.*, l.share AS lang_budget FROM leaf f JOIN lng l USING (domain, lang)),
 {level_sql("lf", "leaf_m", "domain, lang", "source", "lang_budget", "cap", "w_source")},
 plan AS (SELECT domain, lang, source, CAST(share // supply AS INTEGER) AS whole, share % supply AS rest FROM lf),
-placed AS (SELECT b.*, whole, rest, substr(md5('{SEED}|' || whole || '|' || doc_id), 1, 12) AS key FROM base b JOIN plan USING (domain, lang, source)),
+placed AS (SELECT b.*, whole, rest, substr(md5('{SEED}|' || whole || '|' || doc_id || '|' || same), 1, 12) AS key FROM base b JOIN plan USING (domain, lang, source)),
 prefix AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM placed)
 SELECT doc_id, domain, lang, source, n_tokens, CAST(e.epoch AS INTEGER) AS epoch FROM placed, range(0, {EPOCHS}) e(epoch) WHERE e.epoch < whole
 UNION ALL SELECT doc_id, domain, lang, source, n_tokens, whole AS epoch FROM prefix WHERE upto <= rest AND rest > 0"""
