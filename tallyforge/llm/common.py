@@ -31,11 +31,14 @@ def held_out(doc_id: str, parts: int, part: int):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; one of our own only where it names none."""
+    """The checkpoint folder that the cluster names. Where it names none, a temporary one does on a single machine only."""
     sc = spark.sparkContext
     folder = sc._jsc.sc().getCheckpointDir()
     if not folder.isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
         folder = sc._jsc.sc().getCheckpointDir()
     return folder.get()
 

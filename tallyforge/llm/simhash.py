@@ -181,7 +181,8 @@ def recut(members: DataFrame, radius: int) -> DataFrame:
             fp = np.repeat(fp, radius + 1)
             yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(new.ravel()), pa.array(fp & new.ravel())], names=["fp", "mask", "value"])
 
-    return members.select("fp", "mask").mapInArrow(run, "fp long, mask long, value long")
+    # different cuts may end in the same mask
+    return members.select("fp", "mask").mapInArrow(run, "fp long, mask long, value long").distinct()
 
 
 def link_table(distinct: DataFrame, radius: int = RADIUS, over: int | None = None) -> DataFrame:
