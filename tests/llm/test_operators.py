@@ -160,15 +160,47 @@ def test_nested_layers_map_back_to_their_span(outer, inner):
 
 
 def test_a_stream_that_holds_itself_ends(monkeypatch):
-    monkeypatch.setattr(secrets, "inflated", lambda raw, most: b"round" if raw == b"and" else b"and" if raw == b"round" else None)
-    assert secrets.as_text(b"round") is None and secrets.as_text(b"plain") == "plain"
+    monkeypatch.setattr(secrets, "packed", lambda raw: raw in (b"round token", b"and token"))
+    monkeypatch.setattr(secrets, "inflated", lambda chunks: iter([b"round token" if next(iter(chunks)) == b"and token" else b"and token"]))
+    assert [*secrets.windows(b"round token")] == ["round token"]
 
 
-def test_bombs_stay_closed(monkeypatch):
-    monkeypatch.setattr(secrets, "INFLATED", 1000)
-    assert secrets.as_text(zlib.compress(b"a" * 1000)) == "a" * 1000
-    assert secrets.as_text(zlib.compress(b"a" * 1001)) is None
-    assert secrets.as_text(zlib.compress(zlib.compress(b"b" * 990))) is None
+def test_large_streams_are_scanned_in_windows(monkeypatch):
+    monkeypatch.setattr(secrets, "WINDOW", 4000)
+    monkeypatch.setattr(secrets, "OVERLAP", 200)
+    raw = b"a b " * 5000 + b"password=hunter2hunter2 " + b"c d " * 5000
+    for packed in (zlib.compress(raw), gzip.compress(zlib.compress(raw)), gzip.compress(raw[:9990]) + gzip.compress(raw[9990:])):
+        found = [*secrets.windows(packed)]
+        assert any("password=hunter2hunter2" in w for w in found) and max(map(len, found)) < 9000
+
+
+CODE = lambda s: base64.b64encode(s.encode()).decode()
+ONE, TWO = CODE("password = firstfirst1"), CODE("token: secondsecond")
+
+
+@pytest.mark.parametrize("sign", ["-", "_", "/", "+"])
+def test_all_parts_of_a_run_are_decoded(sign):
+    text = f"see {ONE.rstrip('=')}{sign}{TWO} end"
+    spans = [s for s in secrets.scan(text)[1] if s[0] == "assign"]
+    at = text.index(TWO[:20])
+    assert any(a < at for _, a, _ in spans) and any(a >= at - 1 for _, a, _ in spans), spans
+
+
+def test_bytes_that_are_no_text_hide_nothing():
+    secret = "token=abcdefgh1234"
+    hidden = {
+        "url": "".join(f"%{b:02x}" for b in secret.encode() + b"\xff"),
+        "surrogate": "".join(f"\\u{ord(c):04x}" for c in secret) + "\\ud800",
+        "nul": base64.b64encode(b"\0 " + secret.encode()).decode(),
+        "bad byte": base64.b64encode(b"\xff\xfe " + secret.encode()).decode(),
+        "lines": base64.encodebytes(gzip.compress((prose(random.Random(3), 60) + " " + secret).encode())).decode(),
+        "url of zlib": urllib.parse.quote(zlib.compress((secret + " " + prose(random.Random(4), 9)).encode())),
+        "escaped zlib": "".join(f"\\x{b:02x}" for b in zlib.compress((secret + " and more").encode())),
+    }
+    for name, coded in hidden.items():
+        text = f"head {coded.strip()} tail"
+        base, spans = secrets.scan(text)
+        assert not base and any(k == "assign" and 4 <= a < b <= len(text) - 4 for k, a, b in spans), (name, spans)
 
 
 def test_decoding_ends_and_redaction_covers(spark):
@@ -234,8 +266,8 @@ def test_more_blocks_for_more_fingerprints():
 
 
 @pytest.mark.parametrize("over", [1, 2, 3])
-def test_shared_shards_lose_no_link(spark, monkeypatch, over):
-    monkeypatch.setattr(simhash, "SHARED", 8)
+def test_crowded_shards_lose_no_link(spark, monkeypatch, over):
+    monkeypatch.setattr(simhash, "CROWDED", 24)
     rng = np.random.default_rng(2)
     fps = np.unique(np.uint64(77) ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (200, 3), dtype=np.uint64), axis=1)).astype(np.int64)
     links = simhash.link_table(spark.createDataFrame([(int(f),) for f in fps], "fp long"), over=over).collect()
@@ -407,6 +439,23 @@ def test_walk_is_the_plain_walk():
     assert editprint.Walker().fingerprints(texts)[0] == [plain(t) for t in texts]
 
 
+@pytest.mark.parametrize("members", [8192, 6])
+def test_no_link_of_a_band_is_lost(spark, monkeypatch, members):
+    """A frame that all share: A near C, B between them near neither; bands of one task and of several."""
+    monkeypatch.setattr(editprint, "MEMBERS", members)
+    rng = random.Random(5)
+    frame = prose(rng, 200)
+    texts = [frame[:k] + prose(rng, n) + frame[k + n :] for k, n in [(300, 2), (900, 30), (301, 2), (500, 3), (20, 1), (1200, 5)] * 4]
+    prints, up = editprint.Walker().fingerprints(texts)[0], list(range(24))
+    for i in range(24):
+        for k in range(i):
+            if editprint.likeness(prints[i], prints[k]) >= 0.8:
+                old, new = max(up[i], up[k]), min(up[i], up[k])
+                up = [new if x == old else x for x in up]
+    got = [r["component_id"] for r in sorted(rows(editprint.near_duplicates(spark.createDataFrame([*enumerate(texts)], SCHEMA))), key=lambda r: r["doc_id"])]
+    assert sum(a == b for a, b in zip(got, up, strict=True)) >= 22 and all(a >= b for a, b in zip(got, up, strict=True))
+
+
 def test_few_edits_stay_near_and_are_verified(spark):
     rng = random.Random(12)
     base = [prose(rng, 200) for _ in range(20)]
@@ -414,6 +463,12 @@ def test_few_edits_stay_near_and_are_verified(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(base)] + [(100 + i, t) for i, t in enumerate(edited)], SCHEMA)
     got = {r["doc_id"]: r["component_id"] for r in rows(editprint.near_duplicates(df, edits=4))}
     assert sum(got[100 + i] == i for i in range(20)) >= 18 and all(got[i] == i for i in range(20))
+    # banding and verification against the likeness of all pairs
+    prints = editprint.Walker().fingerprints([*base, *edited])[0]
+    likely = [(i, k) for i in range(40) for k in range(i) if editprint.likeness(prints[i], prints[k]) >= editprint.NEAR]
+    got = {r["doc_id"]: r["component_id"] for r in rows(editprint.near_duplicates(df))}
+    at = lambda i: got[i if i < 20 else 80 + i]
+    assert len(likely) >= 10 and sum(at(i) == at(k) for i, k in likely) >= 0.9 * len(likely)
     assert editprint.within("kitten", "sitting", 3) and not editprint.within("kitten", "sitting", 2) and editprint.within("", "", 0) and not editprint.within("abc", "", 2)
 
 
@@ -520,3 +575,123 @@ def test_neighbours_of_isolated_queries(spark):
     cosine = {i: float(v @ few[0] / np.linalg.norm(v) / np.linalg.norm(few[0])) for i, v in table.items() if i != 50}
     ids = [r.vec_id for r in sorted(got, key=lambda r: r["rank"])]
     assert len(ids) == 5 and ids[:4] == sorted(cosine, key=lambda i: -cosine[i])[:4]
+
+
+# local search, components, finer shards, Unicode, near-copies of crowded shards
+
+
+def steps_left(bins, sizes, limit):
+    """Every move and exchange of three documents at most that would raise the sum of squared fills."""
+    from itertools import combinations
+
+    fill = [sum(sizes[i] for i in b) for b in bins]
+    sums = [{n: {sum(sizes[i] for i in x) for x in combinations(b, n)} for n in (0, 1, 2)} for b in bins]
+    for a in range(len(bins)):
+        for b in range(len(bins)):
+            for n, m in ((1, 0), (2, 0), (1, 1), (2, 1), (1, 2)):
+                for s in sums[a][n] if a != b else ():
+                    for r in sums[b][m]:
+                        if 0 < s - r <= limit - fill[b] and fill[b] + s - r > fill[a]:
+                            yield a, b, s, r
+
+
+@pytest.mark.parametrize("low, high, n", [(600, 1500, 60), (300, 700, 60), (1, 2047, 50), (50, 150, 80), (100, 100, 60)])
+def test_no_step_is_left(low, high, n):
+    rng = random.Random(n + low)
+    for start in ("best fit", "one each"):
+        sizes = [rng.randint(low, high) for _ in range(n)]
+        bins = packing.best_fit(sizes, 2048) if start == "best fit" else [[i] for i in range(n)]
+        assert not [*steps_left(found := packing.search([list(b) for b in bins], sizes, 2048), sizes, 2048)]
+        assert sorted(i for b in found for i in b) == list(range(n)) and max(sum(sizes[i] for i in b) for b in found) <= 2048 and len(found) <= len(bins)
+
+
+def test_middle_sized_documents_pack_near_the_bound():
+    rng = random.Random(1)
+    sizes = [rng.randint(300, 700) for _ in range(2000)]
+    assert len(packing.search(packing.best_fit(sizes, 2048), sizes, 2048)) <= 1.01 * math.ceil(sum(sizes) / 2048)
+
+
+def test_ids_of_stretches_are_the_librarys():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    own, coder, rng = Tokenizer.from_file(path), packing.Coder(path), random.Random(1)
+    pool = [*" \n\t\r\x0b\x0c\x1c\x1f\x85\xa0 　'\"`.,-_<|>abXYZ019éß漢字🙂́", *([" "] * 12), "<|endoftext|>", "'s", "  ", "\n\n", "word.\nNext", "word,"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    for _ in range(2):  # the second time from memory
+        assert [x.tolist() for x in coder.encode(pa.array(texts))] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_token_counts_of_any_unicode():
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    own, spec, rng = Tokenizer.from_file(path), tokens.load(path), random.Random(4)
+    splitter, merger = tokens.Splitter(spec, own), tokens.RankMerger(spec)
+    letter = lambda: chr(c) if not 0xD800 <= (c := rng.choice([rng.randrange(0x250), rng.randrange(0x3100), rng.randrange(0x110000), 32, 97])) < 0xE000 else " "
+    texts = ["".join(letter() for _ in range(20)) for _ in range(3000)] + ["\U00018e89 ࢏ x", "Σας ΣΑΣ"]
+    for t in texts:
+        between, special = splitter.segments(t)
+        assert len(special) + int(merger.counts([p for s in between for p in splitter.pieces(s)]).sum()) == len(own.encode(t, add_special_tokens=False).ids), ascii(t)
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    from tallyforge.llm import components as C
+
+    rounds = []
+    ends = C.ends
+    monkeypatch.setattr(C, "ends", lambda to: rounds.append(1) or ends(to))
+    links = [(i, i + 1) for i in range(999)] + [(5000 + i, 5001 + i % 7) for i in range(30)]
+    got = {r.node: r.component for r in C.components(spark.createDataFrame(links, "a long, b long").coalesce(1)).collect()}
+    assert all(got[i] == 0 for i in range(1000)) and got[5003] == 5000 and len(rounds) < 15
+
+
+def test_finer_shards_keep_near_pairs():
+    rng = random.Random(2)
+    mask = simhash.choices(1, 3)[1]
+    for _ in range(200):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample([x for x in range(64) if not mask >> x & 1], 3):
+            b ^= 1 << bit
+        assert any(a & m == b & m for m in simhash.finer(mask, 3))
+
+
+def jaccard_groups(texts):
+    from tallyforge.llm import copies
+
+    sets = [{*copies.shingles(t).tolist()} for t in texts]
+    up = list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0:
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("members", [8192, 16])
+def test_near_copies_are_those_of_all_pairs(spark, monkeypatch, members):
+    """A large group whose edits range from none to many, some small groups and odd texts; shards of one task and of several."""
+    from tallyforge.llm import copies
+
+    monkeypatch.setattr(copies, "MEMBERS", members)
+    rng = random.Random(8)
+    centre = prose(rng, 150).split()
+    texts = []
+    for _ in range(90):
+        words = list(centre)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = f"edit{rng.random()}"
+        texts.append(" ".join(words))
+    texts += [prose(rng, 120) for _ in range(20)] + [t + " tail" for t in texts[:3]] + ["", "one", "one", "two words", "six little words in a row"]
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (500, None)], SCHEMA).repartition(4)
+    want = jaccard_groups(texts)
+    got = {(r.doc_id, r.key) for r in copies.near_copies(df).collect()}
+    assert got == {(i, hashlib.sha256(texts[i].encode()).hexdigest()) for i in sorted({*want})}
