@@ -14,6 +14,7 @@ Nulls in any column, empty texts and empty tables pass every stage; further colu
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from functools import wraps
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import copies, mixing, packing, secrets, toxicity
-from tallyforge.llm.common import cut, read, shared_folder, ship
+from tallyforge.llm.common import cut, read, removed, shared_folder, ship
 from tallyforge.llm.queries import tokenizer
 
 #: The mixture's weights, and the share of all tokens that it keeps.
@@ -97,4 +98,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, function in STAGES:
         function(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+    # the result is read from the last stage's folder; all of them go when the driver ends
+    atexit.register(removed, spark, folder)
     return docs
