@@ -19,6 +19,8 @@ def session(name: str = "tallyforge", **settings: str) -> SparkSession:
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each Spark context, so that workers can import it wherever they start."""
+    # a union of two sides that are one partition each passes for one partition in Spark 4.1, and a repartition after it may be left out
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     sc = spark.sparkContext
     if getattr(sc, "_tallyforge_shipped", False):
         return
