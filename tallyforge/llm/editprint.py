@@ -5,7 +5,8 @@ chosen by time and character, says whether it moves on. Two texts with few edits
 so Hamming distance stands in for edit distance. A fingerprint keeps the emitted characters at fixed random times, equally
 many from each doubling of time: the times are the same for texts of all lengths, and ``likeness`` weighs each doubling by its
 length. Near-duplicates are found by banding bit-sampled fingerprint places and verified by likeness or by edit distance: all classes of
-a band, not only neighbours. A text also stands in the bands of the doubling before its last, where those of just shorter texts are.
+a band, not only neighbours. A text that ends soon after its last doubling began also stands in the bands of the one before, where those of just shorter
+texts are.
 
 The walk needs one table look-up a character, as the time that a character holds the walk depends on the character and the time
 of arrival alone. Texts of a step are walked side by side; the last long ones one by one.
@@ -26,8 +27,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_CHARS, by_step, read, written
-from .shards import Shard, joined_classes, sharded
+from .common import STEP_CHARS, by_step, cut, read, written
+from .shards import Shard, joined_classes
 
 #: Kinds of character, by a hash of the code point; each has random bits of its own.
 KINDS = 16
@@ -39,9 +40,11 @@ PLACES = 24
 ALONE = 48
 #: Likeness from which two documents of a shared band are near.
 NEAR = 0.8
-BANDS, ROWS = 12, 6
-#: Members and characters of a band that one task holds.
-MEMBERS, CHARS = 8192, 16_000_000
+BANDS, ROWS = 9, 6
+#: Places of its last doubling up to which a text may be near one that ends in the doubling before: about a quarter of them, and what chance adds.
+OVER = 10
+#: Members of a band that one task holds.
+MEMBERS = 8192
 HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
@@ -218,7 +221,7 @@ class Prints(Shard):
 
 
 def banded(classes: DataFrame) -> DataFrame:
-    """``class, size, fp, bucket``: each class in the bands of its last doubling and of the one before."""
+    """``id, bucket``: each class, by a hash of its name, in the bands of its last doubling and, soon after that began, of the one before."""
     rng = np.random.default_rng(44)
     chosen = [sorted(rng.choice(PLACES * 3, ROWS, replace=False).tolist()) for _ in range(BANDS)]
 
@@ -227,16 +230,25 @@ def banded(classes: DataFrame) -> DataFrame:
             keys = []
             for print_ in batch.column(1).to_pylist():
                 last, own = (len(print_) - 1) // PLACES, []
-                for level in {last, last - 1} - {-1, -2}:
+                for level in {last, last - 1 if len(print_) - last * PLACES <= OVER else last} - {-1, -2}:
                     begin = max(0, level - 2) * PLACES
                     for i, places in enumerate(chosen):
                         sampled = "".join([print_[begin + p : begin + p + 1] or "." for p in places])
                         own.append(xxhash.xxh64_intdigest(f"{i}:{level}:{sampled}") - (1 << 63))
                 keys.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["class", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["id", "buckets"])
 
-    bands = classes.select("class", "fingerprint").mapInArrow(run, "class string, buckets array<long>")
-    return bands.select("class", F.lit(0).alias("size"), F.lit(0).cast("long").alias("fp"), F.explode("buckets").alias("bucket"))
+    bands = classes.select(F.xxhash64("class").alias("id"), "fingerprint").mapInArrow(run, "id long, buckets array<long>")
+    return bands.select("id", F.explode("buckets").alias("bucket"))
+
+
+def band_members(classes: DataFrame) -> DataFrame:
+    """Those classes that share a band with others, as ``joined_classes`` takes them. Names join only then: most bands hold one class."""
+    bands = banded(classes)
+    sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = bands.join(sizes.select("bucket", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks")), "bucket")
+    named = shared.join(classes.select(F.xxhash64("class").alias("id"), "class"), "id")
+    return cut(named.select("class", F.lit(0).cast("long").alias("fp"), "bucket", "blocks", F.pmod(F.xxhash64("class"), "blocks").cast("int").alias("block")))
 
 
 def print_key(text: bool):
@@ -244,24 +256,33 @@ def print_key(text: bool):
 
 
 def components_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near: float = NEAR, edits: int | None = None) -> DataFrame:
-    """``class, component_id``: of each class of equal fingerprints (with ``edits``, of equal texts) the smallest id that links reach."""
+    """``class, component_id``: of each class of equal fingerprints (with ``edits``, of equal texts) the smallest id that links reach; classes of one document
+    that none reach are left out."""
     marked = fingerprints(docs.select(F.col(doc_id).alias("id_"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     one = F.min("text") if edits is not None else F.lit("")
-    classes = written(marked.groupBy(print_key(edits is not None).alias("class")).agg(F.min("id_").alias("least"), F.min("fingerprint").alias("fingerprint"), one.alias("text")))
-    members = sharded(banded(classes), MEMBERS, CHARS)
+    classes = written(marked.groupBy(print_key(edits is not None).alias("class")).agg(F.count("*").alias("n"), F.min("id_").alias("least"), F.min("fingerprint").alias("fingerprint"), one.alias("text")))
+    members = band_members(classes)
     needed = classes.join(members.select("class").distinct(), "class", "left_semi")
     found = F.concat(F.col("fingerprint").cast("binary"), F.unhex(F.lit("00")), F.col("text").cast("binary"))
     comps = joined_classes(members, needed.select("class", found.alias("found")), partial(Prints, near, edits))
-    named = classes.select("class", "least").join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    named = classes.select("class", "least", "n").join(comps, "class", "left").where("n > 1 OR comp IS NOT NULL").withColumn("comp", F.coalesce("comp", "class"))
     ids = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    return named.join(ids, "comp").select("class", "component_id")
+    # a table whose size the planner knows, so that a small one travels to the documents
+    return written(named.join(ids, "comp").select("class", "component_id"))
+
+
+def with_components(docs: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
+    """``docs`` (with class) and component_id: a document that nothing reaches is its own component."""
+    out = docs.join(found, "class", "left")
+    return out.withColumn("component_id", F.coalesce("component_id", doc_id)).drop("class")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near: float = NEAR, edits: int | None = None) -> DataFrame:
     """``doc_id, component_id``: the smallest id that links reach, which go between documents of a shared band with a likeness of ``near`` or,
     with ``edits``, at most so many edits. Documents of equal fingerprint (or text) are one class."""
     marked = fingerprints(docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("text")))
-    return marked.withColumn("class", print_key(edits is not None)).join(components_of(docs, text, doc_id, near, edits), "class").select(doc_id, "component_id")
+    marked = marked.withColumn("class", print_key(edits is not None)).select(doc_id, "class")
+    return with_components(marked, components_of(docs, text, doc_id, near, edits), doc_id)
 
 
 def with_next(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", part_rows: int = 2000, most_parts: int = 20_000) -> DataFrame:
@@ -332,5 +353,4 @@ def edited_likeness(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 def op8(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = edited_likeness(docs).withColumn("class", print_key(False))
-    return found.join(components_of(docs), "class", "left").drop("class")
+    return with_components(edited_likeness(docs).withColumn("class", print_key(False)), components_of(docs), "doc_id")
