@@ -28,36 +28,73 @@ def closed_writes(rows: DataFrame, closed: DataFrame, keys: list[str], day: str)
     return overlapping(spans, closed, keys).select(*rows.columns)
 
 
-#: What a period's metrics must be for its controls to pass: the name of the control, and of the metric that must be zero.
+#: The controls of a close, and the metric of each that must be zero. The last one is for a product that closes by itself, and
+#: never passes; it does not count for readiness.
 CONTROLS = {
+    "expected_sources": "no_sources",
     "expectations_satisfied": "pending_expectations",
-    "datasets_present": "missing_datasets",
-    "datasets_published": "unpublished",
-    "completeness_verified": "incomplete",
-    "lineage_complete": "lineage_gaps",
-    "no_rejected_rows": "rejected_rows",
-    "accounting_dates_present": "missing_dates",
-    "reviews_decided": "open_reviews",
-    "no_high_quality_issue": "high_issues",
-    "corrections_applied": "pending_corrections",
-    "balances_present": "missing_balances",
-    "accounts_assigned": "missing_account_assignments",
-    "assessments_present": "missing_assessments",
-    "accounts_reconciled": "uncovered_accounts",
-    "statement_lineage_complete": "statement_lineage_gaps",
-    "sources_expected": "no_sources",
+    "dataset_evidence": "missing_datasets",
+    "published_datasets": "unpublished",
+    "verified_completeness": "incomplete",
+    "complete_lineage": "lineage_gaps",
+    "rejected_rows": "rejected_rows",
+    "accounting_dates": "missing_dates",
+    "reconciliation_reviews": "open_reviews",
+    "quality_alerts": "high_issues",
+    "pending_corrections": "pending_corrections",
+    "account_balances": "missing_balances",
+    "completeness_assessments": "missing_assessments",
+    "reconciliation_statements": "uncovered_accounts",
+    "reconciliation_statement_lineage": "statement_lineage_gaps",
 }
+NEED_ACCOUNTS = ("reconciliation_statements", "reconciliation_statement_lineage")
+UNAVAILABLE = "product_close"
+
+
+def period_metrics(sources: DataFrame, datasets: DataFrame, evidence: dict[str, DataFrame], balances: DataFrame, assessments: DataFrame, statements: DataFrame, keys: list[str]) -> DataFrame:
+    """The metrics of each period, in one row.
+
+    sources      ``keys``, expectation_id, state, dataset_version_id, financial_account_id and the balance_type that the source's family asks for
+    datasets     dataset_version_id, state, completeness_state, lineage_state, rejected_count
+    evidence     for each of missing_dates, open_reviews, high_issues and pending_corrections the open things: dataset_version_id and id; an id
+                 of several datasets counts once a period
+    balances     dataset_version_id, financial_account_id, balance_type, lineage_state
+    assessments  expectation_id, dataset_version_id, state, lineage_state, seq: the last of each pair counts
+    statements   financial_account_id, period_start, state, lineage_state, seq: the last of each account and period counts
+    """
+    ds = datasets.select("dataset_version_id", F.col("state").alias("ds_state"), "completeness_state", "lineage_state", "rejected_count")
+    good = balances.where("lineage_state = 'complete'").select("dataset_version_id", "financial_account_id", "balance_type", F.lit(True).alias("has_balance")).distinct()
+    last = latest(assessments, ["expectation_id", "dataset_version_id"], F.desc("seq"))
+    last = last.select("expectation_id", "dataset_version_id", ((F.col("state") == "verified") & (F.col("lineage_state") == "complete")).alias("assessed"))
+    one = sources.join(ds, "dataset_version_id", "left").join(good, ["dataset_version_id", "financial_account_id", "balance_type"], "left").join(last, ["expectation_id", "dataset_version_id"], "left")
+    lacks = lambda c: F.count_if(~F.coalesce(F.col(c), F.lit(False)))
+    out = one.groupBy(*keys).agg(
+        F.when(F.count("*") > 0, 0).otherwise(1).alias("no_sources"), F.count_if(F.col("state") != "satisfied").alias("pending_expectations"), F.count_if(F.col("dataset_version_id").isNull()).alias("missing_datasets"),
+        F.count_if(F.col("ds_state") != "published").alias("unpublished"), F.count_if(F.col("completeness_state") != "verified").alias("incomplete"), F.count_if(F.col("lineage_state") != "complete").alias("lineage_gaps"),
+        F.coalesce(F.sum("rejected_count"), F.lit(0)).alias("rejected_rows"), lacks("has_balance").alias("missing_balances"), lacks("assessed").alias("missing_assessments"),
+    )
+    selected = sources.where("dataset_version_id IS NOT NULL").select(*keys, "dataset_version_id").distinct()
+    for metric, rows in evidence.items():
+        out = out.join(selected.join(rows, "dataset_version_id").groupBy(*keys).agg(F.countDistinct("id").alias(metric)), keys, "left")
+    said = latest(statements, ["financial_account_id", "period_start"], F.desc("seq")).select("financial_account_id", "period_start", F.col("state").alias("said"), (F.col("lineage_state") == "complete").alias("traced"))
+    accounts = sources.where("financial_account_id IS NOT NULL").select(*keys, "financial_account_id").distinct().join(said, ["financial_account_id", "period_start"], "left")
+    by = accounts.groupBy(*keys).agg(F.count("*").alias("accounts"), F.count_if(~F.coalesce(F.col("said") == "balanced", F.lit(False))).alias("uncovered_accounts"), F.count_if(~F.col("traced")).alias("statement_lineage_gaps"))
+    return out.join(by, keys, "left").fillna(0, [*evidence, "accounts", "uncovered_accounts", "statement_lineage_gaps"])
 
 
 def controls(metrics: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each period and control, from metrics in one row; a metric that is missing fails."""
-    rows = F.array(*[F.struct(F.lit(c).alias("control"), F.coalesce(F.col(m), F.lit(1)).cast("long").alias("open"), (F.coalesce(F.col(m), F.lit(1)) == 0).alias("passed")) for c, m in CONTROLS.items()])
-    return metrics.select(*keys, F.inline(rows))
+    """A row for each period and control, from metrics in one row; a metric that is missing fails, and so do controls of accounts where there is none."""
+    passed = lambda c, m: (F.coalesce(F.col(m), F.lit(1)) == 0) & ((F.col("accounts") > 0) if c in NEED_ACCOUNTS else F.lit(True))
+    row = lambda c, n, ok, state: F.struct(F.lit(c).alias("control"), n.cast("long").alias("open"), ok.alias("passed"), state.alias("state"))
+    rows = [row(c, F.coalesce(F.col(m), F.lit(1)), passed(c, m), F.when(passed(c, m), "pass").otherwise("blocked")) for c, m in CONTROLS.items()]
+    never = row(UNAVAILABLE, F.lit(1), F.lit(False), F.lit("unavailable"))
+    return metrics.select(*keys, F.inline(F.array(*rows, never)))
 
 
 def ready(control_rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Ready only if all controls are there and pass."""
-    return control_rows.groupBy(*keys).agg((F.bool_and("passed") & (F.countDistinct("control") == len(CONTROLS))).alias("ready"), F.count_if(~F.col("passed")).alias("failed"))
+    """Ready only if all controls but the unavailable one are there and pass."""
+    counted = control_rows.where(F.col("control") != UNAVAILABLE)
+    return counted.groupBy(*keys).agg((F.bool_and("passed") & (F.countDistinct("control") == len(CONTROLS))).alias("ready"), F.count_if(~F.col("passed")).alias("failed"))
 
 
 def coverage(accounts: DataFrame) -> DataFrame:

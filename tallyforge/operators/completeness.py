@@ -52,13 +52,62 @@ def control_rows(metrics: DataFrame, key: str) -> DataFrame:
     return metrics.select(key, F.inline(rows))
 
 
+#: What an accepted exception must say, and the states it may stand over.
+EXCEPTION_FIELDS = ("scope", "reason", "owner_subject_id", "approved_by", "approved_at", "materiality_policy_id", "valid_from", "expires_at", "allowed_actions", "evidence_refs", "audit_event_id")
+EXCEPTION_STATES = ("mismatch", "unknown")
+
+
+def said(c: str) -> Column:
+    """Whether a field says anything: neither null nor an empty text."""
+    return F.coalesce(F.length(F.col(c).cast("string")) > 0, F.lit(False))
+
+
 def exception_findings(as_of: Column) -> Column:
-    """What is wrong with an accepted exception, as an array of codes."""
-    needed = [F.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), f"missing_{c}") for c in ("reason", "evidence", "approved_by", "expires_on")]
-    own = F.when(F.col("approved_by") == F.col("prepared_by"), "approver_not_independent")
-    late = F.when(F.col("expires_on") <= as_of, "expired")
-    wrong = F.when(F.col("base_state").isin("verified"), "nothing_to_accept")
-    return F.array_compact(F.array(*needed, own, late, wrong))
+    """What is wrong with an accepted exception, as an array of codes. ``allowed_actions`` and ``evidence_refs`` are texts of comma-joined names."""
+    needed = [F.when(~said(c), f"missing_{c}") for c in EXCEPTION_FIELDS]
+    return F.array_compact(F.array(
+        F.when(~F.coalesce(F.col("base_state").isin(*EXCEPTION_STATES), F.lit(False)), "base_state"),
+        *needed,
+        F.when(F.col("owner_subject_id") == F.col("approved_by"), "approver_not_independent"),
+        F.when(said("expires_at") & F.expr("try_cast(expires_at AS date)").isNull(), "expiry_no_date").when(F.expr("try_cast(expires_at AS date)") <= as_of, "expired"),
+        F.when(F.array_contains(F.split(F.coalesce("allowed_actions", F.lit("")), ","), "auto_match"), "auto_match"),
+        F.when(F.coalesce("changes_base_state", F.lit(False)), "changes_base_state"),
+        F.when(~F.coalesce("disclosed_in_snapshot", F.lit(False)), "not_disclosed"),
+    ))
+
+
+def with_exception(statements: DataFrame, exceptions: DataFrame, as_of: Column) -> DataFrame:
+    """Statements (statement_id, unexplained, findings, state) after their exceptions, one each at most: what balances stays; a difference without an exception, or with
+    a faulty one, asks for review; a valid one makes it exception_accepted, never balanced."""
+    faults = exceptions.withColumn("base_state", F.lit("mismatch")).select("statement_id", F.size(exception_findings(as_of)).alias("faults"))
+    out = statements.join(faults, "statement_id", "left")
+    exact = (F.col("unexplained") == 0) & (F.coalesce("findings", F.lit(0)) == 0)
+    return out.withColumn("state", F.when(exact, F.col("state")).when(F.col("faults") == 0, "exception_accepted").otherwise("review_required")).drop("faults")
+
+
+#: The controls that may be declared, and what each state of a dataset may be used for.
+CONTROL_TYPES = (
+    "record_count", "debit_total", "credit_total", "opening_balance", "closing_balance", "running_balance_continuity", "period_coverage", "page_section_coverage", "sequence_cursor",
+    "provenance_integrity", "currency_consistency", "account_identity",
+)
+USES = ("investigation", "match_suggestion", "auto_match", "close_input", "certified_report_input")
+ELIGIBILITY = {
+    "verified": ("yes", "yes", "no", "yes", "yes"),
+    "mismatch": ("yes", "no", "no", "no", "no"),
+    "unknown": ("yes", "no", "no", "no", "no"),
+    "accepted_exception": ("yes", "yes", "no", "conditional_valid_exception", "conditional_disclosed_exception"),
+}
+
+
+def uses(state: Column) -> Column:
+    """An array of (use, allowed) for a completeness state; an unknown word may be used for nothing."""
+    allowed = lambda k: F.coalesce(*[F.when(state == s, F.lit(row[k])) for s, row in ELIGIBILITY.items()], F.lit("no"))
+    return F.array(*[F.struct(F.lit(u).alias("use"), allowed(k).alias("allowed")) for k, u in enumerate(USES)])
+
+
+def undeclared(controls: DataFrame) -> DataFrame:
+    """Control results of a type that the vocabulary does not have."""
+    return controls.where(~F.col("control_type").isin(*CONTROL_TYPES))
 
 
 def item_findings(item: str = "i", statement: str = "s") -> Column:

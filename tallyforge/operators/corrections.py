@@ -13,8 +13,11 @@ FIELDS = {"amount": MONEY, "currency_code": "string", "direction": "string", "oc
 
 
 def set_digest(df: DataFrame, keys: list[str], digest: Column) -> DataFrame:
-    """A digest of a set, whatever its order."""
-    return df.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(digest)), ","), 256).alias("digest"))
+    """A digest of a set of digests, whatever its order: sha256 of the digests that begin with the same three digits, in order, and then of
+    these 4,096 at most, so that no row holds all of a large set."""
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ","), 256)
+    parts = df.select(*keys, digest.alias("d_")).groupBy(*keys, F.substring("d_", 1, 3).alias("p_")).agg(joined("d_").alias("d_"))
+    return parts.groupBy(*keys).agg(joined(F.concat("p_", "d_")).alias("digest"))
 
 
 def checked(overlays: DataFrame) -> DataFrame:

@@ -29,17 +29,27 @@ def unique_findings(constraints: DataFrame, forbidden: tuple[str, ...] = ("amoun
     return constraints.select("name", bad.alias("fields")).where(F.size("fields") > 0)
 
 
-#: What a decision must say.
-REQUIRED = ("candidate_id", "decision", "reason_code", "decided_by", "decided_at")
-
-
-def decision_findings(decisions: DataFrame) -> DataFrame:
-    """Decisions on pairs with their findings: what is missing, ids out of order, a reversal of nothing."""
-    before = F.lag("decision").over(Window.partitionBy("candidate_id").orderBy("decided_at"))
-    missing = [F.when(F.col(c).isNull(), f"missing_{c}") for c in REQUIRED]
-    order = F.when(F.col("left_id") >= F.col("right_id"), "pair_order")
-    reversal = F.when((F.col("decision") == "reversed") & F.coalesce(before != "confirmed", F.lit(True)), "reversal_of_nothing")
-    return decisions.withColumn("findings", F.array_compact(F.array(*missing, order, reversal)))
+#: What a decision must say, and what it may decide.
+REQUIRED = ("company_id", "candidate_id", "left_movement_id", "right_movement_id", "decision", "reason_code", "evidence_refs", "decided_by", "decided_at", "rule_version", "engine_release_id", "audit_event_id")
+DECISIONS = ("open", "confirmed_same_event", "confirmed_distinct", "dismissed", "superseded")
+
+
+def decision_findings(decisions: DataFrame, states: tuple[str, ...] = DECISIONS) -> DataFrame:
+    """Decisions on pairs (decision_id, reverses_decision_id and the fields of ``REQUIRED``) with their findings: what is missing, ids out of order,
+    deletions, and reversals that name no decision or another than the one before, or come from the person who took that."""
+    w = Window.partitionBy("candidate_id").orderBy("decided_at", "decision_id")
+    before, by = F.lag("decision_id").over(w), F.lag("decided_by").over(w)
+    missing = [F.when(F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) == 0, f"missing_{c}") for c in REQUIRED]
+    reverses = F.col("reverses_decision_id")
+    return decisions.withColumn("findings", F.array_compact(F.array(
+        *missing,
+        F.when(~F.coalesce(F.col("decision").isin(*states), F.lit(False)), "decision_state"),
+        F.when(F.col("left_movement_id") > F.col("right_movement_id"), "pair_order"),
+        F.when(F.coalesce("physically_deletes_movement", F.lit(False)), "deletes_movement"),
+        F.when(F.coalesce("deletes_source_evidence", F.lit(False)), "deletes_evidence"),
+        F.when(before.isNotNull() & ~F.coalesce(reverses == before, F.lit(False)), "reversal_reference").when(before.isNull() & reverses.isNotNull(), "reversal_of_nothing"),
+        F.when(by == F.col("decided_by"), "reversal_by_same_person"),
+    )))
 
 
 #: The states of a delivery and what leads from one to the next.
@@ -100,3 +110,14 @@ def permissions(roles: Column, table: dict[str, list[str]]) -> Column:
     """What an array of roles may do, all taken together."""
     known = F.create_map(*[x for r, ps in table.items() for x in (F.lit(r), F.array(*[F.lit(p) for p in ps]))])
     return F.array_sort(F.array_distinct(F.flatten(F.array_compact(F.transform(roles, lambda r: F.element_at(known, r))))))
+
+
+#: Permissions that one person must not use on the same object.
+SEGREGATED = (("match.propose", "match.confirm"), ("close.prepare", "close.approve"), ("close.reopen.request", "close.reopen.approve"), ("dataset.map", "dataset.publish"))
+
+
+def segregation_breaches(acts: DataFrame) -> DataFrame:
+    """``object_id, subject_id, first, second``: who used both of a segregated pair on one object (acts: object_id, subject_id, permission)."""
+    used = acts.groupBy("object_id", "subject_id").agg(*[F.bool_or(F.col("permission") == p).alias(p.replace(".", "_")) for pair in SEGREGATED for p in pair])
+    pairs = F.array_compact(F.array(*[F.when(F.col(a.replace(".", "_")) & F.col(b.replace(".", "_")), F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"))) for a, b in SEGREGATED]))
+    return used.select("object_id", "subject_id", F.inline(pairs))

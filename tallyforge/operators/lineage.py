@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import settled
+
 #: The stages of a column's way from file to movement, with the type before and after.
 STAGES = (("extract", "bytes", "text"), ("normalise", "text", "text"), ("parse", "text", "typed"), ("map", "typed", "typed"), ("derive", "typed", "typed"), ("publish", "typed", "canonical"))
 
@@ -40,47 +42,77 @@ def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.join(nodes, "node_id", "left_anti")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, depth: int = 32) -> DataFrame:
-    """``start, node``: what can be reached along edges. Round by round only new pairs go on, so cycles end; ``depth`` bounds
-    the rounds of a graph that is layered by construction."""
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """``start, node``: what can be reached along edges. Round by round only new pairs go on, until a round finds none; so cycles end, and the
+    rounds are as many as the longest of the shortest walks."""
     step = edges.select(F.col("from_id").alias("node"), F.col("to_id").alias("next")).distinct()
-    seen = starts.select("start", F.col("start").alias("node"))
-    front = seen
-    for _ in range(depth):
-        front = front.join(step, "node").select("start", F.col("next").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
-        # a written checkpoint ends the growing plan, and lets the round be asked whether it found anything
-        front = front.checkpoint() if front.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else front.persist()
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
+    seen = front = settled(starts.select("start", F.col("start").alias("node")).distinct())
+    while not front.isEmpty():
+        found = front.join(step, "node").select("start", F.col("next").alias("node")).distinct()
+        front = settled(found.join(seen, ["start", "node"], "left_anti"))
+        seen = settled(seen.unionByName(front))
     return seen
 
 
 def reachable_sql(spark, edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """The same by a recursive query."""
+    """The same by a recursive query, for graphs without cycles and few ways between two nodes, as every way is walked. Spark ends a
+    walk that goes on over its recursion limit with an error, so that no result is cut short."""
     edges.createOrReplaceTempView("lineage_edges_")
     starts.createOrReplaceTempView("lineage_starts_")
-    return spark.sql("""WITH RECURSIVE walk(start, node, depth) AS (
-        SELECT start, start, 0 FROM lineage_starts_ UNION ALL
-        SELECT w.start, e.to_id, w.depth + 1 FROM walk w JOIN lineage_edges_ e ON e.from_id = w.node WHERE w.depth < 8)
+    return spark.sql("""WITH RECURSIVE walk(start, node) AS (
+        SELECT start, start FROM lineage_starts_ UNION ALL
+        SELECT w.start, e.to_id FROM walk w JOIN lineage_edges_ e ON e.from_id = w.node)
         SELECT DISTINCT start, node FROM walk""")
 
 
-def peeled(edges: DataFrame, nodes: DataFrame, most: int = 64) -> DataFrame:
-    """``node, level`` in topological order; nodes of cycles, and those behind them, have no level."""
-    left, out = nodes.select("node"), None
-    for level in range(most):
-        held = edges.join(left.withColumnRenamed("node", "from_id"), "from_id", "left_semi").select(F.col("to_id").alias("node")).distinct()
-        free = left.join(held, "node", "left_anti").withColumn("level", F.lit(level))
-        free = free.persist()
+def peeled(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, level`` in topological order; nodes of cycles, and those behind them, have no level. A round for each level."""
+    left, out, level = settled(nodes.select("node").distinct()), None, 0
+    # an edge from what is no node holds nobody
+    edges = settled(edges.select("from_id", "to_id").distinct().join(left.select(F.col("node").alias("from_id")), "from_id", "left_semi"))
+    while True:
+        held = edges.select(F.col("to_id").alias("node")).distinct()
+        free = settled(left.join(held, "node", "left_anti").withColumn("level", F.lit(level)))
         if free.isEmpty():
             break
-        out = free if out is None else out.unionByName(free)
-        left = left.join(free, "node", "left_anti")
+        out = free if out is None else settled(out.unionByName(free))
+        left = settled(left.join(free, "node", "left_anti"))
+        # edges of nodes that are placed hold nobody any more
+        edges, level = settled(edges.join(free.select(F.col("node").alias("from_id")), "from_id", "left_anti")), level + 1
     stuck = left.withColumn("level", F.lit(None).cast("int"))
     return stuck if out is None else out.unionByName(stuck)
 
 
+def gaps(edges: DataFrame, nodes: DataFrame, origins: DataFrame) -> DataFrame:
+    """``node_id, problem``: ends that are no node, edges between companies, nodes of cycles or behind them, and nodes that no origin reaches.
+
+    ``nodes`` has node_id and company_id; ``origins`` the node_ids that lineage may begin with."""
+    at = lambda end: nodes.select(F.col("node_id").alias(end), F.col("company_id").alias(f"{end}_company"))
+    crossing = edges.join(at("from_id"), "from_id").join(at("to_id"), "to_id").where("from_id_company <> to_id_company").select(F.col("to_id").alias("node_id")).distinct()
+    looped = peeled(edges, nodes.select(F.col("node_id").alias("node"))).where("level IS NULL").select(F.col("node").alias("node_id"))
+    # one start for all origins: what matters is whether any reaches a node
+    begin = origins.select(F.lit("").alias("from_id"), F.col("node_id").alias("to_id"))
+    met = reachable(edges.select("from_id", "to_id").unionByName(begin), edges.sparkSession.createDataFrame([("",)], "start string"))
+    lost = nodes.select("node_id").join(met.select(F.col("node").alias("node_id")), "node_id", "left_anti")
+    found = {"dangling": dangling(nodes.select("node_id"), edges), "crosses_companies": crossing, "in_cycle": looped, "no_origin": lost}
+    out = None
+    for problem, rows in found.items():
+        part = rows.select("node_id", F.lit(problem).alias("problem"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def complete_fields(rows: DataFrame, keys: list[str], stage: str, expected: list[int]) -> DataFrame:
+    """Whether the stages recorded for each field are exactly the expected ones. The set is of stages, of which there are few."""
+    have = F.array_sort(F.collect_set(stage))
+    return rows.groupBy(*keys).agg((have == F.array(*[F.lit(x) for x in sorted(expected)])).alias("complete"))
+
+
+def input_counts(edges: DataFrame, entity: list[str], **inputs: str) -> DataFrame:
+    """For each entity the number of distinct inputs of each kind."""
+    return edges.groupBy(*entity).agg(*[F.countDistinct(column).alias(name) for name, column in inputs.items()])
+
+
 def complete(entities: DataFrame, edges: DataFrame, needed: DataFrame) -> DataFrame:
     """Entities with whether each input that they need is among the sources of their edges, for all entities at once."""
     have = edges.select(F.col("to_id").alias("entity_id"), F.col("from_id").alias("input_id")).distinct()

@@ -24,12 +24,23 @@ def conservation(chunks: DataFrame, keys: list[str]) -> DataFrame:
     return sums.withColumn("conserved", F.col("movements") + F.col("rejected") == F.col("expected"))
 
 
+#: Records of a block of an ordered digest, as bits of the ordinal, and levels of blocks below the dataset.
+BLOCK_BITS, LEVELS = 12, 2
+
+
 def ordered_digest(df: DataFrame, keys: list[str], ordinal: str, record: str) -> DataFrame:
-    """sha256 of a dataset's records, one after the other in their order. A dataset has 200,000 records at most, and its records
-    are gathered in one row; that limit of the format is what bounds the row."""
-    gathered = F.array_sort(F.collect_list(F.struct(ordinal, record)))
-    text = F.array_join(F.transform(gathered, lambda x: x[record]), "")
-    return df.groupBy(*keys).agg(F.sha2(text, 256).alias("digest"), F.count("*").alias("records"))
+    """The digest of a dataset's records in their order, and their number.
+
+    The form is a tree: sha256 of the records of 4,096 ordinals, one after the other; of the digests of 4,096 such blocks; and of all of those. So no
+    row holds more than a block, however large the dataset; repeated ordinals stand in the order of their records.
+    """
+    rows = df.select(*keys, F.col(ordinal).cast("long").alias("at_"), F.col(record).alias("text_"), F.lit(1).cast("long").alias("n_"))
+    for _ in range(LEVELS):
+        gathered = F.array_sort(F.collect_list(F.struct("at_", "text_")))
+        text = F.array_join(F.transform(gathered, lambda x: x["text_"]), "")
+        rows = rows.groupBy(*keys, F.shiftright("at_", BLOCK_BITS).alias("at_")).agg(F.sha2(text, 256).alias("text_"), F.sum("n_").alias("n_"))
+    gathered = F.array_sort(F.collect_list(F.struct("at_", "text_")))
+    return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(gathered, lambda x: x["text_"]), ""), 256).alias("digest"), F.sum("n_").alias("records"))
 
 
 def blockers(datasets: DataFrame) -> DataFrame:

@@ -46,13 +46,32 @@ def posting_delay(m: DataFrame, days: int = 31) -> DataFrame:
     return m.where(F.datediff("posted_on", "occurred_on") > days).select("movement_id")
 
 
+#: Digits by which a median is narrowed down at a time, and how often, before the amounts left are put in order.
+DIGITS, NARROWED = 4, 2
+
+
 def medians(m: DataFrame) -> DataFrame:
-    """The discrete median amount of each dataset, currency and direction, exactly: amounts are counted first, so that
-    many rows of equal amount take one place, and then the first to reach half the rows is taken."""
+    """The discrete median amount of each dataset, currency and direction, exactly: the first to reach half the rows.
+
+    Amounts are counted by size and first digits, of which there are few; of the amounts with the median's digits the next ones are
+    looked at in the same way, and only what shares all of them is put in order. So no group's amounts meet in one task.
+    """
     keys = ["dataset_version_id", "currency_code", "direction"]
     counted = m.groupBy(*keys, "amount").agg(F.count("*").alias("n"))
+    # unscaled digits, so that the order of texts is the order of amounts, which are not negative
+    digits = F.lpad(F.regexp_replace(F.col("amount").cast("decimal(38,12)").cast("string"), "[.]", ""), 40, "0")
+    left = counted.withColumn("digits", digits).withColumn("size", F.length(F.regexp_replace("digits", "^0+", "")))
+    sizes = counted.groupBy(*keys).agg(F.sum("n").alias("sample_size"))
+    left = left.join(sizes, keys).withColumn("below", F.lit(0).cast("long"))
     w = Window.partitionBy(*keys)
-    ranked = counted.withColumn("upto", F.sum("n").over(w.orderBy("amount"))).withColumn("sample_size", F.sum("n").over(w))
+    for k in range(NARROWED):
+        part = F.concat_ws("|", F.lpad(F.col("size").cast("string"), 2, "0"), F.expr(f"substring(digits, 41 - size + {k * DIGITS}, {DIGITS})"))
+        left = left.withColumn("part", part)
+        sums = left.groupBy(*keys, "part").agg(F.sum("n").alias("n"), F.max("below").alias("below"), F.max("sample_size").alias("sample_size"))
+        upto = sums.withColumn("upto", F.col("below") + F.sum("n").over(w.orderBy("part")))
+        at = upto.where("upto * 2 >= sample_size").groupBy(*keys).agg(F.min("part").alias("part"), F.min_by(F.col("upto") - F.col("n"), "part").alias("before"))
+        left = left.join(at, [*keys, "part"]).withColumn("below", F.col("before")).drop("before", "part")
+    ranked = left.withColumn("upto", F.col("below") + F.sum("n").over(w.orderBy("amount")))
     return ranked.where("upto * 2 >= sample_size").groupBy(*keys).agg(F.min("amount").alias("median_amount"), F.max("sample_size").alias("sample_size"))
 
 
@@ -114,6 +133,17 @@ def multiple_risk(m: DataFrame, cap: int | None = None) -> DataFrame:
     return risk_signals(m, cap).groupBy("movement_id").agg(F.countDistinct("rule_code").alias("rules")).where("rules >= 2")
 
 
+def capped(findings: DataFrame, order: list[str], cap: int = CAP) -> DataFrame:
+    """The first ``cap`` findings of each rule, and whether the rule has more: what a report shows. Rules are few, so their findings are
+    counted first and only as many as the cap of each are put in order."""
+    counts = findings.groupBy("rule_code").agg(F.count("*").alias("total"))
+    part = F.pmod(F.xxhash64(*order), F.lit(64))
+    # the first of each part come before the first of all
+    some = findings.withColumn("part_", part).withColumn("place_", F.row_number().over(Window.partitionBy("rule_code", "part_").orderBy(*order))).where(F.col("place_") <= cap)
+    first = some.withColumn("place_", F.row_number().over(Window.partitionBy("rule_code").orderBy(*order))).where(F.col("place_") <= cap)
+    return first.drop("part_", "place_").join(counts, "rule_code").withColumn("truncated", F.col("total") > cap).drop("total")
+
+
 def dataset_findings(datasets: DataFrame) -> DataFrame:
     """One row for each thing that is wrong with a dataset as a whole."""
     finding = lambda when, rule, severity, count=F.lit(1): F.when(when, F.struct(F.lit(rule).alias("rule_code"), F.lit(severity).alias("severity"), count.cast("int").alias("occurrences")))

@@ -99,9 +99,9 @@ def preferred_dataset(spark, d):
     return datasets(spark, d).groupBy("data_source_id").agg(best).select("data_source_id", "best.*")
 
 
-@query("jon11_array_positions", "SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, 4)) AS i FROM embeddings)")
+@query("jon11_array_positions", "SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def array_positions(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 3)).alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
 
 
 @query("jon13_latest_version_members", "SELECT o_custkey, o_orderkey FROM orders WHERE (o_custkey, o_orderdate) IN (SELECT o_custkey, max(o_orderdate) FROM orders GROUP BY o_custkey)")
@@ -138,10 +138,10 @@ def divergence(spark, d):
     return o.join(other, "o_orderkey").where(~F.col("o_orderstatus").eqNullSafe(F.col("other"))).select("o_orderkey")
 
 
-@query("jon17_path_join", "SELECT l.l_orderkey AS l_orderkey, l.l_linenumber AS l_linenumber, r.r_name AS region, s.s_name AS supplier, p.p_brand AS brand FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN part p ON p.p_partkey = l.l_partkey WHERE l.l_quantity > 45")
+@query("jon17_path_join", "SELECT l.l_orderkey AS l_orderkey, l.l_linenumber AS l_linenumber, r.r_name AS region, s.s_name AS supplier, p.p_brand AS brand FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN part p ON p.p_partkey = l.l_partkey")
 def path_join(spark, d):
     t = lambda n: table(spark, d, n)
-    out = t("lineitem").where("l_quantity > 45").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    out = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
     out = out.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     out = out.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     return out.select("l_orderkey", "l_linenumber", F.col("r_name").alias("region"), F.col("s_name").alias("supplier"), F.col("p_brand").alias("brand"))
@@ -189,15 +189,15 @@ def decide_reviews(spark, d):
     return MA.decide(dec).select("candidate_id", "decision", "outcome")
 
 
-GROUPS = "SELECT CAST(o_custkey AS VARCHAR) AS group_id, CAST(min(o_orderkey) AS VARCHAR) AS anchor_id, list(CAST(o_orderkey AS VARCHAR)) AS related FROM orders WHERE o_orderkey < 10000 GROUP BY o_custkey"
+GROUPS = "SELECT CAST(o_custkey AS VARCHAR) AS group_id, CAST(min(o_orderkey) OVER (PARTITION BY o_custkey) AS VARCHAR) AS anchor_id, CAST(o_orderkey AS VARCHAR) AS id FROM orders"
 
 
-@query("rec03_group_proposals", f"""WITH g AS ({GROUPS}), x AS (SELECT group_id, anchor_id, unnest(related) AS id FROM g) SELECT x.group_id AS group_id, x.anchor_id AS anchor_id, count(DISTINCT id) AS members, sum(m.amount) AS related_total, max(a.amount) - sum(m.amount) AS difference,
+@query("rec03_group_proposals", f"""WITH x AS ({GROUPS}) SELECT x.group_id AS group_id, x.anchor_id AS anchor_id, count(DISTINCT id) AS members, sum(m.amount) AS related_total, max(a.amount) - sum(m.amount) AS difference,
 bool_and(m.company_id = a.company_id AND m.currency_code = a.currency_code AND m.direction <> a.direction AND m.financial_account_id <> a.financial_account_id) AND count(DISTINCT id) BETWEEN 2 AND 49 AS eligible FROM x JOIN movement_coarse m ON m.movement_id = x.id JOIN movement_coarse a ON a.movement_id = x.anchor_id GROUP BY ALL""", money="difference related_total")
 def group_proposals(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey < 10000").groupBy(F.col("o_custkey").cast("string").alias("group_id"))
-    groups = o.agg(F.min("o_orderkey").cast("string").alias("anchor_id"), F.collect_list(F.col("o_orderkey").cast("string")).alias("related"))
-    return MA.group_proposals(groups, movements(spark, d, True))
+    o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("group_id"), "o_orderkey")
+    anchors = o.groupBy("group_id").agg(F.min("o_orderkey").cast("string").alias("anchor_id"))
+    return MA.group_proposals(o.join(anchors, "group_id").select("group_id", "anchor_id", F.col("o_orderkey").cast("string").alias("id")), movements(spark, d, True))
 
 
 @query("rec04_ledger_both_ways", f"WITH p AS (SELECT left_id, right_id FROM ({PAIR_SQL.format(v='movement', d=3)})) SELECT left_id AS movement_id, right_id AS other_id FROM p UNION ALL SELECT right_id, left_id FROM p")
@@ -267,6 +267,17 @@ def recent_scope(spark, d):
     return Q.recent(Q.dataset_findings(ds).join(ds.select("dataset_version_id"), "dataset_version_id"), ds)
 
 
+@query("agg10_capped_findings", f"SELECT rule_code, dataset_version_id, total > 500 AS truncated FROM (SELECT rule_code, dataset_version_id, row_number() OVER (PARTITION BY rule_code ORDER BY dataset_version_id) AS rn, count(*) OVER (PARTITION BY rule_code) AS total FROM ({FINDINGS})) WHERE rn <= 500")
+def capped_findings(spark, d):
+    return Q.capped(Q.dataset_findings(datasets(spark, d)), ["dataset_version_id"]).select("rule_code", "dataset_version_id", "truncated")
+
+
+@query("agg08_multiple_risk_capped", f"WITH s AS (SELECT DISTINCT 'a' AS r, movement_id FROM ({CROSS}) UNION ALL SELECT 'b', movement_id FROM ({REUSE}) UNION ALL SELECT 'c', movement_id FROM ({BURST}) UNION ALL SELECT 'd', movement_id FROM (SELECT * FROM (" + REVERSAL.replace("WITH paired AS (", "WITH paired_ AS (").replace("FROM paired", "FROM paired_") + "))), k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY r ORDER BY movement_id) <= 500) SELECT movement_id, count(DISTINCT r) AS rules FROM k GROUP BY 1 HAVING count(DISTINCT r) >= 2")
+def multiple_risk_capped(spark, d):
+    """The report's form: of each rule the first 500 are combined."""
+    return Q.multiple_risk(movements(spark, d, True), Q.CAP)
+
+
 @query("agg11_issue_upsert", f"""WITH f AS (SELECT sha256('quality-v1|' || rule_code || '|dataset|' || dataset_version_id || '|' || dataset_version_id) AS issue_key, occurrences AS n, dataset_version_id FROM ({FINDINGS})),
 old AS (SELECT issue_key, CAST(n + CAST(dataset_version_id AS BIGINT) % 3 - 1 AS INTEGER) AS occurrence_count, 'acknowledged' AS status, DATE '2026-01-01' AS first_seen_on, DATE '2026-01-02' AS last_seen_on FROM f WHERE CAST(dataset_version_id AS BIGINT) % 4 <> 0),
 new AS (SELECT * FROM f WHERE CAST(dataset_version_id AS BIGINT) % 6 <> 1)
@@ -319,19 +330,20 @@ def money_series(spark, d):
     return R.money_series(spark, movements(spark, d), *span_of(spark, d))
 
 
-@query("agg16_ordered_digest", "SELECT dataset_version_id, sha256(string_agg(movement_id || ':' || dedupe_fingerprint, '' ORDER BY CAST(movement_id AS BIGINT))) AS digest, count(*) AS movements FROM movement WHERE state = 'proposed' GROUP BY 1")
+@query("agg16_ordered_digest", """WITH a AS (SELECT dataset_version_id, CAST(movement_id AS BIGINT) >> 12 AS at_, sha256(string_agg(movement_id || ':' || dedupe_fingerprint, '' ORDER BY CAST(movement_id AS BIGINT))) AS t, count(*) AS n FROM movement GROUP BY 1, 2),
+b AS (SELECT dataset_version_id, at_ >> 12 AS at_, sha256(string_agg(t, '' ORDER BY at_)) AS t, sum(n) AS n FROM a GROUP BY 1, a.at_ >> 12) SELECT dataset_version_id, sha256(string_agg(t, '' ORDER BY at_)) AS digest, sum(n) AS movements FROM b GROUP BY 1""", longs="movements")
 def ordered_digest(spark, d):
     from ..operators.publication import ordered_digest as digest
 
-    m = movements(spark, d).where("state = 'proposed'").select("dataset_version_id", F.col("movement_id").cast("long").alias("ordinal"), F.concat_ws(":", "movement_id", "dedupe_fingerprint").alias("record"))
+    m = movements(spark, d).select("dataset_version_id", F.col("movement_id").cast("long").alias("ordinal"), F.concat_ws(":", "movement_id", "dedupe_fingerprint").alias("record"))
     return digest(m, ["dataset_version_id"], "ordinal", "record").withColumnRenamed("records", "movements")
 
 
-@query("agg17_conservation", "SELECT l_orderkey, sum(l_linenumber) AS expected, sum(CASE WHEN l_quantity > 25 THEN l_linenumber ELSE 0 END) AS movements, sum(CASE WHEN l_quantity > 25 THEN 0 ELSE l_linenumber END) AS rejected, TRUE AS conserved FROM lineitem GROUP BY 1", longs="expected movements rejected")
+@query("agg17_conservation", "SELECT l_orderkey, sum(l_linenumber) AS expected, sum(CASE WHEN l_quantity > 25 THEN l_linenumber ELSE 0 END) AS movements, sum(CASE WHEN l_quantity < 25 THEN l_linenumber ELSE 0 END) AS rejected, bool_and(l_quantity <> 25) AS conserved FROM lineitem GROUP BY 1", longs="expected movements rejected")
 def conservation(spark, d):
     from ..operators.publication import conservation as check
 
-    x = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("expected"), F.when(F.col("l_quantity") > 25, F.col("l_linenumber")).otherwise(0).alias("movements"), F.when(F.col("l_quantity") > 25, 0).otherwise(F.col("l_linenumber")).alias("rejected"))
+    x = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("expected"), F.when(F.col("l_quantity") > 25, F.col("l_linenumber")).otherwise(0).alias("movements"), F.when(F.col("l_quantity") < 25, F.col("l_linenumber")).otherwise(0).alias("rejected"))
     return check(x, ["l_orderkey"])
 
 
@@ -368,7 +380,7 @@ def platform_counters(spark, d):
     return table(spark, d, "events").agg(F.count("*").alias("jobs"), F.count_if(F.col("event_type") == "error").alias("failed"), F.countDistinct("user_id").alias("identities"))
 
 
-@query("agg26_overlay_set_digest", "SELECT o_custkey, sha256(string_agg(v, ',' ORDER BY v)) AS digest FROM (SELECT o_custkey, sha256(o_orderkey || o_orderpriority) AS v FROM orders) GROUP BY 1")
+@query("agg26_overlay_set_digest", "SELECT o_custkey, sha256(string_agg(p || v, ',' ORDER BY p || v)) AS digest FROM (SELECT o_custkey, left(v, 3) AS p, sha256(string_agg(v, ',' ORDER BY v)) AS v FROM (SELECT o_custkey, sha256(o_orderkey || o_orderpriority) AS v FROM orders) GROUP BY 1, 2) GROUP BY 1")
 def overlay_set_digest(spark, d):
     from ..operators.corrections import set_digest
 
@@ -472,9 +484,9 @@ def expected_minus_assessed(spark, d):
 
 @query("set04_array_checks", "WITH a AS (SELECT user_id, list(event_id % 9 ORDER BY event_id) AS v FROM events GROUP BY 1) SELECT user_id, len(v) = len(list_distinct(v)) AS all_distinct, list_sort(v) = v AS ordered, list_has_all([0, 1, 2, 3, 4, 5, 6], v) AS subset FROM a")
 def array_checks(spark, d):
-    v = F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x % 9)
-    a = table(spark, d, "events").groupBy("user_id").agg(v.alias("v"))
-    return a.select("user_id", (F.size("v") == F.size(F.array_distinct("v"))).alias("all_distinct"), (F.array_sort("v") == F.col("v")).alias("ordered"), (F.size(F.array_except("v", F.array(*[F.lit(k).cast("long") for k in range(7)]))) == 0).alias("subset"))
+    from ..operators.sets import sequence_checks
+
+    return sequence_checks(table(spark, d, "events"), ["user_id"], "event_id", F.col("event_id") % 9, [*range(7)])
 
 
 @query("scl02_money_text", "SELECT movement_id, CAST(amount AS VARCHAR) AS text FROM movement")

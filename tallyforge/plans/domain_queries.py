@@ -24,7 +24,7 @@ from .registry import query
 from .views import balances, datasets, items, movements, raw_rows, table
 
 DEBIT_CREDIT = MP.ColumnMapping({"occurred_on": 0, "description": 1, "reference": 2, "debit": 3, "credit": 4}, "dmy", "comma", "cop", "debit_credit_columns", 1, 2)
-SIGNED = MP.ColumnMapping({"occurred_on": 0, "description": 1, "amount": 5}, "dmy", "comma", "USD", "signed_amount", 1, 2, 40_000)
+SIGNED = MP.ColumnMapping({"occurred_on": 0, "description": 1, "amount": 5}, "dmy", "comma", "USD", "signed_amount", 1, 2)
 EXPLICIT = MP.ColumnMapping({"occurred_on": 0, "description": 1, "amount": 5, "direction": 6}, "dmy", "comma", "EUR", "explicit_direction", 1, 2)
 
 REASONS = "CASE WHEN record_ordinal % 50 = 0 THEN 'date_out_of_range' WHEN record_ordinal % 51 = 0 THEN 'date_year_ambiguous' WHEN record_ordinal % 53 = 0 THEN 'description_missing' {more} END"
@@ -44,7 +44,7 @@ def rejections(spark, d):
 SIGN = REASONS.format(more="WHEN record_ordinal % 61 = 0 THEN 'amount_zero'")
 
 
-@query("map06_signed_amount", f"SELECT record_ordinal, valor AS amount, CASE WHEN record_ordinal % 2 = 0 THEN 'outflow' ELSE 'inflow' END AS direction FROM raw_row WHERE record_ordinal BETWEEN 2 AND 40000 AND {SIGN} IS NULL", money="amount")
+@query("map06_signed_amount", f"SELECT record_ordinal, valor AS amount, CASE WHEN record_ordinal % 2 = 0 THEN 'outflow' ELSE 'inflow' END AS direction FROM raw_row WHERE record_ordinal >= 2 AND {SIGN} IS NULL", money="amount")
 def signed_amount(spark, d):
     return MP.accepted(MP.mapped(raw_rows(spark, d), SIGNED)).select("record_ordinal", "amount", "direction")
 
@@ -57,18 +57,18 @@ def explicit_direction(spark, d):
     return MP.mapped(raw_rows(spark, d), EXPLICIT).groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query("map04_dates", "SELECT record_ordinal, CASE WHEN record_ordinal % 50 = 0 OR record_ordinal % 51 = 0 THEN NULL ELSE CAST(strptime(fecha, '%d/%m/%Y')::DATE AS VARCHAR) END AS day, CASE WHEN record_ordinal % 50 = 0 THEN 'date_out_of_range' WHEN record_ordinal % 51 = 0 THEN 'date_year_ambiguous' END AS error, 'date_not_iso' AS as_iso FROM raw_row WHERE record_ordinal % 51 <> 0")
+@query("map04_dates", "SELECT record_ordinal, CASE WHEN record_ordinal % 50 = 0 OR record_ordinal % 51 = 0 THEN NULL ELSE CAST(strptime(fecha, '%d/%m/%Y')::DATE AS VARCHAR) END AS day, CASE WHEN record_ordinal % 50 = 0 THEN 'date_out_of_range' WHEN record_ordinal % 51 = 0 THEN 'date_year_ambiguous' END AS error, CASE WHEN record_ordinal % 51 = 0 AND record_ordinal % 50 <> 0 THEN 'date_year_ambiguous' ELSE 'date_not_iso' END AS as_iso FROM raw_row")
 def dates(spark, d):
     day, iso = parse_date(F.col("raw_values")[0], "dmy"), parse_date(F.col("raw_values")[0], "iso")
-    return raw_rows(spark, d).where("record_ordinal % 51 <> 0").select("record_ordinal", day["value"].cast("string").alias("day"), day["error"].alias("error"), iso["error"].alias("as_iso"))
+    return raw_rows(spark, d).select("record_ordinal", day["value"].cast("string").alias("day"), day["error"].alias("error"), iso["error"].alias("as_iso"))
 
 
-@query("map05_amounts", "SELECT o_orderkey, printf('%.2f', o_totalprice) AS plain, CASE WHEN o_totalprice >= 1000 THEN 'amount_bad_thousands' END AS error FROM orders WHERE o_orderkey % 3 = 0")
+@query("map05_amounts", "SELECT o_orderkey, printf('%.2f', o_totalprice) AS plain, CASE WHEN o_totalprice >= 1000 THEN 'amount_bad_thousands' END AS error FROM orders")
 def amounts(spark, d):
     text = F.format_string("%.2f", "o_totalprice")
     # a comma before the last two digits groups nothing in threes
     broken = F.when(F.col("o_totalprice") >= 1000, F.concat(F.expr("left(format_string('%.2f', o_totalprice), 2)"), F.lit(","), F.lit("1"))).otherwise(text)
-    return table(spark, d, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", normalised_amount(text, "dot")["value"].alias("plain"), normalised_amount(broken, "dot")["error"].alias("error"))
+    return table(spark, d, "orders").select("o_orderkey", normalised_amount(text, "dot")["value"].alias("plain"), normalised_amount(broken, "dot")["error"].alias("error"))
 
 
 @query("map07_row_range", "SELECT count(*) AS n, min(record_ordinal) AS first, max(record_ordinal) AS last FROM raw_row WHERE record_ordinal BETWEEN 100 AND 9000")
@@ -107,10 +107,9 @@ def kinds(spark, d):
 
 
 @query("prf02_column_counters", """SELECT CAST(i AS INTEGER) AS index, count(*) FILTER (WHERE c <> '') AS non_empty, count(*) FILTER (WHERE c = '') AS empty, coalesce(min(length(c)) FILTER (WHERE c <> ''), 0) AS min_length, coalesce(max(length(c)), 0) AS max_length FROM
-(SELECT 0 AS i, fecha AS c FROM raw_row UNION ALL SELECT 1, descripcion FROM raw_row UNION ALL SELECT 2, referencia FROM raw_row) GROUP BY 1""")
+(SELECT 0 AS i, fecha AS c FROM raw_row UNION ALL SELECT 1, descripcion FROM raw_row UNION ALL SELECT 2, referencia FROM raw_row UNION ALL SELECT 3, cargo FROM raw_row UNION ALL SELECT 4, abono FROM raw_row UNION ALL SELECT 5, firmado FROM raw_row UNION ALL SELECT 6, sentido FROM raw_row) GROUP BY 1""")
 def column_counters(spark, d):
-    rows = raw_rows(spark, d).withColumn("raw_values", F.slice("raw_values", 1, 3))
-    return PR.columns(rows).select("index", "non_empty", "empty", "min_length", "max_length")
+    return PR.columns(raw_rows(spark, d)).select("index", "non_empty", "empty", "min_length", "max_length")
 
 
 @query("prf03_inferred_types", "SELECT * FROM (VALUES (0, 'date_dmy', FALSE), (1, 'text', FALSE), (2, 'text', FALSE), (3, 'decimal_comma', FALSE), (4, 'decimal_comma', FALSE), (5, 'decimal_comma', FALSE), (6, 'text', FALSE)) t(index, inferred_type, ambiguous)")
@@ -235,13 +234,13 @@ def lazily_late(spark, d):
     return expectations(spark, d).groupBy("data_source_id").agg(F.count_if((F.col("state") == "pending") & (F.col("late_after") < F.lit(dt.date(2025, 6, 16)))).alias("late"))
 
 
-UPLOADS = "SELECT o_orderkey AS upload_id, CAST(o_custkey % 100 + 1 AS VARCHAR) AS data_source_id, DATE '2025-01-01' + CAST(o_orderkey % 300 AS INTEGER) AS uploaded_on FROM orders WHERE o_orderkey % 8 = 0"
+UPLOADS = "SELECT o_orderkey AS upload_id, CAST(o_custkey % 100 + 1 AS VARCHAR) AS data_source_id, DATE '2025-01-01' + CAST(o_orderkey % 300 AS INTEGER) AS uploaded_on FROM orders"
 
 
 @query("ops04_satisfy", f"""WITH e AS ({EXPECT}), u AS ({UPLOADS}), b AS (SELECT upload_id, u.data_source_id AS data_source_id, uploaded_on, arg_max(expectation_id, (due_on, expectation_id)) AS expectation_id FROM u JOIN e ON u.data_source_id = e.data_source_id AND period_start <= uploaded_on AND state = 'pending' GROUP BY ALL)
 SELECT upload_id, expectation_id FROM (SELECT *, row_number() OVER (PARTITION BY expectation_id ORDER BY uploaded_on, upload_id) AS rn FROM b) WHERE rn = 1""")
 def satisfy(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 8 = 0")
+    o = table(spark, d, "orders")
     uploads = o.select(F.col("o_orderkey").alias("upload_id"), (F.col("o_custkey") % 100 + 1).cast("string").alias("data_source_id"), F.date_add(F.lit(dt.date(2025, 1, 1)), (F.col("o_orderkey") % 300).cast("int")).alias("uploaded_on"))
     return CY.satisfied(expectations(spark, d), uploads).select("upload_id", "expectation_id")
 
@@ -349,11 +348,35 @@ def running_balance(spark, d):
     return CO.running_continuity(e, ["user_id"]).select("user_id", F.col("ordinal").alias("event_id"), "continuous")
 
 
-@query("cmp05_exception_findings", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'missing_evidence' WHEN 1 THEN 'approver_not_independent' WHEN 2 THEN 'expired' ELSE '' END AS findings FROM orders")
-def exception_rows(spark, d):
+@query("cmp04_uses", f"SELECT dataset_version_id, u.u AS use, CASE WHEN u.u = 'investigation' THEN 'yes' WHEN u.u = 'auto_match' OR completeness_state IN ('mismatch', 'unknown') THEN 'no' WHEN completeness_state = 'verified' OR u.u = 'match_suggestion' THEN 'yes' WHEN u.u = 'close_input' THEN 'conditional_valid_exception' ELSE 'conditional_disclosed_exception' END AS allowed FROM dataset, (SELECT unnest(['investigation', 'match_suggestion', 'auto_match', 'close_input', 'certified_report_input']) AS u) u")
+def eligible_uses(spark, d):
+    return datasets(spark, d).select("dataset_version_id", F.inline(CO.uses(F.col("completeness_state"))))
+
+
+@query("cmp04_undeclared_controls", "SELECT o_orderkey, control_type FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'record_count' WHEN 1 THEN 'sequence_cursor' WHEN 2 THEN 'page_count' ELSE 'totals' END AS control_type FROM orders) WHERE control_type IN ('page_count', 'totals')")
+def undeclared_controls(spark, d):
     n = F.col("o_orderkey") % 4
-    x = table(spark, d, "orders").select("o_orderkey", F.lit("late file").alias("reason"), F.when(n != 0, "doc-1").alias("evidence"), F.lit("luis").alias("approved_by"), F.when(n == 1, "luis").otherwise("ana").alias("prepared_by"), F.when(n == 2, F.lit(dt.date(2026, 1, 1))).otherwise(F.lit(dt.date(2027, 1, 1))).alias("expires_on"), F.lit("mismatch").alias("base_state"))
-    return x.select("o_orderkey", F.array_join(CO.exception_findings(F.lit(dt.date(2026, 6, 1))), ",").alias("findings"))
+    kind = F.when(n == 0, "record_count").when(n == 1, "sequence_cursor").when(n == 2, "page_count").otherwise("totals")
+    return CO.undeclared(table(spark, d, "orders").select("o_orderkey", kind.alias("control_type")))
+
+
+FAULTS = """list_filter([CASE WHEN k % 10 = 3 THEN 'base_state' END, CASE WHEN k % 7 = 0 THEN 'missing_owner_subject_id' END, CASE WHEN k % 11 = 0 THEN 'missing_materiality_policy_id' END, CASE WHEN k % 4 = 0 THEN 'missing_evidence_refs' END, CASE WHEN k % 13 = 0 THEN 'missing_audit_event_id' END, CASE WHEN k % 4 = 1 AND k % 7 <> 0 THEN 'approver_not_independent' END,
+CASE WHEN k % 17 = 0 THEN 'expiry_no_date' WHEN k % 4 = 2 THEN 'expired' END, CASE WHEN k % 19 = 0 THEN 'auto_match' END, CASE WHEN k % 23 = 0 THEN 'changes_base_state' END, CASE WHEN k % 29 = 0 THEN 'not_disclosed' END], lambda x: x IS NOT NULL)"""
+
+
+def accepted_exceptions(rows, k, state):
+    return rows.select(
+        k.alias("k"), F.lit("dataset").alias("scope"), F.lit("late file").alias("reason"), F.when(k % 7 != 0, F.when(k % 4 == 1, "luis").otherwise("ana")).alias("owner_subject_id"), F.lit("luis").alias("approved_by"), F.lit("2026-01-01").alias("approved_at"),
+        F.when(k % 11 != 0, "m1").alias("materiality_policy_id"), F.lit("2026-01-01").alias("valid_from"), F.when(k % 17 == 0, "soon").when(k % 4 == 2, "2026-01-01").otherwise("2027-01-01").alias("expires_at"), F.when(k % 19 == 0, "close,auto_match").otherwise("close").alias("allowed_actions"),
+        F.when(k % 4 == 0, "").otherwise("doc-1").alias("evidence_refs"), F.when(k % 13 != 0, "a1").alias("audit_event_id"), (k % 23 == 0).alias("changes_base_state"), F.when(k % 29 != 0, True).alias("disclosed_in_snapshot"), state.alias("base_state"),
+    )
+
+
+@query("cmp05_exception_findings", f"SELECT k AS o_orderkey, array_to_string({FAULTS}, ',') AS findings FROM (SELECT o_orderkey AS k FROM orders)")
+def exception_rows(spark, d):
+    k = F.col("o_orderkey")
+    x = accepted_exceptions(table(spark, d, "orders"), k, F.when(k % 10 == 3, "verified").otherwise("mismatch"))
+    return x.select(F.col("k").alias("o_orderkey"), F.array_join(CO.exception_findings(F.lit(dt.date(2026, 6, 1))), ",").alias("findings"))
 
 
 ITEM_CODES = """list_filter([CASE WHEN i.statement_id <> s.statement_id THEN 'statement_scope' END, CASE WHEN i.currency_code <> s.currency_code THEN 'currency' END, CASE WHEN i.amount <= 0 THEN 'amount_not_positive' END, CASE WHEN i.state = 'confirmed' AND i.approved_by = i.prepared_by THEN 'same_person' END], lambda x: x IS NOT NULL)"""
@@ -377,9 +400,13 @@ def statement_rows(spark, d):
     return CO.statements(balances(spark, d), owned_items(spark, d))
 
 
-@query("bal03_states", "SELECT state, count(*) AS n FROM (SELECT CASE WHEN bank_closing_balance = books_closing_balance THEN 'balanced' ELSE 'review_required' END AS state FROM balance) GROUP BY 1")
+@query("bal03_states", f"SELECT statement_id, CASE WHEN bank_closing_balance = books_closing_balance THEN 'balanced' WHEN k % 2 = 0 AND len({FAULTS.replace("CASE WHEN k % 10 = 3 THEN 'base_state' END, ", "")}) = 0 THEN 'exception_accepted' ELSE 'review_required' END AS state FROM (SELECT *, CAST(statement_id AS BIGINT) AS k FROM balance)")
 def statement_states(spark, d):
-    return CO.statements(balances(spark, d), owned_items(spark, d).where("false")).groupBy("state").agg(F.count("*").alias("n"))
+    """Statements without items after exceptions on every second of them."""
+    b = balances(spark, d)
+    k = F.col("statement_id").cast("long")
+    given = accepted_exceptions(b.where(k % 2 == 0), k, F.lit("mismatch")).withColumn("statement_id", F.col("k").cast("string"))
+    return CO.with_exception(CO.statements(b, owned_items(spark, d).where("false")), given, F.lit(dt.date(2026, 6, 1))).select("statement_id", "state")
 
 
 HISTORY = "SELECT o_custkey AS item_root, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + CASE WHEN o_custkey % 10 = 0 THEN 1 ELSE 0 END AS decision_version, CASE o_orderstatus WHEN 'O' THEN 'proposed' WHEN 'F' THEN 'confirmed' ELSE 'reversed' END AS state, o_custkey % 7 AS amount, 'ana' AS prepared_by, CASE WHEN o_orderkey % 6 = 0 THEN 'ana' ELSE 'luis' END AS approved_by FROM orders"
@@ -396,9 +423,9 @@ def item_history(spark, d):
     return CO.item_history(rows).select("item_root", "decision_version", "problem")
 
 
-@query("bal07_balance_observations", "SELECT record_ordinal, CAST(valor AS DECIMAL(38,12)) * CASE WHEN record_ordinal % 2 = 0 THEN -1 ELSE 1 END AS amount, fecha || ' 23:59:59' AS as_of FROM (SELECT record_ordinal, valor, strftime(strptime(fecha, '%d/%m/%Y'), '%Y-%m-%d') AS fecha FROM raw_row WHERE record_ordinal % 50 <> 0 AND record_ordinal % 51 <> 0 AND record_ordinal % 61 <> 0)", money="amount")
+@query("bal07_balance_observations", "SELECT record_ordinal, CAST(valor AS DECIMAL(38,12)) * CASE WHEN record_ordinal % 2 = 0 THEN -1 ELSE 1 END AS amount, fecha || ' 23:59:59' AS as_of FROM (SELECT record_ordinal, valor, strftime(strptime(fecha, '%d/%m/%Y'), '%Y-%m-%d') AS fecha FROM (SELECT record_ordinal, CASE WHEN record_ordinal % 61 = 0 THEN 0 ELSE valor END AS valor, CASE WHEN record_ordinal % 50 <> 0 AND record_ordinal % 51 <> 0 THEN fecha END AS fecha FROM raw_row))", money="amount")
 def observations(spark, d):
-    r = raw_rows(spark, d).where("record_ordinal % 50 <> 0 AND record_ordinal % 51 <> 0 AND record_ordinal % 61 <> 0")
+    r = raw_rows(spark, d)
     r = r.withColumn("text", normalised_amount(F.col("raw_values")[5], "comma")).withColumn("money", parse_money(F.col("text.value")))
     day = parse_date(F.col("raw_values")[0], "dmy")["value"]
     return r.select("record_ordinal", F.col("money.value").alias("amount"), F.date_format(D.end_of_local_day(day, F.lit("UTC")), "yyyy-MM-dd HH:mm:ss").alias("as_of"))
@@ -417,27 +444,55 @@ def adjustments(spark, d):
     return owned_items(spark, d).groupBy(F.col("of_statement").alias("statement")).agg(side("add_to_bank").alias("additions"), side("deduct_from_bank").alias("deductions"))
 
 
-METRICS = """SELECT company_id, date_trunc('month', prepared_on)::DATE AS period_start, count(*) FILTER (WHERE state = 'staging') AS missing_datasets, count(*) FILTER (WHERE state <> 'published') AS unpublished, count(*) FILTER (WHERE completeness_state <> 'verified') AS incomplete, count(*) FILTER (WHERE lineage_state <> 'complete') AS lineage_gaps, sum(rejected_count)::BIGINT AS rejected_rows FROM dataset GROUP BY 1, 2"""
-GIVEN = {"missing_datasets": "datasets_present", "unpublished": "datasets_published", "incomplete": "completeness_verified", "lineage_gaps": "lineage_complete", "rejected_rows": "no_rejected_rows"}
-
-
-def period_metrics(spark, d):
-    by = datasets(spark, d).groupBy("company_id", F.trunc("prepared_on", "month").alias("period_start"))
-    m = by.agg(F.count_if(F.col("state") == "staging").alias("missing_datasets"), F.count_if(F.col("state") != "published").alias("unpublished"), F.count_if(F.col("completeness_state") != "verified").alias("incomplete"), F.count_if(F.col("lineage_state") != "complete").alias("lineage_gaps"), F.sum("rejected_count").alias("rejected_rows"))
-    for metric in CL.CONTROLS.values():
-        if metric not in m.columns:
-            m = m.withColumn(metric, F.lit(0))
-    return m
-
-
-@query("clo02_close_controls", f"WITH m AS ({METRICS}) " + " UNION ALL ".join(f"SELECT company_id, period_start, '{c}' AS control, {m} AS open, {m} = 0 AS passed FROM m" for m, c in GIVEN.items()), dates="period_start", longs="open")
+SOURCES = """SELECT o_orderkey AS expectation_id, o_custkey % 25 AS company_id, date_trunc('month', o_orderdate)::DATE AS period_start, CASE WHEN o_orderkey % 31 = 0 THEN 'late' ELSE 'satisfied' END AS state,
+CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderkey AS VARCHAR) END AS dataset_version_id, CASE WHEN o_orderkey % 23 <> 0 THEN o_custkey END AS financial_account_id, CASE WHEN o_custkey % 2 = 0 THEN 'closing' ELSE 'ledger' END AS balance_type FROM orders"""
+#: Lines of an order stand for what the close looks at in a dataset: by number for balances, assessments, reviews, corrections, issues and movements.
+CLOSE = f"""WITH s AS ({SOURCES}), l AS (SELECT *, CAST(l_orderkey AS VARCHAR) AS ds, l_orderkey * 10 + l_linenumber AS id FROM lineitem), one AS (SELECT s.*, d.state AS ds_state, completeness_state, lineage_state, rejected_count,
+dataset_version_id IN (SELECT ds FROM l WHERE l_linenumber = 1 AND l_linestatus = 'O' AND l_quantity < 45 AND s.balance_type = 'closing' UNION ALL SELECT ds FROM l WHERE l_linenumber = 1 AND l_linestatus <> 'O' AND l_quantity < 45 AND s.balance_type = 'ledger') AND financial_account_id IS NOT NULL AS has_balance,
+coalesce((SELECT arg_max(l_returnflag <> 'R' AND l_quantity < 48, id) FROM l WHERE l_linenumber = 2 AND ds = s.dataset_version_id), FALSE) AS assessed FROM s LEFT JOIN dataset d USING (dataset_version_id)),
+acc AS (SELECT DISTINCT company_id, period_start, financial_account_id FROM s WHERE financial_account_id IS NOT NULL),
+st AS (SELECT financial_account_id, period_start, arg_max(expectation_id % 3 <> 0, expectation_id) AS balanced, arg_max(expectation_id % 5 <> 0, expectation_id) AS traced FROM s WHERE expectation_id % 2 = 0 GROUP BY 1, 2),
+ac AS (SELECT company_id, period_start, count(*) AS accounts, count(*) FILTER (WHERE NOT coalesce(balanced, FALSE)) AS uncovered_accounts, count(*) FILTER (WHERE balanced IS NOT NULL AND NOT traced) AS statement_lineage_gaps FROM acc LEFT JOIN st USING (financial_account_id, period_start) GROUP BY 1, 2),
+p AS (SELECT company_id, period_start, 0 AS no_sources, count(*) FILTER (WHERE state <> 'satisfied') AS pending_expectations, count(*) FILTER (WHERE dataset_version_id IS NULL) AS missing_datasets, count(*) FILTER (WHERE ds_state <> 'published') AS unpublished, count(*) FILTER (WHERE completeness_state <> 'verified') AS incomplete,
+count(*) FILTER (WHERE lineage_state <> 'complete') AS lineage_gaps, coalesce(sum(rejected_count), 0) AS rejected_rows, count(*) FILTER (WHERE NOT coalesce(has_balance, FALSE)) AS missing_balances, count(*) FILTER (WHERE NOT assessed) AS missing_assessments FROM one GROUP BY 1, 2),
+o AS (SELECT company_id, period_start, count(DISTINCT id) FILTER (WHERE l_linenumber = 7) AS missing_dates, count(DISTINCT id) FILTER (WHERE l_linenumber = 3 AND l_returnflag <> 'A') AS open_reviews, count(DISTINCT id) FILTER (WHERE l_linenumber = 5 AND l_returnflag = 'N' AND l_quantity > 40) AS high_issues,
+count(DISTINCT id) FILTER (WHERE l_linenumber = 4 AND (l_returnflag = 'R' OR l_returnflag = 'A' AND l_quantity > 25)) AS pending_corrections FROM s JOIN l ON ds = dataset_version_id GROUP BY 1, 2),
+m AS (SELECT p.*, coalesce(missing_dates, 0) AS missing_dates, coalesce(open_reviews, 0) AS open_reviews, coalesce(high_issues, 0) AS high_issues, coalesce(pending_corrections, 0) AS pending_corrections, coalesce(accounts, 0) AS accounts, coalesce(uncovered_accounts, 0) AS uncovered_accounts, coalesce(statement_lineage_gaps, 0) AS statement_lineage_gaps
+FROM p LEFT JOIN o USING (company_id, period_start) LEFT JOIN ac USING (company_id, period_start)),
+c AS (SELECT *, CASE WHEN control = 'product_close' THEN 'unavailable' WHEN passed THEN 'pass' ELSE 'blocked' END AS state FROM ({" UNION ALL ".join(f"SELECT company_id, period_start, '{c}' AS control, {m} AS open, {m} = 0{' AND accounts > 0' if c in CL.NEED_ACCOUNTS else ''} AS passed FROM m" for c, m in CL.CONTROLS.items())} UNION ALL SELECT company_id, period_start, 'product_close', 1, FALSE FROM m))"""
+
+
+def close_controls_of(spark, d):
+    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
+    n, k = F.col("o_orderkey"), F.col("o_custkey")
+    sources = o.select(
+        n.alias("expectation_id"), (k % 25).alias("company_id"), F.trunc("o_orderdate", "month").alias("period_start"), F.when(n % 31 == 0, "late").otherwise("satisfied").alias("state"), F.when(n % 17 != 0, n.cast("string")).alias("dataset_version_id"),
+        F.when(n % 23 != 0, k).alias("financial_account_id"), F.when(k % 2 == 0, "closing").otherwise("ledger").alias("balance_type"),
+    )
+    number = lambda x: l.where(F.col("l_linenumber") == x).withColumn("dataset_version_id", F.col("l_orderkey").cast("string")).withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    flag, q = F.col("l_returnflag"), F.col("l_quantity")
+    evidence = {
+        "missing_dates": number(7).select("dataset_version_id", "id"),
+        "open_reviews": number(3).where(flag != "A").select("dataset_version_id", "id"),
+        "high_issues": number(5).where((flag == "N") & (q > 40)).select("dataset_version_id", "id"),
+        "pending_corrections": number(4).where((flag == "R") | (flag == "A") & (q > 25)).select("dataset_version_id", "id"),
+    }
+    seen = number(1).join(o.select(n.alias("l_orderkey"), k.alias("financial_account_id")), "l_orderkey")
+    seen = seen.select("dataset_version_id", "financial_account_id", F.when(F.col("l_linestatus") == "O", "closing").otherwise("ledger").alias("balance_type"), F.when(q < 45, "complete").otherwise("gap").alias("lineage_state"))
+    assessed = number(2).select(F.col("l_orderkey").alias("expectation_id"), "dataset_version_id", F.when(flag != "R", "verified").otherwise("mismatch").alias("state"), F.when(q < 48, "complete").otherwise("gap").alias("lineage_state"), F.col("id").alias("seq"))
+    made = sources.where(F.col("expectation_id") % 2 == 0)
+    statement = made.select("financial_account_id", "period_start", F.when(F.col("expectation_id") % 3 != 0, "balanced").otherwise("review_required").alias("state"), F.when(F.col("expectation_id") % 5 != 0, "complete").otherwise("gap").alias("lineage_state"), F.col("expectation_id").alias("seq"))
+    return CL.controls(CL.period_metrics(sources, datasets(spark, d).drop("company_id"), evidence, seen, assessed, statement, ["company_id", "period_start"]), ["company_id", "period_start"])
+
+
+@query("clo02_close_controls", CLOSE + " SELECT * FROM c", dates="period_start", longs="open")
 def close_controls(spark, d):
-    return CL.controls(period_metrics(spark, d), ["company_id", "period_start"]).where(F.col("control").isin(*GIVEN.values()))
+    return close_controls_of(spark, d)
 
 
-@query("clo01_close_ready", f"SELECT company_id, period_start, missing_datasets + unpublished + incomplete + lineage_gaps + rejected_rows = 0 AS ready, (missing_datasets > 0)::INT + (unpublished > 0)::INT + (incomplete > 0)::INT + (lineage_gaps > 0)::INT + (rejected_rows > 0)::INT AS failed FROM ({METRICS})", dates="period_start", longs="failed")
+@query("clo01_close_ready", CLOSE + " SELECT company_id, period_start, bool_and(passed) AS ready, count(*) FILTER (WHERE NOT passed) AS failed FROM c WHERE state <> 'unavailable' GROUP BY 1, 2", dates="period_start", longs="failed")
 def close_ready(spark, d):
-    return CL.ready(CL.controls(period_metrics(spark, d), ["company_id", "period_start"]), ["company_id", "period_start"])
+    return CL.ready(close_controls_of(spark, d), ["company_id", "period_start"])
 
 
 ACCOUNTS = "SELECT o_custkey AS account, count(*) AS sources, list(o_orderkey ORDER BY o_orderkey) FILTER (WHERE o_orderkey % 20 <> 0) AS ids FROM orders GROUP BY 1"
@@ -489,9 +544,12 @@ def publication_blockers(spark, d):
     return PU.blockers(datasets(spark, d))
 
 
-@query("pub01_prepare_dataset", f"SELECT count(*) AS expected, count(*) FILTER (WHERE {BOTH} IS NULL) AS movements, count(*) FILTER (WHERE {BOTH} IS NOT NULL) AS rejected, TRUE AS conserved FROM raw_row WHERE record_ordinal >= 2")
+@query("pub01_prepare_dataset", f"SELECT count(*) AS expected, count(*) FILTER (WHERE {BOTH} IS NULL) AS movements, count(*) FILTER (WHERE {BOTH} IS NOT NULL) AS rejected, count(*) FILTER (WHERE {BOTH} IS NULL) + count(*) FILTER (WHERE {BOTH} IS NOT NULL) = count(*) AS conserved FROM raw_row WHERE record_ordinal >= 2")
 def prepare_dataset(spark, d):
-    out = MP.mapped(raw_rows(spark, d), DEBIT_CREDIT).agg(F.count("*").alias("expected"), F.count_if(F.col("reject_reason").isNull()).alias("movements"), F.count_if(F.col("reject_reason").isNotNull()).alias("rejected"))
+    # what came in is counted before the mapping, what became of it after
+    came = raw_rows(spark, d).where("record_ordinal >= 2").agg(F.count("*").alias("expected"))
+    became = MP.mapped(raw_rows(spark, d), DEBIT_CREDIT).agg(F.count_if(F.col("reject_reason").isNull()).alias("movements"), F.count_if(F.col("reject_reason").isNotNull()).alias("rejected"))
+    out = came.join(F.broadcast(became))
     return out.withColumn("conserved", F.col("movements") + F.col("rejected") == F.col("expected"))
 
 
@@ -539,28 +597,46 @@ def override_problems(spark, d):
 
 
 def edges(spark, d):
-    l = table(spark, d, "lineitem").where("l_orderkey < 4000")
+    l = table(spark, d, "lineitem")
     up = l.select(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("from_id"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("to_id"))
     p = table(spark, d, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("from_id"), F.concat(F.lit("brand:"), "p_brand").alias("to_id"))
     return up.unionByName(p).distinct()
 
 
-EDGES = "SELECT DISTINCT 'order:' || l_orderkey AS from_id, 'part:' || l_partkey AS to_id FROM lineitem WHERE l_orderkey < 4000 UNION SELECT DISTINCT 'part:' || p_partkey, 'brand:' || p_brand FROM part"
+EDGES = "SELECT DISTINCT 'order:' || l_orderkey AS from_id, 'part:' || l_partkey AS to_id FROM lineitem UNION SELECT DISTINCT 'part:' || p_partkey, 'brand:' || p_brand FROM part"
 
 
-@query("lin08_reachable", f"WITH RECURSIVE e AS ({EDGES}), walk(start, node) AS (SELECT DISTINCT from_id, from_id FROM e WHERE from_id IN ('order:1', 'order:2', 'order:3', 'order:10', 'order:77') UNION SELECT start, to_id FROM walk JOIN e ON from_id = node) SELECT start, node FROM walk")
+@query("lin08_reachable", f"WITH RECURSIVE e AS ({EDGES}), walk(start, node) AS (SELECT DISTINCT from_id, from_id FROM e JOIN orders ON from_id = 'order:' || o_orderkey WHERE o_orderstatus = 'P' UNION SELECT start, to_id FROM walk JOIN e ON from_id = node) SELECT start, node FROM walk")
 def reachable(spark, d):
+    starts = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("start"))
     e = edges(spark, d)
-    return LI.reachable(e, e.where(F.col("from_id").isin("order:1", "order:2", "order:3", "order:10", "order:77")).select(F.col("from_id").alias("start")).distinct())
+    return LI.reachable(e, starts.join(e.select(F.col("from_id").alias("start")), "start", "left_semi"))
 
 
-@query("lin08_reachable_by_sql", f"WITH RECURSIVE e AS ({EDGES}), walk(start, node) AS (SELECT DISTINCT from_id, from_id FROM e WHERE from_id IN ('order:1', 'order:2', 'order:3') UNION SELECT start, to_id FROM walk JOIN e ON from_id = node) SELECT start, node FROM walk")
+@query("lin08_gaps", f"""WITH e AS ({EDGES}), n AS (SELECT DISTINCT x FROM (SELECT from_id AS x FROM e UNION ALL SELECT to_id FROM e) WHERE NOT (x LIKE 'part:%' AND TRY_CAST(substr(x, 6) AS BIGINT) % 97 = 0)),
+o AS (SELECT x FROM n WHERE x LIKE 'order:%' AND TRY_CAST(substr(x, 7) AS BIGINT) % 2 = 0), p AS (SELECT DISTINCT to_id AS x FROM e WHERE from_id IN (SELECT x FROM o)), b AS (SELECT DISTINCT to_id AS x FROM e WHERE from_id IN (SELECT x FROM p))
+SELECT DISTINCT to_id AS node_id, 'dangling' AS problem FROM e WHERE to_id NOT IN (SELECT x FROM n) UNION ALL SELECT DISTINCT from_id, 'dangling' FROM e WHERE from_id LIKE 'part:%' AND from_id NOT IN (SELECT x FROM n) AND from_id NOT IN (SELECT to_id FROM e)
+UNION ALL SELECT DISTINCT to_id, 'crosses_companies' FROM e WHERE from_id LIKE 'order:%' AND from_id IN (SELECT x FROM n) AND to_id IN (SELECT x FROM n) AND TRY_CAST(substr(from_id, 7) AS BIGINT) % 5 = 4
+UNION ALL SELECT x, 'no_origin' FROM n WHERE x NOT IN (SELECT x FROM o UNION SELECT x FROM p UNION SELECT x FROM b)""")
+def lineage_gaps(spark, d):
+    """Parts without a node, orders of another company, and nodes that lineage from the even orders does not reach."""
+    e = edges(spark, d)
+    n = e.select(F.explode(F.array("from_id", "to_id")).alias("node_id")).distinct()
+    is_a = lambda kind: F.col("node_id").startswith(kind)
+    n = n.where(~(is_a("part:") & (F.expr("try_cast(substring_index(node_id, ':', -1) AS bigint)") % 97 == 0)))
+    mod = lambda k: F.expr(f"try_cast(substring_index(node_id, ':', -1) AS bigint) % {k}")
+    n = n.withColumn("company_id", F.when(is_a("order:") & (mod(5) == 4), "c2").otherwise("c1"))
+    return LI.gaps(e, n, n.where(is_a("order:") & (mod(2) == 0)))
+
+
+@query("lin08_reachable_by_sql", f"WITH RECURSIVE e AS ({EDGES}), walk(start, node) AS (SELECT DISTINCT from_id, from_id FROM e JOIN orders ON from_id = 'order:' || o_orderkey WHERE o_orderstatus = 'P' UNION SELECT start, to_id FROM walk JOIN e ON from_id = node) SELECT start, node FROM walk")
 def reachable_by_sql(spark, d):
     e = edges(spark, d)
-    return LI.reachable_sql(spark, e, e.where(F.col("from_id").isin("order:1", "order:2", "order:3")).select(F.col("from_id").alias("start")).distinct())
+    starts = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("start"))
+    return LI.reachable_sql(spark, e, starts.join(e.select(F.col("from_id").alias("start")), "start", "left_semi"))
 
 
-@query("lin08_dangling", "SELECT DISTINCT 'part:' || l_partkey AS node_id FROM lineitem WHERE l_orderkey < 4000 AND l_partkey % 3 = 0")
+@query("lin08_dangling", "SELECT DISTINCT 'part:' || l_partkey AS node_id FROM lineitem WHERE l_partkey % 3 = 0")
 def dangling(spark, d):
     e = edges(spark, d).where("from_id LIKE 'order:%'")
     ends = e.select(F.explode(F.array("from_id", "to_id")).alias("node_id")).distinct()
@@ -568,16 +644,16 @@ def dangling(spark, d):
     return LI.dangling(nodes, e)
 
 
-@query("lin09_topological_levels", "SELECT 'order:' || o AS node, 0 AS level FROM (SELECT DISTINCT l_orderkey AS o FROM lineitem WHERE l_orderkey < 4000) UNION ALL SELECT 'part:' || p_partkey, CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey < 4000) THEN 1 ELSE 0 END FROM part")
+@query("lin09_topological_levels", "WITH p AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem) THEN 1 ELSE 0 END AS level FROM part) SELECT 'order:' || o AS node, 0 AS level FROM (SELECT DISTINCT l_orderkey AS o FROM lineitem) UNION ALL SELECT 'part:' || p_partkey, level FROM p UNION ALL SELECT 'brand:' || p_brand, CAST(max(level) + 1 AS INTEGER) FROM p GROUP BY p_brand")
 def topological_levels(spark, d):
     e = edges(spark, d)
     nodes = e.select(F.explode(F.array("from_id", "to_id")).alias("node")).distinct()
-    return LI.peeled(e, nodes).where(~F.col("node").startswith("brand:"))
+    return LI.peeled(e, nodes)
 
 
-@query("lin03_paths", "SELECT CAST(o_orderkey AS VARCHAR) AS row_id, 'amount' AS field, CAST(n AS INTEGER) AS place, CASE WHEN o_orderkey % 2 = 0 AND n = 4 THEN 'override' ELSE ['extract', 'normalise', 'parse', 'map', 'derive', 'publish'][CASE WHEN o_orderkey % 2 = 0 AND n > 4 THEN n - 1 ELSE n END] END AS operation FROM orders, range(1, 8) r(n) WHERE o_orderkey < 500 AND (n < 7 OR o_orderkey % 2 = 0)")
+@query("lin03_paths", "SELECT CAST(o_orderkey AS VARCHAR) AS row_id, 'amount' AS field, CAST(n AS INTEGER) AS place, CASE WHEN o_orderkey % 2 = 0 AND n = 4 THEN 'override' ELSE ['extract', 'normalise', 'parse', 'map', 'derive', 'publish'][CASE WHEN o_orderkey % 2 = 0 AND n > 4 THEN n - 1 ELSE n END] END AS operation FROM orders, range(1, 8) r(n) WHERE (n < 7 OR o_orderkey % 2 = 0)")
 def lineage_paths(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey < 500")
+    o = table(spark, d, "orders")
     rows = o.select(F.col("o_orderkey").cast("string").alias("row_id"), F.lit("amount").alias("field"))
     over = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").cast("string").alias("row_id"), F.lit("amount").alias("field"), F.lit(3).alias("stage"), F.lit("x").alias("value"))
     return LI.paths(rows, LI.plan(spark, ["amount", "occurred_on"], "v1"), over).select("row_id", "field", "place", "operation")

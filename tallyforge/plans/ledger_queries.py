@@ -11,15 +11,16 @@ from ..operators import latest as L
 from ..operators import ledgers as LE
 from ..operators import lineage as LI
 from ..operators import reports as R
+from ..operators import sets as S
 from ..sources import admission as A
 from ..sources import export as X
 from .registry import query
 from .views import datasets, items, movements, table
 
 
-@query("jon04_recover_ordinals", "SELECT l_orderkey, l_linenumber, l_partkey, o_custkey, c_nationkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_quantity < 3")
+@query("jon04_recover_ordinals", "SELECT l_orderkey, l_linenumber, l_partkey, o_custkey, c_nationkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey")
 def recover_ordinals(spark, d):
-    l = table(spark, d, "lineitem").where("l_quantity < 3")
+    l = table(spark, d, "lineitem")
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
     return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).select("l_orderkey", "l_linenumber", "l_partkey", "o_custkey", "c_nationkey")
 
@@ -29,10 +30,10 @@ def months_by_currency(spark, d):
     return table(spark, d, "nation").select("n_nationkey").crossJoin(table(spark, d, "region").select("r_name"))
 
 
-@query("jon18_array_membership", "SELECT event_id FROM events WHERE user_id IN (SELECT o_custkey FROM orders WHERE o_orderkey < 50)")
+@query("jon18_array_membership", "SELECT event_id FROM events WHERE user_id IN (SELECT unnest([o_custkey, o_custkey + 1]) FROM orders WHERE o_orderstatus = 'P')")
 def array_membership(spark, d):
-    ids = table(spark, d, "orders").where("o_orderkey < 50").agg(F.collect_set("o_custkey").alias("ids"))
-    return table(spark, d, "events").join(ids.select(F.explode("ids").alias("user_id")), "user_id", "left_semi").select("event_id")
+    owners = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.array(F.col("o_custkey"), F.col("o_custkey") + 1).alias("ids"))
+    return S.members_of(table(spark, d, "events"), "user_id", owners, "ids").select("event_id")
 
 
 @query("win03_latest_statement", "SELECT o_custkey, period, o_orderkey FROM (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS period, o_orderkey, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
@@ -84,20 +85,19 @@ def build_plan(spark, d):
 
 @query("lin04_complete_fields", "SELECT l_orderkey, list_sort(list(DISTINCT l_linenumber)) = [1, 2] AS complete FROM lineitem GROUP BY 1")
 def complete_fields(spark, d):
-    have = F.array_sort(F.collect_set("l_linenumber"))
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg((have == F.array(F.lit(1), F.lit(2))).alias("complete"))
+    return LI.complete_fields(table(spark, d, "lineitem"), ["l_orderkey"], "l_linenumber", [1, 2])
 
 
-@query("lin05_decision_lineage", "SELECT DISTINCT 'balance:' || l_partkey AS from_id, 'statement:' || l_orderkey AS to_id FROM lineitem WHERE l_orderkey < 2000 UNION SELECT DISTINCT 'assessment:' || l_suppkey, 'statement:' || l_orderkey FROM lineitem WHERE l_orderkey < 2000")
+@query("lin05_decision_lineage", "SELECT DISTINCT 'balance:' || l_partkey AS from_id, 'statement:' || l_orderkey AS to_id FROM lineitem UNION SELECT DISTINCT 'assessment:' || l_suppkey, 'statement:' || l_orderkey FROM lineitem")
 def decision_lineage(spark, d):
-    l = table(spark, d, "lineitem").where("l_orderkey < 2000").withColumn("entity_id", F.col("l_orderkey"))
+    l = table(spark, d, "lineitem").withColumn("entity_id", F.col("l_orderkey"))
     inputs = F.array(F.concat(F.lit("balance:"), F.col("l_partkey").cast("string")), F.concat(F.lit("assessment:"), F.col("l_suppkey").cast("string")))
     return LE.decision_lineage(l, "statement", inputs)[1]
 
 
 @query("lin07_statement_inputs", "SELECT l_orderkey, count(DISTINCT l_partkey) AS balances, count(DISTINCT l_suppkey) AS assessments FROM lineitem GROUP BY 1")
 def statement_inputs(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_partkey").alias("balances"), F.countDistinct("l_suppkey").alias("assessments"))
+    return LI.input_counts(table(spark, d, "lineitem"), ["l_orderkey"], balances="l_partkey", assessments="l_suppkey")
 
 
 @query("map08_blockers", "SELECT s_suppkey AS mapping_id, CAST(s_suppkey % 5 AS INTEGER) AS column_index, CASE WHEN s_suppkey % 2 = 0 THEN 'dmy' ELSE 'comma' END AS convention FROM supplier WHERE s_suppkey % 3 <> 0")
@@ -136,13 +136,33 @@ def release_problems(spark, d):
     return LE.release_problems(r)
 
 
-@query("ded04_decision_findings", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'missing_reason_code' WHEN event_id % 4 = 1 THEN 'pair_order' WHEN event_id % 4 = 2 THEN 'reversal_of_nothing' ELSE '' END AS findings FROM events")
+@query("ded04_decision_findings", """WITH d AS (SELECT event_id AS id, user_id AS c, ts, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
+SELECT id AS event_id, array_to_string(list_filter([CASE WHEN id % 11 = 0 THEN 'missing_reason_code' END, CASE WHEN id % 17 = 0 THEN 'missing_evidence_refs' END, CASE WHEN id % 19 = 0 THEN 'missing_audit_event_id' END, CASE WHEN id % 7 = 0 THEN 'decision_state' END, CASE WHEN id % 4 = 1 THEN 'pair_order' END,
+CASE WHEN id % 13 = 0 THEN 'deletes_movement' END, CASE WHEN p IS NOT NULL AND id % 5 = 0 THEN 'reversal_reference' WHEN p IS NULL AND id % 5 = 1 THEN 'reversal_of_nothing' END, CASE WHEN p % 3 = id % 3 THEN 'reversal_by_same_person' END], lambda x: x IS NOT NULL), ',') AS findings FROM d""")
 def decision_findings(spark, d):
-    n = F.col("event_id")
-    x = table(spark, d, "events").select("event_id", n.alias("candidate_id"), F.when(n % 4 == 2, "reversed").otherwise("confirmed").alias("decision"), F.when(n % 4 != 0, "same").alias("reason_code"), F.lit("ana").alias("decided_by"), n.alias("decided_at"), F.when(n % 4 == 1, "b").otherwise("a").alias("left_id"), F.when(n % 4 == 1, "a").otherwise("b").alias("right_id"))
+    from pyspark.sql import Window
+
+    e, n = table(spark, d, "events"), F.col("event_id")
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    text = lambda c: c.cast("string")
+    x = e.withColumn("p", before).select(
+        n.alias("decision_id"), "event_id", F.lit("c1").alias("company_id"), F.col("user_id").alias("candidate_id"), F.when(n % 4 == 1, "b").otherwise("a").alias("left_movement_id"), F.when(n % 4 == 1, "a").otherwise("b").alias("right_movement_id"),
+        F.when(n % 7 == 0, "guessed").otherwise("confirmed_distinct").alias("decision"), F.when(n % 11 != 0, "same").alias("reason_code"), F.when(n % 17 == 0, "").otherwise("doc-1").alias("evidence_refs"), text(n % 3).alias("decided_by"), F.col("ts").alias("decided_at"),
+        F.lit("v1").alias("rule_version"), F.lit("r1").alias("engine_release_id"), F.when(n % 19 != 0, text(n)).alias("audit_event_id"), (n % 13 == 0).alias("physically_deletes_movement"), F.lit(False).alias("deletes_source_evidence"),
+        F.when(F.col("p").isNotNull(), F.when(n % 5 != 0, F.col("p"))).when(n % 5 == 1, n).alias("reverses_decision_id"),
+    )
     return I.decision_findings(x).select("event_id", F.array_join("findings", ",").alias("findings"))
 
 
+@query("sec03_segregation", """WITH a AS (SELECT l_orderkey AS o, l_suppkey % 5 AS s, CASE l_linenumber WHEN 1 THEN 'match.propose' WHEN 2 THEN 'match.confirm' WHEN 3 THEN 'close.prepare' WHEN 4 THEN 'close.approve' WHEN 5 THEN 'dataset.map' ELSE 'dataset.publish' END AS p FROM lineitem),
+q AS (SELECT * FROM (VALUES ('match.propose', 'match.confirm'), ('close.prepare', 'close.approve'), ('close.reopen.request', 'close.reopen.approve'), ('dataset.map', 'dataset.publish')) t(f, g))
+SELECT DISTINCT x.o AS object_id, x.s AS subject_id, f AS first, g AS second FROM a x JOIN q ON x.p = f JOIN a y ON y.o = x.o AND y.s = x.s AND y.p = g""")
+def segregation(spark, d):
+    n = F.col("l_linenumber")
+    act = F.when(n == 1, "match.propose").when(n == 2, "match.confirm").when(n == 3, "close.prepare").when(n == 4, "close.approve").when(n == 5, "dataset.map").otherwise("dataset.publish")
+    return I.segregation_breaches(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("object_id"), (F.col("l_suppkey") % 5).alias("subject_id"), act.alias("permission")))
+
+
 @query("sec04_audit_page", "SELECT event_id, event_type FROM events WHERE event_id > 400 ORDER BY event_id LIMIT 30")
 def audit_page(spark, d):
     return L.after(table(spark, d, "events").select("event_id", "event_type"), ["event_id"], [400], 30, backwards=True)
@@ -170,9 +190,17 @@ def generated_statement(spark, d):
     return spark.range(20_000).select(n.alias("record_ordinal"), line.alias("line"))
 
 
-@query("snk03_export_rows", "SELECT movement_id, CAST(amount AS VARCHAR) AS amount, description, coalesce(reference_normalised, '') AS reference_normalised, CAST(occurred_on AS VARCHAR) AS occurred_on, coalesce(CAST(posted_on AS VARCHAR), '') AS posted_on FROM movement")
+@query("snk03_export_rows", "SELECT movement_id AS record_ordinal, movement_id, CAST(occurred_on AS VARCHAR) AS occurred_on, coalesce(CAST(posted_on AS VARCHAR), '') AS posted_on, '' AS value_date, coalesce(CAST(accounting_date AS VARCHAR), '') AS accounting_date, CAST(amount AS VARCHAR) AS amount, currency_code AS currency, direction, kind, description, coalesce(reference_normalised, '') AS reference, state, 'v1' AS canonical_schema_version, 'r1' AS engine_release, lineage_state FROM movement")
 def export_rows(spark, d):
-    return X.export_rows(movements(spark, d)).select("movement_id", "amount", "description", "reference_normalised", "occurred_on", "posted_on")
+    m = movements(spark, d)
+    return X.export_rows(m.withColumn("record_ordinal", F.col("movement_id")).withColumn("canonical_schema_version", F.lit("v1")).withColumn("engine_release", F.lit("r1")))
+
+
+@query("snk03_preflight", "SELECT dataset_version_id, k % 250001 AS row_count, CASE WHEN NOT (state = 'published' AND completeness_state = 'verified' AND lineage_state = 'complete' AND k % 3 <> 0 AND rejected_count = 0 AND k % 8 <> 0) THEN 'dataset-export-unavailable' WHEN k % 250001 > 200000 THEN 'dataset-export-too-large' END AS refusal FROM (SELECT *, CAST(dataset_version_id AS BIGINT) * 7919 AS k FROM dataset)")
+def export_preflight(spark, d):
+    k = F.col("dataset_version_id").cast("long") * 7919
+    x = datasets(spark, d).withColumn("reproducible", k % 3 != 0).withColumn("movement_count", k % 250001)
+    return X.preflight(x.withColumn("record_count", F.col("movement_count") + F.when(k % 8 == 0, 1).otherwise(0)))
 
 
 @query("scn03_published_by_company", "SELECT company_id, count(*) FILTER (WHERE state = 'published') AS published, max(prepared_on) AS last FROM dataset GROUP BY 1", dates="last")

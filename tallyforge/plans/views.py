@@ -146,7 +146,8 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RAW_SQL = """SELECT o_orderkey AS record_ordinal, CASE WHEN o_orderkey % 50 = 0 THEN '31/02/2026' WHEN o_orderkey % 51 = 0 THEN '3/4/26' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS fecha,
-CASE WHEN o_orderkey % 53 = 0 THEN '' ELSE o_orderpriority END AS descripcion, 'ref  ' || o_orderkey AS referencia, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(38,12)) AS valor FROM orders"""
+CASE WHEN o_orderkey % 53 = 0 THEN '' ELSE o_orderpriority END AS descripcion, 'ref  ' || o_orderkey AS referencia, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(38,12)) AS valor, CASE WHEN o_orderkey % 2 = 0 THEN con_coma ELSE '' END AS cargo, CASE WHEN o_orderkey % 2 = 1 THEN con_coma WHEN o_orderkey % 59 = 0 THEN '1,23,45' ELSE '' END AS abono,
+CASE WHEN o_orderkey % 61 = 0 THEN '0,00' WHEN o_orderkey % 2 = 0 THEN '-' || con_coma ELSE con_coma END AS firmado, CASE WHEN o_orderkey % 2 = 0 THEN 'Cargo' ELSE 'Abono' END AS sentido FROM (SELECT *, replace(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), '.', ',') AS con_coma FROM orders)"""
 
 #: Views that oracles may use, in the order in which they need each other.
 SQL_VIEWS = {"movement": movement_sql(False), "movement_coarse": movement_sql(True), "dataset": DATASET_SQL, "balance": BALANCE_SQL, "item": ITEM_SQL, "raw_row": RAW_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 
@@ -65,14 +66,36 @@ def test_admission(spark):
     escape = io.BytesIO()
     with zipfile.ZipFile(escape, "w") as z:
         z.writestr("../x", "y")
-    cases = [("a.csv", b"x,y\n1,2\n"), ("b.pdf", b"%PDF-1.7 x"), ("c.csv", b"%PDF-1.7 x"), ("d.exe", b"MZ"), ("e.zip", bomb), ("f.zip", escape.getvalue()), ("g.png", b"\x89PNG\r\n\x1a\nx"), ("h.csv", b""), ("i.zip", zipped(a=b"fine"))]
+    cases = [("a.csv", b"x,y\n1,2\n"), ("b.pdf", b"%PDF-1.7 x"), ("c.csv", b"%PDF-1.7 x"), ("d.exe", b"MZ"), ("e.zip", bomb), ("f.zip", escape.getvalue()), ("g.png", b"\x89PNG\r\n\x1a\nx"), ("h.csv", b""), ("i.zip", zipped(a=b"fine")), ("j.xlsx", zipped(**{"[Content_Types].xml": b"x", "xl__workbook.xml": b"x"})), ("k.ods", zipped(mimetype=admission.ODS_MIMETYPE, Basic__x=b"x")), ("l.xlsx", zipped(mimetype=admission.ODS_MIMETYPE))]
     got = {r.path: (r.decision, r.reason) for r in admission.decisions(spark.createDataFrame(cases, "path string, content binary")).collect()}
     assert got == {
         "a.csv": ("admitted", None), "b.pdf": ("admitted", None), "c.csv": ("quarantined", "extension_mismatch"), "d.exe": ("rejected", "dos_or_windows_executable"), "e.zip": ("rejected", "compression_ratio"),
-        "f.zip": ("rejected", "path_escape"), "g.png": ("rejected", "type_not_accepted"), "h.csv": ("rejected", "empty"), "i.zip": ("admitted", None),
+        "f.zip": ("rejected", "path_escape"), "g.png": ("rejected", "type_not_accepted"), "h.csv": ("rejected", "empty"), "i.zip": ("quarantined", "archive_not_promotable"), "j.xlsx": ("admitted", None), "k.ods": ("rejected", "macro"), "l.xlsx": ("quarantined", "extension_mismatch"),
     }
 
 
+def test_promotion_after_a_scan(spark):
+    ship(spark)
+    cases = [("a.csv", b"x,y"), ("b.csv", b"x,y"), ("c.pdf", b"%PDF-1.7 x"), ("d.zip", zipped(a=b"fine")), ("e.ods", zipped(mimetype=admission.ODS_MIMETYPE))]
+    found = spark.createDataFrame([("b.csv", "aws_access_key"), ("b.csv", "private_key")], "path string, kind string")
+    got = {r.path: (r.decision, r.reason) for r in admission.promotions(spark.createDataFrame(cases, "path string, content binary"), found).collect()}
+    assert got == {"a.csv": ("promoted", None), "b.csv": ("held", "sensitive_aws_access_key"), "c.pdf": ("held", "not_inspectable"), "d.zip": ("held", "archive_not_promotable"), "e.ods": ("promoted", None)}
+
+
+def test_faulty_workbooks_are_rows(spark):
+    ship(spark)
+    o, t = 'xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0"', 'xmlns:table="urn:oasis:names:tc:opendocument:xmlns:table:1.0"'
+    sheet = lambda rows, columns=1: zipped(**{"content.xml": f'<d {o} {t}><table:table table:name="T"><table:table-row table:number-rows-repeated="{rows}"><table:table-cell table:number-columns-repeated="{columns}" table:formula="of:=1"><text:p>x</text:p></table:table-cell></table:table-row></table:table></d>'.encode()})
+    cases = [("a.ods", sheet(3000)), ("b.ods", sheet(200_001)), ("c.ods", sheet(1, 600)), ("d.xlsx", b"no package"), ("e.xlsx", zipped(a=b"x")), ("f.ods", zipped(**{"content.xml": b"<!DOCTYPE x><x/>"})), ("g.ods", zipped(**{"content.xml": b"<open"}))]
+    df = spark.createDataFrame(cases, "path string, content binary")
+    got = {r.path: (r.outcome, r.reason, r.rows, r.formulas) for r in workbook.workbook_summaries(df).collect()}
+    assert got == {
+        "a.ods": ("complete", None, 3000, 1), "b.ods": ("failed", "too_many_rows", 0, 0), "c.ods": ("failed", "too_many_columns", 0, 0), "d.xlsx": ("failed", "not_a_package", 0, 0), "e.xlsx": ("failed", "malformed", 0, 0),
+        "f.ods": ("failed", "document_type", 0, 0), "g.ods": ("failed", "malformed", 0, 0),
+    }
+    assert workbook.read_workbooks(df).count() == 3000
+
+
 def test_workbooks(spark):
     ship(spark)
     m = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -95,9 +118,14 @@ def test_workbooks(spark):
 
 def test_exports(spark, tmp_path):
     m = movements(spark, "/root/testdata/sf0.001")
-    rows = export.export_rows(m.withColumn("description", F.lit("=SUM(1)")))
-    raw = b"".join(export.csv_bytes(rows, [F.col("movement_id").cast("long")]))
-    assert raw.startswith(b"\xef\xbb\xbfmovement_id,") and raw.count(b"\r\n") == m.count() + 1 and b"'=SUM(1)" in raw
+    text = F.when(F.col("movement_id") == "7", 'two\r\nlines, "quoted"').otherwise("=SUM(1)")
+    rows = export.export_rows(m.withColumn("description", text).withColumn("record_ordinal", F.col("movement_id").cast("long")))
+    assert tuple(rows.columns) == export.COLUMNS
+    assert export.write_csv(rows, [F.col("record_ordinal").cast("long")], str(tmp_path / "csv")) == m.count()
+    raw = b"".join(export.csv_bytes(str(tmp_path / "csv")))
+    got = [*csv.reader(io.StringIO(raw.decode("utf-8-sig"), newline=""))]
+    assert raw.startswith(b"\xef\xbb\xbfrecord_ordinal,movement_id,") and got[0] == [*export.COLUMNS] and raw.count(b"\r\n") == m.count() + 2
+    assert [int(r[0]) for r in got[1:]] == sorted(int(r.movement_id) for r in m.select("movement_id").collect()) and {r[10] for r in got[1:]} == {"'=SUM(1)", 'two\r\nlines, "quoted"'}
     path = str(tmp_path / "m")
     export.write_movements(m, path)
     export.write_movements(m.where("dataset_version_id = 'A'").limit(5), path)
