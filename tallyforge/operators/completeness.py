@@ -167,3 +167,9 @@ def running_continuity(rows: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("ordinal")
     expected = F.lag("balance").over(w) + F.col("amount")
     return rows.withColumn("continuous", F.coalesce(F.col("balance") == expected, F.lit(True)))
+
+
+def adjustments(items: DataFrame, key: str) -> DataFrame:
+    """What confirmed items add to and deduct from the bank's balance of each statement."""
+    side = lambda s: F.sum(F.when((F.col("adjustment_side") == s) & (F.col("state") == "confirmed"), F.col("amount")))
+    return items.groupBy(key).agg(side("add_to_bank").alias("additions"), side("deduct_from_bank").alias("deductions"))

@@ -73,3 +73,8 @@ def active_overrides(overrides: DataFrame) -> DataFrame:
     top = latest(overrides, ["source_record", "field"], F.desc("override_ordinal"))
     problem = F.when(F.col("approved_by").isNull(), "not_approved").when(F.col("approved_by") == F.col("recorded_by"), "same_person").when(F.col("digest") != F.sha2(F.coalesce("value", F.lit("")), 256), "digest_differs")
     return top.withColumn("problem", problem)
+
+
+def pending_counts(overlays: DataFrame, key: str) -> DataFrame:
+    """For each dataset the overlays that wait for a review, and those approved that are not applied (state, applied)."""
+    return overlays.groupBy(key).agg(F.count_if(F.col("state") == "proposed").alias("proposed"), F.count_if((F.col("state") == "approved") & ~F.col("applied")).alias("approved_unapplied"))

@@ -67,3 +67,8 @@ def reminders(classified_: DataFrame, sent: DataFrame, quiet_from: int = 20, qui
 def settlement_gap() -> Column:
     """Zero where gross - fee - tax - withholding - refund + adjustment is net."""
     return F.col("gross") - F.col("fee") - F.col("tax") - F.col("withholding") - F.col("refund") + F.col("adjustment") - F.col("net")
+
+
+def late_counts(expectations: DataFrame, today) -> DataFrame:
+    """For each source the pending expectations that are over their last day."""
+    return expectations.groupBy("data_source_id").agg(F.count_if((F.col("state") == "pending") & (F.col("late_after") < today)).alias("late"))

@@ -15,12 +15,18 @@ def resolved(incoming: DataFrame, stored: DataFrame, keys: list[str], digest: st
     return out.withColumn("resolution", F.when(known.isNull(), "create").when(known == F.col(digest), "return_existing").otherwise("conflict")).drop("place_", "first_digest", "stored_digest")
 
 
-def candidate_pairs(df: DataFrame, features: list[str], company: str = "company_id", id_: str = "id") -> DataFrame:
-    """Pairs of one company that are equal in all features; a missing one counts as empty. Nothing is merged."""
+def candidate_classes(df: DataFrame, features: list[str], company: str = "company_id", id_: str = "id") -> DataFrame:
+    """``company, class_id, id`` of what one company has more than once, equal in all features; a missing one counts as empty. The class is named by its
+    smallest id: a class of n rows takes n rows and not n squared. Nothing is merged."""
     same = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in features]
-    keyed = df.select(company, id_, F.sha2(F.to_json(F.array(*same)), 256).alias("key"))
-    other = keyed.select(company, "key", F.col(id_).alias("right_id"))
-    return keyed.join(other, [company, "key"]).where(F.col(id_) < F.col("right_id")).select(company, F.col(id_).alias("left_id"), "right_id")
+    keyed = df.select(company, id_, F.sha2(F.to_json(F.array(*same)), 256).alias("key_"))
+    classes = keyed.groupBy(company, "key_").agg(F.min(id_).alias("class_id"), F.max(id_).alias("last_")).where("class_id <> last_").drop("last_")
+    return keyed.join(classes, [company, "key_"]).select(company, "class_id", id_)
+
+
+def ordered_pair(a: str, b: str) -> tuple[Column, Column]:
+    """The two ids of a pair, the smaller first, so that a pair has one form."""
+    return F.least(a, b), F.greatest(a, b)
 
 
 def unique_findings(constraints: DataFrame, forbidden: tuple[str, ...] = ("amount", "description", "dedupe_fingerprint", "occurred_on")) -> DataFrame:

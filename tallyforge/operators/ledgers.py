@@ -76,3 +76,26 @@ def unredacted(entries: DataFrame, forbidden: tuple[str, ...] = ("value", "raw_v
     """Log entries (entry_id, fields: a map) that show what a log must not."""
     bad = F.array_sort(F.map_keys(F.map_filter("fields", lambda k, v: k.isin(*forbidden) & v.isNotNull() & (v != "[redacted]"))))
     return entries.select("entry_id", bad.alias("fields")).where(F.size("fields") > 0)
+
+
+def located(lines: DataFrame, datasets: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Lines (dataset_key, ...) with their dataset's account key and that account's columns: the ordinals of a finding's place."""
+    return lines.join(datasets, "dataset_key").join(accounts, "account_key")
+
+
+def paired_balances(balances: DataFrame, account: str, side: str, amount: str) -> DataFrame:
+    """Accounts with both a bank and a books balance, each summed exactly in one aggregation."""
+    total = lambda s: F.sum(F.when(F.col(side) == s, F.col(amount)))
+    out = balances.groupBy(F.col(account).alias("account")).agg(total("bank").alias("bank"), total("books").alias("books"))
+    return out.where("bank IS NOT NULL AND books IS NOT NULL")
+
+
+def diverging(stored: DataFrame, observed: DataFrame, key: str, value: str) -> DataFrame:
+    """Keys of both sides whose values differ; a null differs from any value."""
+    other = observed.select(key, F.col(value).alias("observed_"))
+    return stored.join(other, key).where(~F.col(value).eqNullSafe(F.col("observed_"))).select(key)
+
+
+def valid_on(rows: DataFrame, links: DataFrame, key: str, day: str) -> DataFrame:
+    """Rows that a link (key, valid_from, valid_to) holds for on their day; both ends count."""
+    return rows.join(links, key).where(F.to_date(day).between(F.col("valid_from"), F.col("valid_to"))).select(*rows.columns)

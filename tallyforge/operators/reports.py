@@ -56,3 +56,25 @@ def money_series(spark, m: DataFrame, start: dt.date, end: dt.date) -> DataFrame
 def roll_up(summaries: DataFrame, keys: list[str]) -> DataFrame:
     """Summaries of several companies as one, with the range of their due dates."""
     return summaries.groupBy(*keys).agg(F.count("*").alias("companies"), F.sum("amount").alias("amount"), F.min("due_on").alias("first_due"), F.max("due_on").alias("last_due"))
+
+
+def missing_dates(m: DataFrame) -> DataFrame:
+    """For each dataset the movements without an accounting date, and its distinct references."""
+    return m.groupBy("dataset_version_id").agg(F.count_if(F.col("accounting_date").isNull()).alias("missing"), F.countDistinct("reference_normalised").alias("refs"))
+
+
+def usage_to_date(meter: DataFrame, as_of: DataFrame) -> DataFrame:
+    """What each company used of each metric (company, metric, quantity, used_at) since the first of the month of ``as_of``, a row with now."""
+    month = as_of.select(F.date_trunc("month", "now").alias("first_"))
+    return meter.join(F.broadcast(month), F.col("used_at") >= F.col("first_")).groupBy("company", "metric").agg(F.sum("quantity").alias("quantity"))
+
+
+def platform_counters(jobs: DataFrame) -> DataFrame:
+    """Jobs (state, identity): all, failed, and the identities behind them."""
+    return jobs.agg(F.count("*").alias("jobs"), F.count_if(F.col("state") == "failed").alias("failed"), F.countDistinct("identity").alias("identities"))
+
+
+def account_usage(accounts: DataFrame, movements: DataFrame, key: str) -> DataFrame:
+    """Accounts with the number of their movements and of those whose link is active, none counting as zero."""
+    used = movements.groupBy(key).agg(F.count("*").alias("movements"), F.count_if("active").alias("active_links"))
+    return accounts.join(used, key, "left").fillna(0)

@@ -20,3 +20,19 @@ def sequence_checks(rows: DataFrame, keys: list[str], order: str, value: Column,
         F.bool_and(F.coalesce(F.col("before_") <= F.col("v_"), F.lit(True))).alias("ordered"),
         F.bool_and(F.col("v_").isin(allowed)).alias("subset"),
     )
+
+
+def present(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Rows whose key others have."""
+    return rows.join(others.select(key).distinct(), key, "left_semi")
+
+
+def absent(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Rows whose key no other has; a null key is nobody's."""
+    return rows.join(others.select(key), key, "left_anti")
+
+
+def two_way_difference(rows: DataFrame, objects: DataFrame, key: str) -> DataFrame:
+    """Keys that only the ledger's rows or only the store's objects have, each once."""
+    a, b = rows.select(key).distinct(), objects.select(key).distinct()
+    return absent(a, b, key).withColumn("side", F.lit("row_only")).unionByName(absent(b, a, key).withColumn("side", F.lit("object_only")))

@@ -11,9 +11,11 @@ from ..functions.digests import canonical_json, digest_of
 from ..functions.money import money_text
 from ..functions.text import contains_ignoring_case, normalised_reference, spreadsheet_safe
 from ..operators import latest as L
+from ..operators import ledgers as LE
 from ..operators import matching as MA
 from ..operators import quality as Q
 from ..operators import reports as R
+from ..operators import sets as S
 from .registry import query
 from .views import datasets, movements, table
 
@@ -63,24 +65,22 @@ def rapid_reversal(spark, d):
 def decision_ledger(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("candidate_id"))
     first = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("candidate_id"), F.col("l_linenumber").alias("decision"), F.col("l_shipdate").alias("decided_at"))
-    return o.join(first, "candidate_id", "left").withColumn("state", F.when(F.col("decision").isNull(), "pending").otherwise("decided"))
+    return MA.with_decisions(o, first)
 
 
 @query("jon06_customers_with_orders", "SELECT c_custkey, c_nationkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
 def with_orders(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_nationkey")
+    return S.present(table(spark, d, "customer"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey", "c_nationkey")
 
 
 @query("jon07_orders_without_lines", "SELECT o_orderkey, o_orderstatus FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)")
 def without_lines(spark, d):
-    return table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey", "o_orderstatus")
+    return S.absent(table(spark, d, "orders"), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey").select("o_orderkey", "o_orderstatus")
 
 
 @query("jon08_two_way_difference", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'object_only' ELSE 'row_only' END AS side FROM (SELECT DISTINCT c_custkey AS k FROM customer) a FULL JOIN (SELECT DISTINCT o_custkey * 2 AS k FROM orders) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
 def two_way_difference(spark, d):
-    rows, objects = table(spark, d, "customer").select(F.col("c_custkey").alias("k")).distinct(), table(spark, d, "orders").select((F.col("o_custkey") * 2).alias("k")).distinct()
-    only = lambda a, b, side: a.join(b, "k", "left_anti").withColumn("side", F.lit(side))
-    return only(rows, objects, "row_only").unionByName(only(objects, rows, "object_only"))
+    return S.two_way_difference(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select((F.col("o_custkey") * 2).alias("k")), "k")
 
 
 @query("jon09_latest_line_per_order", "SELECT o_orderkey, l_shipdate, l_linenumber, l_partkey FROM orders LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS rn FROM lineitem) WHERE rn = 1) ON o_orderkey = l_orderkey")
@@ -126,16 +126,15 @@ def closed_overlaps(spark, d):
 
 @query("jon15_bank_and_books_pairing", "SELECT a.c_nationkey AS account, a.bal AS bank, b.bal AS books FROM (SELECT c_nationkey, sum(CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DECIMAL(38,12))) AS bal FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1) a JOIN (SELECT c_nationkey, sum(CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DECIMAL(38,12))) AS bal FROM customer WHERE c_custkey % 2 = 1 GROUP BY 1) b USING (c_nationkey)", money="bank books")
 def bank_and_books(spark, d):
-    c = table(spark, d, "customer").withColumn("bal", F.col("c_acctbal").cast("decimal(38,12)"))
-    side = lambda odd, name: c.where(F.col("c_custkey") % 2 == odd).groupBy(F.col("c_nationkey").alias("account")).agg(F.sum("bal").alias(name))
-    return side(0, "bank").join(side(1, "books"), "account")
+    c = table(spark, d, "customer").select("c_nationkey", F.when(F.col("c_custkey") % 2 == 0, "bank").otherwise("books").alias("side"), F.col("c_acctbal").cast("decimal(38,12)").alias("bal"))
+    return LE.paired_balances(c, "c_nationkey", "side", "bal")
 
 
 @query("jon16_divergence", "SELECT a.o_orderkey AS o_orderkey FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey + 1 WHERE a.o_orderstatus IS DISTINCT FROM CASE WHEN b.o_orderkey % 3 = 0 THEN NULL ELSE b.o_orderstatus END")
 def divergence(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    other = o.select((F.col("o_orderkey") + 1).alias("o_orderkey"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("other"))
-    return o.join(other, "o_orderkey").where(~F.col("o_orderstatus").eqNullSafe(F.col("other"))).select("o_orderkey")
+    other = o.select((F.col("o_orderkey") + 1).alias("o_orderkey"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("o_orderstatus"))
+    return LE.diverging(o, other, "o_orderkey", "o_orderstatus")
 
 
 @query("jon17_path_join", "SELECT l.l_orderkey AS l_orderkey, l.l_linenumber AS l_linenumber, r.r_name AS region, s.s_name AS supplier, p.p_brand AS brand FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN part p ON p.p_partkey = l.l_partkey")
@@ -151,16 +150,13 @@ def path_join(spark, d):
 def links_valid_on(spark, d):
     c = table(spark, d, "customer").where("c_acctbal > 0")
     shift = (F.col("c_custkey") % 365).cast("int")
-    joined = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
-    return joined.where(F.to_date("o_orderdate").between(F.date_add(F.lit("1993-01-01"), shift), F.date_add(F.lit("1997-01-01"), shift))).select("o_orderkey")
+    links = c.select(F.col("c_custkey").alias("o_custkey"), F.date_add(F.lit("1993-01-01"), shift).alias("valid_from"), F.date_add(F.lit("1997-01-01"), shift).alias("valid_to"))
+    return LE.valid_on(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), links, "o_custkey", "o_orderdate").select("o_orderkey")
 
 
-@query("jon20_cross_company_findings", "SELECT left_id, right_id FROM (SELECT l.movement_id AS left_id, r.movement_id AS right_id, CAST(l.financial_account_id AS BIGINT) % 2 AS a, CAST(r.financial_account_id AS BIGINT) % 2 AS b FROM movement l JOIN movement r ON l.dedupe_fingerprint <> r.dedupe_fingerprint AND l.amount = r.amount AND l.occurred_on = r.occurred_on AND l.movement_id < r.movement_id) WHERE a <> b")
+@query("jon20_cross_company_findings", "WITH m AS (SELECT movement_id, amount, occurred_on, dedupe_fingerprint AS f, CAST(financial_account_id AS BIGINT) % 2 AS c FROM movement) SELECT movement_id FROM m l WHERE EXISTS (SELECT 1 FROM m r WHERE l.f <> r.f AND l.amount = r.amount AND l.occurred_on = r.occurred_on AND l.c <> r.c)")
 def cross_company(spark, d):
-    m = movements(spark, d).select("movement_id", "amount", "occurred_on", "dedupe_fingerprint", (F.col("financial_account_id").cast("long") % 2).alias("company"))
-    r = m.select(*[F.col(c).alias(f"r_{c}") for c in m.columns])
-    pair = m.join(r, (F.col("amount") == F.col("r_amount")) & (F.col("occurred_on") == F.col("r_occurred_on")) & (F.col("movement_id") < F.col("r_movement_id")) & (F.col("dedupe_fingerprint") != F.col("r_dedupe_fingerprint")))
-    return pair.where("company <> r_company").select(F.col("movement_id").alias("left_id"), F.col("r_movement_id").alias("right_id"))
+    return MA.cross_company(movements(spark, d).withColumn("company_id", F.col("financial_account_id").cast("long") % 2))
 
 
 @query("rec01_propose_reviews", f"SELECT DISTINCT least(left_id, right_id) AS low_id, greatest(left_id, right_id) AS high_id FROM ({PAIR_SQL.format(v='movement', d=3)}) WHERE CAST(least(left_id, right_id) AS BIGINT) % 5 <> 0")
@@ -360,24 +356,27 @@ def distinct_sorted(spark, d):
 
 @query("agg22_correction_counts", "SELECT o_custkey AS dataset, count(*) FILTER (WHERE o_orderstatus = 'P') AS proposed, count(*) FILTER (WHERE o_orderstatus = 'O' AND o_orderkey % 2 = 0) AS approved_unapplied FROM orders GROUP BY 1")
 def correction_counts(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("dataset")).agg(F.count_if(F.col("o_orderstatus") == "P").alias("proposed"), F.count_if((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 2 == 0)).alias("approved_unapplied"))
+    from ..operators.corrections import pending_counts
+
+    state = F.when(F.col("o_orderstatus") == "P", "proposed").when(F.col("o_orderstatus") == "O", "approved").otherwise("rejected")
+    return pending_counts(table(spark, d, "orders").select(F.col("o_custkey").alias("dataset"), state.alias("state"), (F.col("o_orderkey") % 2 == 1).alias("applied")), "dataset")
 
 
 @query("agg23_missing_accounting_dates", "SELECT dataset_version_id, count(*) FILTER (WHERE accounting_date IS NULL) AS missing, count(DISTINCT reference_normalised) AS refs FROM movement GROUP BY 1")
 def missing_accounting_dates(spark, d):
-    return movements(spark, d).groupBy("dataset_version_id").agg(F.count_if(F.col("accounting_date").isNull()).alias("missing"), F.countDistinct("reference_normalised").alias("refs"))
+    return R.missing_dates(movements(spark, d))
 
 
 @query("agg24_usage_to_date", "SELECT user_id % 10 AS company, event_type AS metric, sum(event_id) AS quantity FROM events WHERE ts >= (SELECT date_trunc('month', max(ts)) FROM events) GROUP BY 1, 2", longs="quantity")
 def usage_to_date(spark, d):
     e = table(spark, d, "events")
-    month = e.agg(F.date_trunc("month", F.max("ts")).alias("first"))
-    return e.join(F.broadcast(month), F.col("ts") >= F.col("first")).groupBy((F.col("user_id") % 10).alias("company"), F.col("event_type").alias("metric")).agg(F.sum("event_id").alias("quantity"))
+    meter = e.select((F.col("user_id") % 10).alias("company"), F.col("event_type").alias("metric"), F.col("event_id").alias("quantity"), F.col("ts").alias("used_at"))
+    return R.usage_to_date(meter, e.agg(F.max("ts").alias("now")))
 
 
 @query("agg25_platform_counters", "SELECT count(*) AS jobs, count(*) FILTER (WHERE event_type = 'error') AS failed, count(DISTINCT user_id) AS identities FROM events")
 def platform_counters(spark, d):
-    return table(spark, d, "events").agg(F.count("*").alias("jobs"), F.count_if(F.col("event_type") == "error").alias("failed"), F.countDistinct("user_id").alias("identities"))
+    return R.platform_counters(table(spark, d, "events").select(F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("state"), F.col("user_id").alias("identity")))
 
 
 @query("agg26_overlay_set_digest", "SELECT o_custkey, sha256(string_agg(p || v, ',' ORDER BY p || v)) AS digest FROM (SELECT o_custkey, left(v, 3) AS p, sha256(string_agg(v, ',' ORDER BY v)) AS v FROM (SELECT o_custkey, sha256(o_orderkey || o_orderpriority) AS v FROM orders) GROUP BY 1, 2) GROUP BY 1")
@@ -389,8 +388,8 @@ def overlay_set_digest(spark, d):
 
 @query("agg27_account_usage", "SELECT c_custkey, count(o_orderkey) AS movements, count(*) FILTER (WHERE o_orderstatus = 'O') AS active_links FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def account_usage(spark, d):
-    used = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("movements"), F.count_if(F.col("o_orderstatus") == "O").alias("active_links"))
-    return table(spark, d, "customer").select("c_custkey").join(used, "c_custkey", "left").fillna(0)
+    m = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), (F.col("o_orderstatus") == "O").alias("active"))
+    return R.account_usage(table(spark, d, "customer").select("c_custkey"), m, "c_custkey")
 
 
 @query("agg28_roll_up", "SELECT n_regionkey, count(*) AS companies, sum(CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DECIMAL(38,12))) AS amount, min(c_custkey) AS first_due, max(c_custkey) AS last_due FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 3 <> 0 GROUP BY 1", money="amount")
@@ -484,9 +483,7 @@ def expected_minus_assessed(spark, d):
 
 @query("set04_array_checks", "WITH a AS (SELECT user_id, list(event_id % 9 ORDER BY event_id) AS v FROM events GROUP BY 1) SELECT user_id, len(v) = len(list_distinct(v)) AS all_distinct, list_sort(v) = v AS ordered, list_has_all([0, 1, 2, 3, 4, 5, 6], v) AS subset FROM a")
 def array_checks(spark, d):
-    from ..operators.sets import sequence_checks
-
-    return sequence_checks(table(spark, d, "events"), ["user_id"], "event_id", F.col("event_id") % 9, [*range(7)])
+    return S.sequence_checks(table(spark, d, "events"), ["user_id"], "event_id", F.col("event_id") % 9, [*range(7)])
 
 
 @query("scl02_money_text", "SELECT movement_id, CAST(amount AS VARCHAR) AS text FROM movement")

@@ -18,6 +18,7 @@ from ..operators import cycles as CY
 from ..operators import identity as I
 from ..operators import lineage as LI
 from ..operators import mapping as MP
+from ..operators import matching as MA
 from ..operators import profiling as PR
 from ..operators import publication as PU
 from .registry import query
@@ -231,7 +232,7 @@ def days_until_due(spark, d):
 
 @query("ops03_lazily_late", f"SELECT data_source_id, count(*) FILTER (WHERE state = 'pending' AND late_after < DATE '2025-06-16') AS late FROM ({EXPECT}) GROUP BY 1")
 def lazily_late(spark, d):
-    return expectations(spark, d).groupBy("data_source_id").agg(F.count_if((F.col("state") == "pending") & (F.col("late_after") < F.lit(dt.date(2025, 6, 16)))).alias("late"))
+    return CY.late_counts(expectations(spark, d), F.lit(dt.date(2025, 6, 16)))
 
 
 UPLOADS = "SELECT o_orderkey AS upload_id, CAST(o_custkey % 100 + 1 AS VARCHAR) AS data_source_id, DATE '2025-01-01' + CAST(o_orderkey % 300 AS INTEGER) AS uploaded_on FROM orders"
@@ -288,7 +289,8 @@ def typed_corrections(spark, d):
 
 @query("scl21_ordered_pair", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, least(l_partkey, l_suppkey) AS low, greatest(l_partkey, l_suppkey) AS high FROM lineitem")
 def ordered_pair(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.least("l_partkey", "l_suppkey").alias("low"), F.greatest("l_partkey", "l_suppkey").alias("high"))
+    low, high = I.ordered_pair("l_partkey", "l_suppkey")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", low.alias("low"), high.alias("high"))
 
 
 @query("scl22_artifact_identity", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey || '|src|' || sha256(CAST(o_orderkey AS VARCHAR)) END AS identity FROM orders")
@@ -433,15 +435,14 @@ def observations(spark, d):
 
 @query("agg19_group_sums", "SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS total, max(CAST(o_totalprice AS DECIMAL(18,2))) - sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS difference FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1", money="total difference")
 def group_sums(spark, d):
-    sums = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("total"))
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").cast("decimal(18,2)").alias("anchor"))
-    return sums.join(o, "l_orderkey").select("l_orderkey", "total", (F.col("anchor") - F.col("total")).alias("difference"))
+    members = table(spark, d, "lineitem").select("l_orderkey", F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"))
+    anchors = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").cast("decimal(18,2)").alias("anchor"))
+    return MA.group_totals(members, anchors, "l_orderkey")
 
 
 @query("agg21_adjustments_by_side", "SELECT string_split(item_id, '-')[1] AS statement, sum(amount) FILTER (WHERE adjustment_side = 'add_to_bank' AND state = 'confirmed') AS additions, sum(amount) FILTER (WHERE adjustment_side = 'deduct_from_bank' AND state = 'confirmed') AS deductions FROM item GROUP BY 1", money="additions deductions")
 def adjustments(spark, d):
-    side = lambda s: F.sum(F.when((F.col("adjustment_side") == s) & (F.col("state") == "confirmed"), F.col("amount")))
-    return owned_items(spark, d).groupBy(F.col("of_statement").alias("statement")).agg(side("add_to_bank").alias("additions"), side("deduct_from_bank").alias("deductions"))
+    return CO.adjustments(owned_items(spark, d).withColumnRenamed("of_statement", "statement"), "statement")
 
 
 SOURCES = """SELECT o_orderkey AS expectation_id, o_custkey % 25 AS company_id, date_trunc('month', o_orderdate)::DATE AS period_start, CASE WHEN o_orderkey % 31 = 0 THEN 'late' ELSE 'satisfied' END AS state,
@@ -680,9 +681,9 @@ def resolutions(spark, d):
     return I.resolved(e.select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("digest")), stored, ["user_id"]).select(F.col("seq").alias("event_id"), "resolution")
 
 
-@query("ded02_candidate_pairs", "SELECT a.company_id AS company_id, a.movement_id AS left_id, b.movement_id AS right_id FROM movement_coarse a JOIN movement_coarse b ON a.company_id = b.company_id AND a.amount = b.amount AND a.occurred_on = b.occurred_on AND a.financial_account_id = b.financial_account_id AND coalesce(a.reference_normalised, '') = coalesce(b.reference_normalised, '') AND a.movement_id < b.movement_id")
+@query("ded02_candidate_pairs", "SELECT company_id, class_id, movement_id FROM (SELECT company_id, movement_id, min(movement_id) OVER w AS class_id, count(*) OVER w AS n FROM movement_coarse WINDOW w AS (PARTITION BY company_id, amount, occurred_on, financial_account_id, coalesce(reference_normalised, ''))) WHERE n > 1")
 def duplicate_pairs(spark, d):
-    return I.candidate_pairs(movements(spark, d, True), ["amount", "occurred_on", "financial_account_id", "reference_normalised"], id_="movement_id")
+    return I.candidate_classes(movements(spark, d, True), ["amount", "occurred_on", "financial_account_id", "reference_normalised"], id_="movement_id")
 
 
 @query("ded03_unique_findings", "SELECT s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'amount' ELSE 'occurred_on' END AS fields FROM supplier WHERE s_suppkey % 3 <> 0")

@@ -20,9 +20,10 @@ from .views import datasets, items, movements, table
 
 @query("jon04_recover_ordinals", "SELECT l_orderkey, l_linenumber, l_partkey, o_custkey, c_nationkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey")
 def recover_ordinals(spark, d):
-    l = table(spark, d, "lineitem")
-    o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).select("l_orderkey", "l_linenumber", "l_partkey", "o_custkey", "c_nationkey")
+    l = table(spark, d, "lineitem").withColumn("dataset_key", F.col("l_orderkey"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("dataset_key"), "o_custkey", F.col("o_custkey").alias("account_key"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("account_key"), "c_nationkey")
+    return LE.located(l, o, c).select("l_orderkey", "l_linenumber", "l_partkey", "o_custkey", "c_nationkey")
 
 
 @query("jon12_months_by_currency", "SELECT n_nationkey, r_name FROM nation CROSS JOIN region")
