@@ -49,6 +49,22 @@ def keyed_digest(key: bytes):
     return run
 
 
+def canonical_features(df, features: list[str]) -> Column:
+    """The features of each row as one text: canonical JSON of the names in order and of exact texts, nulls as empty ones. Floating numbers are
+    refused, as one amount could have several texts."""
+    inexact = [f for f in features if df.schema[f].dataType.simpleString() in ("float", "double")]
+    if inexact:
+        raise TypeError(f"features must be exact: {', '.join(inexact)}")
+    return canonical_json(**{f: F.coalesce(F.col(f).cast("string"), F.lit("")) for f in features})
+
+
+def candidate_fingerprint(df, features: list[str], key: bytes, version: str) -> Column:
+    """A keyed digest of a row's features, with the version of the features in front, so that those of different versions never meet."""
+    if not version:
+        raise ValueError("a fingerprint names the version of its features")
+    return F.concat(F.lit(f"{version}:"), keyed_digest(key)(F.concat(F.lit(f"{version}|"), canonical_features(df, features))))
+
+
 def normalised_account(c: Column) -> Column:
     """An account's number without the marks that people write between its parts."""
     return F.upper(F.regexp_replace(c, r"[\s._/-]", ""))

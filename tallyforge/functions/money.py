@@ -54,3 +54,15 @@ def parse_currency(c: Column, allowed: tuple[str, ...] = CURRENCIES) -> Column:
 def times_ten(c: Column) -> Column:
     """Exactly ten times an amount of up to 28 digits: a wider product would lose decimals."""
     return c.cast("decimal(28,12)") * F.lit(10).cast("decimal(2,0)")
+
+
+def combined(a: Column, a_currency: Column, b: Column, b_currency: Column, sign: int = 1) -> Column:
+    """The exact sum or (``sign`` -1) difference of two amounts as (value, error). Amounts of different currencies, or of none, are never
+    added up, and a result of over 38 digits is an error and not a rounded number."""
+    out = F.try_add(a.cast(MONEY), (b * sign).cast(MONEY)).cast("decimal(38,12)")
+    error = (
+        F.when(a.isNull() | b.isNull(), "amount_missing")
+        .when(~F.coalesce(a_currency == b_currency, F.lit(False)), "currency_mismatch")
+        .when(out.isNull(), "more_than_38_digits")
+    )
+    return outcome(error, out, MONEY)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions.digests import record_digest_text
-from ..functions.money import parse_currency, parse_money, times_ten
+from ..functions.money import combined, parse_currency, parse_money, times_ten
 from ..functions.parsing import classify, corrected_value, normalised_amount, parse_date
 from ..functions.text import line_findings, luhn
 from ..operators import closing as CL
@@ -160,6 +160,14 @@ def exact_arithmetic(spark, d):
     return balances(spark, d).select("statement_id", (F.col("bank_closing_balance") - F.col("books_closing_balance")).alias("difference"), times_ten(F.col("bank_closing_balance")).alias("tenfold"), (F.col("bank_closing_balance") == F.col("books_closing_balance")).alias("zero"))
 
 
+@query("scl04_currency_guard", "SELECT statement_id, CASE WHEN k % 11 = 0 THEN NULL WHEN k % 5 = 0 THEN NULL ELSE bank_closing_balance + books_closing_balance END AS value, CASE WHEN k % 11 = 0 THEN 'amount_missing' WHEN k % 5 = 0 THEN 'currency_mismatch' END AS error FROM (SELECT *, CAST(statement_id AS BIGINT) AS k FROM balance)", money="value")
+def currency_guard(spark, d):
+    k = F.col("statement_id").cast("long")
+    books = F.when(k % 11 != 0, F.col("books_closing_balance"))
+    p = combined(F.col("bank_closing_balance"), F.col("currency_code"), books, F.when(k % 5 == 0, "GBP").otherwise(F.col("currency_code")))
+    return balances(spark, d).select("statement_id", p["value"].alias("value"), p["error"].alias("error"))
+
+
 ZONED = "SELECT event_id, ts, CASE event_id % 3 WHEN 0 THEN 'America/Bogota' WHEN 1 THEN 'Asia/Tokyo' ELSE 'UTC' END AS zone, CASE event_id % 3 WHEN 0 THEN -5 WHEN 1 THEN 9 ELSE 0 END AS h FROM events"
 
 

@@ -17,6 +17,17 @@ def column(spark, values, expression, kind="string"):
     return [r[0] for r in df.orderBy("i").select(expression(F.col("x")).alias("y")).collect()]
 
 
+def test_fingerprints_are_versioned_and_exact(spark):
+    ship(spark)
+    df = spark.createDataFrame([("b", 1, 0.5, None)], "currency string, n long, amount double, ref string")
+    with pytest.raises(TypeError, match="amount"):
+        digests.canonical_features(df, ["currency", "amount"])
+    one, two = (df.select(digests.candidate_fingerprint(df, ["n", "currency", "ref"], b"k", v)).first()[0] for v in ("v1", "v2"))
+    assert one.startswith("v1:") and two.startswith("v2:") and one[3:] != two[3:]
+    text = df.select(digests.canonical_features(df, ["n", "currency", "ref"])).first()[0]
+    assert one == "v1:" + hmac.new(b"k", f"v1|{text}".encode(), hashlib.sha256).hexdigest()
+
+
 def test_money_is_exact_or_refused(spark):
     cases = ["1.5", " -2 ", "0", "1.1234567890123", "1e3", "NaN", "", None, "9" * 26, "9" * 27, "1.", "+3.000000000001"]
     got = column(spark, cases, money.parse_money)
