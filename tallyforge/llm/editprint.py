@@ -207,6 +207,9 @@ class Prints(Shard):
             row[: len(p)] = np.frombuffer(p, np.uint8)
         self.weight = weights(self.places.shape[1])
         self.upto = np.append(0, np.cumsum(self.weight))
+        if len(parts) == 2:  # most bands; either is as good a root
+            super().__init__(np.zeros(2), comp)
+            return
         most = np.stack([(self.places == c).sum(axis=0) for c in HEX]).argmax(axis=0)
         super().__init__(-((self.places == HEX[most]) @ self.weight), comp)
 

@@ -27,8 +27,9 @@ class Shard:
 
     def __init__(self, far: np.ndarray, comp: list[str]):
         self.far, self.root, self.union = far, int(far.argmin()), Union(len(far))
-        _, first, of = np.unique(np.array(comp), return_index=True, return_inverse=True)
-        self.union.add(np.arange(len(far)), first[of])
+        if len({*comp}) < len(comp):
+            _, first, of = np.unique(np.array(comp), return_index=True, return_inverse=True)
+            self.union.add(np.arange(len(far)), first[of])
 
     def candidates(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of one of ``asked`` and another member that may be alike."""
@@ -61,6 +62,8 @@ class Shard:
             return
         all_ = np.ones(len(self.far), bool)
         yield from self.links(np.array([self.root]), all_)
+        if len(all_) == 2:
+            return
         # those near it first: who is joined to the root by then need not ask
         order = np.argsort(self.far, kind="stable")
         for i in range(0, len(order), ASKED):
