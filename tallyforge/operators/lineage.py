@@ -50,7 +50,8 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     while not front.isEmpty():
         found = front.join(step, "node").select("start", F.col("next").alias("node")).distinct()
         front = settled(found.join(seen, ["start", "node"], "left_anti"))
-        seen = settled(seen.unionByName(front))
+        # every part is written; a union of them is no work of its own
+        seen = seen.unionByName(front)
     return seen
 
 
@@ -75,7 +76,7 @@ def peeled(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         free = settled(left.join(held, "node", "left_anti").withColumn("level", F.lit(level)))
         if free.isEmpty():
             break
-        out = free if out is None else settled(out.unionByName(free))
+        out = free if out is None else out.unionByName(free)
         left = settled(left.join(free, "node", "left_anti"))
         # edges of nodes that are placed hold nobody any more
         edges, level = settled(edges.join(free.select(F.col("node").alias("from_id")), "from_id", "left_anti")), level + 1
