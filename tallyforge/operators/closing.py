@@ -134,3 +134,24 @@ def packet_versions(packets: DataFrame, keys: list[str]) -> DataFrame:
     out = packets.withColumn("replay", replay)
     version = F.sum(F.when(F.col("replay"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return out.withColumn("version", version).withColumn("accepted", ~F.col("replay") & (F.col("prepared_by") != F.col("reviewed_by")))
+
+
+#: Steps of a closed period; the first is its close.
+CLOSE_STEPS = {None: ("closed",), "closed": ("reopen_requested",), "reopen_requested": ("reopened",), "reopened": ("closed",)}
+
+
+def close_history(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Events of periods (seq, event, subject_id) with what is wrong in each: a step that does not follow from the one before, and a reopening by who asked for it."""
+    w = Window.partitionBy(*keys).orderBy("seq")
+    before, by = F.lag("event").over(w), F.lag("subject_id").over(w)
+    allowed = F.lit(False)
+    for a, to in CLOSE_STEPS.items():
+        allowed = allowed | ((before.isNull() if a is None else before == a) & F.col("event").isin(*to))
+    why = F.when(~F.coalesce(allowed, F.lit(False)), "step_not_allowed").when((F.col("event") == "reopened") & (by == F.col("subject_id")), "same_person")
+    return events.withColumn("problem", why)
+
+
+def stale_packets(packets: DataFrame, manifests_: DataFrame, keys: list[str]) -> DataFrame:
+    """Packets (manifest_digest) whose period has another manifest by now, or none: they must be prepared again."""
+    now = manifests_.select(*keys, F.col("digest").alias("now_"))
+    return packets.join(now, keys, "left").where(~F.col("manifest_digest").eqNullSafe(F.col("now_"))).drop("now_")

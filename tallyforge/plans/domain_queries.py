@@ -548,6 +548,34 @@ def packet_versions(spark, d):
     return CL.packet_versions(p, ["o_custkey"]).select("o_custkey", F.col("seq").alias("o_orderkey"), "version", "accepted")
 
 
+@query("clo08_close_history", """WITH e AS (SELECT o_custkey, o_orderkey, CASE row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) % 4 WHEN 1 THEN 'closed' WHEN 2 THEN 'reopen_requested' WHEN 3 THEN CASE WHEN o_orderkey % 7 = 0 THEN 'closed' ELSE 'reopened' END ELSE 'closed' END AS event, o_orderkey % 3 AS s FROM orders),
+b AS (SELECT *, lag(event) OVER w AS p, lag(s) OVER w AS ps FROM e WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+SELECT o_custkey, o_orderkey, event, CASE WHEN NOT coalesce((p IS NULL AND event = 'closed') OR (p = 'closed' AND event = 'reopen_requested') OR (p = 'reopen_requested' AND event = 'reopened') OR (p = 'reopened' AND event = 'closed'), FALSE) THEN 'step_not_allowed' WHEN event = 'reopened' AND ps = s THEN 'same_person' END AS problem FROM b""")
+def close_history(spark, d):
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) % 4
+    event = F.when(n == 2, "reopen_requested").when(n == 3, F.when(F.col("o_orderkey") % 7 == 0, "closed").otherwise("reopened")).otherwise("closed")
+    e = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("seq"), event.alias("event"), (F.col("o_orderkey") % 3).alias("subject_id"))
+    return CL.close_history(e, ["o_custkey"]).select("o_custkey", "o_orderkey", "event", "problem")
+
+
+@query("clo08_idempotent_requests", "WITH q AS (SELECT o_custkey AS request_key, o_orderkey AS seq, o_orderstatus AS digest, row_number() OVER w AS rn, first_value(o_orderstatus) OVER w AS f FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) SELECT seq, CASE WHEN rn = 1 THEN 'create' WHEN f = digest THEN 'return_existing' ELSE 'conflict' END AS resolution FROM q")
+def idempotent_requests(spark, d):
+    """A request's key with the digest of its body: said again it is the same, with another body a conflict."""
+    q = table(spark, d, "orders").select(F.col("o_custkey").alias("request_key"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("digest"))
+    return I.resolved(q, q.where("false").select("request_key", "digest"), ["request_key"]).select("seq", "resolution")
+
+
+@query("clo08_stale_packets", """WITH m AS (SELECT o_custkey, sha256('[' || string_agg(j, ',' ORDER BY j) || ']') AS digest FROM (SELECT o_custkey, '{"order":"' || o_orderkey || '","status":"' || o_orderstatus || '"}' AS j FROM orders) GROUP BY 1)
+SELECT c_custkey AS o_custkey FROM customer LEFT JOIN m ON o_custkey = c_custkey WHERE CASE WHEN c_custkey % 4 = 0 THEN 'old' ELSE digest END IS DISTINCT FROM digest""")
+def stale_packets(spark, d):
+    m = CL.manifests(table(spark, d, "orders"), ["o_custkey"], order=F.col("o_orderkey").cast("string"), status=F.col("o_orderstatus"))
+    p = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")).join(m.select("o_custkey", "digest"), "o_custkey", "left")
+    packets = p.select("o_custkey", F.when(F.col("o_custkey") % 4 == 0, "old").otherwise(F.col("digest")).alias("manifest_digest"))
+    return CL.stale_packets(packets, m, ["o_custkey"]).select("o_custkey")
+
+
 @query("pub02_publication_blockers", "SELECT dataset_version_id, 'not_validated' AS blocker FROM dataset WHERE state <> 'validated' UNION ALL SELECT dataset_version_id, 'completeness_not_verified' FROM dataset WHERE completeness_state IN ('mismatch', 'unknown') UNION ALL SELECT dataset_version_id, 'lineage_not_complete' FROM dataset WHERE lineage_state <> 'complete' UNION ALL SELECT dataset_version_id, 'rejected_rows' FROM dataset WHERE rejected_count > 0")
 def publication_blockers(spark, d):
     return PU.blockers(datasets(spark, d))
