@@ -25,13 +25,13 @@ def shipped(query: Callable) -> Callable:
 
 
 def queries() -> dict[str, Callable]:
-    from . import editprint, jaccard, language, mixing, neighbours, packing, secrets, simhash, suffixes, tokens, toxicity, trie
+    from . import editprint, jaccard, language, lexical, mixing, neighbours, packing, secrets, simhash, suffixes, tokens, toxicity, trie
 
-    own = {"op1_language_spans": language.op1, "op4_toxicity": toxicity.op4, "op2_multiprobe_neighbours": neighbours.op2, "op3_simhash_near_dedup": simhash.op3, "op5_token_counts": tokens.op5, "op6_weighted_mixture": mixing.op6, "op7_best_fit_packing": packing.op7, "op8_edit_fingerprints": editprint.op8, "op9_repeated_passages": suffixes.op9, "op10_secret_scan": secrets.op10, "op11_jaccard_join": jaccard.op11, "op12_conversation_trie": trie.op12}
+    own = {"op1_language_spans": language.op1, "op4_toxicity": toxicity.op4, "op2_multiprobe_neighbours": neighbours.op2, "op3_simhash_near_dedup": simhash.op3, "op5_token_counts": tokens.op5, "op6_weighted_mixture": mixing.op6, "op7_best_fit_packing": packing.op7, "op8_edit_fingerprints": editprint.op8, "op9_repeated_passages": suffixes.op9, "op10_secret_scan": secrets.op10, "op11_jaccard_join": jaccard.op11, "op12_conversation_trie": trie.op12, "op13_lexical_ranking": lexical.op13}
     return {name: shipped(query) for name, query in own.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import jaccard, mixing, trie
+    from . import jaccard, lexical, mixing, trie
 
-    return {"op6_weighted_mixture": mixing.oracle(), "op11_jaccard_join": jaccard.oracle(), "op12_conversation_trie": trie.oracle()}
+    return {"op6_weighted_mixture": mixing.oracle(), "op11_jaccard_join": jaccard.oracle(), "op12_conversation_trie": trie.oracle(), "op13_lexical_ranking": lexical.oracle()}
