@@ -1,13 +1,16 @@
 r"""Secret scans through a recursive decoding worklist.
 
 Every layer of a text is scanned with the same three patterns. A layer yields new layers: the layer with its URL escapes
-undone, with its Unicode escapes undone, each base64 run decoded (lines of a wrapped run together; of a run with signs of the
-alphabet the parts between them, too), and compressed bytes inflated, where they stand in base64, in URL escapes or as characters. Bytes
-that are no text are kept as a mark, and what is around them is scanned. New
+undone, with its Unicode escapes undone, what its base64 runs hold, and the content of each compressed stream that stands in it as characters.
+A run is decoded from each of its first four characters on, so that an encoded text anywhere in a run of base64 characters is met, whatever stands glued to it; lines of a
+wrapped or indented run are read together as well. Decoded bytes are scanned as bytes, one character each, so that streams are opened at any offset between other bytes. New
 layers join the worklist until none is left; a layer whose content was seen at the same place is not taken up again, so that no
-cycle can go round. Spans found in a layer are mapped back to the text: through escapes character by character, through base64
-and compression to the whole run that holds them. Decoded content is scanned in windows of ``WINDOW`` bytes that overlap by ``OVERLAP``, so that
-streams of any size are scanned whole in bounded memory; encoded layers inside them may be as long as a window.
+cycle can go round.
+
+Spans found in a layer are mapped back to the text: through escapes and base64 character by character, through compression to the whole stream, which ends where the
+stream itself says so, or where its bytes no longer decode: what follows it is not part of it. Every head of a stream is tried, those inside others too. Inflated content is scanned in windows of
+``WINDOW`` bytes that overlap by ``OVERLAP``, so that streams of any size are scanned whole in bounded memory; a layer inside inflated content
+that is longer than ``OVERLAP`` and crosses the border of two windows is found only if it is itself a stream at the content's start.
 
 Null and empty texts have no spans. Columns of the result's names are replaced, others are left alone.
 """
@@ -15,11 +18,9 @@ Null and empty texts have no spans. Columns of the result's names are replaced,
 from __future__ import annotations
 
 import base64
-import binascii
 import contextlib
 import hashlib
 import re
-import urllib.parse
 import zlib
 from bisect import bisect_right
 from itertools import chain
@@ -39,15 +40,14 @@ KEYWORDS = ("passw", "secret", "token", "api")
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 UNICODE_ONE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
-BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}")
-BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{2,})+={0,2}")
-#: What may stand between two encoded texts: the signs of one alphabet, of the other, or of both.
-BASE64_PARTS = [re.compile(rf"[A-Za-z0-9{signs}]{{12,}}={{0,2}}") for signs in ("+/", "_-", "")]
-#: Compressed bytes in URL escapes, and as characters.
-URL_PACKED = re.compile(r"(?:%1[fF]%8[bB]|(?:x|%78)(?:%9[cC]|%[dD][aA]|%01|%5[eE]|\^))[^\s\"'<>&]{6,}")
-RAW_PACKED = re.compile("(?:\x1f\x8b|x[\x01^\x9c\xda])[\x00-\xff]{6,}")
+BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{12,}")
+#: A run that goes on in further lines, which may be indented or quoted.
+BASE64_LINES = re.compile(r"[A-Za-z0-9+/_-]{4,}(?:[\t ]*\r?\n[\t >]*[A-Za-z0-9+/_-]{2,})+")
+BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: The beginning of a compressed stream, as characters.
+HEAD = re.compile("(?=\x1f\x8b\x08|x[\x01^\x9c\xda])")
 #: What a layer must hold to be worth a scan: the beginning of a secret, or of a further layer.
-TELLING = re.compile(rb"(?i:passw|secret|token|api)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f]{2}|[A-Za-z0-9+/_-]{12}|\x1f\x8b|x[\x01^\x9c\xda]")
+TELLING = re.compile(rb"(?i:passw|secret|token|api)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f]{2}|[A-Za-z0-9+/_-]{12}|\x1f\x8b\x08|x[\x01^\x9c\xda]")
 WINDOW, OVERLAP = 4 << 20, 64 << 10
 #: Stands for bytes and code points that are no text.
 LOST = "\ufffd"
@@ -69,15 +69,18 @@ class Layer:
     """A decoded text and the way back to the text it came from.
 
     ``pieces`` are (start, end, start above, end above) of the decoded characters, in order; ``inside`` is the one span above
-    that holds the whole layer, where characters cannot be told apart.
+    that holds the whole layer, where characters cannot be told apart. ``sixes`` are the places above of base64 characters, of which
+    four hold three of the layer.
     """
 
-    def __init__(self, text: str, above: Layer | None = None, pieces=None, inside=None):
-        self.text, self.above, self.pieces, self.inside = text, above, pieces or [], inside
+    def __init__(self, text: str, above: Layer | None = None, pieces=None, inside=None, sixes=None):
+        self.text, self.above, self.pieces, self.inside, self.sixes = text, above, pieces or [], inside, sixes
         self.starts = [p[0] for p in self.pieces]
 
     def up(self, at: int, end: bool) -> int:
         """Where the character at ``at`` starts above, or ends."""
+        if self.sixes:
+            return self.sixes[8 * at // 6] if not end else self.sixes[min((8 * at + 7) // 6, len(self.sixes) - 1)] + 1
         k = bisect_right(self.starts, at) - 1
         if k < 0:
             return at + end
@@ -114,16 +117,9 @@ def unescaped(layer: Layer, runs: re.Pattern, decode) -> Layer | None:
     return Layer("".join(out), layer, pieces)
 
 
-def url_chars(run: str) -> list[tuple[str, int]] | None:
-    raw, chars = bytes.fromhex(run.replace("%", "")), []
-    while raw:
-        try:
-            good, bad = raw.decode(), 0
-        except UnicodeDecodeError as e:
-            good, bad = raw[: e.start].decode(), e.end - e.start
-        chars += [(c, 3 * len(c.encode())) for c in good] + [(LOST, 3)] * bad
-        raw = raw[len(good.encode()) + bad :]
-    return chars if any(c != LOST for c, _ in chars) else None
+def url_chars(run: str) -> list[tuple[str, int]]:
+    """The bytes of a run, one character each."""
+    return [(chr(b), 3) for b in bytes.fromhex(run.replace("%", ""))]
 
 
 def unicode_chars(run: str) -> list[tuple[str, int]] | None:
@@ -169,64 +165,125 @@ def inflated(chunks):
             yield rest
 
 
+def opened(raw: bytes, times: int):
+    """Chunks of the bytes, inflated so many times."""
+    chunks = iter([raw])
+    for _ in range(times):
+        chunks = inflated(chunks)
+    return chunks
+
+
 def content(raw: bytes):
-    """Chunks of the bytes, inflated as often as they are compressed; a stream that holds itself is opened once."""
-    first, rest, met = raw, iter(()), set()
+    """Chunks of the bytes, inflated as often as they are compressed; a stream that holds itself is opened once, and what only looks
+    like a stream is left as it is."""
+    times, first, met = 0, raw, set()
     while packed(first) and (mark := hashlib.sha256(first).digest()) not in met:
         met.add(mark)
-        rest = inflated(chain([first], rest))
-        if (first := next(rest, None)) is None:
-            return
-    yield first
-    yield from rest
+        if (first := next(opened(raw, times + 1), None)) is None:
+            break
+        times += 1
+    return opened(raw, times)
 
 
-def windows(raw: bytes):
-    """The content of ``raw`` as text, in overlapping windows; those without anything telling are left out."""
+def in_windows(chunks):
+    """Chunks as text, one character a byte, in overlapping windows; those without anything telling are left out."""
     held = b""
-    for chunk in content(raw):
+    for chunk in chunks:
         held += chunk
         if len(held) >= WINDOW:
             if TELLING.search(held):
-                yield held.decode("utf-8", "replace")
+                yield held.decode("latin-1")
             held = held[-OVERLAP:]
     if TELLING.search(held):
-        yield held.decode("utf-8", "replace")
+        yield held.decode("latin-1")
 
 
-def base64_bytes(run: str) -> bytes | None:
-    bare = "".join(run.split()).rstrip("=").replace("-", "+").replace("_", "/")
-    if len(bare) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(bare + "=" * (-len(bare) % 4))
-    except binascii.Error:
-        return None
+def windows(raw: bytes):
+    return in_windows(content(raw))
+
+
+def stream_end(raw: bytes) -> int:
+    """How many bytes of ``raw`` the stream at its beginning takes; up to where it breaks off, if it does not end; 0 if it holds nothing."""
+    engine, at, made = zlib.decompressobj(47), 0, False
+    while at < len(raw) and not engine.eof:
+        before, data = engine.copy(), raw[at : at + 4096]
+        try:
+            while data and not engine.eof:
+                made |= bool(engine.decompress(data, WINDOW))
+                data = engine.unconsumed_tail
+        except zlib.error:
+            # the byte at which it breaks
+            with contextlib.suppress(zlib.error):
+                for k in range(at, len(raw)):
+                    data = raw[k : k + 1]
+                    while data:
+                        made |= bool(before.decompress(data, WINDOW))
+                        data = before.unconsumed_tail
+                    at = k + 1
+            return at if made else 0
+        at += 4096
+    if engine.eof:
+        return min(at, len(raw)) - len(engine.unused_data) if made else 0
+    with contextlib.suppress(zlib.error):
+        made |= bool(engine.flush())
+    return len(raw) if made else 0
+
+
+def streams(layer: Layer):
+    """Layers of what the compressed streams in ``layer`` hold."""
+    text = layer.text
+    for m in HEAD.finditer(text):
+        a = m.start()
+        raw, most = b"", 1 << 16
+        # as far as the characters are bytes; most streams are short
+        while True:
+            stop = min(len(text), a + most)
+            try:
+                raw = text[a:stop].encode("latin-1")
+                cut = False
+            except UnicodeEncodeError as e:
+                raw, cut = text[a : a + e.start].encode("latin-1"), True
+            size = stream_end(raw)
+            if size < len(raw) or cut or stop == len(text):
+                break
+            most *= 16
+        if size:
+            whole = raw[:size]
+            # a stream at the content's start may be followed by other bytes
+            outer = in_windows(opened(whole, 1)) if packed(next(opened(whole, 1), b"")) else ()
+            for found in chain(windows(whole), outer):
+                yield Layer(found, layer, inside=(a, a + size))
+
+
+def base64_layers(layer: Layer):
+    """Layers of what base64 runs hold, from each of their first four characters on; lines of one run together, too."""
+    text = layer.text
+    runs = [range(*m.span()) for m in BASE64_RUN.finditer(text)]
+    if "\n" in text:
+        for m in BASE64_LINES.finditer(text):
+            runs.append([k for part in BASE64_LINE.finditer(text, *m.span()) for k in range(*part.span())])
+    for places in runs:
+        chars = text[places[0] : places[-1] + 1] if isinstance(places, range) else "".join([text[k] for k in places])
+        chars = chars.replace("-", "+").replace("_", "/")
+        for first in range(4):
+            some = chars[first:]
+            some = some[: len(some) - (len(some) % 4 == 1)]
+            if len(some) < 11:
+                continue
+            raw = base64.b64decode(some + "=" * (-len(some) % 4))
+            if TELLING.search(raw):
+                yield Layer(raw.decode("latin-1"), layer, sixes=places[first : first + len(some)])
 
 
 def below(layer: Layer):
     """The layers that one step of decoding finds in ``layer``."""
     text = layer.text
-    runs: dict[tuple[int, int], bytes | None] = {}
-    if "%" in text:
-        if made := unescaped(layer, URL_RUN, url_chars):
-            yield made
-        runs |= {m.span(): urllib.parse.unquote_to_bytes(m[0]) for m in URL_PACKED.finditer(text)}
+    if "%" in text and (made := unescaped(layer, URL_RUN, url_chars)):
+        yield made
     if "\\" in text and (made := unescaped(layer, UNICODE_RUN, unicode_chars)):
         yield made
-    if not text.isascii() or "\x01" in text or "x^" in text:
-        runs |= {m.span(): m[0].encode("latin-1") for m in RAW_PACKED.finditer(text)}
-    for m in BASE64_RUN.finditer(text):
-        # the alphabet's signs also stand between words: the parts of a run may be encoded each
-        spans = {m.span()}
-        if not m[0].rstrip("=").isalnum():
-            spans.update(p.span() for part in BASE64_PARTS for p in part.finditer(text, *m.span()))
-        runs |= {(a, b): base64_bytes(text[a:b]) for a, b in sorted(spans)}
-    if "\n" in text:
-        runs |= {m.span(): base64_bytes(m[0]) for m in BASE64_LINES.finditer(text)}
-    for (a, b), raw in runs.items():
-        for found in windows(raw) if raw else ():
-            yield Layer(found, layer, inside=(a, b))
+    yield from streams(layer)
+    yield from base64_layers(layer)
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
