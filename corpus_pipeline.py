@@ -48,13 +48,11 @@ def reject_toxic(spark, docs, sf_dir):
 
 @stage
 def one_of_near_copies(spark, docs, sf_dir):
-    names = [f"{c}_" if c in ("key", "copy_id", "copy_key") else c for c in docs.columns]
-    stay = cut(copies.near_copies(docs.select("doc_id", "text")))
-    kept = copies.same_rows(docs.toDF(*names).withColumn("key", copies.key()), stay)
-    # a row may stand several times
-    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return kept.select(*names).toDF(*docs.columns)
-    return kept.dropDuplicates(["doc_id", "key"]).select(*names).toDF(*docs.columns)
+    # an id may have several texts, and a text of an id several rows, equal or not in other columns: the first of these stays
+    row = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), copies.key()), 256).alias("row_key")
+    first = docs.select(row, F.struct(*docs.columns).alias("row")).groupBy("row_key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    stay = cut(copies.near_copies(docs.select("doc_id", "text"))).select(F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "key"), 256).alias("row_key"))
+    return first.join(stay, "row_key", "left_semi").select("row.*")
 
 
 @stage
@@ -69,9 +67,7 @@ def without_secrets(spark, docs, sf_dir):
 
 @stage
 def mixed(spark, docs, sf_dir):
-    taken = mixing.mix(docs.select("doc_id", "text", "lang", "source"), WEIGHTS, SHARE, 1, SEED, mixing.domain_of_source())
-    ids = taken.select(F.col("doc_id").alias("id_")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi")
+    return mixing.mix_rows(docs, WEIGHTS, SHARE, SEED, mixing.domain_of_source())
 
 
 @stage

@@ -10,12 +10,12 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
 
-__all__ = ["STEP_CHARS", "by_step", "cut", "held_out", "read", "shared_folder", "ship", "steps", "written"]
+__all__ = ["STEP_CHARS", "by_step", "cut", "held_out", "read", "running", "shared_folder", "ship", "steps", "written"]
 
 #: Characters of text that one numpy step holds at a time.
 STEP_CHARS = 6_000_000
@@ -65,6 +65,21 @@ def removed(spark: SparkSession, path: str) -> None:
         place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def running(df: DataFrame, key: str, order: list, agg: Callable, cols: list[str], combine: Callable) -> DataFrame:
+    """``df`` with ``<col>_before``: ``agg`` of ``col`` over the rows of the same key that stand before, for keys of any number of rows.
+
+    Rows are dealt by ranges, of which a key may fill many; each range adds up its own rows, and what all ranges before hold of the key is one row a range."""
+    names = [f"order_{k}_" for k in range(len(order))]
+    dealt = df.select("*", *[(F.col(c) if isinstance(c, str) else c).alias(n) for c, n in zip(order, names, strict=True)], F.monotonically_increasing_id().alias("tie_"))
+    dealt = written(dealt.repartitionByRange(key, *names, "tie_").withColumn("part_", F.spark_partition_id()))
+    earlier = Window.partitionBy(key).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    local = Window.partitionBy(key, "part_").orderBy(*names, "tie_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(key, "part_").agg(*[agg(c).alias(f"{c}_all") for c in cols])
+    sums = sums.select(key, "part_", *[F.coalesce(agg(f"{c}_all").over(earlier), F.lit(0)).alias(f"{c}_far") for c in cols])
+    out = dealt.select("*", *[F.coalesce(agg(c).over(local), F.lit(0)).alias(f"{c}_near") for c in cols]).join(sums, [key, "part_"])
+    return out.select(*df.columns, *[combine(F.col(f"{c}_far"), F.col(f"{c}_near")).alias(f"{c}_before") for c in cols])
+
+
 def steps(lengths: list[int], most: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows that hold about ``most`` characters together."""
     start, total = 0, 0

@@ -4,9 +4,9 @@ Words are runs of letters. Their script (by Unicode ranges) leaves only the lang
 for a language is the mean log-probability of its hashed letter groups. Viterbi over a text's words, with a penalty for each switch,
 gives labelled spans, so mixed texts are told apart; the label that covers most letters is the text's language.
 
-The letter groups' counts are learned on Spark from a bounded sample of labelled texts; at most ``sample`` texts of each
-language are expected in it, chosen by a hash of the text, and copies of a text in one language count once, so that no group of
-copies can swell it.
+The letter groups' counts are learned on Spark from a bounded sample of labelled texts; at most ``sample`` different texts of each
+language are expected in it, chosen by a hash of the text. Copies of a text in one language count once, in the sample and in the rate at which it is drawn, so that copies
+neither swell a language nor push its other texts out. At most ``LANGUAGES`` languages are learned, those of most different texts.
 
 Null texts, and texts without a letter, have language ``und``, score 0 and no spans. Labels that are null are not learned from.
 Columns of the result's names are replaced. Without any labelled text every result is ``und``.
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import by_step, held_out, read
 
 UND = "und"
+#: Languages that are learned at most.
+LANGUAGES = 300
 SAMPLE = 4000
 BUCKETS = 1 << 16
 #: A multiplier that spreads a group's letters over 64 bits, of which the uppermost 16 are its bucket.
@@ -68,13 +70,14 @@ def letter_groups(words: list[str]):
 def learn(labelled: DataFrame, text: str, lang: str, sample: int = SAMPLE):
     """(languages, log-probabilities by bucket and language, whether each script and language meet)."""
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rates = known.groupBy(F.col(lang).alias("lang_")).agg(F.least(F.lit(1.0), F.lit(sample) / F.count("*")).alias("rate")).collect()
+    different = known.select(F.col(lang).alias("lang_"), F.xxhash64(text).alias("same_")).distinct()
+    rates = different.groupBy("lang_").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang_").limit(LANGUAGES).collect()
     langs = sorted(r.lang_ for r in rates)
     if not langs:
         return [], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(NAMES), 0), bool)
-    rate = F.coalesce(*[F.when(F.col(lang) == r.lang_, F.lit(r.rate)) for r in rates])
+    rate = F.create_map(*[F.lit(x) for r in rates for x in (r.lang_, min(1.0, sample / r.n))])[F.col(lang)]
     chance = F.shiftrightunsigned(F.xxhash64(text), 11) / F.lit(float(1 << 53))
-    chosen = known.where(chance < rate).select(F.col(text).alias("text_"), F.col(lang).alias("lang_"), F.xxhash64(text).alias("same_"))
+    chosen = known.where(F.col(lang).isin(langs) & (chance < rate)).select(F.col(text).alias("text_"), F.col(lang).alias("lang_"), F.xxhash64(text).alias("same_"))
     chosen = chosen.dropDuplicates(["same_", "lang_"]).select("text_", "lang_")
 
     def count(batches):

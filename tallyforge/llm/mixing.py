@@ -9,8 +9,11 @@ All is DataFrame operations. The prefix of a leaf is found digit by digit of the
 that no leaf's documents are ever sorted in one place; only those that share the first ``LEVELS`` digits with the end of the
 prefix, one in 16 million, are ordered. The hash is of id and text, so that rows of one id, or of none, spread as well.
 
+Rows equal in id, text and leaf are interchangeable: they go through the mixture as one row with their number for each input partition, so that a group of equal rows is
+neither sorted nor written by one task, and where a prefix ends among them, as many are taken as fit.
+
 Weights that are missing are 1; nulls in domain, lang or source are a value of their own, ``(none)``. Null and empty texts count one
-token. Repeated rows count each. A total over what all epochs hold is cut down to that. Empty tables give empty results.
+token. Repeated rows count each, rows without an id as well. A total over what all epochs hold is cut down to that. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, read, running
 
 LEVELS = 3
 NONE = "(none)"
@@ -61,21 +64,23 @@ def budgets(leaves: DataFrame, total: int, epochs: int) -> DataFrame:
     return out.withColumnRenamed("share", "budget").drop("cap", "lang_budget")
 
 
-def mix(docs: DataFrame, weights: dict[str, dict[str, int]], total: int | float, epochs: int = 1, seed: int = 0, domain: Column | None = None, tokens: Column | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, domain, lang, source, n_tokens, epoch``: one row for each time a document is taken.
+def same_text(docs: DataFrame, text: str) -> Column:
+    """Tells rows of equal or null ids apart."""
+    return F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))) if text in docs.columns else F.lit("")
 
-    ``weights`` has the weights of ``domain``, ``lang`` and ``source`` values; ``total`` is a number of tokens or, as a float, a
-    share of all there are. ``domain`` is an expression, by default the column of that name.
-    """
-    node = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
+
+def node(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(NONE))
+
+
+def chosen(docs: DataFrame, weights: dict[str, dict[str, int]], total: int | float, epochs: int, seed: int, domain: Column | None, tokens: Column | None, text: str, doc_id: str) -> DataFrame:
+    """``doc_id, same, domain, lang, source, n_tokens, epoch, times, copies``: of equal rows of one input partition, ``copies`` in number, so many are taken in an epoch."""
     base = docs.select(
         F.col(doc_id), node(F.col("domain") if domain is None else domain).alias("domain"), node(F.col("lang")).alias("lang"), node(F.col("source")).alias("source"),
-        (estimated_tokens(text) if tokens is None else tokens.cast("long")).alias("n_tokens"),
-        # tells rows of equal or null ids apart
-        (F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))) if text in docs.columns else F.lit("")).alias("same"),
+        (estimated_tokens(text) if tokens is None else tokens.cast("long")).alias("n_tokens"), same_text(docs, text).alias("same"), F.spark_partition_id().alias("part"),
     )
-    base = cut(base)
-    leaves = base.groupBy(*TREE).agg(F.sum("n_tokens").alias("supply"))
+    base = cut(base.groupBy(*base.columns).agg(F.count("*").alias("copies")))
+    leaves = base.groupBy(*TREE).agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("supply"))
     for level in TREE:
         weight = F.lit(None).cast("long")
         for value, w in weights.get(level, {}).items():
@@ -89,6 +94,31 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], total: int | float,
     return taken(base, plan, seed, doc_id)
 
 
+def mix(docs: DataFrame, weights: dict[str, dict[str, int]], total: int | float, epochs: int = 1, seed: int = 0, domain: Column | None = None, tokens: Column | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id, domain, lang, source, n_tokens, epoch``: one row for each time a document is taken.
+
+    ``weights`` has the weights of ``domain``, ``lang`` and ``source`` values; ``total`` is a number of tokens or, as a float, a
+    share of all there are. ``domain`` is an expression, by default the column of that name.
+    """
+    found = chosen(docs, weights, total, epochs, seed, domain, tokens, text, doc_id)
+    return found.select(doc_id, *TREE, "n_tokens", "epoch", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).drop("time")
+
+
+def mix_rows(docs: DataFrame, weights: dict[str, dict[str, int]], total: int | float, seed: int = 0, domain: Column | None = None, tokens: Column | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``mix`` takes in one epoch. Of rows equal in id, text and leaf as many stay as the mixture takes, in the
+    order of a hash of all their columns."""
+    found = chosen(docs, weights, total, 1, seed, domain, tokens, text, doc_id)
+    # an epoch that is taken whole counts as epoch 0, as does a prefix of it
+    all_ = docs.select(F.col(doc_id).alias("id_"), same_text(docs, text).alias("same_"), node(F.col("lang")).alias("lang_"), node(F.col("source")).alias("source_"), node(F.col("domain") if domain is None else domain).alias("domain_"), F.struct(*docs.columns).alias("row_"))
+    sums = found.groupBy(doc_id, "same", *TREE).agg(F.sum("times").alias("times"), F.sum("copies").alias("copies"))
+    sums = cut(sums.withColumnRenamed(doc_id, "taken_id").where("times > 0"))
+    key = F.col("id_").eqNullSafe(F.col("taken_id")) & (F.col("same_") == F.col("same")) & (F.col("lang_") == F.col("lang")) & (F.col("source_") == F.col("source")) & (F.col("domain_") == F.col("domain"))
+    met = all_.join(sums, key).withColumn("part_of", F.col("times") < F.col("copies"))
+    some = met.where("part_of").select("row_", "times", F.xxhash64("id_", "same_", "lang_", "source_", "domain_").alias("class_"), F.to_json("row_").alias("order_"), F.lit(1).cast("long").alias("one_"))
+    first = running(some, "class_", [F.xxhash64("order_").alias("place_")], F.sum, ["one_"], lambda a, b: a + b).where("one__before < times")
+    return met.where("NOT part_of").select("row_.*").unionByName(first.select("row_.*"))
+
+
 def order_key(seed: int, epoch: Column, doc_id: str) -> Column:
     """48 bits of a seeded hash of id and text, as a number."""
     text = F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "same")
@@ -97,26 +127,28 @@ def order_key(seed: int, epoch: Column, doc_id: str) -> Column:
 
 def taken(base: DataFrame, plan: DataFrame, seed: int, doc_id: str) -> DataFrame:
     # leaves are few, but how few is not known here: Spark chooses the join by the table's size
-    placed = cut(base.join(plan, [*TREE]).withColumn("key", order_key(seed, F.col("whole"), doc_id)))
-    cols = [doc_id, *TREE, "n_tokens"]
-    repeats = placed.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1))).select(*cols, "epoch")
+    placed = cut(base.join(plan, [*TREE]).withColumn("key", order_key(seed, F.col("whole"), doc_id)).withColumn("all", F.col("n_tokens") * F.col("copies")))
+    cols = [doc_id, "same", *TREE, "n_tokens"]
+    now = F.col("whole").alias("epoch")
+    repeats = placed.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1))).select(*cols, "epoch", F.col("copies").alias("times"), "copies")
     left = placed.where("rest > 0").withColumn("room", F.col("rest"))
-    chosen = []
+    found = []
     leaf = Window.partitionBy(*TREE).orderBy("digit")
     for level in range(LEVELS):
         left = left.withColumn("digit", F.shiftright("key", 40 - 8 * level).bitwiseAND(F.lit(255)))
-        sums = left.groupBy(*TREE, "digit").agg(F.sum("n_tokens").alias("n"), F.max("room").alias("room"))
+        sums = left.groupBy(*TREE, "digit").agg(F.sum("all").alias("n"), F.max("room").alias("room"))
         upto = sums.withColumn("upto", F.sum("n").over(leaf))
         # the digit in which the prefix ends, and the room left for it
         end = upto.where(F.col("upto") > F.col("room")).groupBy(*TREE).agg(F.min("digit").alias("end"), F.min_by("upto", "digit").alias("upto"), F.min_by("n", "digit").alias("n"))
         end = cut(end.select(*TREE, "end", (F.col("upto") - F.col("n")).alias("used")))
         tied = left.join(end, [*TREE])
-        chosen.append(tied.where(F.col("digit") < F.col("end")).select(*cols, F.col("whole").alias("epoch")))
+        found.append(tied.where(F.col("digit") < F.col("end")).select(*cols, now, F.col("copies").alias("times"), "copies"))
         left = tied.where(F.col("digit") == F.col("end")).withColumn("room", F.col("room") - F.col("used")).drop("end", "used", "digit")
-    last = Window.partitionBy(*TREE).orderBy("key", doc_id, "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    chosen.append(left.withColumn("upto", F.sum("n_tokens").over(last)).where(F.col("upto") <= F.col("room")).select(*cols, F.col("whole").alias("epoch")))
+    last = Window.partitionBy(*TREE).orderBy("key", doc_id, "n_tokens", "part").rowsBetween(Window.unboundedPreceding, -1)
+    left = left.withColumn("fit", F.floor((F.col("room") - F.coalesce(F.sum("all").over(last), F.lit(0))) / F.col("n_tokens")))
+    found.append(left.where("fit > 0").select(*cols, now, F.least("fit", "copies").alias("times"), "copies"))
     out = repeats
-    for part in chosen:
+    for part in found:
         out = out.unionByName(part)
     return out
 

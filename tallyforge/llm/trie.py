@@ -23,10 +23,10 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, read, written
+from .common import cut, read, running, written
 
 #: Turns of a block.
 BLOCK = 64
@@ -34,20 +34,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def running(df: DataFrame, key: str, order: list[str], agg, cols: list[str], combine) -> DataFrame:
-    """``df`` with ``<col>_before``: ``agg`` of ``col`` over the rows of the same key that stand before, for keys of any number of rows.
-
-    Rows are dealt by ranges, of which a key may fill many; each range adds up its own rows, and what all ranges before hold of the key is one row a range."""
-    dealt = df.withColumn("tie_", F.monotonically_increasing_id()).repartitionByRange(key, *order, "tie_").withColumn("part_", F.spark_partition_id())
-    dealt = written(dealt)
-    earlier = Window.partitionBy(key).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    local = Window.partitionBy(key, "part_").orderBy(*order, "tie_").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy(key, "part_").agg(*[agg(c).alias(f"{c}_all") for c in cols])
-    sums = sums.select(key, "part_", *[F.coalesce(agg(f"{c}_all").over(earlier), F.lit(0)).alias(f"{c}_far") for c in cols])
-    out = dealt.select("*", *[F.coalesce(agg(c).over(local), F.lit(0)).alias(f"{c}_near") for c in cols]).join(sums, [key, "part_"])
-    return out.select(*df.columns, *[combine(F.col(f"{c}_far"), F.col(f"{c}_near")).alias(f"{c}_before") for c in cols])
-
-
 def turns(conversations: DataFrame) -> DataFrame:
     """``conv_id, place, a, b, words``: the turns in order, from 1, as hashes; texts go no further."""
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))

@@ -107,3 +107,33 @@ def test_near_copies_of_edited_texts(spark):
     got = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, "").collect()
     assert {r.key for r in got} == {"kept"}
     assert sorted((r.doc_id or -1, r.text.lower().split()) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("ids", ["own", "none", "shared", "equal"])
+def test_mixture_takes_rows_and_not_ids(spark, ids):
+    """The weights are met whether rows have ids of their own, none, or share them, and where they are equal in all columns."""
+    text = lambda i: "the same text " * 12 if ids == "equal" else f"text number {i} " * 12
+    rows = [({"own": i, "none": None, "shared": i % 40, "equal": 7}[ids], text(i), "en", "big", i % 3) for i in range(2000)]
+    rows += [({"own": 10_000 + i, "none": None, "shared": i % 40, "equal": 7}[ids], text(i), "en", "small", 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, other int").repartition(4)
+    weights = {"source": {"big": 1, "small": 1}}
+    from tallyforge.llm import mixing
+
+    each = mixing.estimated_tokens()
+    got = mixing.mix_rows(docs, weights, 0.3, 5, F.lit("d")).cache()
+    total = docs.agg(F.sum(each)).first()[0]
+    held = {r.source: r.n for r in got.groupBy("source").agg(F.sum(each).alias("n")).collect()}
+    # the small source is taken whole, and what it lacks the other gives
+    assert held["small"] == docs.where("source = 'small'").agg(F.sum(each)).first()[0]
+    assert 0 <= int(0.3 * total) - held["small"] - held["big"] < 60, (held, total)
+    assert got.columns == docs.columns and got.exceptAll(docs).count() == 0
+    again = mixing.mix_rows(docs.repartition(3, "other"), weights, 0.3, 5, F.lit("d"))
+    assert sorted(map(str, again.select("doc_id", "text", "source").collect())) == sorted(map(str, got.select("doc_id", "text", "source").collect()))
+
+
+def test_rows_of_one_id_and_text_leave_the_same_row(spark):
+    rows = [(1, "the very same words here", "x", k) for k in (5, 3, 9)] + [(1, "something else altogether, and longer", "x", 2), (None, "no id", "y", 1), (None, "no id", "y", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, other int")
+    for parts in (1, 3, 5):
+        got = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs.repartition(parts), "").collect()
+        assert sorted((r.doc_id or 0, r.other) for r in got) == [(0, 1), (1, 2), (1, 3)]
