@@ -14,7 +14,7 @@ fragments; a class has a segment of its set in each. Overlaps of a pair of class
    components is lost, and no list is cut. Where many texts share rare passages and are unlike otherwise, these last pairs grow with the square of such a list.
 
 Shingles that stand in many documents of a bounded sample (``SAMPLE`` documents) are last in the order and do not go through the count, so that no task meets a list of
-nearly all classes there; any order gives the same result. Hashes have 64 bits: a pair's overlap is wrong only where two of its own shingles collide.
+nearly all classes there; any order gives the same result. Hashes keep 48 bits beside those of their range, 53 at least: a pair's overlap is wrong only where two of its own shingles collide.
 
 Words are runs of other characters than space and \x09 to \x0D, A-Z in lower case. Under five words are one shingle; texts without words, null among
 them, have none and link with nothing. Rows of one id are documents each; null ids are never a component's id unless all its members have none. Columns of the
@@ -39,7 +39,7 @@ FRAGMENT, LEAST = 2_000_000, 32
 #: Documents of the sample that tells frequent shingles, and the share of them that makes a shingle frequent.
 SAMPLE, FREQUENT = 4096, 1 / 64
 #: Rounds in which lists choose hubs.
-ROUNDS = 3
+ROUNDS = 2
 #: The level of frequent shingles in the order, after all others; parts of each level that are fragments of their own.
 LAST, PARTS = 63, 4
 
@@ -83,7 +83,8 @@ def lists(values: np.ndarray, sizes: np.ndarray, kind=None) -> pa.Array:
 
 
 def ranges(docs: DataFrame, bits: int, often: np.ndarray) -> DataFrame:
-    """``range, classes, sizes, counts, hashes``: the sets cut by ranges of hashes, those of many documents in one row. Frequent shingles go by class."""
+    """``range, classes, sizes, counts, low, high``: the sets cut by ranges of hashes, those of many documents in one row, with 32 and 16 further bits of each hash. Frequent
+    shingles go by class."""
     many = 1 << bits
 
     def cutted(sets, names):
@@ -103,8 +104,8 @@ def ranges(docs: DataFrame, bits: int, often: np.ndarray) -> DataFrame:
         per = np.diff(np.append(heads, len(first)))
         cls = ids[owner[first]]
         hashes = np.add.reduceat(counts, heads)
-        columns = [pa.array(at[heads].astype(np.int32)), binaries(cls.reshape(-1), 2 * per), binaries(sizes[owner[first]].astype("<u4"), per), binaries(counts.astype("<u4"), per), binaries(flat, hashes)]
-        return pa.RecordBatch.from_arrays(columns, names=["range", "classes", "sizes", "counts", "hashes"])
+        columns = [pa.array(at[heads].astype(np.int32)), binaries(cls.reshape(-1), 2 * per), binaries(sizes[owner[first]].astype("<u4"), per), binaries(counts.astype("<u4"), per), binaries(flat.astype("<u4"), hashes), binaries((flat >> np.uint64(32)).astype("<u2"), hashes)]
+        return pa.RecordBatch.from_arrays(columns, names=["range", "classes", "sizes", "counts", "low", "high"])
 
     def run(batches):
         met: set[bytes] = set()
@@ -123,7 +124,7 @@ def ranges(docs: DataFrame, bits: int, often: np.ndarray) -> DataFrame:
                 if len(met) > 500_000:
                     met.clear()
 
-    return docs.select("text").mapInArrow(run, "range int, classes binary, sizes binary, counts binary, hashes binary")
+    return docs.select("text").mapInArrow(run, "range int, classes binary, sizes binary, counts binary, low binary, high binary")
 
 
 def counted(cuts: DataFrame, bits: int) -> DataFrame:
@@ -132,7 +133,8 @@ def counted(cuts: DataFrame, bits: int) -> DataFrame:
 
     def flush(held):
         raw = np.concatenate([np.frombuffer(x, "<u8") for _, x, *_ in held]).reshape(-1, 2)
-        n, counts, flat = (np.concatenate([np.frombuffer(h[k], kind) for h in held]) for k, kind in ((2, "<u4"), (3, "<u4"), (4, "<u8")))
+        n, counts, low, high = (np.concatenate([np.frombuffer(h[k], kind) for h in held]) for k, kind in ((2, "<u4"), (3, "<u4"), (4, "<u4"), (5, "<u2")))
+        flat = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32) | np.uint64(min(held[0][0], many) << 48)
         # a class may come from several tasks
         order = np.lexsort((raw[:, 1], raw[:, 0]))
         new = np.append(True, (np.diff(raw[order], axis=0) != 0).any(axis=1))
@@ -172,7 +174,7 @@ def counted(cuts: DataFrame, bits: int) -> DataFrame:
     return dealt.mapInArrow(run, "class binary, n long, levels binary, hashes binary")
 
 
-def segmented(shared: DataFrame) -> DataFrame:
+def segmented(shared: DataFrame, bits: int) -> DataFrame:
     """``class, n, shared, prefix, segments`` of the classes that may have partners: their shared shingles in the global order, cut into fragments."""
 
     def flush(held):
@@ -193,7 +195,8 @@ def segmented(shared: DataFrame) -> DataFrame:
         prefix = total - (4 * n + 4) // 5 + 1
         place = np.arange(len(flat)) - np.repeat(begin, total)
         values = flat.astype(np.int64)
-        fragment = level * PARTS + (flat >> np.uint64(62)).astype(np.int64)
+        # the range's uppermost bits
+        fragment = level * PARTS + np.minimum((flat >> np.uint64(48 + bits - 2)).astype(np.int64), PARTS - 1)
         first = np.flatnonzero(np.append(True, (np.diff(of) != 0) | (np.diff(fragment) != 0))) if len(flat) else np.zeros(0, np.int64)
         struct = pa.StructArray.from_arrays([pa.array(fragment[first].astype(np.int32)), lists(values, np.diff(np.append(first, len(flat))))], names=["f", "seg"])
         number = np.cumsum(keep) - 1
@@ -219,64 +222,73 @@ def segmented(shared: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """Those of ``a, b, na, nb`` that are similar: overlaps counted in each fragment and summed for the pair."""
+    """Those of ``a, b, na, nb, la, lb`` that are similar: overlaps counted in each fragment and summed for the pair."""
     own = segments.select(F.col("class").alias("a"), "f", F.col("seg").alias("seg_a"))
     other = segments.select(F.col("class").alias("b"), "f", F.col("seg").alias("seg_b"))
-    partial = pairs.join(own, "a").join(other, ["b", "f"]).select("a", "b", "na", "nb", F.size(F.array_intersect("seg_a", "seg_b")).alias("common"))
-    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-    return summed.where("9 * common >= 4 * (na + nb)").select("a", "b")
+    keys = ["a", "b", "na", "nb", "la", "lb"]
+    partial = pairs.join(own, "a").join(other, ["b", "f"]).select(*keys, F.size(F.array_intersect("seg_a", "seg_b")).alias("common"))
+    return partial.groupBy(*keys).agg(F.sum("common").alias("common")).where("9 * common >= 4 * (na + nb)").drop("common", "na", "nb")
 
 
 #: What holds of two similar members of a list at the first shingle that they share: sizes, and what can still follow in both.
 MAY = "5 * least(na, nb) >= 4 * greatest(na, nb) AND 9 * (1 + least(ra, rb)) >= 4 * (na + nb)"
 
 
+def raised(links: DataFrame) -> DataFrame:
+    """``label, to``: where links lead from a label, upwards, followed three times; enough for most groups, and none is lost where it is not."""
+    up = links.where("la != lb").select(F.when(F.col("la") < F.col("lb"), F.col("la")).otherwise(F.col("lb")).alias("label"), F.when(F.col("la") < F.col("lb"), F.col("lb")).otherwise(F.col("la")).alias("to"))
+    up = cut(up.groupBy("label").agg(F.max("to").alias("to")))
+    for _ in range(2):
+        then = up.select(F.col("label").alias("to"), F.col("to").alias("then"))
+        up = up.join(then, "to", "left").select("label", F.coalesce("then", "to").alias("to"))
+    return up
+
+
 def similar(docs: DataFrame, total: int, shingles_: int) -> DataFrame:
-    """``class, comp`` of the classes that links join."""
+    """``class, comp`` of the classes that links join.
+
+    Between the rounds members carry labels, the best hub that they are joined to; labels that differ may be of one component, which costs pairs but no link."""
     bits = max(LEAST, -(-shingles_ // FRAGMENT) - 1).bit_length()
-    sets = written(segmented(counted(ranges(docs, bits, frequent(docs, total)), bits)))
+    sets = written(segmented(counted(ranges(docs, bits, frequent(docs, total)), bits), bits))
     segments = sets.select("class", F.explode("segments").alias("s")).select("class", "s.f", "s.seg")
-    listed = sets.select("class", "n", "shared", (F.col("shared") / F.col("n")).alias("rank"), F.posexplode("prefix").alias("pos", "x"))
-    listed = listed.select("x", "class", "n", (F.col("shared") - F.col("pos") - 1).alias("rest"), "rank")
-    open_ = cut(listed.join(listed.groupBy("x").count().where("count > 1").select("x"), "x").withColumn("comp", F.col("class")))
-    tested = links = None
+    label = F.struct((F.col("shared") / F.col("n")).alias("rank"), "class").alias("label")
+    listed = sets.select("class", "n", "shared", "prefix", label).select("class", "n", "shared", "label", F.posexplode("prefix").alias("pos", "x"))
+    listed = listed.select("x", "class", "n", (F.col("shared") - F.col("pos") - 1).alias("rest"), F.col("label.rank").alias("rank"), "label")
+    open_ = cut(listed.join(listed.groupBy("x").count().where("count > 1").select("x"), "x"))
+    tested, links = None, []
 
     def meet(pairs):
         """Links of new pairs; all pairs that have met are known."""
-        nonlocal tested, links
-        pairs = pairs.where(MAY).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        found = cut(linked(pairs, segments))
+        nonlocal tested
+        first = F.col("a") < F.col("b")
+        swap = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"), ("la", "lb"), ("lb", "la"))]
+        pairs = pairs.where(MAY).select(*swap).distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        links = found if links is None else links.unionByName(found)
-        return cut(components(links, "a", "b").select(F.col("node").alias("class"), F.col("component").alias("comp")))
-
-    comps = None
-    for _ in range(ROUNDS):
-        if open_.isEmpty():
-            break
-        best = F.max(F.struct("rank", "class", "comp", "n", "rest"))
-        if comps is None:
+        links.append(cut(linked(pairs, segments)))
+        return links[-1]
+
+    pair = [F.col("class").alias("a"), F.col("hub.class").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"), F.col("rest").alias("ra"), F.col("hub.rest").alias("rb"), F.col("label").alias("la"), F.col("hub.label").alias("lb")]
+    best = F.max(F.struct("rank", "class", "label", "n", "rest"))
+    for turn in range(ROUNDS):
+        if turn == 0:
             hubs = open_.groupBy("x").agg(best.alias("hub"))
         else:
-            # the best of those outside the list's largest component
-            groups = open_.groupBy("x", "comp").agg(F.count("*").alias("size"), best.alias("hub"))
-            large = groups.groupBy("x").agg(F.max(F.struct("size", "comp")).alias("large"))
-            hubs = groups.join(large, "x").where("comp != large.comp").groupBy("x").agg(F.max("hub").alias("hub"))
-        pairs = open_.join(hubs, "x").where("comp != hub.comp").select(F.col("class").alias("a"), F.col("hub.class").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"), F.col("rest").alias("ra"), F.col("hub.rest").alias("rb"))
-        comps = meet(pairs)
-        now = open_.drop("comp").join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-        apart = now.groupBy("x").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("x")
-        open_ = cut(now.join(apart, "x", "left_semi").select("x", "class", "n", "rest", "rank", "comp"))
-    if comps is None:
-        return sets.select("class", F.col("class").alias("comp")).where("false")
-    if not open_.isEmpty():
-        one = open_.select("x", F.col("class").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("comp").alias("ca"))
-        two = open_.select("x", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("comp").alias("cb"))
-        comps = meet(one.join(two, "x").where("a < b AND ca != cb"))
-    return comps
+            # the best of those outside the list's largest group
+            groups = open_.groupBy("x", "label").agg(F.count("*").alias("size"), best.alias("hub"))
+            large = groups.groupBy("x").agg(F.max(F.struct("size", "label")).alias("large"))
+            hubs = groups.join(large, "x").where("label != large.label").groupBy("x").agg(F.max("hub").alias("hub"))
+        found = meet(open_.join(hubs, "x").where("label != hub.label").select(*pair))
+        now = open_.join(raised(found), "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+        apart = now.groupBy("x").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("x")
+        open_ = cut(now.join(apart, "x", "left_semi").select("x", "class", "n", "rest", "rank", "label"))
+    one = open_.select("x", F.col("class").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("label").alias("la"))
+    two = open_.select("x", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("label").alias("lb"))
+    meet(one.join(two, "x").where("a < b AND la != lb"))
+    all_ = links[0]
+    for more in links[1:]:
+        all_ = all_.unionByName(more)
+    return cut(components(all_, "a", "b").select(F.col("node").alias("class"), F.col("component").alias("comp")))
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
