@@ -12,8 +12,10 @@ from ..operators import ledgers as LE
 from ..operators import lineage as LI
 from ..operators import reports as R
 from ..operators import sets as S
+from ..operators.rounds import scratch
 from ..sources import admission as A
 from ..sources import export as X
+from ..sources import ranges as RG
 from .registry import query
 from .views import datasets, items, movements, table
 
@@ -184,6 +186,25 @@ def media_types(spark, d):
     return table(spark, d, "customer").select("c_custkey", A.media_type(content, name).alias("kind"), A.program(content).alias("program"))
 
 
+NOTE = "o_orderstatus || chr(10) || '\"' || o_custkey || '\";' || o_orderkey"
+
+
+@query(
+    "src01_records_by_ranges",
+    f"SELECT o_orderkey, CAST(o_orderdate AS VARCHAR) AS day, note, strlen(o_orderkey::VARCHAR) + strlen(CAST(o_orderdate AS VARCHAR)) + strlen(replace(note, '\"', '\"\"')) + 9 AS bytes, 3 AS field_count, 'complete' AS state FROM (SELECT *, {NOTE} AS note FROM orders)",
+    longs="bytes field_count",
+)
+def records_by_ranges(spark, d):
+    """All orders written as statements with quotes, marks and line ends inside cells, and read back by byte ranges."""
+    note = F.concat("o_orderstatus", F.lit('\n"'), F.col("o_custkey").cast("string"), F.lit('";'), F.col("o_orderkey").cast("string"))
+    folder = scratch(spark)
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderdate").cast("string").alias("day"), note.alias("note"))
+    rows.write.options(header=True, quoteAll=True, escape='"', sep=";", lineSep="\n").csv(folder)
+    found = RG.read(spark, folder, "*.csv", limits=RG.Limits(rows=None, bytes=None, seconds=None)).records.where("record_ordinal > 1")
+    cell = F.col("raw_values")
+    return found.select(cell[0].cast("long").alias("o_orderkey"), cell[1].alias("day"), cell[2].alias("note"), (F.col("byte_end") - F.col("byte_start")).alias("bytes"), "field_count", "state")
+
+
 @query("src20_generated_statement", "SELECT CAST(n AS BIGINT) AS record_ordinal, strftime(DATE '2026-02-13' + CAST(n % 28 AS INTEGER), '%d/%m/%Y') || ';mov ' || n || ';' || CASE WHEN n % 2 = 0 THEN '-' ELSE '' END || (n % 1000) || ',50' AS line FROM range(0, 20000) r(n)")
 def generated_statement(spark, d):
     n = F.col("id")
