@@ -228,7 +228,9 @@ def index(docs: DataFrame, vocabulary: dict[bytes, int] | None = None) -> Index:
     some = lists.where("octet_length(terms) > 0")
     blocks = max(-(-held // BLOCK), -(-postings // (4 * POSTINGS)), 1)
     levels = min(blocks - 1, SAMPLE // 64 - 1).bit_length()
-    router = Router(some.orderBy(F.xxhash64("doc_id", "n"), "doc_id").limit(SAMPLE).select("terms").collect(), levels) if levels else None
+    # about SAMPLE rows, whatever their ids and the number of partitions
+    drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 40)) < int(min(1.0, SAMPLE / max(held, 1)) * (1 << 40))
+    router = Router(some.withColumn("drawn", drawn).where("drawn").select("terms").collect(), levels) if levels else None
 
     def route(batches):
         for batch in batches:
