@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.digests import fingerprint
 from ..functions.money import MONEY
+from .folds import chain_ends, numbered
 from .latest import latest
+from .rounds import settled
 
 FIELDS = {"amount": MONEY, "currency_code": "string", "direction": "string", "occurred_on": "date", "posted_on": "date", "accounting_date": "date", "description": "string", "reference_normalised": "string"}
 
@@ -55,17 +57,13 @@ def applied(m: DataFrame, overlays: DataFrame, version: str) -> DataFrame:
 
 def chained(overlays: DataFrame) -> DataFrame:
     """The state of each field after its chain of overlays (entity, field, seq, id, kind, base, value): each must rest on the value that
-    stands when its turn comes, or it is a conflict and changes nothing. A field's chain is short: people make it."""
-    turn = F.struct("seq", "id", "kind", "base", "value")
-    by = overlays.groupBy("entity", "field").agg(F.array_sort(F.collect_list(turn)).alias("chain"))
-    start = F.struct(F.col("chain")[0]["base"].alias("value"), F.lit(0).alias("conflicts"))
-
-    def step(acc, x):
-        fits = acc["value"].eqNullSafe(x["base"])
-        new = F.when(x["kind"] == "set", x["value"]).when(x["kind"] == "redact", F.lit("[redacted]"))
-        return F.struct(F.when(fits, new).otherwise(acc["value"]).alias("value"), (acc["conflicts"] + F.when(fits, 0).otherwise(1)).alias("conflicts"))
-
-    return by.select("entity", "field", F.aggregate("chain", start, step).alias("end")).select("entity", "field", "end.value", "end.conflicts")
+    stands when its turn comes, or it is a conflict and changes nothing. The first one's base stands at the beginning. A kind that is none of set, redact and unknown is a conflict."""
+    made = F.when(F.col("kind") == "set", F.col("value")).when(F.col("kind") == "redact", F.lit("[redacted]")).when(F.col("kind") == "unknown", F.lit("unknown"))
+    known = F.coalesce(F.col("kind").isin("set", "redact", "unknown"), F.lit(False))
+    keyed = overlays.select(F.to_json(F.array(F.col("entity").cast("string"), F.col("field").cast("string"))).alias("k_"), "entity", "field", "seq", "id", "kind", "base", made.alias("value"), known.alias("known"))
+    placed = settled(numbered(keyed, "k_", [F.col(c) for c in ("seq", "id", "kind", "base", "value")]))
+    names = placed.where("place = 0").select("k_", "entity", "field")
+    return chain_ends(placed, "k_").join(names, "k_").select("entity", "field", "value", (F.col("n") - F.col("applied")).cast("int").alias("conflicts"))
 
 
 def active_overrides(overrides: DataFrame) -> DataFrame:

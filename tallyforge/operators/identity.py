@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import end_states, numbered
+from .rounds import running, settled
+
 
 def resolved(incoming: DataFrame, stored: DataFrame, keys: list[str], digest: str = "digest") -> DataFrame:
     """create, return_existing or conflict for each incoming identity; the first of a batch is what the others meet."""
@@ -77,19 +80,20 @@ def next_state(state: Column, event: Column) -> Column:
     return out
 
 
+STATES = ["received", "processing", "retryable_failed", "succeeded", "terminal_failed", "conflict"]
+
+
 def folded(events: DataFrame, key: str) -> DataFrame:
-    """The last state of each delivery from its events (seq, event, token). An event with a token older than one before it comes from a
-    worker whose lease is over and is passed by. A delivery has few events."""
-    turns = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "event", "token"))).alias("turns"))
-    start = F.struct(F.lit("received").alias("state"), F.lit(0).cast("long").alias("token"), F.lit(0).alias("stale"))
-
-    def step(acc, x):
-        old = x["token"] < acc["token"]
-        return F.struct(
-            F.when(old, acc["state"]).otherwise(next_state(acc["state"], x["event"])).alias("state"), F.greatest(acc["token"], x["token"]).alias("token"), (acc["stale"] + F.when(old, 1).otherwise(0)).alias("stale")
-        )
-
-    return turns.select(key, F.aggregate("turns", start, step).alias("end")).select(key, "end.state", "end.stale")
+    """The last state of each delivery from its events (seq, event, token), and how many of them were stale. An event with a token older than one before it comes from a
+    worker whose lease is over and is passed by."""
+    known = events.where(F.col(key).isNotNull()).select(F.to_json(F.array(F.col(key).cast("string"))).alias("k_"), F.col(key).alias("key_"), "seq", "event", "token")
+    order = [F.col("seq"), F.col("event"), F.col("token")]
+    leased = running(known, "k_", order, F.max, "token", F.greatest)
+    stale = F.col("token") < F.greatest(F.coalesce("token_before", F.lit(0)), F.lit(0))
+    marked = settled(numbered(leased.withColumn("stale", F.coalesce(stale, F.lit(False))), "k_", order))
+    ends = end_states(marked.withColumn("event", F.when(~F.col("stale"), F.col("event"))), "k_", STATES, next_state)
+    counts = marked.groupBy("k_").agg(F.first("key_").alias(key), F.count_if("stale").cast("int").alias("stale"))
+    return ends.join(counts, "k_").select(key, "state", "stale")
 
 
 def ledger_difference(events: DataFrame, observed: DataFrame, key: str = "ref") -> DataFrame:

@@ -618,7 +618,13 @@ def apply_corrections(spark, d):
     return CR.applied(m, overlays, "A2").select("movement_id", "amount", "currency_code", "corrected", "dedupe_fingerprint")
 
 
-@query("cor03_overlay_chains")
+CHAIN = """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE WHEN event_type = 'error' THEN '[redacted]' WHEN event_id % 4 = 0 THEN 'b' ELSE 'a' END AS value FROM events),
+r(user_id, i, value, conflicts) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), 'a', 0 FROM e UNION ALL
+  SELECT r.user_id, e.i, CASE WHEN r.value = 'a' THEN e.value ELSE r.value END, r.conflicts + CASE WHEN r.value = 'a' THEN 0 ELSE 1 END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id AS entity, 'description' AS field, arg_max(value, i) AS value, CAST(arg_max(conflicts, i) AS INTEGER) AS conflicts FROM r GROUP BY user_id"""
+
+
+@query("cor03_overlay_chains", CHAIN)
 def overlay_chains(spark, d):
     """Chains of overlays by user: those that rest on a value that no longer stands are conflicts."""
     e = table(spark, d, "events")
@@ -770,7 +776,15 @@ def permission_union(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.array_join(I.permissions(roles, known), ",").alias("permissions"))
 
 
-@query("str05_inbox_fold")
+FOLD = """WITH RECURSIVE e AS (SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN 'succeed' WHEN event_type = 'error' THEN 'retryable_failure' ELSE 'claim' END AS event, CASE WHEN event_id % 10 = 0 THEN 0 ELSE event_id END AS token FROM events),
+s AS (SELECT *, row_number() OVER w AS i, token < coalesce(max(token) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stale FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r(user_id, i, state, stale) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), 'received', 0 FROM e UNION ALL
+  SELECT r.user_id, s.i, CASE WHEN s.stale THEN r.state WHEN r.state IN ('received', 'retryable_failed') AND s.event = 'claim' THEN 'processing' WHEN r.state = 'processing' AND s.event = 'succeed' THEN 'succeeded'
+    WHEN r.state = 'processing' AND s.event = 'retryable_failure' THEN 'retryable_failed' ELSE r.state END, r.stale + CAST(s.stale AS INTEGER) FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1)
+SELECT user_id, arg_max(state, i) AS state, CAST(arg_max(stale, i) AS INTEGER) AS stale FROM r GROUP BY user_id"""
+
+
+@query("str05_inbox_fold", FOLD)
 def inbox_fold(spark, d):
     """The last state of each user's delivery, from its events in order; tokens grow but for every tenth event."""
     e = table(spark, d, "events")
