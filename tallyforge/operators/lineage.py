@@ -42,16 +42,43 @@ def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.join(nodes, "node_id", "left_anti")
 
 
+#: Rounds after which the ways through nodes of one successor are doubled.
+SHALLOW = 8
+
+
+def doubled(hop: DataFrame) -> DataFrame:
+    """``node, next, away, low``: walks of the same kind twice as long. ``low`` is the smallest node that a walk comes to; walks end where no step goes on, and
+    where they have come to a cycle that has been walked through: its smallest node is then the lowest of its own walk."""
+    closed = hop.where("low = node").select("low")
+    inside = hop.join(closed, "low", "left_semi").select(F.col("node").alias("next"))
+    then = hop.select(F.col("node").alias("next"), F.col("next").alias("then"), F.col("away").alias("more"), F.col("low").alias("lower"))
+    far = hop.join(then, "next").join(inside, "next", "left_anti")
+    return settled(far.select("node", F.col("then").alias("next"), (F.col("away") + F.col("more")).alias("away"), F.least("low", "lower").alias("low")))
+
+
+def leaps(step: DataFrame) -> DataFrame:
+    """``node, next`` at distances 2, 4, 8 and so on along nodes that have one successor each, besides the steps themselves."""
+    one = step.groupBy("node").agg(F.count("*").alias("n"), F.min("next").alias("next")).where("n = 1")
+    hop, out = settled(one.select("node", "next", F.lit(1).cast("long").alias("away"), F.col("next").alias("low"))), None
+    while not (hop := doubled(hop)).isEmpty():
+        out = hop.select("node", "next") if out is None else out.unionByName(hop.select("node", "next"))
+    return step if out is None else settled(step.unionByName(out).distinct())
+
+
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """``start, node``: what can be reached along edges. Round by round only new pairs go on, until a round finds none; so cycles end, and the
-    rounds are as many as the longest of the shortest walks."""
-    step = edges.select(F.col("from_id").alias("node"), F.col("to_id").alias("next")).distinct()
+    """``start, node``: what can be reached along edges. Round by round only new pairs go on, until a round finds none; so cycles end.
+    In graphs that go deep, a round also leaps along ways without branches, so that a chain takes rounds with the logarithm of its length."""
+    step = settled(edges.select(F.col("from_id").alias("node"), F.col("to_id").alias("next")).distinct())
     seen = front = settled(starts.select("start", F.col("start").alias("node")).distinct())
+    rounds = 0
     while not front.isEmpty():
+        if rounds == SHALLOW:
+            # all that is known leaps once, what is new from then on when it is found
+            step, front = leaps(step), seen
         found = front.join(step, "node").select("start", F.col("next").alias("node")).distinct()
         front = settled(found.join(seen, ["start", "node"], "left_anti"))
         # every part is written; a union of them is no work of its own
-        seen = seen.unionByName(front)
+        seen, rounds = seen.unionByName(front), rounds + 1
     return seen
 
 
@@ -66,36 +93,121 @@ def reachable_sql(spark, edges: DataFrame, starts: DataFrame) -> DataFrame:
         SELECT DISTINCT start, node FROM walk""")
 
 
+def contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``from_id, to_id, weight``, ``node, head, away``): chains as one edge each, and the inner nodes of chains with the node that theirs begins at and how far they are from it.
+
+    Inner nodes have one predecessor and one successor. Their ways back are doubled in each round. Those of a cycle of inner nodes alone come to no head; their head is null."""
+    into = edges.groupBy(F.col("to_id").alias("node")).agg(F.count("*").alias("n_in"), F.min("from_id").alias("head"))
+    out = edges.groupBy(F.col("from_id").alias("node")).agg(F.count("*").alias("n_out"))
+    inner = settled(into.join(out, "node").where("n_in = 1 AND n_out = 1").select("node", "head", F.lit(1).cast("long").alias("away"), F.col("head").alias("low")))
+    back = inner
+    while not back.isEmpty():
+        then = back.select(F.col("node").alias("head"), F.col("head").alias("before"), F.col("away").alias("more"), F.col("low").alias("lower"))
+        far = settled(back.join(then, "head", "left").select("node", F.coalesce("before", "head").alias("head"), (F.col("away") + F.coalesce("more", F.lit(0))).alias("away"), F.least("low", F.coalesce("lower", "low")).alias("low"), F.col("before").isNotNull().alias("moved")))
+        back = far.drop("moved")
+        # a cycle has been walked through when its smallest node is the lowest of its own way
+        round_ = far.join(far.where("low = node").select("low"), "low", "left_semi").select("node")
+        if far.where("moved").join(round_, "node", "left_anti").isEmpty():
+            break
+    heads = inner.select(F.col("node").alias("head"), F.lit(True).alias("loops"))
+    back = settled(back.join(heads, "head", "left").select("node", F.when(F.col("loops").isNull(), F.col("head")).alias("head"), "away"))
+    ends = edges.join(back.select(F.col("node").alias("to_id")), "to_id", "left_anti")
+    placed = ends.join(back.withColumnRenamed("node", "from_id"), "from_id", "left")
+    short = placed.select(F.coalesce("head", "from_id").alias("from_id"), "to_id", (F.coalesce("away", F.lit(0)) + 1).alias("weight"))
+    return settled(short.groupBy("from_id", "to_id").agg(F.max("weight").alias("weight"))), back
+
+
 def peeled(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, level`` in topological order; nodes of cycles, and those behind them, have no level. A round for each level."""
-    left, out, level = settled(nodes.select("node").distinct()), None, 0
+    """``node, level`` in topological order, the level being the longest way from a node without predecessors; nodes of cycles, and those behind them, have no level.
+
+    Chains count as one edge, so that the rounds are those of the graph's branches and not of its depth."""
+    all_ = settled(nodes.select("node").distinct())
     # an edge from what is no node holds nobody
-    edges = settled(edges.select("from_id", "to_id").distinct().join(left.select(F.col("node").alias("from_id")), "from_id", "left_semi"))
+    known = settled(edges.select("from_id", "to_id").distinct().join(all_.select(F.col("node").alias("from_id")), "from_id", "left_semi"))
+    held, inner = contracted(known)
+    left = settled(all_.join(inner.select("node"), "node", "left_anti").withColumn("level", F.lit(0).cast("long")))
+    out = None
     while True:
-        held = edges.select(F.col("to_id").alias("node")).distinct()
-        free = settled(left.join(held, "node", "left_anti").withColumn("level", F.lit(level)))
+        waiting = held.select(F.col("to_id").alias("node")).distinct()
+        free = settled(left.join(waiting, "node", "left_anti"))
         if free.isEmpty():
             break
         out = free if out is None else out.unionByName(free)
-        left = settled(left.join(free, "node", "left_anti"))
-        # edges of nodes that are placed hold nobody any more
-        edges, level = settled(edges.join(free.select(F.col("node").alias("from_id")), "from_id", "left_anti")), level + 1
-    stuck = left.withColumn("level", F.lit(None).cast("int"))
-    return stuck if out is None else out.unionByName(stuck)
+        # nodes behind those that are placed stand at least so far; their edges hold nobody any more
+        gone = free.select(F.col("node").alias("from_id"), F.col("level").alias("at"))
+        reach = held.join(gone, "from_id").groupBy(F.col("to_id").alias("node")).agg(F.max(F.col("at") + F.col("weight")).alias("least"))
+        left = settled(left.join(free.select("node"), "node", "left_anti").join(reach, "node", "left").select("node", F.greatest("level", F.coalesce("least", F.lit(0))).alias("level")))
+        held = settled(held.join(gone, "from_id", "left_anti"))
+    stuck = left.select("node", F.lit(None).cast("long").alias("level"))
+    out = settled(stuck if out is None else out.unionByName(stuck))
+    of_chain = inner.join(out.select(F.col("node").alias("head"), "level"), "head", "left").join(all_, "node", "left_semi").select("node", (F.col("level") + F.col("away")).alias("level"))
+    return out.unionByName(of_chain).withColumn("level", F.col("level").cast("int"))
+
+
+def strongly_connected(edges: DataFrame) -> DataFrame:
+    """``node, component``: the nodes that stand in a cycle, by the smallest node of those that reach each other. Nodes behind cycles, or before them, are left out.
+
+    What no cycle reaches, or what reaches none, is peeled off from both sides. Then colours are sent forward: each node takes the
+    largest that reaches it; those of one colour that reach its first node are a component, and what is left goes on within its colour."""
+    edges = settled(edges.select("from_id", "to_id").distinct())
+    loops = edges.where("from_id = to_id").select(F.col("from_id").alias("node"), F.col("from_id").alias("component"))
+    left, out = edges.where("from_id <> to_id"), None
+    ends = lambda e: e.select(F.explode(F.array("from_id", "to_id")).alias("node")).distinct()
+    while not left.isEmpty():
+        stuck = peeled(left, ends(left)).where("level IS NULL").select("node")
+        core = within(left, stuck)
+        if core.isEmpty():
+            break
+        back = core.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
+        stuck = peeled(back, ends(back)).where("level IS NULL").select("node")
+        core = within(core, settled(stuck))
+        if core.isEmpty():
+            break
+        colour = spread(core, settled(ends(core).withColumn("colour", F.col("node"))))
+        at = lambda end: colour.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour"))  # noqa: B023, E731
+        own = settled(core.join(at("from_id"), "from_id").join(at("to_id"), "to_id").where("from_id_colour = to_id_colour").select("from_id", "to_id"))
+        first = colour.where("node = colour").select(F.col("node").alias("start"))
+        met = reachable(own.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")), first)
+        names = met.groupBy("start").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
+        found = settled(met.join(names, "start").select("node", "component"))
+        out = found if out is None else out.unionByName(found)
+        left = settled(within(own, own.select(F.explode(F.array("from_id", "to_id")).alias("node")).distinct().join(met.select("node"), "node", "left_anti")))
+    if out is None:
+        return loops.distinct()
+    return out.unionByName(loops.join(out.select("node"), "node", "left_anti"))
+
+
+def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges between these nodes."""
+    return settled(edges.join(nodes.select(F.col("node").alias("from_id")), "from_id", "left_semi").join(nodes.select(F.col("node").alias("to_id")), "to_id", "left_semi").select("from_id", "to_id"))
+
+
+def spread(edges: DataFrame, colours: DataFrame) -> DataFrame:
+    """``node, colour``: the largest colour that reaches each node. Ways without branches are leapt along."""
+    ways = leaps(edges.select(F.col("from_id").alias("node"), F.col("to_id").alias("next")))
+    now = changed = colours
+    while not changed.isEmpty():
+        sent = changed.join(ways, "node").groupBy(F.col("next").alias("node")).agg(F.max("colour").alias("new"))
+        now = settled(now.join(sent, "node", "left").select("node", F.greatest("colour", F.coalesce("new", "colour")).alias("colour"), (F.col("new") > F.col("colour")).alias("moved")))
+        changed, now = now.where("moved").select("node", "colour"), now.drop("moved")
+    return now
 
 
 def gaps(edges: DataFrame, nodes: DataFrame, origins: DataFrame) -> DataFrame:
-    """``node_id, problem``: ends that are no node, edges between companies, nodes of cycles or behind them, and nodes that no origin reaches.
+    """``node_id, problem``: ends that are no node, edges between companies, nodes of cycles, those that no order can place as they stand behind a cycle, and nodes that no origin reaches.
 
     ``nodes`` has node_id and company_id; ``origins`` the node_ids that lineage may begin with."""
     at = lambda end: nodes.select(F.col("node_id").alias(end), F.col("company_id").alias(f"{end}_company"))
     crossing = edges.join(at("from_id"), "from_id").join(at("to_id"), "to_id").where("from_id_company <> to_id_company").select(F.col("to_id").alias("node_id")).distinct()
-    looped = peeled(edges, nodes.select(F.col("node_id").alias("node"))).where("level IS NULL").select(F.col("node").alias("node_id"))
+    known = within(edges.select("from_id", "to_id"), nodes.select(F.col("node_id").alias("node")))
+    stuck = settled(peeled(known, nodes.select(F.col("node_id").alias("node"))).where("level IS NULL").select(F.col("node").alias("node_id")))
+    # an acyclic graph, as it should be, needs no search for cycles
+    cyclic = stuck if stuck.isEmpty() else settled(strongly_connected(known).select(F.col("node").alias("node_id")))
     # one start for all origins: what matters is whether any reaches a node
     begin = origins.select(F.lit("").alias("from_id"), F.col("node_id").alias("to_id"))
     met = reachable(edges.select("from_id", "to_id").unionByName(begin), edges.sparkSession.createDataFrame([("",)], "start string"))
     lost = nodes.select("node_id").join(met.select(F.col("node").alias("node_id")), "node_id", "left_anti")
-    found = {"dangling": dangling(nodes.select("node_id"), edges), "crosses_companies": crossing, "in_cycle": looped, "no_origin": lost}
+    found = {"dangling": dangling(nodes.select("node_id"), edges), "crosses_companies": crossing, "in_cycle": cyclic, "behind_cycle": stuck.join(cyclic, "node_id", "left_anti"), "no_origin": lost}
     out = None
     for problem, rows in found.items():
         part = rows.select("node_id", F.lit(problem).alias("problem"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
@@ -639,11 +640,11 @@ def override_problems(spark, d):
     return CR.active_overrides(o).select("source_record", "problem")
 
 
-def edges(spark, d):
+def edges(spark, d, once: bool = True):
     l = table(spark, d, "lineitem")
     up = l.select(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("from_id"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("to_id"))
     p = table(spark, d, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("from_id"), F.concat(F.lit("brand:"), "p_brand").alias("to_id"))
-    return up.unionByName(p).distinct()
+    return up.unionByName(p).distinct() if once else up.unionByName(p)
 
 
 EDGES = "SELECT DISTINCT 'order:' || l_orderkey AS from_id, 'part:' || l_partkey AS to_id FROM lineitem UNION SELECT DISTINCT 'part:' || p_partkey, 'brand:' || p_brand FROM part"
@@ -651,9 +652,9 @@ EDGES = "SELECT DISTINCT 'order:' || l_orderkey AS from_id, 'part:' || l_partkey
 
 @query("lin08_reachable", f"WITH RECURSIVE e AS ({EDGES}), walk(start, node) AS (SELECT DISTINCT from_id, from_id FROM e JOIN orders ON from_id = 'order:' || o_orderkey WHERE o_orderstatus = 'P' UNION SELECT start, to_id FROM walk JOIN e ON from_id = node) SELECT start, node FROM walk")
 def reachable(spark, d):
-    starts = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("start"))
-    e = edges(spark, d)
-    return LI.reachable(e, starts.join(e.select(F.col("from_id").alias("start")), "start", "left_semi"))
+    """From all orders that are part of the graph and in progress."""
+    mine = table(spark, d, "orders").where("o_orderstatus = 'P'").join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
+    return LI.reachable(edges(spark, d, False), mine.select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("start")))
 
 
 @query("lin08_gaps", f"""WITH e AS ({EDGES}), n AS (SELECT DISTINCT x FROM (SELECT from_id AS x FROM e UNION ALL SELECT to_id FROM e) WHERE NOT (x LIKE 'part:%' AND TRY_CAST(substr(x, 6) AS BIGINT) % 97 = 0)),
@@ -694,6 +695,22 @@ def topological_levels(spark, d):
     return LI.peeled(e, nodes)
 
 
+@query(
+    "lin09_cycles",
+    """WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER w AS i, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+SELECT o_orderkey, CASE WHEN o_custkey % 3 <> 0 OR n < 3 THEN CAST(i - 1 AS INTEGER) END AS level, CASE WHEN o_custkey % 3 = 0 AND n >= 3 AND i < n THEN first END AS component FROM o""",
+)
+def cycles(spark, d):
+    """Each customer's orders as a chain; of every third customer the last but one leads back to the first, so that the last stands behind a cycle."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.lead("o_orderkey").over(w).alias("next"), F.lead("o_orderkey", 2).over(w).alias("after"), F.first("o_orderkey").over(w).alias("first"))
+    on = o.where("next IS NOT NULL").select(F.col("o_orderkey").alias("from_id"), F.col("next").alias("to_id"))
+    back = o.where("o_custkey % 3 = 0 AND next IS NOT NULL AND after IS NULL AND first <> o_orderkey").select(F.col("o_orderkey").alias("from_id"), F.col("first").alias("to_id"))
+    e, nodes = on.unionByName(back), o.select(F.col("o_orderkey").alias("node"))
+    levels = LI.peeled(e, nodes).join(LI.strongly_connected(e), "node", "left")
+    return levels.select(F.col("node").alias("o_orderkey"), "level", "component")
+
+
 @query("lin03_paths", "SELECT CAST(o_orderkey AS VARCHAR) AS row_id, 'amount' AS field, CAST(n AS INTEGER) AS place, CASE WHEN o_orderkey % 2 = 0 AND n = 4 THEN 'override' ELSE ['extract', 'normalise', 'parse', 'map', 'derive', 'publish'][CASE WHEN o_orderkey % 2 = 0 AND n > 4 THEN n - 1 ELSE n END] END AS operation FROM orders, range(1, 8) r(n) WHERE (n < 7 OR o_orderkey % 2 = 0)")
 def lineage_paths(spark, d):
     o = table(spark, d, "orders")
