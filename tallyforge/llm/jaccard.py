@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import by_step, cut, read, steps, written
 from .components import components
-from .copies import shingles
+from .simhash import LOWER
 
 #: Shingles of a fragment that one task counts, and fragments at least.
 FRAGMENT, LEAST = 2_000_000, 32
@@ -44,6 +44,37 @@ ROUNDS = 2
 LAST, PARTS = 63, 4
 
 
+#: Odd multipliers: of a word's place in a shingle, and of the mixing at the end.
+PLACE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+class Words(dict):
+    """Hashes of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+def shingles(text: str, known: Words, width: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles: its words' hashes, each multiplied by its place's power."""
+    words = text.encode("utf-8", "replace").translate(LOWER).split()
+    if len(known) > 1_000_000:
+        known.clear()
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    if not len(h):
+        return h
+    # fewer words than a shingle are one, told from longer ones by their number
+    n = min(width, len(h))
+    out = h[: len(h) - n + 1] + np.uint64(n)
+    for k in range(1, n):
+        out = out * PLACE + h[k : len(h) - n + 1 + k]
+    out ^= out >> np.uint64(32)
+    out *= MIX
+    out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
 def class_of(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.astype("<u8").tobytes())
 
@@ -52,7 +83,8 @@ def classed(docs: DataFrame) -> DataFrame:
     """``doc_id, class, n``: the class of a document's set, and the set's size."""
 
     def work(texts, part):
-        sets = [shingles(t) for t in texts]
+        known = Words()
+        sets = [shingles(t, known) for t in texts]
         return {"doc_id": part.column(0), "class": pa.array([class_of(s) for s in sets], pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64())}
 
     return docs.select("doc_id", "text").mapInArrow(by_step("text", work), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, class binary, n long")
@@ -63,9 +95,10 @@ def frequent(docs: DataFrame, total: int) -> np.ndarray:
     some = docs.where((F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < F.lit(min(1.0, SAMPLE / max(total, 1)) * (1 << 20)))).select("text")
 
     def run(batches):
+        known = Words()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t or "").astype(np.int64))], names=["x"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t or "", known).astype(np.int64))], names=["x"])
 
     counted = some.mapInArrow(run, "x long").groupBy("x").count().where(F.col("count") >= max(8, int(FREQUENT * min(total, SAMPLE))))
     return np.sort(np.array([r.x for r in counted.select("x").collect()], np.int64).astype(np.uint64))
@@ -109,13 +142,14 @@ def ranges(docs: DataFrame, bits: int, often: np.ndarray) -> DataFrame:
 
     def run(batches):
         met: set[bytes] = set()
+        known = Words()
         for batch in batches:
             lengths = pc.binary_length(batch.column(0)).fill_null(0).to_pylist()
             for a, b in steps(lengths):
                 sets, names = [], []
                 for t in batch.column(0).slice(a, b - a).to_pylist():
                     # sets of under four shingles are similar to none but their equals
-                    if len(s := shingles(t or "")) >= 4 and (c := class_of(s)) not in met:
+                    if len(s := shingles(t or "", known)) >= 4 and (c := class_of(s)) not in met:
                         met.add(c)
                         sets.append(s)
                         names.append(c)
