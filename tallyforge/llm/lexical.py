@@ -185,7 +185,7 @@ def forward(docs: DataFrame, vocabulary: dict[bytes, int] | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, terms binary, tfs binary").where("n > 0")
 
 
-def clusters(rows: list[tuple], total: int, length: int, first: int) -> pa.RecordBatch:
+def clusters(rows: list[tuple], total: int, length: int, first: int, size_: int) -> pa.RecordBatch:
     """The clusters of one block: documents in their new order, and the lists of each cluster with their bounds."""
     ids = np.array([NO_ID if r[0] is None else r[0] for r in rows], np.int64)
     n = np.array([r[1] for r in rows], np.int64)
@@ -195,7 +195,7 @@ def clusters(rows: list[tuple], total: int, length: int, first: int) -> pa.Recor
     m = 50 + (50 * n * total) // length
     impact = (1_000_000_000 * tf) // (1000 * tf + 20 * m[doc])
     names, number = np.unique(term, return_inverse=True)
-    leaf = bisected(len(rows), doc, number, max(0, -(-len(rows) // LEAF) - 1).bit_length())
+    leaf = bisected(len(rows), doc, number, max(0, -(-len(rows) // size_) - 1).bit_length())
     _, leaf = np.unique(leaf, return_inverse=True)
     order = np.argsort(leaf, kind="stable")
     size = np.bincount(leaf)
@@ -226,6 +226,7 @@ def index(docs: DataFrame, vocabulary: dict[bytes, int] | None = None) -> Index:
     lists = written(forward(docs, vocabulary))
     total, length, held, postings = lists.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.octet_length("terms") > 0), F.coalesce(F.sum(F.octet_length("tfs")), F.lit(0))).first()
     some = lists.where("octet_length(terms) > 0")
+    most, leaf = BLOCK, LEAF  # as they are at the driver
     blocks = max(-(-held // BLOCK), -(-postings // (4 * POSTINGS)), 1)
     levels = min(blocks - 1, SAMPLE // 64 - 1).bit_length()
     # about SAMPLE rows, whatever their ids and the number of partitions
@@ -242,13 +243,13 @@ def index(docs: DataFrame, vocabulary: dict[bytes, int] | None = None) -> Index:
         first, held, weight = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (row[4] != held[0][4] or len(held) >= BLOCK or weight >= POSTINGS):
-                    yield (made := clusters(held, total, length, first))
+                if held and (row[4] != held[0][4] or len(held) >= most or weight >= POSTINGS):
+                    yield (made := clusters(held, total, length, first, leaf))
                     first, held, weight = first + made.num_rows, [], 0
                 held.append(row)
                 weight += len(row[3]) // 4
         if held:
-            yield clusters(held, total, length, first)
+            yield clusters(held, total, length, first, leaf)
 
     placed = some.mapInArrow(route, "doc_id long, n long, terms binary, tfs binary, cell int") if router else some.withColumn("cell", F.lit(0))
     # ranges of cells of equal size, in which cells of many documents fill several
@@ -303,6 +304,7 @@ def document_counts(table: DataFrame, items: Items) -> np.ndarray:
 
 def highest(table: DataFrame, items: Items, weights: np.ndarray) -> DataFrame:
     """``item, cluster``: of each item the clusters of the highest bounds."""
+    first = FIRST
 
     def run(batches):
         found: list[np.ndarray] = []
@@ -315,13 +317,13 @@ def highest(table: DataFrame, items: Items, weights: np.ndarray) -> DataFrame:
                 item, bound, cluster = np.concatenate(found, axis=1)
                 order = np.lexsort((cluster, -bound, item))
                 rank = np.arange(len(order)) - np.searchsorted(item[order], item[order])
-                found = [np.stack([item, bound, cluster])[:, order[(rank < FIRST) & (bound[order] > 0)]]]
+                found = [np.stack([item, bound, cluster])[:, order[(rank < first) & (bound[order] > 0)]]]
         for item, bound, cluster in found:
             yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(bound), pa.array(cluster)], names=["item", "bound", "cluster"])
 
     best = Window.partitionBy("item").orderBy(F.desc("bound"), "cluster")
     made = table.select("cluster", "terms", "bounds").mapInArrow(run, "item long, bound long, cluster long")
-    return made.withColumn("r", F.row_number().over(best)).where(F.col("r") <= FIRST).select("item", "cluster")
+    return made.withColumn("r", F.row_number().over(best)).where(F.col("r") <= first).select("item", "cluster")
 
 
 def pruned(found: list[np.ndarray], k: int) -> np.ndarray:

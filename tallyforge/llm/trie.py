@@ -21,6 +21,7 @@ depend on the order of rows; repeated rows are turns each. Null role and text ar
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -74,7 +75,7 @@ def blocks(sequences: DataFrame) -> DataFrame:
 POINT = "depth long, k1 long, k2 long, up_depth long, up1 long, up2 long, n long, least long, ends long, words array<long>"
 
 
-def points(batches):
+def points(batches, block: int):
     """Partial points of one range of sorted blocks, by a stack of the points above the block at hand."""
     names = [x.split()[0] for x in POINT.split(", ")]
     made: dict[str, list] = {c: [] for c in names}
@@ -118,7 +119,7 @@ def points(batches):
                 common += 1
         close(stack, common)
         if not same:
-            group, base, k1, k2, stack = (j, p1, p2), j * BLOCK, [p1], [p2], [[0, 0, None, 0]]
+            group, base, k1, k2, stack = (j, p1, p2), j * block, [p1], [p2], [[0, 0, None, 0]]
         turns_, words = z, w
         k1, k2 = k1[: common + 1], k2[: common + 1]
         for x, y in z[common:]:
@@ -143,8 +144,8 @@ def compressed(placed: DataFrame) -> DataFrame:
     """The points below the root, with their edges: ``POINT``."""
     equal = placed.groupBy("j", "p1", "p2", "z1", "z2").agg(F.min("words").alias("words"), F.count("*").alias("n"), F.min("conv_id").alias("least"), F.sum(F.col("last").cast("long")).alias("ends"))
     order = ["j", "p1", "p2", "z1", "z2"]
-    partial = cut(equal).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(points, POINT)
-    whole = partial.groupBy("depth", "k1", "k2").agg(F.min("up_depth").alias("up_depth"), F.min("up1").alias("up1"), F.min("up2").alias("up2"), F.sum("n").alias("n"), F.min("least").alias("least"), F.sum("ends").alias("ends"), F.min("words").alias("words"))
+    pieces = cut(equal).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(partial(points, block=BLOCK), POINT)
+    whole = pieces.groupBy("depth", "k1", "k2").agg(F.min("up_depth").alias("up_depth"), F.min("up1").alias("up1"), F.min("up2").alias("up2"), F.sum("n").alias("n"), F.min("least").alias("least"), F.sum("ends").alias("ends"), F.min("words").alias("words"))
     return cut(whole)
 
 
