@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.digests import canonical_json
 from .latest import latest
@@ -74,8 +78,14 @@ def period_metrics(sources: DataFrame, datasets: DataFrame, evidence: dict[str,
         F.coalesce(F.sum("rejected_count"), F.lit(0)).alias("rejected_rows"), lacks("has_balance").alias("missing_balances"), lacks("assessed").alias("missing_assessments"),
     )
     selected = sources.where("dataset_version_id IS NOT NULL").select(*keys, "dataset_version_id").distinct()
+    # the evidence of all kinds meets the periods at once
+    kinds = None
     for metric, rows in evidence.items():
-        out = out.join(selected.join(rows, "dataset_version_id").groupBy(*keys).agg(F.countDistinct("id").alias(metric)), keys, "left")
+        part = rows.select("dataset_version_id", F.col("id").cast("string").alias("id"), F.lit(metric).alias("metric"))
+        kinds = part if kinds is None else kinds.unionByName(part)
+    if kinds is not None:
+        found = selected.join(kinds.where("id IS NOT NULL"), "dataset_version_id").select(*keys, "metric", "id").distinct()
+        out = out.join(found.groupBy(*keys).agg(*[F.count_if(F.col("metric") == m).alias(m) for m in evidence]), keys, "left")
     said = latest(statements, ["financial_account_id", "period_start"], F.desc("seq")).select("financial_account_id", "period_start", F.col("state").alias("said"), (F.col("lineage_state") == "complete").alias("traced"))
     accounts = sources.where("financial_account_id IS NOT NULL").select(*keys, "financial_account_id").distinct().join(said, ["financial_account_id", "period_start"], "left")
     by = accounts.groupBy(*keys).agg(F.count("*").alias("accounts"), F.count_if(~F.coalesce(F.col("said") == "balanced", F.lit(False))).alias("uncovered_accounts"), F.count_if(~F.col("traced")).alias("statement_lineage_gaps"))
@@ -97,17 +107,20 @@ def ready(control_rows: DataFrame, keys: list[str]) -> DataFrame:
     return counted.groupBy(*keys).agg((F.bool_and("passed") & (F.countDistinct("control") == len(CONTROLS))).alias("ready"), F.count_if(~F.col("passed")).alias("failed"))
 
 
-def coverage(accounts: DataFrame) -> DataFrame:
-    """Accounts (sources, assessment_ids, statement_assessment_ids, statement_state) with their coverage; a statement is stale if it rests on other
-    assessments than those that now are."""
+def coverage(accounts: DataFrame, assessed: DataFrame, stated: DataFrame) -> DataFrame:
+    """Accounts (account, sources, statement_state) with their coverage. ``assessed`` has the assessments of each account (account, id), ``stated`` those that its statement
+    rests on; a statement is stale if it rests on others than those that now are."""
+    both = assessed.select("account", "id", F.lit(1).alias("now"), F.lit(0).alias("then")).unionByName(stated.select("account", "id", F.lit(0).alias("now"), F.lit(1).alias("then")))
+    each = both.groupBy("account", "id").agg(F.sum("now").alias("now"), F.sum("then").alias("then"))
+    sums = each.groupBy("account").agg(F.sum("now").alias("assessments"), F.bool_or(F.col("now") != F.col("then")).alias("differs"))
     state = (
-        F.when(F.size("assessment_ids") != F.col("sources"), "missing_assessment")
+        F.when(F.coalesce("assessments", F.lit(0)) != F.col("sources"), "missing_assessment")
         .when(F.col("statement_state").isNull(), "missing_statement")
-        .when(F.array_sort("statement_assessment_ids") != F.array_sort("assessment_ids"), "stale_inputs")
+        .when(F.col("differs"), "stale_inputs")
         .when(F.col("statement_state") != "balanced", "review_required")
         .otherwise("covered")
     )
-    return accounts.withColumn("coverage_state", state)
+    return accounts.join(sums, "account", "left").withColumn("coverage_state", state).drop("assessments", "differs")
 
 
 def required_balance(family: Column) -> Column:
@@ -115,9 +128,35 @@ def required_balance(family: Column) -> Column:
 
 
 def manifests(entries: DataFrame, keys: list[str], **fields: Column) -> DataFrame:
-    """A sealed digest for each period: canonical JSON of its entries, whatever their order. A period has few entries."""
-    body = F.array_join(F.array_sort(F.collect_list(canonical_json(**fields))), ",")
-    return entries.groupBy(*keys).agg(F.concat(F.lit("["), body, F.lit("]")).alias("manifest")).withColumn("digest", F.sha2("manifest", 256))
+    """``keys, entries, digest``: a sealed digest for each period, sha256 of the array of its entries as canonical JSON, in order.
+
+    The digest is of one text, so that one task reads a period's entries; they come to it sorted by Spark and go through it one by one, and
+    no row or task holds a period."""
+    shape = entries.select(*keys).schema
+    rows = entries.select(*keys, canonical_json(**fields).alias("json_"))
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        now, digest, n = None, None, 0
+
+        def row():
+            digest.update(b"]")
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*now, n, digest.hexdigest()), types, strict=True)], names=[*keys, "entries", "digest"])
+
+        for batch in batches:
+            types = [*batch.schema.types[:-1], pa.int64(), pa.string()]
+            for *key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != key:
+                    if now is not None:
+                        yield row()
+                    now, digest, n = key, hashlib.sha256(b"["), 0
+                digest.update(("," if n else "").encode() + text.encode())
+                n += 1
+        if now is not None:
+            yield row()
+
+    dealt = rows.repartition(parts, *keys).sortWithinPartitions(*keys, "json_")
+    return dealt.mapInArrow(run, T.StructType([*shape.fields, T.StructField("entries", T.LongType()), T.StructField("digest", T.StringType())]))
 
 
 def close_status(events: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import civil_date, days_late, next_start, reminder_state
+from .rounds import running
 
 #: Periods that one calendar may have.
 MOST = 120
@@ -48,11 +49,14 @@ def satisfied(expectations: DataFrame, uploads: DataFrame) -> DataFrame:
 
     Of several uploads that point at one expectation the first takes it.
     """
-    open_ = expectations.where("state = 'pending'").select("expectation_id", "data_source_id", "period_start", "due_on")
-    reach = uploads.join(open_, "data_source_id").where(F.col("period_start") <= F.col("uploaded_on"))
-    best = reach.groupBy("upload_id", "data_source_id", "uploaded_on").agg(F.max_by("expectation_id", F.struct("due_on", "expectation_id")).alias("expectation_id"))
-    place = F.row_number().over(Window.partitionBy("expectation_id").orderBy("uploaded_on", "upload_id"))
-    return best.withColumn("place_", place).where("place_ = 1").drop("place_")
+    open_ = expectations.where("state = 'pending' AND data_source_id IS NOT NULL").select(F.col("data_source_id").alias("source"), F.col("period_start").alias("at"), F.lit(0).alias("kind"), F.struct("due_on", "expectation_id").alias("open"))
+    asks = uploads.where("data_source_id IS NOT NULL").select(F.col("data_source_id").alias("source"), F.col("uploaded_on").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(open_.schema["open"].dataType).alias("open"), "upload_id")
+    # both sides in one order, the best of those that started before carried on: no upload meets every open period
+    both = open_.withColumn("upload_id", F.lit(None).cast(asks.schema["upload_id"].dataType)).unionByName(asks)
+    met = running(both, "source", [F.col("at"), F.col("kind")], F.max, "open", lambda a, b: F.when(a >= b, a).otherwise(b))
+    best = met.where("kind = 1 AND open_before IS NOT NULL").select("upload_id", F.col("source").alias("data_source_id"), F.col("at").alias("uploaded_on"), F.col("open_before.expectation_id").alias("expectation_id"))
+    first = F.min(F.struct("uploaded_on", "upload_id", "data_source_id")).alias("first")
+    return best.groupBy("expectation_id").agg(first).select("first.upload_id", "first.data_source_id", "first.uploaded_on", "expectation_id")
 
 
 def reminders(classified_: DataFrame, sent: DataFrame, quiet_from: int = 20, quiet_to: int = 7) -> DataFrame:

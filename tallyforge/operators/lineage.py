@@ -11,11 +11,15 @@ from .rounds import settled
 STAGES = (("extract", "bytes", "text"), ("normalise", "text", "text"), ("parse", "text", "typed"), ("map", "typed", "typed"), ("derive", "typed", "typed"), ("publish", "typed", "canonical"))
 
 
+def plan_of(fields: DataFrame, config: str) -> DataFrame:
+    """Six steps for each of the different fields (field): by column, not by row, so that a plan is small."""
+    steps = F.array(*[F.struct(F.lit(n).alias("stage"), F.lit(stage).alias("operation"), F.lit(x).alias("input_type"), F.lit(y).alias("output_type")) for n, (stage, x, y) in enumerate(STAGES, 1)])
+    rows = fields.select("field").distinct().select("field", F.inline(steps))
+    return rows.withColumn("config_digest", F.sha2(F.concat_ws("|", F.lit(config), "field", "operation"), 256))
+
+
 def plan(spark, fields: list[str], config: str) -> DataFrame:
-    """Six steps for each field: by column, not by row, so that a plan is small."""
-    rows = [(f, n, stage, a, b) for f in fields for n, (stage, a, b) in enumerate(STAGES, 1)]
-    steps = spark.createDataFrame(rows, "field string, stage int, operation string, input_type string, output_type string")
-    return steps.withColumn("config_digest", F.sha2(F.concat_ws("|", F.lit(config), "field", "operation"), 256))
+    return plan_of(spark.createDataFrame([(f,) for f in fields], "field string"), config)
 
 
 def plan_problems(steps: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.money import CURRENCIES, MONEY, let, parse_money
 from ..functions.parsing import normalised_amount, parse_date, parse_direction
 from ..functions.text import normalised_reference, stripped
+from .rounds import running
 
 FIELDS = ("occurred_on", "description", "reference", "amount", "debit", "credit", "direction", "currency")
 MODES = {"debit_credit_columns": ("debit", "credit"), "signed_amount": ("amount",), "explicit_direction": ("amount", "direction")}
@@ -123,3 +124,18 @@ def violations(m: DataFrame) -> DataFrame:
         F.when(~F.length("description").between(1, 500), "description_length"),
     ))
     return m.select("movement_id", broken.alias("broken")).where(F.size("broken") > 0)
+
+
+def versions_in_force(versions: DataFrame, files: DataFrame) -> DataFrame:
+    """``file_id, template_id, version`` of each file (file_id, schema_digest, uploaded_on): the version of its schema that was the last to be validated by then.
+
+    ``versions`` has template_id, version, schema_digest, validated_on, state (draft, validated or frozen), ambiguities and decisions. A draft maps nothing, nor does a version with
+    an ambiguity that nobody decided; a frozen version is its template's last. Files and versions of a schema are put in one order, and
+    the last version carried on, so that no file meets all versions."""
+    frozen = versions.where("state = 'frozen'").groupBy("template_id").agg(F.min("version").alias("last"))
+    live = versions.join(frozen, "template_id", "left").where("state IN ('validated', 'frozen') AND decisions >= ambiguities AND (last IS NULL OR version <= last) AND schema_digest IS NOT NULL")
+    known = live.select("schema_digest", F.col("validated_on").alias("at"), F.lit(0).alias("kind"), F.struct("validated_on", "template_id", "version").alias("valid"))
+    asks = files.where("schema_digest IS NOT NULL").select("schema_digest", F.col("uploaded_on").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(known.schema["valid"].dataType).alias("valid"), "file_id")
+    both = known.withColumn("file_id", F.lit(None).cast(asks.schema["file_id"].dataType)).unionByName(asks)
+    met = running(both, "schema_digest", [F.col("at"), F.col("kind")], F.max, "valid", lambda a, b: F.when(a >= b, a).otherwise(b))
+    return met.where("kind = 1 AND valid_before IS NOT NULL").select("file_id", "valid_before.template_id", "valid_before.version")

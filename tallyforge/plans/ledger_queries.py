@@ -10,6 +10,7 @@ from ..operators import identity as I
 from ..operators import latest as L
 from ..operators import ledgers as LE
 from ..operators import lineage as LI
+from ..operators import mapping as MP
 from ..operators import reports as R
 from ..operators import sets as S
 from ..operators.rounds import scratch
@@ -81,9 +82,11 @@ def close_violations(spark, d):
     return LE.close_violations(packets, controls, ["period"], 5)
 
 
-@query("lin01_build_plan", "SELECT f AS field, n AS stage, o AS operation FROM (VALUES ('amount'), ('occurred_on')) a(f), (VALUES (1, 'extract'), (2, 'normalise'), (3, 'parse'), (4, 'map'), (5, 'derive'), (6, 'publish')) b(n, o)")
+@query("lin01_build_plan", "SELECT f AS field, n AS stage, o AS operation, sha256('v1|' || f || '|' || o) AS config_digest FROM (SELECT DISTINCT p_brand || ':' || p_type AS f FROM part), (VALUES (1, 'extract'), (2, 'normalise'), (3, 'parse'), (4, 'map'), (5, 'derive'), (6, 'publish')) b(n, o)")
 def build_plan(spark, d):
-    return LI.plan(spark, ["amount", "occurred_on"], "v1").select("field", "stage", "operation")
+    """A plan for each field that the table of parts names."""
+    fields = table(spark, d, "part").select(F.concat_ws(":", "p_brand", "p_type").alias("field"))
+    return LI.plan_of(fields, "v1").select("field", "stage", "operation", "config_digest")
 
 
 @query("lin04_complete_fields", "SELECT l_orderkey, list_sort(list(DISTINCT l_linenumber)) = [1, 2] AS complete FROM lineitem GROUP BY 1")
@@ -111,6 +114,22 @@ def blockers(spark, d):
     return LE.mapping_blockers(a, decided)
 
 
+@query(
+    "map12_versions_in_force",
+    """WITH v AS (SELECT p_brand AS template_id, p_partkey AS version, p_size AS size, DATE '2024-01-01' + CAST(p_partkey % 400 AS INTEGER) AS validated_on, CASE WHEN p_partkey % 5 = 0 THEN 'draft' WHEN p_partkey % 89 = 0 THEN 'frozen' ELSE 'validated' END AS state, p_partkey % 3 AS ambiguities, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE 2 END AS decisions FROM part),
+z AS (SELECT template_id, min(version) AS last FROM v WHERE state = 'frozen' GROUP BY 1), l AS (SELECT v.* FROM v LEFT JOIN z USING (template_id) WHERE state <> 'draft' AND decisions >= ambiguities AND (last IS NULL OR version <= last)),
+f AS (SELECT o_orderkey AS file_id, CAST(o_orderkey % 50 + 1 AS INTEGER) AS size, DATE '2024-01-01' + CAST(o_custkey % 500 AS INTEGER) AS uploaded_on FROM orders)
+SELECT file_id, arg_max(template_id, (validated_on, template_id, version)) AS template_id, arg_max(version, (validated_on, template_id, version)) AS version FROM f JOIN l ON f.size = l.size AND validated_on <= uploaded_on GROUP BY file_id""",
+)
+def template_versions_in_force(spark, d):
+    n, day = F.col("p_partkey"), lambda k: F.date_add(F.lit(dt.date(2024, 1, 1)), k.cast("int"))
+    state = F.when(n % 5 == 0, "draft").when(n % 89 == 0, "frozen").otherwise("validated")
+    v = table(spark, d, "part").select(F.col("p_brand").alias("template_id"), n.alias("version"), F.sha2(F.col("p_size").cast("string"), 256).alias("schema_digest"), day(n % 400).alias("validated_on"), state.alias("state"), (n % 3).alias("ambiguities"), F.when(n % 7 == 0, 0).otherwise(2).alias("decisions"))
+    k = F.col("o_orderkey")
+    f = table(spark, d, "orders").select(k.alias("file_id"), F.sha2((k % 50 + 1).cast("string"), 256).alias("schema_digest"), day(F.col("o_custkey") % 500).alias("uploaded_on"))
+    return MP.versions_in_force(v, f)
+
+
 @query("map12_template_compatibility", "SELECT a.p_partkey AS template, b.p_partkey AS file FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size WHERE a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1")
 def template_compatibility(spark, d):
     schema = F.sha2(F.concat_ws("|", "p_brand", "p_type", F.col("p_size").cast("string")), 256)
@@ -205,11 +224,12 @@ def records_by_ranges(spark, d):
     return found.select(cell[0].cast("long").alias("o_orderkey"), cell[1].alias("day"), cell[2].alias("note"), (F.col("byte_end") - F.col("byte_start")).alias("bytes"), "field_count", "state")
 
 
-@query("src20_generated_statement", "SELECT CAST(n AS BIGINT) AS record_ordinal, strftime(DATE '2026-02-13' + CAST(n % 28 AS INTEGER), '%d/%m/%Y') || ';mov ' || n || ';' || CASE WHEN n % 2 = 0 THEN '-' ELSE '' END || (n % 1000) || ',50' AS line FROM range(0, 20000) r(n)")
+@query("src20_generated_statement", "SELECT o_orderkey AS record_ordinal, strftime(DATE '2026-02-13' + CAST(o_orderkey % 28 AS INTEGER), '%d/%m/%Y') || ';mov ' || o_orderkey || ';' || CASE WHEN o_orderkey % 2 = 0 THEN '-' ELSE '' END || (o_orderkey % 1000) || ',50' AS line FROM orders")
 def generated_statement(spark, d):
-    n = F.col("id")
+    """A statement's line for each order, its form decided by the order's key."""
+    n = F.col("o_orderkey")
     line = F.concat(F.date_format(F.date_add(F.lit(dt.date(2026, 2, 13)), (n % 28).cast("int")), "dd/MM/yyyy"), F.lit(";mov "), n.cast("string"), F.lit(";"), F.when(n % 2 == 0, "-").otherwise(""), (n % 1000).cast("string"), F.lit(",50"))
-    return spark.range(20_000).select(n.alias("record_ordinal"), line.alias("line"))
+    return table(spark, d, "orders").select(n.alias("record_ordinal"), line.alias("line"))
 
 
 @query("snk03_export_rows", "SELECT movement_id AS record_ordinal, movement_id, CAST(occurred_on AS VARCHAR) AS occurred_on, coalesce(CAST(posted_on AS VARCHAR), '') AS posted_on, '' AS value_date, coalesce(CAST(accounting_date AS VARCHAR), '') AS accounting_date, CAST(amount AS VARCHAR) AS amount, currency_code AS currency, direction, kind, description, coalesce(reference_normalised, '') AS reference, state, 'v1' AS canonical_schema_version, 'r1' AS engine_release, lineage_state FROM movement")
