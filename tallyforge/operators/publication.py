@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .rounds import settled
+
 
 def candidate_eligible() -> Column:
     return F.col("state").isin("validated", "published") & F.col("completeness_state").isin("verified", "accepted_exception") & (F.col("lineage_state") == "complete")
@@ -66,3 +70,66 @@ def divergent(incoming: DataFrame, stored: DataFrame, keys: list[str], values: l
     for v in values:
         differs = differs | ~F.col(v).eqNullSafe(F.col(f"stored_{v}"))
     return incoming.join(old, keys).where(differs).select(*keys)
+
+
+#: Records of a chunk, and what a publication may come to.
+CHUNK = 2000
+MANIFEST = "dataset string, state string, expected long, movements long, rejected long, chunks long, digest string"
+
+
+class Refused(ValueError):
+    """Why a dataset was not written; nothing of it stays."""
+
+
+def paths(spark: SparkSession, *names: str):
+    jvm = spark._jvm.org.apache.hadoop.fs
+    places = [jvm.Path(n) for n in names]
+    return places[0].getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), places
+
+
+def manifest(spark: SparkSession, folder: str, dataset: str) -> DataFrame | None:
+    fs, (place,) = paths(spark, f"{folder}/{dataset}/manifest")
+    return spark.read.schema(MANIFEST).json(place.toString()) if fs.exists(place) else None
+
+
+def prepare(mapped: DataFrame, expected: int, folder: str, dataset: str, ordinal: str = "record_ordinal", reason: str = "reject_reason") -> DataFrame:
+    """Write a dataset's mapped rows under ``folder`` in two phases, and give its manifest.
+
+    Tasks write their rows to a place that nobody reads, each committed by Spark once, whatever tasks are lost or tried again. Then what was written, and not what was meant to be, is
+    read back: chunks of ``CHUNK`` records with their numbers and digests, and a digest of all. If movements and rejections are as many as the
+    rows that came in, one rename makes it the dataset, in state validated; otherwise, and after any error, the place is cleared and nothing is left.
+    A dataset that is there already stays as it is: the same digest is a replay, another is refused."""
+    spark = mapped.sparkSession
+    staging, final = f"{folder}/_staging-{uuid.uuid4().hex}", f"{folder}/{dataset}"
+    fs, (from_, to) = paths(spark, staging, final)
+    try:
+        mapped.write.parquet(f"{staging}/rows")
+        rows = spark.read.schema(mapped.schema).parquet(f"{staging}/rows")
+        text = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in sorted(rows.columns)]))
+        kept = rows.select(F.lit(dataset).alias("dataset"), F.col(ordinal).alias("at"), F.sha2(text, 256).alias("record"), F.col(reason).isNull().alias("moves"))
+        chunk = F.floor(F.col("at") / CHUNK)
+        chunks = kept.groupBy("dataset", chunk.alias("chunk")).agg(F.count_if("moves").alias("movements"), F.count_if(~F.col("moves")).alias("rejected"), F.sha2(F.array_join(F.array_sort(F.collect_list("record")), ""), 256).alias("digest"))
+        chunks.write.parquet(f"{staging}/chunks")
+        chunks = spark.read.parquet(f"{staging}/chunks")
+        digest = ordered_digest(chunks, ["dataset"], "chunk", "digest").select("dataset", "digest")
+        sums = chunks.groupBy("dataset").agg(F.sum("movements").alias("movements"), F.sum("rejected").alias("rejected"), F.count("*").alias("chunks"))
+        told = settled(sums.join(digest, "dataset").select("dataset", F.lit("validated").alias("state"), F.lit(expected).cast("long").alias("expected"), "movements", "rejected", "chunks", "digest"))
+        row = told.first()
+        if (row.movements + row.rejected if row else 0) != expected:
+            raise Refused("not_conserved")
+        old = manifest(spark, folder, dataset)
+        if old is not None:
+            if old.first().digest != row.digest:
+                raise Refused("divergent")
+            return old.withColumn("state", F.lit("replayed"))
+        told.coalesce(1).write.json(f"{staging}/manifest")
+        if not fs.rename(from_, to):
+            raise Refused("taken")
+        return manifest(spark, folder, dataset)
+    finally:
+        # after the rename there is nothing at that place
+        fs.delete(from_, True)
+
+
+def published_rows(spark: SparkSession, folder: str, dataset: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{dataset}/rows")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import settled
+
 from ..functions.money import times_ten
 from .latest import latest
 
@@ -129,8 +131,13 @@ def risk_signals(m: DataFrame, cap: int | None = None) -> DataFrame:
     return out
 
 
+#: What the rules look at.
+RISK_COLUMNS = ("movement_id", "dataset_version_id", "dedupe_fingerprint", "reference_normalised", "financial_account_id", "occurred_on", "currency_code", "direction", "amount")
+
+
 def multiple_risk(m: DataFrame, cap: int | None = None) -> DataFrame:
-    return risk_signals(m, cap).groupBy("movement_id").agg(F.countDistinct("rule_code").alias("rules")).where("rules >= 2")
+    """Movements that two rules or more find. The movements are made once, for all rules."""
+    return risk_signals(settled(m.select(*RISK_COLUMNS)), cap).groupBy("movement_id").agg(F.countDistinct("rule_code").alias("rules")).where("rules >= 2")
 
 
 def capped(findings: DataFrame, order: list[str], cap: int = CAP) -> DataFrame:

@@ -47,6 +47,12 @@ def match_candidates_bucketed(spark, d):
     return MA.candidates(*sides(spark, d, True), 2, "different", buckets=True)
 
 
+@query("jon01_match_candidates_heavy_keys", PAIR_SQL.format(v="movement_coarse", d=2) + " AND NOT coalesce(l.reference_normalised = r.reference_normalised, FALSE)", money="amount")
+def match_candidates_heavy_keys(spark, d):
+    """The same pairs, where amounts that over 20 movements share go by day buckets."""
+    return MA.split_candidates(*sides(spark, d, True), 2, "different", heavy=20)
+
+
 @query("jon02_pairs_in_order", f"SELECT DISTINCT least(left_id, right_id) AS low_id, greatest(left_id, right_id) AS high_id FROM ({PAIR_SQL.format(v='movement', d=3)})")
 def pairs_in_order(spark, d):
     return MA.ordered_pairs(match_candidates(spark, d))

@@ -22,6 +22,7 @@ from ..operators import mapping as MP
 from ..operators import matching as MA
 from ..operators import profiling as PR
 from ..operators import publication as PU
+from ..operators.rounds import scratch
 from .registry import query
 from .views import balances, datasets, items, movements, raw_rows, table
 
@@ -114,16 +115,18 @@ def column_counters(spark, d):
     return PR.columns(raw_rows(spark, d)).select("index", "non_empty", "empty", "min_length", "max_length")
 
 
-@query("prf03_inferred_types", "SELECT * FROM (VALUES (0, 'date_dmy', FALSE), (1, 'text', FALSE), (2, 'text', FALSE), (3, 'decimal_comma', FALSE), (4, 'decimal_comma', FALSE), (5, 'decimal_comma', FALSE), (6, 'text', FALSE)) t(index, inferred_type, ambiguous)")
-def inferred_types(spark, d):
-    return PR.columns(raw_rows(spark, d)).select("index", "inferred_type", "ambiguous")
-
-
 CELL_KINDS = """SELECT index, CASE WHEN trim(c) = '' THEN 'empty' WHEN regexp_full_match(c, '-?[0-9]+,[0-9]{2}') THEN 'decimal_comma' WHEN regexp_full_match(c, '[0-9]{2}/[0-9]{2}/[0-9]{4}') AND substr(c, 1, 2)::INT > 12 THEN 'date_dmy'
 WHEN regexp_full_match(c, '[0-9]{2}/[0-9]{2}/[0-9]{4}') AND substr(c, 4, 2)::INT > 12 THEN 'date_mdy' WHEN regexp_full_match(c, '[0-9]{2}/[0-9]{2}/[0-9]{4}') THEN 'ambiguous_date' ELSE 'text' END AS kind
 FROM (SELECT CAST(unnest(range(7)) AS INTEGER) AS index, unnest([fecha, descripcion, referencia, cargo, abono, firmado, sentido]) AS c FROM raw_row)"""
 
 
+@query("prf03_inferred_types", f"""WITH k AS (SELECT index, kind, count(*) AS n FROM ({CELL_KINDS}) WHERE kind <> 'empty' GROUP BY ALL),
+m AS (SELECT index, CASE WHEN bool_and(kind IN ('date_dmy', 'date_mdy', 'ambiguous_date')) AND bool_or(kind = 'ambiguous_date') THEN 'date_dmy' ELSE arg_max(kind, (n, kind)) END AS kind FROM k GROUP BY 1)
+SELECT index, kind AS inferred_type, kind IN ('ambiguous_date', 'ambiguous_numeric') AS ambiguous FROM m""")
+def inferred_types(spark, d):
+    return PR.columns(raw_rows(spark, d)).select("index", "inferred_type", "ambiguous")
+
+
 @query("prf04_type_confidence", f"""WITH k AS (SELECT index, kind, count(*) AS n FROM ({CELL_KINDS}) WHERE kind <> 'empty' GROUP BY ALL), t AS (SELECT index, sum(n) AS filled FROM k GROUP BY 1),
 m AS (SELECT index, CASE WHEN bool_and(kind IN ('date_dmy', 'date_mdy', 'ambiguous_date')) AND bool_or(kind = 'ambiguous_date') THEN 'date_dmy' ELSE arg_max(kind, (n, kind)) END AS kind FROM k GROUP BY 1)
 SELECT index, round(k.n / t.filled, 4)::DOUBLE AS confidence FROM m JOIN k USING (index, kind) JOIN t USING (index)""")
@@ -598,6 +601,26 @@ def prepare_dataset(spark, d):
     return out.withColumn("conserved", F.col("movements") + F.col("rejected") == F.col("expected"))
 
 
+@query("pub01_two_phases", f"""WITH n AS (SELECT count(*) AS expected, count(*) FILTER (WHERE {BOTH} IS NULL) AS movements, count(*) FILTER (WHERE {BOTH} IS NOT NULL) AS rejected, count(DISTINCT record_ordinal // 2000) AS chunks FROM raw_row WHERE record_ordinal >= 2)
+SELECT 'short' AS attempt, 'not_conserved' AS outcome, NULL::BIGINT AS movements, NULL::BIGINT AS rejected, NULL::BIGINT AS chunks UNION ALL SELECT 'first', 'validated', movements, rejected, chunks FROM n
+UNION ALL SELECT 'again', 'replayed', movements, rejected, chunks FROM n UNION ALL SELECT 'changed', 'divergent', NULL, NULL, NULL""", longs="movements rejected chunks")
+def two_phases(spark, d):
+    """A dataset that lacks a row is refused and leaves nothing; whole it is taken; again it is a replay; with another value in it is refused."""
+    mapped = MP.mapped(raw_rows(spark, d), DEBIT_CREDIT)
+    came = raw_rows(spark, d).where("record_ordinal >= 2").count()
+    # every table's last order's description is another one
+    last = F.col("record_ordinal") == F.lit(mapped.agg(F.max("record_ordinal")).first()[0])
+    changed = mapped.withColumn("description", F.when(last, "another").otherwise(F.col("description")))
+    folder, out = scratch(spark), None
+    for attempt, rows, expected in (("short", mapped.where(~last), came), ("first", mapped, came), ("again", mapped.repartition(3), came), ("changed", changed, came)):
+        try:
+            part = PU.prepare(rows, expected, folder, "orders").select(F.lit(attempt).alias("attempt"), F.col("state").alias("outcome"), "movements", "rejected", "chunks")
+        except PU.Refused as e:
+            part = spark.range(1).select(F.lit(attempt).alias("attempt"), F.lit(str(e)).alias("outcome"), *[F.lit(None).cast("long").alias(c) for c in ("movements", "rejected", "chunks")])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("snk01_fresh_rows", "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)")
 def fresh_rows(spark, d):
     stored = table(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
