@@ -4,7 +4,8 @@ Of all suffixes of a text, word by word, only those are retained that start at c
 group with the smallest hash of each 50-word window. Every passage of 50 words or more that two documents share thus has a suffix in both that starts
 with the same group. The retained suffixes are sorted by that beginning, over range partitions, and compared with
 their neighbours; those that share it with another document's go on. From each such group the match is extended left and right:
-of the 50-word windows around it those stay that stand in another document too, and what stays is joined up to maximal passages.
+of the 50-word windows around it those stay that stand in another document too, and what stays is joined up to maximal passages: windows that overlap or adjoin are one
+passage, so that every word of it is covered by a window that stands in another document, while a window across the seam of two of them may stand in none.
 So a passage is found whole and to the word, whatever stands around it, and each step is a sort, a
 join or an aggregation with partial results: no group of equal suffixes is held together in one task.
 
@@ -205,8 +206,8 @@ def joined(kept: DataFrame, parts: int) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, start, end, n_words, first_id``: each document's maximal passages all of whose windows of LEAST words stand in
-    another document too; start and end in code points, first_id the smallest id of a document that has a part of it."""
+    """``doc_id, start, end, n_words, first_id``: each document's maximal passages whose words are all covered by windows of LEAST words that stand in
+    another document too, overlapping or adjoining ones as one; start and end in code points, first_id the smallest id of a document that has a part of it."""
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.col("id").isNotNull())
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # equal texts: the smallest id stands for them
