@@ -47,6 +47,39 @@ def ordered_digest(df: DataFrame, keys: list[str], ordinal: str, record: str) ->
     return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(gathered, lambda x: x["text_"]), ""), 256).alias("digest"), F.sum("n_").alias("records"))
 
 
+def digest_levels(df: DataFrame, ordinal: str, record: str) -> list[DataFrame]:
+    """``at, digest, records`` of blocks of 4,096 ordinals, of 4,096 such blocks, and so on up to one: the tree of ``ordered_digest`` for one dataset, kept by level."""
+    rows = df.select(F.col(ordinal).cast("long").alias("at"), F.col(record).alias("digest"), F.lit(1).cast("long").alias("records"))
+    out, most = [], None
+    while most is None or most > 0:
+        gathered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"]), "")
+        rows = settled(rows.groupBy(F.shiftright("at", BLOCK_BITS).alias("at")).agg(F.sha2(gathered, 256).alias("digest"), F.sum("records").alias("records")))
+        out.append(rows)
+        most = rows.agg(F.max("at")).first()[0] or 0
+    return out
+
+
+def first_difference(a: DataFrame, b: DataFrame, a_levels: list[DataFrame], b_levels: list[DataFrame], ordinal: str, record: str) -> int | None:
+    """The first ordinal at which two versions of a dataset differ, or one of them ends; None if they are the same.
+
+    From the top down the first unequal block is found by the digests of a level, 4,096 at most below the one above; of the records themselves only those
+    of one block are read, by a range of ordinals that the scan can push down."""
+    low, high = 0, None
+
+    def unequal(x, y, key, value):
+        inside = lambda d: d.where(F.col(key) >= low) if high is None else d.where(F.col(key).between(low, high))
+        one, two = inside(x).select(F.col(key).alias("k"), F.col(value).alias("v")), inside(y).select(F.col(key).alias("k"), F.col(value).alias("w"))
+        return one.join(two, "k", "full_outer").where("NOT v <=> w").agg(F.min("k")).first()[0]
+
+    deep = min(len(a_levels), len(b_levels))
+    for level in reversed(range(deep)):
+        at = unequal(a_levels[level], b_levels[level], "at", "digest")
+        if at is None:
+            return None
+        low, high = at << BLOCK_BITS, ((at + 1) << BLOCK_BITS) - 1
+    return unequal(a, b, ordinal, record)
+
+
 def blockers(datasets: DataFrame) -> DataFrame:
     """``dataset_version_id, blocker``: why a dataset may not be published yet."""
     why = F.array_compact(F.array(

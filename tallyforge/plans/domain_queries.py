@@ -633,6 +633,18 @@ def diverging(spark, d):
     return PU.divergent(o, o.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus"))), ["o_orderkey"], ["o_orderstatus", "o_orderpriority"])
 
 
+@query("snk01_first_divergence", "SELECT min(o_orderkey) FILTER (WHERE o_custkey % 7 = 3 AND o_orderkey > (SELECT max(o_orderkey) // 2 FROM orders)) AS first_changed, max(o_orderkey) AS first_missing, NULL::BIGINT AS first_of_same FROM orders", longs="first_changed first_missing first_of_same")
+def first_divergence(spark, d):
+    """Two versions of all orders, one of them changed in its second half, or without its last row, compared by their digest trees."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.sha2(F.concat_ws("|", "o_orderkey", "o_orderstatus", "o_totalprice"), 256).alias("record"))
+    last = o.agg(F.max("o_orderkey")).first()[0] or 0
+    changed = o.withColumn("record", F.when((F.col("o_custkey") % 7 == 3) & (F.col("o_orderkey") > last // 2), F.sha2("record", 256)).otherwise(F.col("record")))
+    shorter = o.where(F.col("o_orderkey") != last)
+    mine = PU.digest_levels(o, "o_orderkey", "record")
+    at = [PU.first_difference(o, other, mine, PU.digest_levels(other, "o_orderkey", "record"), "o_orderkey", "record") for other in (changed, shorter, o)]
+    return spark.range(1).select(*[F.lit(x).cast("long").alias(c) for x, c in zip(at, ("first_changed", "first_missing", "first_of_same"), strict=True)])
+
+
 @query("cor01_overlay_outcomes", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'field_not_correctable' WHEN event_id % 5 = 0 THEN 'stale_base' WHEN event_id % 7 = 0 THEN 'no_change' WHEN rn > 1 THEN 'already_active' WHEN event_id % 3 = 0 THEN 'same_person' ELSE 'approved' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CASE WHEN event_type = 'error' THEN 'company_id' ELSE 'amount' END ORDER BY event_id) AS rn FROM events)")
 def overlay_outcomes(spark, d):
     n = F.col("event_id")
