@@ -94,7 +94,7 @@ def closure(pairs):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_cycles_and_what_is_behind_them(spark, seed):
     rng = random.Random(seed)
     pairs = {(rng.randrange(40), rng.randrange(40)) for _ in range(26)} | {(100 + i, 101 + i) for i in range(9)} | {(109, 104), (200, 201), (201, 200), (201, 300), (300, 301), (50, 200), (400, 400), (400, 401)}
