@@ -49,12 +49,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: smaller than a checkpoint, and of known size to the planner. The tables go when
     the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     atexit.register(removed, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -12,7 +12,8 @@ The walk needs one table look-up a character, as the time that a character holds
 of arrival alone. Texts of a step are walked side by side; the last long ones one by one.
 
 Null texts count as empty; an empty text's fingerprint is the empty string, and two empty fingerprints have likeness 1. Ids that are null come
-last, equal ids stand in an order by their compressed text, the same in each run. Columns of the result's names are replaced. An empty table gives an empty result.
+last, equal ids stand in an order by their text's hash or compressed text, the same in each run; the rows of an id that many have, or of none, are dealt to several parts. Columns of the
+result's names are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ OVER = 10
 #: Members of a band that one task holds.
 MEMBERS = 8192
 HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
+#: Texts' hashes are whole numbers below this one, which doubles hold exactly; and what stands for no id: the last of all.
+HASHES, NO_ID = float(1 << 53), -(1 << 63)
 
 
 def holds(seed: int = 42) -> np.ndarray:
@@ -255,15 +258,20 @@ def band_members(classes: DataFrame) -> DataFrame:
 
 
 def print_key(text: bool):
-    return F.sha2("text" if text else "fingerprint", 256)
+    return F.base64(F.unhex(F.sha2("text" if text else "fingerprint", 256)))
 
 
 def components_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near: float = NEAR, edits: int | None = None) -> DataFrame:
     """``class, component_id``: of each class of equal fingerprints (with ``edits``, of equal texts) the smallest id that links reach; classes of one document
     that none reach are left out."""
     marked = fingerprints(docs.select(F.col(doc_id).alias("id_"), F.coalesce(F.col(text), F.lit("")).alias("text")))
+    return components_of_prints(marked.withColumn("class", print_key(edits is not None)), near, edits)
+
+
+def components_of_prints(marked: DataFrame, near: float = NEAR, edits: int | None = None) -> DataFrame:
+    """``components_of`` for rows ``id_, class, fingerprint`` (with ``edits``, and text)."""
     one = F.min("text") if edits is not None else F.lit("")
-    classes = written(marked.groupBy(print_key(edits is not None).alias("class")).agg(F.count("*").alias("n"), F.min("id_").alias("least"), F.min("fingerprint").alias("fingerprint"), one.alias("text")))
+    classes = written(marked.groupBy("class").agg(F.count("*").alias("n"), F.min("id_").alias("least"), F.min("fingerprint").alias("fingerprint"), one.alias("text")), "zstd")
     members = band_members(classes)
     needed = classes.join(members.select("class").distinct(), "class", "left_semi")
     found = F.concat(F.col("fingerprint").cast("binary"), F.unhex(F.lit("00")), F.col("text").cast("binary"))
@@ -288,34 +296,74 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return with_components(marked, components_of(docs, text, doc_id, near, edits), doc_id)
 
 
+class Parts:
+    """Parts that follow the descending order of ids. They border at ids of even ranks; an id that is several of these borders in a row has a part for
+    each, by equal ranges of its texts' hashes, and one more for the ids below it."""
+
+    def __init__(self, borders: list[int]):
+        ids, times_ = np.unique(np.array(borders, np.int64), return_counts=True)
+        self.ids, self.hot = ids, np.where(times_ > 1, times_, 0)
+        # from the highest ids down: those above the last border, then each border's own and those below it, down to the next
+        sizes = np.append(self.hot + 1, 1)[::-1]
+        self.first = (np.cumsum(sizes) - sizes)[::-1]
+
+    def of(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.ids, ids, "left")
+        part = self.first[at]
+        inside = np.flatnonzero(at < len(self.ids))
+        cuts = self.hot[at[inside]]
+        own = self.ids[at[inside]] == ids[inside]
+        by_hash = (hashes[inside] * cuts.astype(float) / HASHES).astype(np.int64)
+        part[inside] += np.where(own, np.minimum(by_hash, np.maximum(cuts - 1, 0)), cuts)
+        return part
+
+
 def with_next(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", part_rows: int = 2000, most_parts: int = 20_000) -> DataFrame:
-    """``part, guest, id, text``, the text compressed: the rows dealt into parts that follow the descending order of ids, sorted within; the row after a
-    part's last is a guest, the first row of the next part (after the last part: of the first). Parts border at ids of even
-    ranks, of which there are ``most_parts`` at most."""
+    """``part, guest, id, hash, text``, the text compressed: the rows dealt into parts that follow the descending order of ids, sorted within; the row after a
+    part's last is a guest, the first row of the next part (after the last part: of the first). There are ``2 * most_parts`` parts at most; of an
+    id's rows only those that are equal in text too must share one."""
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows, high = docs.agg(F.count("*"), F.max("id")).first()
+    docs = docs.withColumn("rank", F.coalesce("id", F.lit(NO_ID)))
+    rows = docs.count()
     parts = int(min(max(1, rows // part_rows), most_parts))
-    borders = docs.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], 50_000)).first()[0] if parts > 1 else None
-    # each border is the first id of its part
-    heads = np.array(sorted({*(borders or []), high}, reverse=True) if high is not None else [0], np.int64)
+    borders = docs.agg(F.percentile_approx("rank", [k / parts for k in range(1, parts)], 50_000)).first()[0] if parts > 1 else None
+    dealing = Parts(borders or [])
+    # texts are read and hashed for those ids alone that have several parts
+    hot = dealing.ids[dealing.hot > 0].tolist()
+    docs = docs.withColumn("hash", F.when(F.col("rank").isin(hot), F.shiftrightunsigned(F.xxhash64("text"), 11)).otherwise(F.lit(0)) if hot else F.lit(0).cast("long"))
+
+    def first_rows(batches):
+        for batch in batches:
+            rank, hash_ = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            part = dealing.of(rank, hash_)
+            order = np.lexsort((hash_, ~rank, part))
+            head = order[np.flatnonzero(np.append(True, np.diff(part[order]) > 0))] if len(order) else order
+            yield pa.RecordBatch.from_arrays([pa.array(part[head]), pa.array(rank[head]), pa.array(hash_[head])], names=["part", "rank", "hash"])
+
+    heads = docs.select("rank", "hash").mapInArrow(first_rows, "part long, rank long, hash long")
+    # one row for each part that has any
+    found = sorted(heads.groupBy("part").agg(F.max(F.struct("rank", (-F.col("hash")).alias("hash"))).alias("head")).collect(), key=lambda r: r.part)
+    number_of = np.array([r.part for r in found], np.int64)
+    head_rank, head_hash = np.array([r.head.rank for r in found], np.int64), np.array([-r.head.hash for r in found], np.int64)
 
     def deal(batches):
         squeeze = zstandard.ZstdCompressor(3)
         for batch in batches:
-            ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            part = np.searchsorted(-heads.astype(float), -ids.astype(float), "right") - 1
-            part = np.where(heads[np.clip(part, 0, None)] < ids, part - 1, part).clip(0)
-            head = np.flatnonzero((heads[part] == ids) | (high is None))
-            row = np.append(np.arange(len(ids)), head)
-            to = np.append(part, (part[head] - 1) % len(heads))
+            rank, hash_ = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            part = np.searchsorted(number_of, dealing.of(rank, hash_))
+            head = np.flatnonzero((head_rank[part] == rank) & (head_hash[part] == hash_))
+            row = np.append(np.arange(len(rank)), head)
+            to = np.append(part, (part[head] - 1) % len(number_of))
             # half of what the shuffle's own compression makes of a text
             packed = [squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
             texts = pa.array(packed, pa.binary()).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.arange(len(row)) >= len(ids)), batch.column(0).take(pa.array(row)), texts], names=["part", "guest", "id", "text"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(to.astype(np.int32)), pa.array(np.arange(len(row)) >= len(rank)), batch.column(0).take(pa.array(row)), pa.array(hash_[row]), texts], names=["part", "guest", "id", "hash", "text"]
+            )
 
-    dealt = docs.mapInArrow(deal, "part int, guest boolean, id long, text binary")
+    dealt = docs.select("id", "text", "rank", "hash").mapInArrow(deal, "part int, guest boolean, id long, hash long, text binary")
     number = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(number, "part").sortWithinPartitions("part", "guest", F.col("id").desc_nulls_last(), "text")
+    return dealt.repartition(number, "part").sortWithinPartitions("part", "guest", F.col("id").desc_nulls_last(), "hash", "text").drop("hash")
 
 
 def edited_likeness(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -356,4 +404,6 @@ def edited_likeness(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 def op8(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_components(edited_likeness(docs).withColumn("class", print_key(False)), components_of(docs), "doc_id")
+    # texts are walked once; what follows reads their fingerprints
+    out = written(edited_likeness(docs).withColumn("class", print_key(False)), "zstd")
+    return with_components(out, components_of_prints(out.select(F.col("doc_id").alias("id_"), "class", "fingerprint")), "doc_id")
