@@ -23,7 +23,7 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, read
@@ -134,7 +134,6 @@ def usable(df: DataFrame, id_: str, vector: str) -> DataFrame:
 
 def classes(rows: DataFrame, dim: int, every: int, keep: int) -> DataFrame:
     """``key, raw, ids, asked``: one row for each distinct vector, its bytes, its smallest ids, and whether it asks."""
-    schema = "raw binary, ids array<long>, asked boolean"
 
     def local(batches):
         for batch in batches:
@@ -152,11 +151,16 @@ def classes(rows: DataFrame, dim: int, every: int, keep: int) -> DataFrame:
             for raw, i in zip(map(bytes, (matrix[order] + 0.0).astype("<f8")), ids[order].tolist(), strict=True):
                 of = met.setdefault(raw, [[], False])
                 of[1] |= i % every == 0
-                if len(of[0]) < keep:
+                if len(of[0]) < keep and i not in of[0][-1:]:
                     of[0].append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(met.keys(), pa.binary()), pa.array([x for x, _ in met.values()], pa.list_(pa.int64())), pa.array([x for _, x in met.values()])], names=["raw", "ids", "asked"])
-
-    merged = rows.mapInArrow(local, schema).groupBy("raw").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"), F.bool_or("asked").alias("asked"))
+            # one row for each id, and one that says that the vector asks
+            found = [(raw, i, False) for raw, (kept, _) in met.items() for i in kept] + [(raw, 0, True) for raw, (_, asks) in met.items() if asks]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.binary(), pa.int64(), pa.bool_()), strict=True)], names=["raw", "id", "asks"])
+
+    # the rank is cut before and after the shuffle, so that no row ever holds more ids of a vector than are kept
+    place = F.dense_rank().over(Window.partitionBy("raw").orderBy(F.desc("asks"), "id"))
+    first = rows.mapInArrow(local, "raw binary, id long, asks boolean").withColumn("place", place).where(F.col("place") <= keep + 1)
+    merged = first.groupBy("raw").agg(F.slice(F.sort_array(F.collect_set(F.when(~F.col("asks"), F.col("id")))), 1, keep).alias("ids"), F.bool_or("asks").alias("asked"))
     return merged.select(F.sha2("raw", 256).alias("key"), "raw", "ids", "asked")
 
 

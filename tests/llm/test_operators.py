@@ -15,6 +15,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from tallyforge.llm import editprint, language, mixing, neighbours, packing, secrets, simhash, suffixes, tokens, toxicity
@@ -421,6 +422,25 @@ def test_edited_texts_and_likeness(spark, table, empty):
     assert rows(editprint.edited_likeness(empty)) == []
 
 
+def test_rows_of_one_id_are_dealt_to_several_parts(spark):
+    """Two thirds of all rows have one id or none: parts follow the order, stay small, and each ends with the first row of the next."""
+    ship(spark)
+    big = 1 << 60  # doubles do not tell its neighbours apart
+    data = [(7, f"seven {k}") for k in range(600)] + [(None, f"none {k}") for k in range(300)] + [(big + k, f"big {k}") for k in range(200)] + [(-k, f"low {k}") for k in range(150)] + [(9, "same")] * 60
+    random.Random(5).shuffle(data)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    dealt = editprint.with_next(df, part_rows=20).collect()
+    own, guests = defaultdict(list), defaultdict(list)
+    for r in dealt:
+        (guests if r.guest else own)[r.part].append((r.id, zstandard.ZstdDecompressor().decompress(bytes(r.text)).decode()))
+    assert sorted(own) == [*range(len(own))] and len(own) > 40
+    line = [row for p in sorted(own) for row in own[p]]
+    assert Counter(line) == Counter(data)
+    assert [i for i, _ in line] == sorted([i for i, _ in data], key=lambda i: (i is None, -(i or 0)))
+    assert all(guests[p][0] == own[(p + 1) % len(own)][0] for p in own)
+    assert max(map(len, own.values())) <= 200 and max(len({i for i in rows_ if i[0] in (7, None)}) for rows_ in own.values()) < 60
+
+
 def test_walk_is_the_plain_walk():
     bits = np.random.default_rng(42).integers(0, 2, (editprint.KINDS, editprint.PERIOD), dtype=np.int8)
     bits[:, -1] = 1
@@ -577,6 +597,20 @@ def test_neighbours_of_isolated_queries(spark):
     assert len(ids) == 5 and ids[:4] == sorted(cosine, key=lambda i: -cosine[i])[:4]
 
 
+def test_repeated_rows_of_a_vector_keep_the_smallest_ids(spark):
+    """A vector of many rows, some of equal id, in many batches: its smallest different ids, and whether any of them asks."""
+    ship(spark)
+    data = [(k // 3 + 1, [1.0, 0.0]) for k in range(3000)] + [(7001, [0.0, 1.0])]
+    df = spark.createDataFrame(data, "id long, v array<double>").repartition(7)
+    got = {len(r.ids): (sorted(r.ids), r.asked) for r in neighbours.classes(df, 2, 50, 6).collect()}
+    assert got == {6: ([1, 2, 3, 4, 5, 6], True), 1: ([7001], False)}
+    plan = neighbours.classes(df, 2, 50, 6)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "collect_list" not in plan
+    # each row that asks has its answer, in which an id stands once
+    found = Counter((r["rank"], r.vec_id) for r in neighbours.nearest(df, "id", "v").where("query_id = 50").collect())
+    assert found == {(k, k): 3 for k in range(1, 6)}
+
+
 # local search, components, finer shards, Unicode, near-copies of crowded shards
 
 
