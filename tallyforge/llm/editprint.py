@@ -249,9 +249,11 @@ def banded(classes: DataFrame) -> DataFrame:
 
 
 def band_members(classes: DataFrame) -> DataFrame:
-    """Those classes that share a band with others, as ``joined_classes`` takes them. Names join only then: most bands hold one class."""
+    """Those classes that share a band with others, as ``joined_classes`` takes them. Names join only then: most bands hold one class. Of bands with the same
+    members, of which near texts have several, one is enough: members are told by two sums of their hashes."""
     bands = banded(classes)
-    sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    sums = [F.bit_xor("id").alias("x"), F.bit_xor(F.xxhash64("id")).alias("y")]
+    sizes = bands.groupBy("bucket").agg(F.count("*").alias("n"), *sums).where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
     shared = bands.join(sizes.select("bucket", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks")), "bucket")
     named = shared.join(classes.select(F.xxhash64("class").alias("id"), "class"), "id")
     return cut(named.select("class", F.lit(0).cast("long").alias("fp"), "bucket", "blocks", F.pmod(F.xxhash64("class"), "blocks").cast("int").alias("block")))
