@@ -258,7 +258,7 @@ def band_members(classes: DataFrame) -> DataFrame:
 
 
 def print_key(text: bool):
-    return F.base64(F.unhex(F.sha2("text" if text else "fingerprint", 256)))
+    return F.sha2("text" if text else "fingerprint", 256)
 
 
 def components_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near: float = NEAR, edits: int | None = None) -> DataFrame:
@@ -271,7 +271,7 @@ def components_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n
 def components_of_prints(marked: DataFrame, near: float = NEAR, edits: int | None = None) -> DataFrame:
     """``components_of`` for rows ``id_, class, fingerprint`` (with ``edits``, and text)."""
     one = F.min("text") if edits is not None else F.lit("")
-    classes = written(marked.groupBy("class").agg(F.count("*").alias("n"), F.min("id_").alias("least"), F.min("fingerprint").alias("fingerprint"), one.alias("text")), "zstd")
+    classes = written(marked.groupBy("class").agg(F.count("*").alias("n"), F.min("id_").alias("least"), F.min("fingerprint").alias("fingerprint"), one.alias("text")))
     members = band_members(classes)
     needed = classes.join(members.select("class").distinct(), "class", "left_semi")
     found = F.concat(F.col("fingerprint").cast("binary"), F.unhex(F.lit("00")), F.col("text").cast("binary"))
