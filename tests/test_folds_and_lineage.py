@@ -79,6 +79,19 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     assert {(r.start, r.node) for r in met} == {(0, i) for i in range(301)} | {(250, i) for i in range(250, 301)} and len(rounds) < 40
 
 
+def test_a_recursive_walk_has_no_row_limit(spark):
+    """More ways than Spark's limit of rows, which the session keeps."""
+    key = "spark.sql.cteRecursionRowLimit"
+    spark.conf.set(key, "50")
+    try:
+        e = graph(spark, [(0, i) for i in range(1, 41)] + [(i, 100) for i in range(1, 41)])
+        met = lineage.reachable_sql(spark, e, spark.createDataFrame([(0,)], "start long")).collect()
+        assert sorted((r.start, r.node) for r in met) == [(0, i) for i in [*range(41), 100]]
+        assert spark.conf.get(key) == "50"
+    finally:
+        spark.conf.unset(key)
+
+
 def closure(pairs):
     after = defaultdict(set)
     for a, b in pairs:
