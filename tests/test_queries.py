@@ -99,6 +99,21 @@ def test_candidates_are_the_same_from_either_side_and_with_buckets(spark):
         matching.candidates(a, b, 32)
 
 
+def test_bucketed_candidates_look_at_few_others(spark):
+    """What the join itself finds by its keys is hardly more than what is near in days and opposite; and other directions are opposite to all but themselves."""
+    rows = [(str(i), "c", "A" if i % 2 else "B", str(i % 3), "1", "COP", ("inflow", "outflow", "hold")[i % 5 % 3], dt.date(2026, 1, 1 + i // 4), "r", "f", "confirmed", "complete") for i in range(100)]
+    kinds = [f"{c} {'date' if c == 'occurred_on' else 'string'}" for c in [*matching.SIDE, "state", "lineage_state"]]
+    m = spark.createDataFrame(rows, ", ".join(kinds)).withColumn("amount", F.col("amount").cast("decimal(38,12)"))
+    a, b = m.where("dataset_version_id = 'A'"), m.where("dataset_version_id = 'B'")
+    for days in (0, 2, 9):
+        want = sorted((x[0], y[0]) for x in rows for y in rows if x[2] == "A" and y[2] == "B" and x[3] != y[3] and x[6] != y[6] and abs((x[7] - y[7]).days) <= days)
+        got = matching.candidates(a, b, days, buckets=True)
+        assert sorted((r.left_id, r.right_id) for r in got.collect()) == want and want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "(l_faces" in plan and days in (0, 9) or "(l_bucket" in plan
+    assert {r.amount for r in matching.candidates(a, b, 2, buckets=True, as_text=True).collect()} == {"1.000000000000"}
+
+
 def test_statement_golden(spark):
     """1,250,000 + 20,000 - 90,000 is what the books have; what is only proposed counts for nothing."""
     money = "decimal(38,12)"
