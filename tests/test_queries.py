@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 import re
 from decimal import Decimal
 
@@ -114,6 +115,22 @@ def test_bucketed_candidates_look_at_few_others(spark):
     assert {r.amount for r in matching.candidates(a, b, 2, buckets=True, as_text=True).collect()} == {"1.000000000000"}
 
 
+def test_decisions_by_hand_and_by_one_shuffle_of_pairs(spark):
+    rng = random.Random(5)
+    ids = sorted({tuple(sorted((f"{rng.randrange(30):02}", f"{rng.randrange(30):02}"))) for _ in range(120)})
+    named = matching.named_pairs(spark.createDataFrame([(b, a) for a, b in ids] + ids[:9], "left_id string, right_id string"))
+    asked = named.select("*", F.lit("confirmed").alias("decision"), F.lit("same_fee").alias("reason"), F.lit("a").alias("proposed_by"), F.lit("b").alias("decided_by"), F.struct("low_id", "high_id").alias("seq"))
+    out = matching.decide(asked)
+    seen, want = set(), {}
+    for a, b in ids:
+        want[f"{a}|{b}"] = "confirmed" if a != b and not {a, b} & seen else "member_already_matched"
+        seen |= {a, b}
+    assert {r.candidate_id: r.outcome for r in out.collect()} == want
+    # the exchanges: by name once for each branch, by member, and of the few that win
+    plan = out._jdf.queryExecution().sparkPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(low_id" not in plan and "windowspecdefinition(member" not in plan
+
+
 def test_statement_golden(spark):
     """1,250,000 + 20,000 - 90,000 is what the books have; what is only proposed counts for nothing."""
     money = "decimal(38,12)"
