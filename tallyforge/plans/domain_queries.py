@@ -484,6 +484,8 @@ c AS (SELECT *, CASE WHEN control = 'product_close' THEN 'unavailable' WHEN pass
 
 def close_controls_of(spark, d):
     o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
+    # lines of one order and number are told apart by where they stand in the table
+    l = l.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     n, k = F.col("o_orderkey"), F.col("o_custkey")
     sources = o.select(
         n.alias("expectation_id"), (k % 25).alias("company_id"), F.trunc("o_orderdate", "month").alias("period_start"), F.when(n % 31 == 0, "late").otherwise("satisfied").alias("state"), F.when(n % 17 != 0, n.cast("string")).alias("dataset_version_id"),
@@ -499,7 +501,10 @@ def close_controls_of(spark, d):
     }
     seen = number(1).join(o.select(n.alias("l_orderkey"), k.alias("financial_account_id")), "l_orderkey")
     seen = seen.select("dataset_version_id", "financial_account_id", F.when(F.col("l_linestatus") == "O", "closing").otherwise("ledger").alias("balance_type"), F.when(q < 45, "complete").otherwise("gap").alias("lineage_state"))
-    assessed = number(2).select(F.col("l_orderkey").alias("expectation_id"), "dataset_version_id", F.when(flag != "R", "verified").otherwise("mismatch").alias("state"), F.when(q < 48, "complete").otherwise("gap").alias("lineage_state"), F.col("id").alias("seq"))
+    assessed = number(2).select(F.col("l_orderkey").alias("expectation_id"), "dataset_version_id", F.when(flag != "R", "verified").otherwise("mismatch").alias("state"), F.when(q < 48, "complete").otherwise("gap").alias("lineage_state"), "id", "file", "row")
+    # of equal ids the first line counts, which is what the SQL takes when it reads them in order
+    firsts = Window.partitionBy("id").orderBy("file", "row")
+    assessed = assessed.withColumn("place", F.row_number().over(firsts)).where("place = 1").withColumn("seq", F.col("id")).drop("id", "file", "row", "place")
     made = sources.where(F.col("expectation_id") % 2 == 0)
     statement = made.select("financial_account_id", "period_start", F.when(F.col("expectation_id") % 3 != 0, "balanced").otherwise("review_required").alias("state"), F.when(F.col("expectation_id") % 5 != 0, "complete").otherwise("gap").alias("lineage_state"), F.col("expectation_id").alias("seq"))
     return CL.controls(CL.period_metrics(sources, datasets(spark, d).drop("company_id"), evidence, seen, assessed, statement, ["company_id", "period_start"]), ["company_id", "period_start"])

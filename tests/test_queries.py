@@ -131,6 +131,26 @@ def test_decisions_by_hand_and_by_one_shuffle_of_pairs(spark):
     assert "hashpartitioning(low_id" not in plan and "windowspecdefinition(member" not in plan
 
 
+def test_of_lines_with_one_number_the_first_is_the_assessment(spark, tmp_path):
+    """As the SQL has it when one thread reads the table in order."""
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    for t in TABLES:
+        con.execute(f"copy (select * from '{DIR}/{t}.parquet') to '{tmp_path}/{t}.parquet'")
+    # each line a second time with the other answer, in a second file, which is larger, so that Spark reads it first
+    line = f"select * replace (2 as l_linenumber) from (select distinct on (l_orderkey) * from '{DIR}/lineitem.parquet')"
+    turned = f"select * replace (case l_returnflag when 'R' then 'A' else 'R' end as l_returnflag) from ({line})"
+    (tmp_path / "lineitem.parquet").unlink()
+    (tmp_path / "lineitem.parquet").mkdir()
+    con.execute(f"copy ({line}) to '{tmp_path}/lineitem.parquet/a.parquet'")
+    con.execute(f"copy ({turned} union all select * replace (6 as l_linenumber) from '{DIR}/lineitem.parquet') to '{tmp_path}/lineitem.parquet/b.parquet'")
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet{'/*.parquet' if t == 'lineitem' else ''}'")
+    want = sorted(tuple(map(str, r)) for r in con.execute(f"select company_id, period_start, open from ({catalogue.SQL['clo02_close_controls']}) where control = 'completeness_assessments'").fetchall())
+    got = catalogue.QUERIES["clo02_close_controls"](spark, str(tmp_path)).where("control = 'completeness_assessments'").select("company_id", "period_start", "open").collect()
+    assert sorted(tuple(map(str, r)) for r in got) == want
+
+
 def test_statement_golden(spark):
     """1,250,000 + 20,000 - 90,000 is what the books have; what is only proposed counts for nothing."""
     money = "decimal(38,12)"
