@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,16 +16,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     neighbours, so that each round leaves half of a component's nodes at most: rounds grow with the logarithm of its size, and
     the doublings of a round with the logarithm of its longest walk.
     Each is an aggregation with map-side partial results or a join whose hot keys Spark can split.
+    Rounds end in tables of known size: a checkpoint keeps the size that the planner guessed, which joins of a round with itself square, until the driver's
+    memory is full of its digits.
     """
-    edges = cut(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
+    edges = written(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
     chosen: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = ends(cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))))
+        to = ends(written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))))
         chosen.append(to)
         left = edges.join(to.withColumnRenamed("node", "a"), "a").select(F.col("to").alias("x"), "b")
         moved = left.join(to.withColumnRenamed("node", "b"), "b").select("x", F.col("to").alias("y"))
-        edges = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct())
+        edges = written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct())
     if not chosen:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("component"))
     found = chosen[0].select("node", F.col("to").alias("component"))
@@ -42,4 +44,4 @@ def ends(to: DataFrame) -> DataFrame:
         jumped = to.join(after, "to").select("node", F.col("then").alias("to"), (F.col("then") != F.col("to")).alias("moved"))
         if jumped.where("moved").isEmpty():
             return to
-        to = cut(jumped.drop("moved"))
+        to = written(jumped.drop("moved"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 from .components import components
 from .simhash import Union
 
@@ -121,7 +121,7 @@ def sharded(placed: DataFrame, members: int, weight: int) -> DataFrame:
 def joined_classes(members: DataFrame, payload: DataFrame, make) -> DataFrame:
     """``class, comp`` of those that are joined to others; ``payload`` has class and found, what ``make(fps, found, comp)`` makes a Shard of."""
     place, no = F.xxhash64("bucket", "block").alias("place"), F.lit(False).alias("foreign")
-    found = cut(linked(members.select("*", place, no, F.col("class").alias("comp")).join(payload, "class"), make))
+    found = written(linked(members.select("*", place, no, F.col("class").alias("comp")).join(payload, "class"), make))
     links = found.where("b IS NOT NULL").select("a", "b")
     comps = named(links)
     crowded = members.where("blocks > 1")
@@ -129,7 +129,7 @@ def joined_classes(members: DataFrame, payload: DataFrame, make) -> DataFrame:
         return comps
     roots = found.where("b IS NULL").select(F.col("a").alias("class"), "bucket")
     for asks in ("roots", "apart"):
-        of = cut(crowded.join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class")))
+        of = written(crowded.join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class")))
         if asks == "roots":
             asking = of.join(roots.withColumn("asks", F.lit(True)), ["class", "bucket"], "left")
         else:
@@ -142,11 +142,11 @@ def joined_classes(members: DataFrame, payload: DataFrame, make) -> DataFrame:
         at = at.withColumn("foreign", F.col("to") != F.col("block")).withColumn("place", F.xxhash64("bucket", "to"))
         # blocks that nobody asks have nothing to do
         dealt = at.join(at.where("foreign").select("place").distinct(), "place", "left_semi")
-        links = cut(links.unionByName(linked(dealt.join(payload, "class"), make).where("b IS NOT NULL").select("a", "b")))
+        links = written(links.unionByName(linked(dealt.join(payload, "class"), make).where("b IS NOT NULL").select("a", "b")))
         comps = named(links)
     return comps
 
 
 def named(links: DataFrame) -> DataFrame:
     """``class, comp`` of those that links join; its plan ends here, so that the driver holds no more of them."""
-    return cut(components(links).select(F.col("node").alias("class"), F.col("component").alias("comp")))
+    return written(components(links).select(F.col("node").alias("class"), F.col("component").alias("comp")))

@@ -681,6 +681,14 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     assert all(got[i] == 0 for i in range(1000)) and got[5003] == 5000 and len(rounds) < 15
 
 
+def test_rounds_of_components_do_not_square_the_planned_size(spark):
+    from tallyforge.llm import components as C
+
+    got = C.components(spark.range(2000).select(F.xxhash64("id").alias("a"), F.xxhash64(F.col("id") + 1).alias("b")))
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 1000
+    assert got.count() == 2001 and got.select("component").distinct().count() == 1
+
+
 def test_finer_shards_keep_near_pairs():
     rng = random.Random(2)
     mask = simhash.choices(1, 3)[1]
