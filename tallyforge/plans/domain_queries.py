@@ -22,7 +22,7 @@ from ..operators import mapping as MP
 from ..operators import matching as MA
 from ..operators import profiling as PR
 from ..operators import publication as PU
-from ..operators.rounds import scratch
+from ..operators.rounds import scratch, settled
 from .registry import query
 from .views import balances, datasets, items, movements, raw_rows, table
 
@@ -753,8 +753,9 @@ def cycles(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.lead("o_orderkey").over(w).alias("next"), F.lead("o_orderkey", 2).over(w).alias("after"), F.first("o_orderkey").over(w).alias("first"))
     on = o.where("next IS NOT NULL").select(F.col("o_orderkey").alias("from_id"), F.col("next").alias("to_id"))
     back = o.where("o_custkey % 3 = 0 AND next IS NOT NULL AND after IS NULL AND first <> o_orderkey").select(F.col("o_orderkey").alias("from_id"), F.col("first").alias("to_id"))
-    e, nodes = on.unionByName(back), o.select(F.col("o_orderkey").alias("node"))
-    levels = LI.peeled(e, nodes).join(LI.strongly_connected(e), "node", "left")
+    e, nodes = settled(on.unionByName(back)), o.select(F.col("o_orderkey").alias("node"))
+    levels = settled(LI.peeled(e, nodes))
+    levels = levels.join(LI.strongly_connected(e, levels.where("level IS NULL").select("node")), "node", "left")
     return levels.select(F.col("node").alias("o_orderkey"), "level", "component")
 
 

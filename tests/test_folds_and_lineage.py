@@ -79,6 +79,17 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     assert {(r.start, r.node) for r in met} == {(0, i) for i in range(301)} | {(250, i) for i in range(250, 301)} and len(rounds) < 40
 
 
+def test_cycles_without_branches_are_told_by_their_chains(spark, monkeypatch):
+    """No colours are sent, nodes known to be stuck are not peeled again, and rounds do not square the planned size."""
+    monkeypatch.setattr(lineage, "spread", None)
+    e = graph(spark, [(i, (i + 1) % 40) for i in range(40)] + [(50, 51), (51, 50), (51, 52), (60, 0), (70, 70)])
+    levels = lineage.settled(lineage.peeled(e, e.select(F.explode(F.array("from_id", "to_id")).alias("node"))))
+    want = {i: 0 for i in range(40)} | {50: 50, 51: 50, 70: 70}
+    for stuck in (None, levels.where("level IS NULL").select("node")):
+        assert {r.node: r.component for r in lineage.strongly_connected(e, stuck).collect()} == want
+    assert lineage.chains(e)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 60
+
+
 def test_a_recursive_walk_has_no_row_limit(spark):
     """More ways than Spark's limit of rows, which the session keeps."""
     key = "spark.sql.cteRecursionRowLimit"
