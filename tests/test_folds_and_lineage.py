@@ -79,6 +79,23 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     assert {(r.start, r.node) for r in met} == {(0, i) for i in range(301)} | {(250, i) for i in range(250, 301)} and len(rounds) < 40
 
 
+def test_a_walk_compares_only_pairs_at_nodes_met_before(spark, monkeypatch):
+    """In tiers no pair is looked for among the known ones, and pairs at nodes without steps do not move; edges may repeat."""
+    plans, settled = [], lineage.settled
+    monkeypatch.setattr(lineage, "settled", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString()) or settled(df))
+    walk = lambda pairs, starts: sorted((r.start, r.node) for r in lineage.reachable(spark.createDataFrame(pairs, "from_id long, to_id long"), spark.createDataFrame([(x,) for x in starts], "start long")).collect())
+    want = lambda pairs, starts: sorted({(x, y) for x in starts for y in closure(pairs).get(x, set()) | {x}})
+    tiers = [(x, 10 + (x + k) % 4) for x in range(6) for k in range(2)] * 2 + [(10 + x, 20 + x % 2) for x in range(4)]
+    assert walk(tiers, [0, 1, 5, 99, 99]) == want(tiers, [0, 1, 5, 99])
+    assert not any("LeftAnti" in p for p in plans) and sum("Join Inner" in p for p in plans) == 2
+    rng = random.Random(5)
+    pairs = [(rng.randrange(30), rng.randrange(30)) for _ in range(45)] * 2 + [(100 + i, 101 + i) for i in range(12)] * 2 + [(3, 100), (112, 7)]
+    for shallow in (2, 8):
+        monkeypatch.setattr(lineage, "SHALLOW", shallow)
+        plans.clear()
+        assert walk(pairs, [3, 4, 5, 104]) == want(pairs, [3, 4, 5, 104]) and any("LeftAnti" in p for p in plans)
+
+
 def test_cycles_without_branches_are_told_by_their_chains(spark, monkeypatch):
     """No colours are sent, nodes known to be stuck are not peeled again, and rounds do not square the planned size."""
     monkeypatch.setattr(lineage, "spread", None)
