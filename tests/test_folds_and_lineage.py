@@ -96,6 +96,22 @@ def test_a_walk_compares_only_pairs_at_nodes_met_before(spark, monkeypatch):
         assert walk(pairs, [3, 4, 5, 104]) == want(pairs, [3, 4, 5, 104]) and any("LeftAnti" in p for p in plans)
 
 
+def test_tiers_are_peeled_without_contracting_chains(spark, monkeypatch):
+    """Edges may repeat, one node has most of them, and no task makes more than a block of them distinct."""
+    monkeypatch.setattr(lineage, "contracted", None)
+    monkeypatch.setattr(lineage, "BLOCK", 16)
+    parts, settled = [], lineage.settled
+    monkeypatch.setattr(lineage, "settled", lambda df: parts.append(df._jdf.queryExecution().optimizedPlan().toString()) or settled(df))
+    pairs = [(0, 100 + i) for i in range(60)] * 2 + [(1 + i, 100 + i) for i in range(20)] + [(100 + i, 200) for i in range(60)]
+    e = spark.createDataFrame(pairs, "from_id long, to_id long")
+    want = {i: 0 for i in range(21)} | {100 + i: 1 for i in range(60)} | {200: 2}
+    for nodes in (None, spark.createDataFrame([(i,) for i in [*want, 200, 300]], "node long")):
+        parts.clear()
+        got = [(r.node, r.level) for r in lineage.peeled(e, nodes).collect()]
+        assert sorted(got) == sorted((want if nodes is None else want | {300: 0}).items())
+        assert sum("RepartitionByExpression" in p and f", {200 // 16 + 1}" in p for p in parts) == 2
+
+
 def test_cycles_without_branches_are_told_by_their_chains(spark, monkeypatch):
     """No colours are sent, nodes known to be stuck are not peeled again, and rounds do not square the planned size."""
     monkeypatch.setattr(lineage, "spread", None)
