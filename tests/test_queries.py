@@ -115,6 +115,34 @@ def test_bucketed_candidates_look_at_few_others(spark):
     assert {r.amount for r in matching.candidates(a, b, 2, buckets=True, as_text=True).collect()} == {"1.000000000000"}
 
 
+def alike(spark, n=240):
+    """Movements of which many are compared alike: few accounts, days and references, some of these and one id missing."""
+    rows = [(None if i == 77 else str(i), "c", "A" if i % 2 else "B", str(i % 3), str(i // 2 % 2), "COP", ("inflow", "outflow")[i // 4 % 2], dt.date(2026, 1, 1 + i % 5), (None, "r", "s")[i // 8 % 3], "f", "confirmed", "complete") for i in range(n)]
+    kinds = [f"{c} {'date' if c == 'occurred_on' else 'string'}" for c in [*matching.SIDE, "state", "lineage_state"]]
+    m = spark.createDataFrame(rows, ", ".join(kinds)).withColumn("amount", F.col("amount").cast("decimal(38,12)"))
+    want = lambda days: sorted((str(x[0]), str(y[0])) for x in rows for y in rows if x[2] == "A" and y[2] == "B" and x[3] != y[3] and x[4] == y[4] and x[6] != y[6] and abs((x[7] - y[7]).days) <= days)
+    return m.where("dataset_version_id = 'A'"), m.where("dataset_version_id = 'B'"), want
+
+
+def test_movements_that_are_compared_alike_are_compared_once(spark):
+    a, b, want = alike(spark)
+    for days, buckets in ((0, False), (2, True)):
+        got = matching.candidates(a, b, days, buckets=buckets)
+        assert sorted((str(r.left_id), str(r.right_id)) for r in got.collect()) == want(days) and want(days)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert -1 < plan.find("Generate explode(r_own") < plan.find("Join Inner")
+    more = matching.candidates(a.withColumn("n", F.lit(1)), b.withColumn("x", F.concat("movement_id", F.lit("!"))), 0, left_more=("n",), right_more=("x",)).collect()
+    assert sorted((str(r.left_id), str(r.right_id)) for r in more) == want(0) and all(r.left_n == 1 and r.right_x == f"{r.right_id}!" for r in more)
+
+
+def test_blocks_are_of_bounded_length_and_lose_no_row(spark):
+    rows = [("x", str(i)) for i in range(7)] + [("x", None), ("x", "3"), (None, "1"), (None, None)]
+    df = spark.createDataFrame(rows, "k string, v string")
+    got = [(r.k, v) for r in matching.in_blocks(df, ["k"], ["v"], "vs", 4).collect() if len(r.vs) <= 4 for v in r.vs]
+    assert sorted(got, key=str) == sorted(rows, key=str)
+    assert matching.in_blocks(df, ["k"], ["v"], "vs", 4).count() == 4 and matching.in_blocks(df, ["k"], ["v"], "vs").count() == 2
+
+
 def test_decisions_by_hand_and_by_one_shuffle_of_pairs(spark):
     rng = random.Random(5)
     ids = sorted({tuple(sorted((f"{rng.randrange(30):02}", f"{rng.randrange(30):02}"))) for _ in range(120)})
