@@ -135,6 +135,17 @@ def test_movements_that_are_compared_alike_are_compared_once(spark):
     assert sorted((str(r.left_id), str(r.right_id)) for r in more) == want(0) and all(r.left_n == 1 and r.right_x == f"{r.right_id}!" for r in more)
 
 
+def test_split_candidates_compare_once_for_heavy_keys_only(spark):
+    a, b, want = alike(spark)
+    # amount 0 is heavy, amount 1 is not
+    thin = b.where("amount = 0 OR occurred_on = '2026-01-01'")
+    got = matching.split_candidates(a, thin, 2, heavy=40)
+    ids = {str(r.movement_id) for r in thin.collect()}
+    assert sorted((str(r.left_id), str(r.right_id)) for r in got.collect()) == [p for p in want(2) if p[1] in ids]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.amount for r in matching.heavy_keys(thin, 40).collect()} == {0} and plan.count("Generate explode(r_own") == 2 and plan.count("collect_list") == 1
+
+
 def test_blocks_are_of_bounded_length_and_lose_no_row(spark):
     rows = [("x", str(i)) for i in range(7)] + [("x", None), ("x", "3"), (None, "1"), (None, None)]
     df = spark.createDataFrame(rows, "k string, v string")
